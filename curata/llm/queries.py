@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import quality_rules
+from curata.llm import mixing, packing, quality_rules, token_output
 from curata.llm.common import table
+from curata.llm.tokens import vocabulary
+from curata.session import shared_dir
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary())
+    return token_output.digest(token_output.read_tokens(spark, path))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +30,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_token_output": op2_token_output,
+    "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
