@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import mixing, packing, quality_rules, token_output
+from curata.llm import language_id, mixing, packing, quality_rules, token_output, warc
 from curata.llm.common import table
 from curata.llm.tokens import vocabulary
 from curata.session import shared_dir
@@ -20,6 +20,16 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(token_output.read_tokens(spark, path))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "n_languages")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory, folder = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -32,9 +42,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_output": op2_token_output,
+    "op4_language_id": op4_language_id,
+    "op6_warc": op6_warc,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
+    "op6_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality_rules.oracle_sql(),
 }
