@@ -34,3 +34,30 @@ def only(df: DataFrame, *wanted: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_key(batches, names: list[str]):
+    """Arrow batches that are sorted by key columns, put together into tables that hold whole groups:
+    each as (table, starts), where group g is the rows from starts[g] to starts[g + 1]."""
+    import numpy as np
+    import pyarrow as pa
+
+    carry = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if carry is None else pa.concat_tables([carry, table])
+        new = np.zeros(table.num_rows, dtype=bool)
+        for name in names:
+            x = table.column(name).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        cuts = np.flatnonzero(new)
+        if len(cuts):
+            last = int(cuts[-1])
+            yield table.slice(0, last).combine_chunks(), [0, *cuts.tolist()]
+            carry = table.slice(last)
+        else:
+            carry = table
+    if carry is not None:
+        yield carry.combine_chunks(), [0, carry.num_rows]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import language_id, mixing, packing, quality_rules, token_output, warc
+from curata.llm import language_id, mixing, ngram_join, packing, quality_rules, token_output, warc
 from curata.llm.common import table
 from curata.llm.tokens import vocabulary
 from curata.session import shared_dir
@@ -20,6 +20,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(token_output.read_tokens(spark, path))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "n_languages")
@@ -42,6 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_output": op2_token_output,
+    "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
     "op6_warc": op6_warc,
     "op9_mixing": op9_mixing,
