@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curata.llm import language_id, mixing, ngram_join, packing, quality_rules, token_output, warc
+from curata.llm import embed_lattice, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_output, warc
 from curata.llm.common import table
 from curata.llm.tokens import vocabulary
 from curata.session import shared_dir
@@ -29,11 +30,26 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "n_languages")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory, folder = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit("")).cast("binary")
+    return cut.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.octet_length(kept).cast("long").alias("n_kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op8_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +64,10 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_embedding_lattice": op8_embedding_lattice,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
