@@ -1,12 +1,15 @@
 """Whole-text encoding with the tokenizers library, for use inside Spark's Python workers.
 
 The vocabulary drops white space, and none of its patterns crosses it, so a text's ids are
-those of its words in order. Each worker keeps the ids of the words it has met (up to
-``CACHE_WORDS``, then it starts anew), and the library encodes each new word once.
+those of its words in order. Each worker keeps the ids of the words that it meets often (at
+most ``CACHE_WORDS``), and the library encodes the others.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 
 from curata.llm.common import worker_state
@@ -14,17 +17,19 @@ from curata.llm.common import worker_state
 #: Id appended to each document.
 END_ID = 1
 #: Words whose ids a worker keeps: about 250 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 
-_PUNCTUATION = b".,;:!?"
+# A word of Latin letters, of those that stay single in lower case, and ASCII marks after it but for the
+# apostrophe: the vocabulary's pattern parts it into just these two pieces.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-def _is_latin(stem: bytes) -> bool:
-    """True for letters only, of blocks in which no letter combines with a mark after it."""
-    if stem.isalpha():
-        return True
-    text = stem.decode()
-    return text.isalpha() and max(text) < "\u0250"
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the
+    others, in order, for the characters from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
 class WordEncoder:
@@ -34,48 +39,64 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         # a vocabulary that keeps white space would join words; such texts are encoded whole
-        probe = "one two"
-        ids = self._ids([probe, *probe.split()])
-        self.by_word = ids[0] == ids[1] + ids[2] and ids[0] == self._ids(["one \n two"])[0]
-        self.cache: dict[bytes, bytes] = {}
+        ids = self._ids(["one two", "one", "two", "one \n two"])
+        self.by_word = ids[0] == ids[1] + ids[2] == ids[3]
+        # a word of the plain form goes to the model itself, if this vocabulary lower-cases and maps bytes to letters
+        self.plain = [self._pieces(w) for w in ("Größe", "Été,", "ABC!?")] == self._ids(["Größe", "Été,", "ABC!?"])
+        self.words = _Words(self, {})
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Puts the ids of new words into the cache; a word that ends in one mark is its stem's ids and the mark's."""
-        cache = self.cache
-        stems, ends, rest = [], [], []
-        for w in words:
-            stem = w[:-1]
-            if w[-1] in _PUNCTUATION and _is_latin(stem):
-                stems.append(stem)
-                ends.append(w)
-            else:
-                rest.append(w)
-        new = list({*rest, *stems, *(w[-1:] for w in ends)} - cache.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            cache.update(zip(part, self._ids([w.decode() for w in part]), strict=True))
-        for w in ends:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _pieces(self, word: str) -> bytes:
+        stem, marks = _PLAIN.fullmatch(word).groups()
+        return self._piece(stem.lower()) + (self._piece(marks) if marks else b"")
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text, without the end id."""
         if not self.by_word:
             return self._ids([(t or b"").decode() for t in texts])
+        if len(self.words) > CACHE_WORDS // 2:
+            # words of the last generation that occur again move over; the others go with the next change
+            self.words = _Words(self, self.words)
+        get = self.words.__getitem__
         # bytes.split() parts at exactly space, tab, line feed, vertical tab, form feed and carriage return
-        split = [(t or b"").split() for t in texts]
-        new = set().union(*split) - self.cache.keys()
-        if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = set().union(*split)
-            self._learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, t.split())) if t else b"" for t in texts]
+
+
+class _Words(dict):
+    """The ids of words, which are looked up once: in the generation before, else in the library."""
+
+    def __init__(self, encoder: WordEncoder, before: dict[bytes, bytes]):
+        super().__init__()
+        self.encoder, self.before = encoder, dict(before)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            encoder = self.encoder
+            text = word.decode()
+            match = _PLAIN.fullmatch(text) if encoder.plain else None
+            if match is None:
+                ids = encoder._ids([text])[0]
+            else:
+                stem, marks = match.groups()
+                stem = stem.lower()
+                key = stem.encode()
+                ids = encoder._piece(stem) if key == word else self[key]
+                if marks:
+                    ids += encoder._piece(marks)
+        self[word] = ids
+        return ids
 
 
 def encoder(path: str) -> WordEncoder:
