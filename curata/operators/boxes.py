@@ -88,6 +88,29 @@ def _iou(a, b) -> float:
     return w * h / union if union > 0 else 0.0
 
 
+def per_group(df: DataFrame, keys: list[str], order: list[Column], step) -> DataFrame:
+    """Runs ``step`` over the rows of each key, in order; it returns those that stay. Rows are clustered and sorted by Spark and
+    streamed through, one group in memory at a time."""
+    names = df.columns
+
+    def run(frames):
+        import pandas as pd
+
+        known, rows = None, []
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != known:
+                    out += step(rows)
+                    known, rows = key, []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(list(step(rows)), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
+
+
 def one_to_one(truth: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(frame, truth_id, box_id, overlap): true boxes in order of id each take the free prediction that overlaps most.
 
@@ -96,48 +119,44 @@ def one_to_one(truth: DataFrame, pred: DataFrame, threshold: float = 0.5) -> Dat
     p = pred.select("frame", "box_id", box("x1", "y1", "x2", "y2").alias("pb"))
     pairs = t.join(p, "frame").withColumn("overlap", iou(F.col("tb"), F.col("pb"))).filter(F.col("overlap") > 0).select("frame", "truth_id", "box_id", "overlap")
 
-    def pick(frame):
-        taken, rows = set(), []
-        for truth_id, group in frame.sort_values(["truth_id", "overlap", "box_id"], ascending=[True, False, True]).groupby("truth_id", sort=True):
-            for row in group.itertuples(index=False):
-                if row.box_id in taken:
-                    continue
-                if row.overlap >= threshold:
-                    taken.add(row.box_id)
-                    rows.append(row)
-                break
-        return frame.__class__(rows, columns=frame.columns)
+    def pick(rows):
+        taken, done = set(), set()
+        for row in rows:  # by true box, best overlap first
+            if row.truth_id in done or row.box_id in taken:
+                continue
+            done.add(row.truth_id)
+            if row.overlap >= threshold:
+                taken.add(row.box_id)
+                yield row
 
-    return pairs.groupBy("frame").applyInPandas(pick, pairs.schema)
+    return per_group(pairs, ["frame"], [F.col("truth_id"), F.col("overlap").desc(), F.col("box_id")], pick)
 
 
 def suppress(df: DataFrame, threshold: float = 0.5, per_class: bool = False) -> DataFrame:
     """Non-maximum suppression: by falling confidence, a box goes if it overlaps a kept one by more than the threshold."""
 
-    def keep(frame):
-        frame = frame.sort_values(["confidence", "box_id"], ascending=[False, True])
+    def keep(rows):
         kept = []
-        for row in frame.itertuples(index=False):
+        for row in rows:
             mine = (row.x1, row.y1, row.x2, row.y2)
             if all(_iou(mine, (k.x1, k.y1, k.x2, k.y2)) <= threshold for k in kept):
                 kept.append(row)
-        return frame.__class__(kept, columns=frame.columns)
+        return kept
 
-    return df.groupBy("frame", *(["class_name"] if per_class else [])).applyInPandas(keep, df.schema)
+    return per_group(df, ["frame", *(["class_name"] if per_class else [])], [F.col("confidence").desc(), F.col("box_id")], keep)
 
 
 def merge_labels(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Of boxes of one class that overlap by the threshold or more the larger stays."""
 
-    def keep(frame):
-        frame = frame.assign(_a=(frame.x2 - frame.x1).clip(lower=0) * (frame.y2 - frame.y1).clip(lower=0)).sort_values(["_a", "box_id"], ascending=[False, True])
+    def keep(rows):
         kept = []
-        for row in frame.itertuples(index=False):
+        for row in rows:
             if all(_iou((row.x1, row.y1, row.x2, row.y2), (k.x1, k.y1, k.x2, k.y2)) < threshold for k in kept):
                 kept.append(row)
-        return frame.__class__(kept, columns=frame.columns).drop(columns="_a")
+        return kept
 
-    return df.groupBy("frame", "class_name").applyInPandas(keep, df.schema)
+    return per_group(df, ["frame", "class_name"], [area(box("x1", "y1", "x2", "y2")).desc(), F.col("box_id")], keep)
 
 
 def replace_boxes(original: DataFrame, corrected: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -145,10 +164,10 @@ def replace_boxes(original: DataFrame, corrected: DataFrame, threshold: float =
     not replaced yet; without one they are added. Originals without a correction stay."""
     both = original.withColumn("side", F.lit(0)).unionByName(corrected.withColumn("side", F.lit(1)))
 
-    def swap(frame):
-        old = list(frame[frame.side == 0].sort_values("box_id").itertuples(index=False))
+    def swap(rows):
+        old = [r for r in rows if r.side == 0]
         out, used = list(old), set()
-        for row in frame[frame.side == 1].sort_values("box_id").itertuples(index=False):
+        for row in rows[len(old) :]:
             for i, o in enumerate(old):
                 if i not in used and o.class_name == row.class_name and _iou((o.x1, o.y1, o.x2, o.y2), (row.x1, row.y1, row.x2, row.y2)) >= threshold:
                     out[i] = row
@@ -156,9 +175,9 @@ def replace_boxes(original: DataFrame, corrected: DataFrame, threshold: float =
                     break
             else:
                 out.append(row)
-        return frame.__class__(out, columns=frame.columns)
+        return out
 
-    return both.groupBy("frame").applyInPandas(swap, both.schema)
+    return per_group(both, ["frame"], [F.col("side"), F.col("box_id")], swap)
 
 
 class Tracker:

@@ -123,6 +123,7 @@ def average_precision(matches: DataFrame, truths: DataFrame, label: str = "class
     steps = matches.join(truths.withColumnRenamed("n", "n_true"), label).withColumns({"tp": F.sum(F.col("is_tp").cast("int")).over(run), "k": F.row_number().over(w)})
     steps = steps.withColumns({"p": F.col("tp") / F.col("k"), "r": F.col("tp") / F.col("n_true")})
     # precision is made to fall with recall, then summed over its steps
-    best = F.max("p").over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(label).orderBy(F.col("confidence").asc(), F.col("box_id").desc())
+    best = F.max("p").over(back.rowsBetween(Window.unboundedPreceding, 0))
     steps = steps.withColumn("piece", best * (F.col("r") - F.coalesce(F.lag("r").over(w), F.lit(0.0))))
     return steps.groupBy(F.col(label).alias("class")).agg(F.max_by("p", "k").alias("precision"), F.max("r").alias("recall"), F.sum("piece").alias("ap"))

@@ -191,8 +191,8 @@ def hard_case_reasons(df: DataFrame, low: float = 0.5, high: float = 0.9, blur:
     c = F.coalesce("confidence", F.lit(0.0))
     wrong = F.col("true_class").isNotNull() & ~F.col("predicted_class").eqNullSafe(F.col("true_class"))
     rules = [
-        F.when(c < low, F.concat(F.lit("low_confidence_"), F.format_number(c, "0.000"))), F.when(wrong & (c > high), F.concat(F.lit("high_confidence_error_"), F.format_number(c, "0.000"))),
-        F.when(wrong & (c <= high), F.lit("misclassified")), F.when(F.col("blur_score") < blur, F.concat(F.lit("blurry_"), F.format_number(F.col("blur_score"), "0.0"))),
+        F.when(c < low, F.concat(F.lit("low_confidence_"), F.format_string("%.3f", c))), F.when(wrong & (c > high), F.concat(F.lit("high_confidence_error_"), F.format_string("%.3f", c))),
+        F.when(wrong & (c <= high), F.lit("misclassified")), F.when(F.col("blur_score") < blur, F.concat(F.lit("blurry_"), F.format_string("%.1f", F.col("blur_score")))),
         F.when(F.col("brightness") < dark, F.lit("too_dark")), F.when(F.col("brightness") > bright, F.lit("too_bright")),
         F.when(F.abs(F.col("detector_confidence") - F.col("classifier_confidence")) > 0.3, F.lit("detector_classifier_disagreement")),
         F.when(F.col("stability_score") < 0.5, F.lit("temporally_unstable")), F.when((c > 0.4) & (c < 0.6), F.lit("near_decision_boundary")),

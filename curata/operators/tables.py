@@ -106,7 +106,7 @@ def dangling(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 def contingency(df: DataFrame, rows: str, cols: str, values: list[str], names: DataFrame | None = None) -> DataFrame:
     """(rows, one column a value, total), zeros filled in, with a row for every name."""
-    t = df.groupBy(rows).pivot(cols, values).agg(F.count("*"))
+    t = df.groupBy(rows).pivot(cols, values).agg(F.count(F.lit(1)))
     if names is not None:
         t = names.join(t, rows, "left")
     t = t.na.fill(0)
