@@ -273,7 +273,7 @@ def repeated_starts(data: np.ndarray, pos: np.ndarray, group: np.ndarray, length
 #: Stands for a null doc_id within the operator, so that joins keep such rows.
 NO_ID = -(2**63)
 #: Bytes of segments whose suffixes are sorted at once.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 
 
 def _sort(length: int):
