@@ -77,23 +77,19 @@ def components(pairs: DataFrame) -> DataFrame:
 def star_clusters(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, anchor): anchors in order of id take their direct, still free neighbours; no link is followed further.
 
-    Each round every free row that is smaller than all its free neighbours becomes an anchor, which gives the clusters of
-    the sequential order. A row joins its smallest adjacent anchor, once no smaller neighbour can become one."""
-    both = materialize(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "pairs")
+    A row is an anchor if none of its smaller neighbours is one, otherwise it belongs to the smallest of them. Each round
+    decides the rows for which the smaller neighbours that matter are decided; that gives the clusters of the sequential order."""
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
+    below = materialize(both.filter("b < a"), "pairs")
     state = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("anchor", F.lit(None).cast(both.schema["a"].dataType)), "stars")
     for _ in range(max_rounds):
-        free = state.filter("anchor IS NULL").select("id")
-        if not free.limit(1).count():
+        if not state.filter("anchor IS NULL").limit(1).count():
             break
-        edges = both.join(free.withColumnRenamed("id", "a"), "a").join(free.withColumnRenamed("id", "b"), "b")
-        low = free.join(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")), "id", "left")
-        anchors = low.filter("low IS NULL OR id < low").select("id")
-        members = edges.join(anchors.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to"))
-        # a member must not leave for a larger anchor while a smaller free neighbour may yet become one
-        waits = edges.join(anchors.withColumnRenamed("id", "b"), "b", "left_anti").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("other"))
-        sure = members.join(waits, "id", "left").filter("other IS NULL OR to < other").select("id", "to")
-        new = anchors.select("id", F.col("id").alias("to")).union(sure)
-        state = materialize(state.join(new, "id", "left").select("id", F.coalesce("anchor", "to").alias("anchor")), "stars")
+        seen = below.join(state.withColumnRenamed("id", "b"), "b")
+        near = seen.groupBy(F.col("a").alias("id")).agg(F.min(F.when(F.col("anchor").isNull(), F.col("b"))).alias("open"), F.min(F.when(F.col("anchor") == F.col("b"), F.col("b"))).alias("low"))
+        joined = state.join(near, "id", "left")
+        new = F.when(F.col("open").isNull() & F.col("low").isNull(), F.col("id")).when(F.col("open").isNull() | (F.col("low") < F.col("open")), F.col("low"))
+        state = materialize(joined.select("id", F.coalesce("anchor", new).alias("anchor")), "stars")
     sizes = state.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     return state.join(sizes, "anchor").select("id", "anchor")
 
