@@ -1,8 +1,9 @@
 """Stateful streams: the folds of ``operators.folds`` and the tracker, with state kept by key across micro-batches.
 
 Rows of a micro-batch are folded in the order of ``order``; a row that arrives in a later batch is
-later by definition, whatever its time. State times out by ``idle_ms`` of processing time, so that
-ended sessions don't stay for ever.
+later by definition, whatever its time. In a stream that runs on, give ``idle_ms``: state times out after
+so long without a row, so that ended sessions don't stay for ever. Leave it out with an ``availableNow``
+trigger, which Spark doesn't end while processing-time timeouts may come.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ def _fields(ddl: str) -> list[T.StructField]:
     return list(T._parse_datatype_string(ddl).fields)
 
 
-def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold: Callable, idle_ms: int = 3_600_000) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold: Callable, idle_ms: int | None = None) -> DataFrame:
     """``stream`` with a fold's columns; the same rows as ``fold_batch`` where batches follow the order."""
     given = _fields(fold().gives)
     schema = T.StructType([*stream.schema.fields, *given])
@@ -38,13 +43,14 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold: Call
         rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
         found = [machine.step(*[None if v is None or v != v else v for v in values]) for values in rows[reads].itertuples(index=False, name=None)]
         state.update((pickle.dumps(machine.state),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.concat([rows, pd.DataFrame(found, columns=names)], axis=1)
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, schema, T.StructType([T.StructField("state", T.BinaryType())]), "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(step, schema, T.StructType([T.StructField("state", T.BinaryType())]), "append", _timeout(idle_ms))
 
 
-def track_stream(stream: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None, idle_ms: int = 3_600_000) -> DataFrame:
+def track_stream(stream: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None, idle_ms: int | None = None) -> DataFrame:
     """``stream`` of box rows with ``track_id``. A frame's boxes have to arrive in one micro-batch."""
     from curata.operators.boxes import Tracker
 
@@ -64,10 +70,11 @@ def track_stream(stream: DataFrame, session: str = "session", frame: str = "fram
         for _, part in rows.groupby(frame, sort=True):
             ids += tracker.step(list(part[["confidence", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
         state.update((pickle.dumps(tracker.state),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield rows.assign(track_id=ids)
 
-    return stream.groupBy(session).applyInPandasWithState(step, schema, T.StructType([T.StructField("state", T.BinaryType())]), "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(session).applyInPandasWithState(step, schema, T.StructType([T.StructField("state", T.BinaryType())]), "append", _timeout(idle_ms))
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], length: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:

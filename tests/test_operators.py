@@ -108,7 +108,7 @@ def test_stabilizer():
 
 
 def test_other_folds():
-    assert [r[1] for r in run(folds.OutlierSmoother(), [(x,) for x in (0.5, 0.51, 0.49, 0.5, 5.0)])] == [False] * 4 + [True]
+    assert [r[1] for r in run(folds.OutlierSmoother(), [(x,) for x in (0.5, 0.52, 0.51, 0.5, 5.0)])] == [False] * 4 + [True]
     gate = run(folds.CaptureGate(), [("a", 0, 0, 10, 10)] * 4 + [("a", 0, 0, 10, 10), ("b", 0, 0, 10, 10)])
     assert [g[0] for g in gate] == [False, False, False, True, False, False]
     assert [c[0] for c in run(folds.Cadence(), [(0.0, 0.9, "a"), (0.05, 0.9, "a"), (1.2, 0.9, "a")])] == [True, False, True]
@@ -152,7 +152,7 @@ def test_track_stream_equals_batch(spark, tmp_path):
 def test_event_time_windows(spark, tmp_path):
     from curata.streaming import stateful
 
-    df = spark.range(100).select((F.col("id") * 3600).cast("timestamp").alias("ts"), (F.col("id") % 2).alias("k"))
+    df = spark.range(100).select((F.col("id") * 3600 + 864000).cast("timestamp").alias("ts"), (F.col("id") % 2).alias("k"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = stateful.run_to_memory(stateful.windowed_counts(read(), "ts", ["k"]), "win", str(tmp_path / "c1"))
