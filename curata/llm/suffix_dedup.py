@@ -377,7 +377,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     n = partitions(spark)
     source = _source(docs)
     rows = source.mapInArrow(_segment_rows(length, gram), SEGMENTS)
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written, so that the join has a plain exchange on both sides and AQE can split an anchor of very many rows
+    often = materialize(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     shared = materialize(rows.join(often, "anchor"), "segments")
     kinds = shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "crc", "start", "shape")).alias("one"))
     kinds = materialize(kinds, "kinds")
