@@ -19,7 +19,8 @@ MANIFEST_COLUMNS = [
 
 
 def file_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, name, stem, extension, folder, length, is_image) of all files below a folder; contents only on request."""
+    """(path, name, stem, extension, folder, length, is_image) of all files below a folder; contents only on request.
+    Spark's file index leaves out empty files and names that begin with a dot or underscore."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     out = df.select("path", basename(F.col("path")).alias("name"), stem(F.col("path")).alias("stem"), extension(F.col("path")).alias("extension"), parent_folder(F.col("path")).alias("folder"), "length", *(["content"] if content else []))
     return out.withColumn("is_image", F.col("extension").isin(*IMAGE_EXTENSIONS))

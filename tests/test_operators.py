@@ -194,7 +194,8 @@ def test_rules(spark):
 def test_shelf_life(spark):
     items = spark.createDataFrame([("apple", 14, 30)], "item string, typical_min int, typical_max int")
     asked = [("apple", "fresh", c, None) for c in (0.0, 0.5, 1.0, None, float("nan"), float("inf"), -2.5, 99.0)] + [("apple", "rotten", 0.9, None), ("apple", "stale", None, None), ("plum", "fresh", 1.0, None)]
-    out = tables.shelf_life(spark.createDataFrame(asked, "item string, freshness_class string, confidence double, storage string"), items).collect()
+    asked = [(i, *a) for i, a in enumerate(asked)]
+    out = tables.shelf_life(spark.createDataFrame(asked, "id int, item string, freshness_class string, confidence double, storage string"), items).orderBy("id").collect()
     assert [r.days for r in out] == [1, 15, 30, None, None, None, 1, 30, 0, 0, None] and out[3].status == "uncertain" and out[-1].status == "unsupported"
 
 
