@@ -17,7 +17,7 @@ from curata.llm.common import worker_state
 #: Id appended to each document.
 END_ID = 1
 #: Words whose ids a worker keeps: about 250 bytes each.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 # A word of Latin letters, of those that stay single in lower case, and ASCII marks after it but for the
 # apostrophe: the vocabulary's pattern parts it into just these two pieces.
