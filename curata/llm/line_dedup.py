@@ -1,16 +1,24 @@
 """Line dedup with content-defined chunks of lines.
 
-A document's lines are hashed, a rolling hash runs over the hashes of ``WINDOW`` lines, and a
+``deduplicate_runs``, which the query and the pipeline use, cuts every repeated run of lines: its
+chunks are as short and dense as they can be, a line with text, the next line with text and the
+blank lines between them, one from each such line on. A run of two text lines or more is made of
+such pairs, so a line is in a run with an earlier occurrence just if one of its pairs has one:
+pairs need no boundary within the run, and pairs that follow each other give the maximal run.
+Runs begin and end at lines with text; blank lines around them stay. Where a run overlaps its own
+earlier occurrence, as in a line repeated many times, the first line stays.
+
+``deduplicate`` cuts sparser chunks, which lose most short passages. A document's lines are hashed, a rolling hash runs over the hashes of ``WINDOW`` lines, and a
 chunk ends where it is divisible by ``DIVISOR``: boundaries depend on nearby lines alone, so
 they are found again where a passage is shifted within another document. Chunks have at least
 ``MIN_LINES`` lines; a shorter rest joins the chunk before it.
 
-Chunks are counted by hash (with map-side sums, so a chunk in every document is no one task's
+Either way chunks are counted by hash (with map-side sums, so a chunk in every document is no one task's
 work). For those that occur twice the first occurrence, by doc_id and place, is looked up, the
 bytes of the others are compared with its bytes, and the others are removed.
 
 Defined results: null and empty texts have no chunks and stay as they are; chunks of which
-fewer than ``MIN_TEXT_LINES`` lines hold a word are never removed; rows that repeat an id and text are one
+fewer than ``MIN_TEXT_LINES`` lines hold a word (a pair holds two) are never removed; rows that repeat an id and text are one
 document and both keep what is first in it; null ids come first; other columns pass through.
 """
 
@@ -87,6 +95,40 @@ def _chunk_rows(window: int, divisor: int, min_lines: int):
     return run
 
 
+def text_pairs(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(first line, line after the last, bytes) of each line with text up to the next one with text."""
+    pairs, before, at = [], None, 0
+    for i, line in enumerate(text.split(b"\n")):
+        end = at + len(line)
+        if _WORD.search(line):
+            if before is not None:
+                pairs.append((before[0], i + 1, text[before[1] : end]))
+            before = (i, at)
+        at = end + 1
+    return pairs
+
+
+def _pair_rows(batches):
+    """For mapInArrow over (doc_id, text): (hash, doc_id, crc, first, last) of each pair of lines."""
+    import zlib
+
+    import pyarrow as pa
+    import xxhash
+
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    for batch, texts in text_batches(batches):
+        cols: list[list] = [[], [], [], [], []]
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+            pairs = text_pairs(text or b"")
+            if not pairs:
+                continue
+            first, last, parts = zip(*pairs, strict=True)
+            hashes = map(xxhash.xxh3_64_intdigest, parts)
+            for col, values in zip(cols, ([h - (1 << 64) if h >> 63 else h for h in hashes], [doc_id] * len(pairs), [zlib.crc32(text)] * len(pairs), first, last), strict=True):
+                col.extend(values)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["hash", "doc_id", "crc", "first", "last"])
+
+
 def _chunk_bytes(batches):
     """For mapInArrow over (doc_id, crc, text, parts): the bytes of each listed chunk."""
     import pyarrow as pa
@@ -102,6 +144,17 @@ def _chunk_bytes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["hash", "doc_id", "crc", "first", "is_first", "bytes"])
 
 
+def _merged(cut) -> list[tuple[int, int]]:
+    """The listed chunks, those that overlap put together."""
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted({(c["first"], c["last"]) for c in cut or ()}):
+        if runs and a < runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+        else:
+            runs.append((a, b))
+    return runs
+
+
 def _keep_lines(schema_names: list[str], text_col: str):
     """For mapInArrow: replaces the text by the lines that are left, and adds what was removed."""
 
@@ -113,15 +166,15 @@ def _keep_lines(schema_names: list[str], text_col: str):
             counts: list[list] = [[], [], []]
             for text, cut in zip(texts, batch.column("_cut").to_pylist(), strict=True):
                 n = 0 if text is None else text.count(b"\n") + 1
-                removed = 0
-                if cut:
+                removed, runs = 0, _merged(cut)
+                if runs:
                     lines = text.split(b"\n")
-                    for c in sorted({(c["first"], c["last"]) for c in cut}, reverse=True):
-                        del lines[c[0] : c[1]]
-                        removed += c[1] - c[0]
+                    for a, b in reversed(runs):
+                        del lines[a:b]
+                        removed += b - a
                     text = b"\n".join(lines)
                 left.append(text)
-                for col, value in zip(counts, (n, removed, len({c["first"] for c in cut or ()})), strict=True):
+                for col, value in zip(counts, (n, removed, len(runs)), strict=True):
                     col.append(value)
             columns = [pa.array(left, pa.binary()).cast(pa.string()) if c == text_col else batch.column(c) for c in schema_names]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[*schema_names, "n_lines", "n_removed_lines", "n_removed_chunks"])
@@ -131,7 +184,16 @@ def _keep_lines(schema_names: list[str], text_col: str):
 
 def repeated_chunks(source: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, crc, first, last): chunks of (doc_id, text) whose bytes have an earlier occurrence; crc is the text's."""
-    chunks = materialize(source.mapInArrow(_chunk_rows(window, divisor, min_lines), "hash long, doc_id long, crc long, first int, last int"), "chunks")
+    return _repeated(source, _chunk_rows(window, divisor, min_lines))
+
+
+def repeated_runs(source: DataFrame) -> DataFrame:
+    """(doc_id, crc, first, last): pairs of lines of (doc_id, text) whose bytes have an earlier occurrence; crc is the text's."""
+    return _repeated(source, _pair_rows)
+
+
+def _repeated(source: DataFrame, rows) -> DataFrame:
+    chunks = materialize(source.mapInArrow(rows, "hash long, doc_id long, crc long, first int, last int"), "chunks")
     place = F.struct("doc_id", "crc", "first")
     often = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("one")).filter("n > 1").drop("n")
     shared = chunks.join(often, "hash").withColumn("is_first", place == F.col("one")).drop("one")
@@ -149,10 +211,20 @@ def repeated_chunks(source: DataFrame, window: int = WINDOW, divisor: int = DIVI
 
 def deduplicate(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """``docs`` with repeated chunks cut from its texts, and ``n_lines``, ``n_removed_lines``, ``n_removed_chunks``."""
+    return _without(docs, text, lambda source: repeated_chunks(source, **settings))
+
+
+def deduplicate_runs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with all repeated runs of two lines with text or more cut from its texts, and ``n_lines``, ``n_removed_lines``,
+    ``n_removed_chunks`` (runs)."""
+    return _without(docs, text, repeated_runs)
+
+
+def _without(docs: DataFrame, text: str, find) -> DataFrame:
     made = ["n_lines", "n_removed_lines", "n_removed_chunks"]
     base = docs.drop(*made)
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    cut = repeated_chunks(base.select(ident.alias("doc_id"), F.col(text).cast("string").alias("text")), **settings)
+    cut = find(base.select(ident.alias("doc_id"), F.col(text).cast("string").alias("text")))
     listed = cut.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("first", "last")).alias("_cut")).withColumnsRenamed({"doc_id": "_id", "crc": "_crc"})
     names = base.columns
     marked = base.withColumns({"_own": ident, "_sum": F.crc32(F.col(text).cast("binary"))})

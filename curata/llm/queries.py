@@ -41,7 +41,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = line_dedup.deduplicate_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit("")).cast("binary")
     return cut.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.octet_length(kept).cast("long").alias("n_kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
 
