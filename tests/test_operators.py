@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import scalar as s
 from curata.operators import boxes, dedup, folds, frames, metrics, rules, splits, tables
+from curata.operators.graph import connected_components
 
 
 def one(spark, column):
@@ -59,6 +60,20 @@ def test_near_pairs_and_stars(spark):
     assert {r.group_id for r in dedup.components(pairs).collect()} == {"a"}
 
 
+@pytest.mark.parametrize("order", ["root_first", "random"])
+def test_components_of_long_chains(spark, order):
+    n = 2000
+    ids = [0, *range(n - 1, 0, -1)]  # a smaller label that enters at one end reaches the other hop by hop
+    if order == "random":
+        random.Random(1).shuffle(ids)
+    edges = [*zip(ids, ids[1:], strict=False), (n + 7, n + 5), (n + 5, n + 6), (n + 9, n + 9), (n + 1, None)]
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    want = {**dict.fromkeys(range(n), 0), **dict.fromkeys((n + 5, n + 6, n + 7), n + 5), n + 9: n + 9}
+    rows = got.collect()
+    assert len(rows) == len(want) and {r["node"]: r.component for r in rows} == want
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 def test_stars_equal_the_sequential_form(spark):
     rng = random.Random(3)
     edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)}
