@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: dict[str, str] = {}
+
 
 def get_session(app_name: str = "curata", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, AQE and skew handling on; ``conf`` overrides."""
@@ -26,19 +29,42 @@ def get_session(app_name: str = "curata", master: str | None = None, **conf: str
     return builder.config(map=settings).getOrCreate()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path for one intermediate table, in the folder named by ``spark.checkpoint.dir``.
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    Where that setting is absent (local runs and tests) a temporary folder is made
-    once, set as the checkpoint directory and removed when the process ends.
-    """
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        _remove(spark, path)
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's own folder below ``spark.checkpoint.dir``; it is removed when the process ends."""
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="curata-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    root = f"{base.rstrip('/')}/curata-{context.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS[root] = root
+        atexit.register(_remove_at_exit, spark, root)
+    return root
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path for one intermediate table, in the folder named by ``spark.checkpoint.dir``.
+
+    Where that setting is absent a local session (tests) gets a temporary folder, which is
+    set as the checkpoint directory; a cluster session is refused.
+    """
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -46,4 +72,12 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._curata_path = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing that will still run reads them."""
+    for table in tables:
+        _remove(table.sparkSession, table._curata_path)
