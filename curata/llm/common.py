@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these characters.
@@ -27,6 +27,24 @@ def split_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE_RE))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256, by which rows with equal texts are told from others; null for a null text."""
+    return F.substring(F.unhex(F.sha2(text.cast("string").cast("binary"), 256)), 1, 16)
+
+
+def prefix_sums(df: DataFrame, part: str, order: str, value: str, made: str, width: int = 1024) -> DataFrame:
+    """``df`` with ``made``: the sum of ``value`` over the rows of ``part`` with a smaller ``order``, a whole number that a
+    part holds once. Parts are summed in stretches of ``width`` places first, so that a task sorts one row a stretch of a
+    part, and the rows of a stretch, but never a whole part."""
+    cut = df.withColumn("_stretch", F.floor(F.col(order) / width))
+    sums = cut.groupBy(part, "_stretch").agg(F.sum(value).alias("_sum"))
+    ahead = Window.partitionBy(part).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(part, "_stretch", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    within = Window.partitionBy(part, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return cut.join(sums.hint("merge"), [part, "_stretch"]).withColumn(made, (F.col("_ahead") + F.col("_within")).cast("long")).drop("_stretch", "_ahead", "_within")
+
+
 def only(df: DataFrame, *wanted: str) -> DataFrame:
     """The wanted columns, so that extra columns of the input can't clash with an operator's own."""
     return df.select(*[df[c] for c in wanted])

@@ -3,27 +3,37 @@
 Sorting every suffix of the corpus would move many times its size, and almost all suffixes
 have no long common prefix with any other. So suffixes are sorted only where that is open:
 
-1. *Anchors.* Of the ``LENGTH - GRAM + 1`` grams of each window (the string of ``LENGTH``
+1. *Texts.* Rows with equal texts (128 bits of SHA-256) are one text with a number of copies;
+   a text that has copies goes as a whole, and takes part once in what follows.
+2. *Anchors.* Of the ``LENGTH - GRAM + 1`` grams of each window (the string of ``LENGTH``
    bytes from a start) the one with the smallest hash is its anchor. Equal windows have equal
    anchors at equal places, so starts fall into segments, runs with one anchor, and windows
    can be equal only if their anchors are. Gram hashes are differences of prefix polynomial
-   hashes; one row a segment is moved (about 1 in 85 starts).
-2. *Settled segments.* An anchor that occurs once settles its whole segment: nothing in it
-   repeats. A segment whose bytes occur twice (64-bit digest beside the 64-bit anchor) is
-   settled too: all of its windows repeat.
-3. *Suffix sort.* What is left are different segments around equal anchors. One segment of
-   each kind is fetched, and in each anchor's group the suffixes are mergesorted, by numpy
+   hashes; one row a segment is moved (about 1 in 85 starts). An anchor that occurs once
+   settles its whole segment: nothing in it repeats.
+3. *Kinds.* Segments around equal anchors that have one digest are one kind. Their bytes are
+   fetched and compared, not only their digests; where two or more are equal, all of their
+   windows repeat. One segment of each kind goes on, with the number of its copies.
+4. *Suffix sort.* In each anchor's group the suffixes of its kinds are mergesorted, by numpy
    within a task: two suffixes are compared by a binary search for their common extension over
    prefix hashes, at most 8 steps for ``LENGTH`` bytes, and then by one byte. Only suffixes at
    equal distance from the anchor can share ``LENGTH`` bytes, so those are sorted against each
    other. Neighbours whose common extension reaches ``LENGTH`` repeat; their bytes are compared,
-   so a collision of hashes can't remove anything. A group of many segments is dealt over tasks
-   by the hash of each window.
-4. *Removal.* Each document's repeated starts are joined to its text, and the bytes they cover
-   are cut. Judgement is on the input, matches never cross documents.
-
-Defined results: null texts are empty, null ids stay null; texts under ``LENGTH`` bytes are kept; a row that repeats
-a document is a copy of it, and both lose what they share; other columns are dropped.
+   so a collision of hashes can't remove anything.
+5. *Frequent anchors.* An anchor of more than ``GROUP_KINDS`` kinds (a short passage in very
+   many surroundings) is not sorted in one task: its windows are counted by hash with map-side
+   sums, and those that occur twice are compared byte by byte like the kinds of step 3.
+6. *Removal.* Each text's repeated starts are joined to it, and the bytes they cover are cut.
+   Judgement is on the input, matches never cross documents.
+
+Groups of step 3 are dealt over tasks in shares of about ``SHARE_ROWS``, and a task sends on
+only the first two of equal segments; the others it compares and settles itself. Nothing is
+removed without a comparison of bytes. A repeat can be missed only where two different
+strings collide in both a 64-bit polynomial hash and a 64-bit digest.
+
+Defined results: null texts are empty, null ids stay null; texts under ``LENGTH`` bytes are kept; very long texts are
+hashed ``SLICE`` starts at a time, with the same result; rows that repeat a text lose all of it, whatever their ids; ties
+don't occur, as all places of a repeated string are cut; other columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,17 +42,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import by_key, partitions, worker_state
-from curata.llm.ngram_join import pick_documents
+from curata.llm.common import by_key, partitions, text_key, worker_state
 from curata.llm.tokens import text_batches
-from curata.session import materialize
+from curata.session import materialize, release
 
 LENGTH = 200
 GRAM = 32
 #: Starts that are handled at once in a long text.
 SLICE = 1 << 20
-#: Segments of a task's share of an anchor's group, about.
-TILE_SEGMENTS = 2000
+#: An anchor's group of at most so many kinds is sorted in one task.
+GROUP_KINDS = 2000
+#: Segments of one share of equal digests, about.
+SHARE_ROWS = 2000
+#: Digests that a task holds at once while it looks for equal segments.
+HELD = 50_000
+#: Bytes of segments whose suffixes are sorted at once.
+SORT_BYTES = 1 << 20
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -110,66 +125,132 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM):
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-SEGMENTS = "anchor long, digest long, doc_id long, crc long, start long, shape int"
+SEGMENTS = "anchor long, digest long, text_id long, start long, shape int"
 
 
 def _segment_rows(length: int, gram: int):
-    """For mapInArrow over (doc_id, text): a row a segment. shape: its starts and its anchor's distance."""
+    """For mapInArrow over (text_id, text): a row a segment. shape: its starts and its anchor's distance."""
 
     def run(batches):
-        import zlib
-
         import pyarrow as pa
         import xxhash
 
         hash64 = xxhash.xxh3_64_intdigest
         for batch, texts in text_batches(batches, rows=64):
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                if not text or len(text) < length:
-                    continue
+            cols: list[list] = [[], [], [], [], []]
+            for text_id, text in zip(batch.column("text_id").to_pylist(), texts, strict=True):
                 first, n, distance, anchor = segments(text, length, gram)
                 ends = first + n + (length - 1)
                 cols[0].append(anchor)
                 cols[1].append(np.fromiter((hash64(text[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(first)).view(np.int64))
-                cols[2] += [doc_id] * len(first)
-                cols[3].append(np.full(len(first), zlib.crc32(text), dtype=np.int64))
-                cols[4].append(first)
-                cols[5].append((n * 1024 + distance).astype(np.int32))
-            if not cols[0]:
-                continue
-            flat = [pa.array(cols[2], pa.int64()) if i == 2 else pa.array(np.concatenate(c)) for i, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays(flat, names=["anchor", "digest", "doc_id", "crc", "start", "shape"])
+                cols[2].append(np.full(len(first), text_id, dtype=np.int64))
+                cols[3].append(first)
+                cols[4].append((n * 1024 + distance).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "digest", "text_id", "start", "shape"])
+
+    return run
+
+
+def _window_rows(length: int):
+    """For mapInArrow over representatives of frequent anchors: a row a window, as a segment of one start."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for anchor, text_id, start, shape, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "text_id", "start", "shape", "bytes")), strict=True):
+                n, distance = divmod(shape, 1024)
+                at = np.arange(n)
+                cols[0].append(np.full(n, anchor, dtype=np.int64))
+                # a window is told by its hash and by its distance from the anchor
+                cols[1].append((gram_hashes(prefix_hashes(np.frombuffer(data, dtype=np.uint8)), length)[:n] ^ (distance - at).astype(np.uint64)).view(np.int64))
+                cols[2].append(np.full(n, text_id, dtype=np.int64))
+                cols[3].append(start + at)
+                cols[4].append((1024 + distance - at).astype(np.int32))
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "digest", "text_id", "start", "shape"])
 
     return run
 
 
-def _fetch(length: int):
-    """For mapInArrow over (doc_id, text, parts): the bytes of the segments that a document gives to the sort."""
+PIECES = "anchor long, digest long, share int, shares int, kinds long, text_id long, start long, shape int, bytes binary"
+
+
+def _fetch(length: int, held_at_once: int):
+    """For mapInArrow over (text, parts): the bytes of the listed segments. Of segments with one digest the first two in a
+    task are sent on, to one share; a later one whose bytes equal the first's is settled here, and has no bytes then."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["anchor", "share", "shares", "settled", "doc_id", "crc", "start", "n", "distance", "bytes"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        held: dict[tuple[int, int], list] = {}
+        fields = PIECES.split(", ")
+        types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in fields]
         for batch, texts in text_batches(batches, rows=64):
-            cols: list[list] = [[] for _ in names]
-            for doc_id, crc, text, parts in zip(batch.column("doc_id").to_pylist(), batch.column("crc").to_pylist(), texts, batch.column("parts").to_pylist(), strict=True):
-                for p in parts:
-                    n, distance = divmod(p["shape"], 1024)
-                    data = text[p["start"] : p["start"] + n + length - 1]
-                    shares = [0] if p["shares"] == 1 else np.unique(_window_share(np.frombuffer(data, dtype=np.uint8), n, length, p["shares"])).tolist()
-                    for share in shares:
-                        for col, value in zip(cols, (p["anchor"], share, p["shares"], p["settled"], doc_id, crc, p["start"], n, distance, data), strict=True):
-                            col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            parts = batch.column("parts")
+            flat = parts.flatten()
+            bounds = (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
+            listed = {c: flat.field(c).to_pylist() for c in ("anchor", "digest", "n", "kinds", "share", "shares", "text_id", "start", "shape")}
+            found: list[bytes | None] = []
+            for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+                for i in range(a, b):
+                    at = listed["start"][i]
+                    data: bytes | None = text[at : at + listed["shape"][i] // 1024 + length - 1]
+                    if listed["n"][i] > 2:
+                        key = (listed["anchor"][i], listed["digest"][i])
+                        known = held.get(key)
+                        if known is None:
+                            if len(held) >= held_at_once:
+                                held.clear()
+                            held[key] = [data, listed["share"][i], 1]
+                        elif known[0] == data:
+                            known[2] += 1
+                            listed["share"][i] = known[1]
+                            if known[2] > 2:
+                                data = None
+                    found.append(data)
+            columns = [pa.array(found if name == "bytes" else listed[name], t) for name, t in zip((f.split()[0] for f in fields), types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields])
 
     return run
 
 
-def _window_share(data: np.ndarray, n: int, length: int, shares: int) -> np.ndarray:
-    """Which share of a large group each window falls to."""
-    return (gram_hashes(prefix_hashes(data), length)[:n] % np.uint64(shares)).astype(np.int64)
+COMPARED = "anchor long, digest long, shares int, kinds long, text_id long, start long, shape int, again boolean, bytes binary"
+
+
+def _compare(batches):
+    """For mapInArrow over ``PIECES`` by (anchor, digest, share): which segments repeat as a whole (``again``); the bytes
+    stay with one segment of each kind, if its anchor has other kinds or its digest other shares. Segments that were
+    settled before pass."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for table, starts in by_key(batches, ["anchor", "digest", "share"]):
+        data = table.column("bytes").combine_chunks()
+        sizes = np.diff(starts)
+        head = np.repeat(starts[:-1], sizes)
+        with_bytes = pc.is_valid(data).to_numpy(zero_copy_only=False)
+        # rows with bytes come first in a group
+        same = pc.fill_null(pc.equal(data, data.take(pa.array(head))), True).to_numpy(zero_copy_only=False)
+        again = np.repeat(np.add.reduceat(with_bytes.astype(np.int64), starts[:-1]) > 1, sizes)
+        keep = np.arange(len(head)) == head
+        for g in np.flatnonzero(~np.logical_and.reduceat(same, starts[:-1])):
+            # different bytes of one digest: each content by itself
+            rows = range(starts[g], starts[g + 1])
+            by_bytes: dict[bytes, list[int]] = {}
+            for r in rows:
+                if with_bytes[r]:
+                    by_bytes.setdefault(data[r].as_py(), []).append(r)
+            for members in by_bytes.values():
+                again[members] = len(members) > 1
+                keep[members[0]] = True
+        again |= ~with_bytes
+        keep &= (table.column("kinds").to_numpy() > 1) | (table.column("shares").to_numpy() > 1)
+        kept = pc.if_else(pa.array(keep), data, pa.scalar(None, pa.binary()))
+        columns = [table.column(c).combine_chunks() for c in ("anchor", "digest", "shares", "kinds", "text_id", "start", "shape")]
+        whole = pa.RecordBatch.from_arrays([*columns, pa.array(again), kept], names=[f.split()[0] for f in COMPARED.split(", ")])
+        yield whole.filter(pa.array(again | keep))
 
 
 class Suffixes:
@@ -270,24 +351,18 @@ def repeated_starts(data: np.ndarray, pos: np.ndarray, group: np.ndarray, length
     return out
 
 
-#: Stands for a null doc_id within the operator, so that joins keep such rows.
-NO_ID = -(2**63)
-#: Bytes of segments whose suffixes are sorted at once.
-SORT_BYTES = 1 << 20
-
-
 def _sort(length: int):
-    """For mapInArrow over fetched segments by (anchor, share): runs of repeated starts of segments that aren't settled."""
+    """For mapInArrow over representatives by anchor: runs of repeated starts of segments that don't repeat as a whole."""
 
     def run(batches):
         import pyarrow as pa
 
-        for table, starts in by_key(batches, ["anchor", "share"]):
-            data_col = table.column("bytes").combine_chunks()
-            sizes = np.diff(np.frombuffer(data_col.buffers()[1], dtype=np.int32)[data_col.offset : data_col.offset + len(data_col) + 1]).astype(np.int64)
+        for table, starts in by_key(batches, ["anchor"]):
+            data = table.column("bytes").combine_chunks()
+            sizes = np.diff(np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset : data.offset + len(data) + 1]).astype(np.int64)
             ends = np.cumsum(sizes)
-            cols = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "distance", "shares", "share", "settled", "doc_id", "crc", "start")}
-            out: list[list] = [[], [], [], []]
+            cols = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("shape", "again", "text_id", "start")}
+            out: list[list] = [[], [], []]
             a = 0
             groups = np.array(starts)
             while a < len(groups) - 1:
@@ -297,57 +372,44 @@ def _sort(length: int):
                 while b < len(groups) - 1 and ends[groups[b + 1] - 1] - before <= SORT_BYTES:
                     b += 1
                 lo, hi = int(groups[a]), int(groups[b])
-                _sort_groups(table, cols, data_col, sizes, groups[a : b + 1], lo, hi, length, out)
+                _sort_groups({c: v[lo:hi] for c, v in cols.items()}, data.slice(lo, hi - lo), sizes[lo:hi], groups[a : b + 1] - lo, length, out)
                 a = b
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "crc", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["text_id", "first", "last"])
 
     return run
 
 
-def _sort_groups(table, cols, data_col, sizes, groups, lo, hi, length, out) -> None:
-    data = np.frombuffer(b"".join(data_col.slice(lo, hi - lo).to_pylist()), dtype=np.uint8)
-    begin = np.concatenate([[0], np.cumsum(sizes[lo:hi])[:-1]])
-    n = cols["n"][lo:hi].astype(np.int64)
-    segment = np.repeat(np.arange(hi - lo), n)
+def _sort_groups(cols, bytes_, sizes, groups, length, out) -> None:
+    data = np.frombuffer(b"".join(bytes_.to_pylist()), dtype=np.uint8)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    n, distance = np.divmod(cols["shape"].astype(np.int64), 1024)
+    segment = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-    pos = begin[segment] + within
     group_of = np.repeat(np.arange(len(groups) - 1), np.diff(groups))
     # windows that are equal lie at equal distance before their anchor
-    group = group_of[segment] * 1024 + (cols["distance"][lo:hi].astype(np.int64)[segment] - within)
-    split = np.flatnonzero(cols["shares"][lo:hi] > 1)
-    if len(split):
-        mine = np.ones(len(segment), dtype=bool)
-        for s in split.tolist():
-            at = int(begin[s])
-            rows = slice(int(np.cumsum(n)[s] - n[s]), int(np.cumsum(n)[s]))
-            mine[rows] = _window_share(data[at : at + int(sizes[lo + s])], int(n[s]), length, int(cols["shares"][lo + s])) == cols["share"][lo + s]
-        segment, within, pos, group = segment[mine], within[mine], pos[mine], group[mine]
-    again = repeated_starts(data, pos, group, length) & ~cols["settled"][lo:hi].astype(bool)[segment]
-    hit = np.flatnonzero(again)
+    group = group_of[segment] * 1024 + (distance[segment] - within)
+    hit = np.flatnonzero(repeated_starts(data, begin[segment] + within, group, length) & ~cols["again"].astype(bool)[segment])
     if not len(hit):
         return
-    new = np.concatenate([[True], (np.diff(hit) != 1) | (segment[hit[1:]] != segment[hit[:-1]]) | (within[hit[1:]] != within[hit[:-1]] + 1)])
+    new = np.concatenate([[True], (np.diff(hit) != 1) | (segment[hit[1:]] != segment[hit[:-1]])])
     firsts = hit[new]
     lasts = hit[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hit) - 1]])]
-    for f, l in zip(firsts.tolist(), lasts.tolist(), strict=True):
-        row = lo + int(segment[f])
-        doc_id = table.column("doc_id")[row].as_py()
-        for col, value in zip(out, (doc_id, int(cols["crc"][row]), int(cols["start"][row] + within[f]), int(cols["start"][row] + within[l])), strict=True):
-            col.append(value)
+    of = segment[firsts]
+    for col, values in zip(out, (cols["text_id"][of], cols["start"][of] + within[firsts], cols["start"][of] + within[lasts]), strict=True):
+        col.extend(values.tolist())
 
 
 def _cut(length: int):
-    """For mapInArrow over (doc_id, text, runs): what is left of each document."""
+    """For mapInArrow over (key, copies, text, runs): what is left of each text."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch, texts in text_batches(batches, rows=64):
             cols: list[list] = [[], [], [], []]
-            for text, runs in zip(texts, batch.column("runs").to_pylist(), strict=True):
-                text = text or b""
-                spans: list[list[int]] = []
-                for r in sorted((r["first"], r["last"] + length) for r in runs or ()):
+            for text, copies, runs in zip(texts, batch.column("copies").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                spans: list[list[int]] = [[0, len(text)]] if copies > 1 else []
+                for r in sorted((r["first"], r["last"] + length) for r in (runs or ()) if copies == 1):
                     if spans and r[0] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], r[1])
                     else:
@@ -361,47 +423,81 @@ def _cut(length: int):
                 for col, value in zip(cols, (len(text), len(text) - len(left), len(spans), left), strict=True):
                     col.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+                [batch.column("key"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
     return run
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, crc, first, last): runs of starts whose window starts elsewhere too; crc is the text's."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    source = _source(docs)
-    rows = source.mapInArrow(_segment_rows(length, gram), SEGMENTS)
-    # written, so that the join has a plain exchange on both sides and AQE can split an anchor of very many rows
-    often = materialize(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
-    shared = materialize(rows.join(often, "anchor"), "segments")
-    kinds = shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "crc", "start", "shape")).alias("one"))
-    kinds = materialize(kinds, "kinds")
-    settled = shared.join(kinds.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    settled = settled.select("doc_id", "crc", F.col("start").alias("first"), (F.col("start") + F.floor(F.col("shape") / 1024) - 1).cast("long").alias("last"))
-    # different segments around equal anchors
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumn("shares", F.ceil(F.col("kinds") / TILE_SEGMENTS).cast("int")).drop("kinds")
-    open_ = kinds.join(groups, "anchor").select("anchor", "shares", (F.col("n") > 1).alias("settled"), "one.*")
-    parts = open_.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("anchor", "shares", "settled", "start", "shape")).alias("parts"))
-    parts = materialize(parts, "parts")
-    keyed = pick_documents(source, parts.select("doc_id").distinct()).withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    fetched = keyed.dropDuplicates(["doc_id", "crc"]).join(parts, ["doc_id", "crc"]).select("doc_id", "crc", "text", "parts").mapInArrow(
-        _fetch(length), "anchor long, share int, shares int, settled boolean, doc_id long, crc long, start long, n int, distance int, bytes binary"
-    )
-    dealt = fetched.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share", "doc_id", "crc", "start")
-    found = dealt.mapInArrow(_sort(length), "doc_id long, crc long, first long, last long")
-    return settled.unionByName(found)
+def long_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(text_id, key, copies, text), written: the different texts of ``length`` bytes or more. The id is made as they are written."""
+    source = docs.select(F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= length)
+    texts = source.groupBy(text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return materialize(texts.select(F.monotonically_increasing_id().alias("text_id"), "key", "copies", "text"), "texts", compression="zstd")
+
+
+def _settle(texts: DataFrame, segs: DataFrame, length: int) -> DataFrame:
+    """``COMPARED`` rows of ``SEGMENTS`` rows with ``n`` (those with their digest) and ``kinds``, written."""
+    n, group = partitions(texts.sparkSession), ["anchor", "digest", "share"]
+    shares = F.ceil(F.col("n") / SHARE_ROWS).cast("int")
+    share = F.pmod(F.xxhash64("text_id", "start"), shares).cast("int").alias("share")
+    parts = segs.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "digest", "n", "kinds", share, shares.alias("shares"), "text_id", "start", "shape")).alias("parts"))
+    pieces = texts.select("text_id", "text").join(parts, "text_id").select("text", "parts").mapInArrow(_fetch(length, HELD), PIECES)
+    # segments that a task settled come last in their group
+    order = [*group, F.col("bytes").isNull(), "text_id", "start"]
+    compared = materialize(pieces.repartition(n, *group).sortWithinPartitions(*order).mapInArrow(_compare, COMPARED), "compared", compression="zstd")
+    first = compared.filter("shares > 1 AND bytes IS NOT NULL")
+    alone = first.filter("NOT again").select("anchor", "digest").distinct()
+    if alone.limit(1).count():
+        # one of a digest that met no other in its share is compared with one of each other share
+        others = first.join(alone, ["anchor", "digest"]).withColumn("share", F.lit(0)).select([f.split()[0] for f in PIECES.split(", ")])
+        met = others.repartition(n, *group).sortWithinPartitions(*order).mapInArrow(_compare, COMPARED)
+        compared = compared.unionByName(met.filter("again").withColumn("bytes", F.lit(None).cast("binary")))
+    return compared
+
+
+def _runs(compared: DataFrame) -> DataFrame:
+    """(text_id, first, last): the starts of segments that repeat as a whole."""
+    return compared.filter("again").select("text_id", F.col("start").alias("first"), (F.col("start") + F.floor(F.col("shape") / 1024) - 1).cast("long").alias("last"))
+
+
+def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(text_id, first, last): runs of starts of ``long_texts`` whose window starts elsewhere too."""
+    n = partitions(texts.sparkSession)
+    rows = materialize(texts.select("text_id", "text").mapInArrow(_segment_rows(length, gram), SEGMENTS), "segments", compression="zstd")
+    # written, so that joins have a plain exchange on both sides and AQE can split a key of very many rows
+    often = materialize(rows.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor"), "anchors")
+    shared = materialize(rows.join(often, "anchor"), "shared", compression="zstd")
+    release(rows)
+    counts = materialize(shared.groupBy("anchor", "digest").agg(F.count("*").alias("n")), "counts")
+    kinds = materialize(counts.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    counted = materialize(counts.join(kinds, "anchor"), "counted")
+    compared = _settle(texts, shared.join(counted, ["anchor", "digest"]), length)
+    release(shared)
+    kept = compared.filter("bytes IS NOT NULL")
+    sorted_runs = (
+        kept.filter(F.col("kinds") <= GROUP_KINDS).select("anchor", "text_id", "start", "shape", "again", "bytes")
+        .repartition(n, "anchor").sortWithinPartitions("anchor", "text_id", "start").mapInArrow(_sort(length), "text_id long, first long, last long")
+    )
+    found = _runs(compared).unionByName(sorted_runs)
+    frequent = kept.filter(F.col("kinds") > GROUP_KINDS)
+    if frequent.limit(1).count():
+        windows = materialize(frequent.mapInArrow(_window_rows(length), SEGMENTS), "windows", compression="zstd")
+        common = materialize(windows.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+        listed = windows.join(common, ["anchor", "digest"]).withColumn("kinds", F.lit(1).cast("long"))
+        found = found.unionByName(_runs(_settle(texts, listed, length)))
+    return found
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` is what is left of the text, as bytes."""
-    runs = materialize(repeated_runs(docs, length, gram), "runs")
-    listed = runs.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    source = _source(docs).withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    joined = source.join(listed, ["doc_id", "crc"], "left").withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID + 1} - 1)"))
-    return joined.select("doc_id", "text", "runs").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = long_texts(source, length)
+    listed = repeated_runs(texts, length, gram).groupBy("text_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    cut = texts.join(listed, "text_id", "left").select("key", "copies", "text", "runs").mapInArrow(_cut(length), "key binary, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = materialize(cut, "cut", compression="zstd")
+    is_long = F.octet_length("text") >= length
+    after = source.filter(is_long).select("doc_id", text_key(F.col("text")).alias("key")).join(cut, "key").drop("key")
+    none = F.lit(0).cast("long")
+    short = source.filter(~is_long).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    return after.unionByName(short)

@@ -106,25 +106,6 @@ def test_ngram_join(docs, empty, monkeypatch, chunk):
         assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.similar_pairs(docs).count() > 0
 
 
-@pytest.mark.parametrize("share", [2000, 2])
-def test_suffix_dedup(docs, empty, monkeypatch, share):
-    monkeypatch.setattr(suffix_dedup, "TILE_SEGMENTS", share)
-    length = 60
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
-    seen = Counter(x[i : i + length] for _, x in rows for i in range(len(x) - length + 1))
-    want = []
-    for d, x in rows:
-        hit = np.zeros(len(x) + 1, dtype=bool)
-        for i in range(len(x) - length + 1):
-            if seen[x[i : i + length]] > 1:
-                hit[i : i + length] = True
-        want.append((d, len(x), int(hit.sum()), int((hit[1:] > hit[:-1]).sum() + hit[0]), bytes(c for c, h in zip(x, hit, strict=False) if not h)))
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicate(docs, length, 16).collect()]
-    assert Counter(got) == Counter(want)
-    if share == 2000:
-        assert suffix_dedup.deduplicate(empty).count() == 0
-
-
 def test_line_dedup(docs, empty):
     import xxhash
 
