@@ -1,60 +1,90 @@
 """Line dedup with content-defined chunks of lines.
 
-``deduplicate_runs``, which the query and the pipeline use, cuts every repeated run of lines: its
-chunks are as short and dense as they can be, a line with text, the next line with text and the
-blank lines between them, one from each such line on. A run of two text lines or more is made of
+A rolling hash runs over the hashes of a document's lines: it holds the last ``window`` lines, a
+line that comes in is added and the one that leaves is taken off. Boundaries of chunks depend on
+that hash alone, so they are found again where a passage is shifted within another document.
+
+``deduplicate_runs``, which the query and the pipeline use, opens a chunk at every line with text:
+a chunk is that line, the next line with text and the blank lines between them, and its hash is the
+rolling hash of these two. Chunks are then as short and dense as they can be. A run of two text lines or more is made of
 such pairs, so a line is in a run with an earlier occurrence just if one of its pairs has one:
-pairs need no boundary within the run, and pairs that follow each other give the maximal run.
+no boundary can miss it, and pairs that follow each other give the maximal run.
 Runs begin and end at lines with text; blank lines around them stay. Where a run overlaps its own
 earlier occurrence, as in a line repeated many times, the first line stays.
 
-``deduplicate`` cuts sparser chunks, which lose most short passages. A document's lines are hashed, a rolling hash runs over the hashes of ``WINDOW`` lines, and a
-chunk ends where it is divisible by ``DIVISOR``: boundaries depend on nearby lines alone, so
-they are found again where a passage is shifted within another document. Chunks have at least
-``MIN_LINES`` lines; a shorter rest joins the chunk before it.
+``deduplicate`` cuts sparser chunks, which lose most short passages: a chunk ends where the rolling hash of ``WINDOW``
+lines is divisible by ``DIVISOR``. Chunks have at least ``MIN_LINES`` lines; a shorter rest joins the chunk before it.
 
-Either way chunks are counted by hash (with map-side sums, so a chunk in every document is no one task's
-work). For those that occur twice the first occurrence, by doc_id and place, is looked up, the
-bytes of the others are compared with its bytes, and the others are removed.
+Either way rows with equal texts (128 bits of SHA-256) are one text, which counts once, at its smallest id: the other
+rows repeat all of its chunks. Chunks of the texts are counted by hash with map-side sums. For those that occur twice
+the first occurrence, by doc_id and place, is looked up, the bytes of the others are compared with its bytes, and the
+others are removed. A chunk of very many occurrences is compared in shares of about ``SHARE_ROWS``, each of which gets
+the first's bytes.
 
 Defined results: null and empty texts have no chunks and stay as they are; chunks of which
 fewer than ``MIN_TEXT_LINES`` lines hold a word (a pair holds two) are never removed; rows that repeat an id and text are one
-document and both keep what is first in it; null ids come first; other columns pass through.
+document and both keep what is first in it; null ids come first; texts that share an id are in order of their SHA-256;
+very long texts are one row and are read whole; other columns pass through, whatever their names, but for
+``n_lines``, ``n_removed_lines`` and ``n_removed_chunks``, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from curata.llm.ngram_join import pick_documents
+from curata.llm.common import by_key, partitions, text_key
 from curata.llm.tokens import text_batches
-from curata.session import materialize
+from curata.session import materialize, release
 
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
 MIN_TEXT_LINES = 2
-#: Stands for a null doc_id within the operator, so that joins keep such rows.
-NO_ID = -(2**63)
+#: Occurrences of a chunk that are compared in one task, about.
+SHARE_ROWS = 2000
 
 _MASK = (1 << 64) - 1
-_MUL = 0x9E3779B97F4A7C15
+_BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]")
 
 
+class Rolling:
+    """The hash of the last ``window`` line hashes."""
+
+    def __init__(self, window: int):
+        self.window, self.out = window, pow(_BASE, window, 1 << 64)
+        self.lines: list[int] = []
+        self.value = 0
+
+    def push(self, line: int) -> int:
+        self.value = (self.value * _BASE + line) & _MASK
+        self.lines.append(line)
+        if len(self.lines) > self.window:
+            self.value = (self.value - self.lines[-1 - self.window] * self.out) & _MASK
+        return self.value
+
+
+def mixed(value: int) -> int:
+    """A hash whose low bits depend on all bits of ``value``."""
+    value = ((value ^ (value >> 32)) * 0xD6E8FEB86659FD93) & _MASK
+    return value ^ (value >> 32)
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def chunk_bounds(hashes: list[int], window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk, from the hashes of a document's lines."""
-    bounds, start, n = [], 0, len(hashes)
-    for i in range(n):
-        if i + 1 - start < min_lines:
-            continue
-        rolling = 0
-        for h in hashes[max(0, i + 1 - window) : i + 1]:
-            rolling = ((rolling ^ h) * _MUL) & _MASK
-        if (rolling >> 20) % divisor == 0:
+    bounds, start, n, rolling = [], 0, len(hashes), Rolling(window)
+    for i, h in enumerate(hashes):
+        value = rolling.push(h)
+        if i + 1 - start >= min_lines and mixed(value) % divisor == 0:
             bounds.append((start, i + 1))
             start = i + 1
     if start < n:
@@ -65,89 +95,112 @@ def chunk_bounds(hashes: list[int], window: int = WINDOW, divisor: int = DIVISOR
     return [b for b in bounds if b[1] - b[0] >= min_lines]
 
 
-def _chunk_rows(window: int, divisor: int, min_lines: int):
-    """For mapInArrow over (doc_id, text): (hash, doc_id, crc, first, last) of each chunk with text."""
+def text_chunks(text: bytes, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> list[tuple[int, int, int]]:
+    """(hash, first line, line after the last) of each chunk with text."""
+    import xxhash
 
-    def run(batches):
-        import zlib
+    hash64, lines = xxhash.xxh3_64_intdigest, text.split(b"\n")
+    bounds = chunk_bounds(list(map(hash64, lines)), window, divisor, min_lines) if len(lines) >= min_lines else []
+    return [(signed(hash64(b"\n".join(lines[a:b]))), a, b) for a, b in bounds if sum(bool(_WORD.search(x)) for x in lines[a:b]) >= MIN_TEXT_LINES]
 
-        import pyarrow as pa
-        import xxhash
 
-        hash64 = xxhash.xxh3_64_intdigest
-        for batch, texts in text_batches(batches):
-            cols: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                lines = (text or b"").split(b"\n")
-                if len(lines) < min_lines:
-                    continue
-                crc = zlib.crc32(text)
-                for a, b in chunk_bounds(list(map(hash64, lines)), window, divisor, min_lines):
-                    part = lines[a:b]
-                    if sum(bool(_WORD.search(x)) for x in part) < MIN_TEXT_LINES:
-                        continue
-                    h = hash64(b"\n".join(part))
-                    for col, value in zip(cols, (h - (1 << 64) if h >> 63 else h, doc_id, crc, a, b), strict=True):
-                        col.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["hash", "doc_id", "crc", "first", "last"])
+def text_pairs(text: bytes) -> list[tuple[int, int, int]]:
+    """(hash, first line, line after the last) of each line with text and the next one with text."""
+    import xxhash
 
-    return run
+    hash64, found, before, blank = xxhash.xxh3_64_intdigest, [], None, []
+    for i, line in enumerate(text.split(b"\n")):
+        if not _WORD.search(line):
+            blank.append(line)
+            continue
+        h = hash64(line)
+        if before is not None:
+            # the blank lines belong to the line after them; the rolling hash of a window of two
+            last = hash64(b"\n".join([*blank, line])) if blank else h
+            found.append((signed(mixed((before[1] * _BASE + last) & _MASK)), before[0], i + 1))
+        before, blank = (i, h), []
+    return found
 
 
-def text_pairs(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, line after the last, bytes) of each line with text up to the next one with text."""
-    pairs, before, at = [], None, 0
-    for i, line in enumerate(text.split(b"\n")):
-        end = at + len(line)
-        if _WORD.search(line):
-            if before is not None:
-                pairs.append((before[0], i + 1, text[before[1] : end]))
-            before = (i, at)
-        at = end + 1
-    return pairs
+CHUNKS = "hash long, key binary, first_id long, first int, last int"
+PIECES = "hash long, share int, is_first boolean, key binary, first int, last int, bytes binary"
 
 
-def _pair_rows(batches):
-    """For mapInArrow over (doc_id, text): (hash, doc_id, crc, first, last) of each pair of lines."""
-    import zlib
+def _chunk_rows(find):
+    """For mapInArrow over (key, first_id, text): the rows of ``CHUNKS``."""
 
-    import pyarrow as pa
-    import xxhash
+    def run(batches):
+        import pyarrow as pa
 
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    for batch, texts in text_batches(batches):
-        cols: list[list] = [[], [], [], [], []]
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-            pairs = text_pairs(text or b"")
-            if not pairs:
-                continue
-            first, last, parts = zip(*pairs, strict=True)
-            hashes = map(xxhash.xxh3_64_intdigest, parts)
-            for col, values in zip(cols, ([h - (1 << 64) if h >> 63 else h for h in hashes], [doc_id] * len(pairs), [zlib.crc32(text)] * len(pairs), first, last), strict=True):
-                col.extend(values)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["hash", "doc_id", "crc", "first", "last"])
+        for batch, texts in text_batches(batches):
+            found = [find(t) for t in texts]
+            counts = [len(f) for f in found]
+            of = pa.array(np.repeat(np.arange(len(texts)), counts))
+            hashes, first, last = zip(*(c for f in found for c in f), strict=True) if sum(counts) else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes, pa.int64()), batch.column("key").take(of), batch.column("first_id").take(of), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["hash", "key", "first_id", "first", "last"]
+            )
+
+    return run
 
 
 def _chunk_bytes(batches):
-    """For mapInArrow over (doc_id, crc, text, parts): the bytes of each listed chunk."""
+    """For mapInArrow over (key, text, parts): the rows of ``PIECES``; a first occurrence goes to each share."""
     import pyarrow as pa
 
+    types = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
     for batch, texts in text_batches(batches):
-        cols: list[list] = [[] for _ in range(6)]
-        for doc_id, crc, text, parts in zip(batch.column("doc_id").to_pylist(), batch.column("crc").to_pylist(), texts, batch.column("parts").to_pylist(), strict=True):
+        cols: list[list] = [[] for _ in types]
+        for key, text, parts in zip(batch.column("key").to_pylist(), texts, batch.column("parts").to_pylist(), strict=True):
             lines = text.split(b"\n")
             for p in parts:
-                for col, value in zip(cols, (p["hash"], doc_id, crc, p["first"], p["is_first"], b"\n".join(lines[p["first"] : p["last"]])), strict=True):
-                    col.append(value)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["hash", "doc_id", "crc", "first", "is_first", "bytes"])
+                data = b"\n".join(lines[p["first"] : p["last"]])
+                for share in range(p["shares"]) if p["is_first"] else (p["share"],):
+                    for col, value in zip(cols, (p["hash"], share, p["is_first"], key, p["first"], p["last"], data), strict=True):
+                        col.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
+
+
+def _compare(batches):
+    """For mapInArrow over ``PIECES`` by (hash, share), the first occurrence in front: chunks whose bytes equal the first's."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for table, starts in by_key(batches, ["hash", "share"]):
+        data = table.column("bytes").combine_chunks()
+        same = pc.equal(data, data.take(pa.array(np.repeat(starts[:-1], np.diff(starts)))))
+        found = table.select(["key", "first", "last"]).filter(pc.and_(same, pc.invert(table.column("is_first"))))
+        yield from found.combine_chunks().to_batches()
+
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """(key, first_id, text) of (doc_id, text), written: different texts of two lines or more with their smallest id, null first."""
+    several = docs.filter(F.instr("text", "\n") > 0).select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    texts = several.groupBy("key").agg(F.min(F.struct("doc_id")).alias("least"), F.first("text").alias("text"))
+    return materialize(texts.select("key", F.col("least.doc_id").alias("first_id"), "text"), "texts", compression="zstd")
+
+
+def repeated_chunks(texts: DataFrame, find) -> DataFrame:
+    """(key, first, last): chunks of ``different_texts`` whose bytes have an earlier occurrence."""
+    n = partitions(texts.sparkSession)
+    chunks = materialize(texts.mapInArrow(_chunk_rows(find), CHUNKS), "chunks", compression="zstd")
+    place = F.struct("first_id", "key", "first")
+    # written, so that the join has a plain exchange on both sides and AQE can split a hash of very many rows
+    often = materialize(chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("one")).filter("n > 1"), "often")
+    shares = F.ceil(F.col("n") / SHARE_ROWS).cast("int")
+    part = F.struct("hash", "first", "last", (place == F.col("one")).alias("is_first"), shares.alias("shares"), F.pmod(F.xxhash64("key", "first"), shares).cast("int").alias("share"))
+    parts = chunks.join(often, "hash").select("key", part.alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
+    pieces = texts.select("key", "text").join(parts, "key").mapInArrow(_chunk_bytes, PIECES)
+    dealt = pieces.repartition(n, "hash", "share").sortWithinPartitions("hash", "share", ~F.col("is_first"))
+    found = materialize(dealt.mapInArrow(_compare, "key binary, first int, last int"), "repeated")
+    release(chunks)
+    return found
 
 
 def _merged(cut) -> list[tuple[int, int]]:
     """The listed chunks, those that overlap put together."""
     runs: list[tuple[int, int]] = []
-    for a, b in sorted({(c["first"], c["last"]) for c in cut or ()}):
+    for a, b in sorted(set(cut)):
         if runs and a < runs[-1][1]:
             runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
         else:
@@ -155,18 +208,20 @@ def _merged(cut) -> list[tuple[int, int]]:
     return runs
 
 
-def _keep_lines(schema_names: list[str], text_col: str):
-    """For mapInArrow: replaces the text by the lines that are left, and adds what was removed."""
+def _keep_lines(find, names: list[str], text_col: str):
+    """For mapInArrow over (rest, text, found, is_first, cut): the columns ``names`` with the lines that are left, and what was removed."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch, texts in text_batches(batches, text_col):
+        for batch, texts in text_batches(batches):
             left: list = []
             counts: list[list] = [[], [], []]
-            for text, cut in zip(texts, batch.column("_cut").to_pylist(), strict=True):
+            for text, found, is_first, cut in zip(texts, *(batch.column(c).to_pylist() for c in ("found", "is_first", "cut")), strict=True):
                 n = 0 if text is None else text.count(b"\n") + 1
-                removed, runs = 0, _merged(cut)
+                removed, runs = 0, []
+                if found:
+                    runs = _merged([(c["first"], c["last"]) for c in cut or ()] if is_first else [(a, b) for _, a, b in find(text)])
                 if runs:
                     lines = text.split(b"\n")
                     for a, b in reversed(runs):
@@ -176,58 +231,36 @@ def _keep_lines(schema_names: list[str], text_col: str):
                 left.append(text)
                 for col, value in zip(counts, (n, removed, len(runs)), strict=True):
                     col.append(value)
-            columns = [pa.array(left, pa.binary()).cast(pa.string()) if c == text_col else batch.column(c) for c in schema_names]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[*schema_names, "n_lines", "n_removed_lines", "n_removed_chunks"])
+            rest = batch.column("rest")
+            columns = [pa.array(left, pa.binary()).cast(pa.string()) if c == text_col else rest.field(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[*names, *MADE])
 
     return run
 
 
-def repeated_chunks(source: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, crc, first, last): chunks of (doc_id, text) whose bytes have an earlier occurrence; crc is the text's."""
-    return _repeated(source, _chunk_rows(window, divisor, min_lines))
-
-
-def repeated_runs(source: DataFrame) -> DataFrame:
-    """(doc_id, crc, first, last): pairs of lines of (doc_id, text) whose bytes have an earlier occurrence; crc is the text's."""
-    return _repeated(source, _pair_rows)
-
+MADE = ["n_lines", "n_removed_lines", "n_removed_chunks"]
 
-def _repeated(source: DataFrame, rows) -> DataFrame:
-    chunks = materialize(source.mapInArrow(rows, "hash long, doc_id long, crc long, first int, last int"), "chunks")
-    place = F.struct("doc_id", "crc", "first")
-    often = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("one")).filter("n > 1").drop("n")
-    shared = chunks.join(often, "hash").withColumn("is_first", place == F.col("one")).drop("one")
-    parts = shared.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("hash", "first", "last", "is_first")).alias("parts"))
-    parts = materialize(parts, "parts")
-    keyed = pick_documents(source, parts.select("doc_id").distinct()).withColumn("crc", F.crc32(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "crc"])
-    bytes_ = keyed.join(parts, ["doc_id", "crc"]).select("doc_id", "crc", "text", "parts").mapInArrow(_chunk_bytes, "hash long, doc_id long, crc long, first int, is_first boolean, bytes binary")
-    bytes_ = materialize(bytes_, "chunk-bytes", compression="zstd")
-    first = bytes_.filter("is_first").select("hash", F.col("bytes").alias("first_bytes"))
-    others = bytes_.filter("NOT is_first")
-    same = others.join(first, (others["hash"] == first["hash"]) & (others["bytes"] == first["first_bytes"])).select("doc_id", "crc", "first")
-    ends = parts.select("doc_id", "crc", F.explode("parts").alias("p")).select("doc_id", "crc", "p.first", "p.last")
-    return same.join(ends, ["doc_id", "crc", "first"])
 
-
-def deduplicate(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+def _without(docs: DataFrame, text: str, find) -> DataFrame:
+    base = docs.drop(*MADE)
+    ident, words = base["doc_id"].cast("long"), base[text].cast("string")
+    texts = different_texts(base.select(ident.alias("doc_id"), words.alias("text")))
+    cut = repeated_chunks(texts, find).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("cut"))
+    listed = materialize(texts.select("key", "first_id", F.lit(True).alias("found")).join(cut, "key", "left"), "listed")
+    # the other columns travel in a struct, where no name can clash
+    rest = F.struct(*[base[c] for c in base.columns if c != text])
+    rows = base.select(rest.alias("rest"), words.alias("text"), ident.alias("id"), text_key(words).alias("key")).join(listed, "key", "left")
+    marked = rows.select("rest", "text", F.col("first_id").eqNullSafe(F.col("id")).alias("is_first"), "found", "cut")
+    fields = [T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in base.schema] + [T.StructField(c, T.LongType()) for c in MADE]
+    return marked.mapInArrow(_keep_lines(find, base.columns, text), T.StructType(fields))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with repeated chunks cut from its texts, and ``n_lines``, ``n_removed_lines``, ``n_removed_chunks``."""
-    return _without(docs, text, lambda source: repeated_chunks(source, **settings))
+    return _without(docs, text, lambda t: text_chunks(t, window, divisor, min_lines))
 
 
 def deduplicate_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with all repeated runs of two lines with text or more cut from its texts, and ``n_lines``, ``n_removed_lines``,
     ``n_removed_chunks`` (runs)."""
-    return _without(docs, text, repeated_runs)
-
-
-def _without(docs: DataFrame, text: str, find) -> DataFrame:
-    made = ["n_lines", "n_removed_lines", "n_removed_chunks"]
-    base = docs.drop(*made)
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    cut = find(base.select(ident.alias("doc_id"), F.col(text).cast("string").alias("text")))
-    listed = cut.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("first", "last")).alias("_cut")).withColumnsRenamed({"doc_id": "_id", "crc": "_crc"})
-    names = base.columns
-    marked = base.withColumns({"_own": ident, "_sum": F.crc32(F.col(text).cast("binary"))})
-    joined = marked.join(listed, (F.col("_own") == F.col("_id")) & (F.col("_sum") == F.col("_crc")), "left").select(*names, "_cut")
-    fields = ", ".join([f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in base.schema] + [f"{c} long" for c in made])
-    return joined.mapInArrow(_keep_lines(names, text), fields)
+    return _without(docs, text, text_pairs)

@@ -106,66 +106,6 @@ def test_ngram_join(docs, empty, monkeypatch, chunk):
         assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.similar_pairs(docs).count() > 0
 
 
-def test_line_dedup(docs, empty):
-    import xxhash
-
-    rows = sorted({((-1 if r.doc_id is None else r.doc_id), (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()}, key=lambda r: (r[0], zlib.crc32(r[1])))
-    seen, want = set(), set()
-    for d, x in rows:
-        lines = x.split(b"\n")
-        cut = []
-        for a, b in line_dedup.chunk_bounds([xxhash.xxh3_64_intdigest(line) for line in lines]):
-            chunk = b"\n".join(lines[a:b])
-            if sum(bool(line.split()) for line in lines[a:b]) < 2:
-                continue
-            if chunk in seen:
-                cut.append((a, b))
-            seen.add(chunk)
-        for a, b in reversed(cut):
-            del lines[a:b]
-        want.add((d, b"\n".join(lines)))
-    out = line_dedup.deduplicate(docs)
-    got = {((-1 if r.doc_id is None else r.doc_id), (r.text or "").encode()) for r in out.collect()}
-    assert got == want and set(SCHEMA.replace(" long", "").replace(" string", "").split(", ")) <= set(out.columns)
-    assert line_dedup.deduplicate(empty).count() == 0
-
-
-def runs_brute(rows):
-    """{(id, text): what is left} of sorted rows, from all runs of two text lines or more that begin and end with one."""
-    seen, want = set(), {}
-    for d, x in rows:
-        lines = x.split(b"\n")
-        full = [i for i, line in enumerate(lines) if line.split()]
-        gone = set()
-        for k, a in enumerate(full):
-            for b in full[k + 1 :]:
-                run = b"\n".join(lines[a : b + 1])
-                if run in seen:
-                    gone.update(range(a, b + 1))
-                seen.add(run)
-        want[d, x] = b"\n".join(line for i, line in enumerate(lines) if i not in gone)
-    return want
-
-
-def test_line_dedup_cuts_all_runs(spark, docs, empty):
-    rng = random.Random(3)
-    passages = [[f"passage {n} line {i} {rng.random()}" for i in range(n)] for n in (2, 2, 2, 3, 3, 4, 5, 8)]
-    passages.append(["over", "", "a blank", " ", "", "line"])
-    fresh = lambda: [f"own {rng.random()}" for _ in range(rng.randint(0, 5))]
-    texts = ["\n".join(fresh() + rng.choice(passages) + fresh() + rng.choice(passages) + fresh()) for _ in range(60)]
-    planted = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    both = docs.select("doc_id", "text").union(planted)
-    ident = lambda r: (-1 if r.doc_id is None else r.doc_id, (r.text or "").encode())
-    rows = sorted({ident(r) for r in both.collect()}, key=lambda r: (r[0], zlib.crc32(r[1])))
-    want = runs_brute(rows)
-    out = line_dedup.deduplicate_runs(both).collect()
-    assert {ident(r) for r in out} == {(d, left) for (d, _), left in want.items()}
-    cut = sum(x.count(b"\n") - left.count(b"\n") for (d, x), left in want.items() if d >= 100)
-    assert cut > 200 and line_dedup.deduplicate_runs(empty).count() == 0
-    left = b"\n".join(x for (d, _), x in want.items() if d >= 100).split(b"\n")
-    assert all(left.count(line.encode()) == 1 for p in passages[:-1] for line in p)
-
-
 def test_mixing(docs, empty):
     got = mixing.mix_digest(docs, 16).collect()
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
