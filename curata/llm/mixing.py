@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.llm.common import split_words
+from curata.llm.common import prefix_sums, split_words
 from curata.session import materialize
 
 BLOCK_WORDS = 64
@@ -36,9 +36,7 @@ SHARD_SLOTS = 4096
 MAX_REPEATS = 3
 SEED = 7
 #: Rows a bucket of the order holds on average.
-BUCKET_ROWS = 20_000
-#: Sources are rows on the driver and columns of a draw.
-MAX_SOURCES = 100_000
+BUCKET_ROWS = 2_000
 
 
 def targets(sizes: list[int], max_repeats: int = MAX_REPEATS) -> list[float]:
@@ -121,10 +119,7 @@ def word_count(text: Column) -> Column:
 
 def plan_sources(sizes: DataFrame, block: int, seed: int, max_repeats: int = MAX_REPEATS) -> list[dict]:
     """One dict a source from (source, size) rows, in code point order with null last."""
-    rows = sizes.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
+    rows = sorted(sizes.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     plan = []
     for i, (row, target) in enumerate(zip(rows, targets([r["size"] for r in rows], max_repeats), strict=True)):
         size, words = row["size"], min(round(target), max_repeats * row["size"])
@@ -137,14 +132,13 @@ def plan_sources(sizes: DataFrame, block: int, seed: int, max_repeats: int = MAX
 
 
 def lay_out(docs: DataFrame, total_rows: int) -> DataFrame:
-    """``docs`` (doc_id, s, size, row columns) with ``at``: the words of its source before it."""
+    """``docs`` (doc_id, s, size, tie and any other columns) with ``at``: the words of its source before it."""
     buckets = max(1, -(-total_rows // BUCKET_ROWS))
-    df = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "s"), F.lit(buckets)))
+    df = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "s", "tie"), F.lit(buckets)))
     order = Window.partitionBy("s", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    sums = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "s"), F.lit(buckets))).groupBy("s", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    sums = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "s", "tie"), F.lit(buckets))).groupBy("s", "bucket").agg(F.sum("size").alias("n"))
+    sums = prefix_sums(sums, "s", "bucket", "n", "ahead").select("s", "bucket", "ahead")
     return df.join(sums, ["s", "bucket"]).withColumn("at", F.col("ahead") + F.col("within")).drop("bucket", "within", "ahead")
 
 
@@ -165,9 +159,8 @@ def draw_slots(spark, plan: list[dict], seed: int, shard_slots: int = SHARD_SLOT
                 yield pd.DataFrame({"shard": np.int64(shard), "s": has.astype(np.int32), "n": got[has]})
 
     drawn = spark.range(0, n_shards).mapInPandas(draw, "shard long, s int, n long") if n_shards else spark.createDataFrame([], "shard long, s int, n long")
-    by_shard = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     limits = F.broadcast(spark.createDataFrame([(i, int(q)) for i, q in enumerate(quota)], "s int, quota long"))
-    runs = drawn.withColumn("t0", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
+    runs = prefix_sums(drawn, "s", "shard", "n", "t0")
     kept = runs.join(limits, "s").withColumn("n", F.least("n", F.col("quota") - F.col("t0"))).filter("n > 0").select("shard", "s", "t0", "n")
     got = drawn.groupBy("s").agg(F.sum("n").alias("got"))
     lacks = limits.join(got, "s", "left").withColumn("t0", F.least(F.coalesce("got", F.lit(0)), F.col("quota"))).withColumn("lack", F.col("quota") - F.col("t0")).filter("lack > 0")
@@ -203,15 +196,16 @@ def take_blocks(slots: DataFrame, plan: list[dict], block: int, seed: int) -> Da
     return slots.mapInPandas(run, "shard long, s int, t long, epoch int, block long, part long")
 
 
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Mixes (doc_id, text, source). Returns
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, max_repeats: int = MAX_REPEATS, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mixes (doc_id, text, source); ``row`` may name a column with a long key of each row. Returns
 
-    * rows (doc_id, tie, source, size, source_size, target, s, at), one a document;
+    * rows (row, doc_id, tie, source, size, source_size, target, s, at), one a document;
     * the slots (shard, s, t, epoch, block, part);
-    * taken (s, at, doc_id, tie, epoch, first_word, n_words): the words of documents that slots take.
+    * taken (s, at, row, epoch, size, first_word, n_words): the words of documents that slots take.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    key = docs[row].cast("long") if row else F.monotonically_increasing_id()
+    sized = docs.select(key.alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size"), F.xxhash64(docs["text"].cast("string")).alias("tie"))
     sized = materialize(sized, "sizes")
     plan = plan_sources(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).select("source", "size"), block, seed, max_repeats)
     info = spark.createDataFrame([(p["source"], p["s"], p["source_size"], p["target"]) for p in plan], "source string, s int, source_size long, target double")
@@ -219,11 +213,11 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, max_repeats
     rows = materialize(lay_out(rows, sized.count()), "layout")
     slots = take_blocks(draw_slots(spark, plan, seed), plan, block, seed)
     has = rows.filter("size > 0")
-    parts = has.select("s", "at", "size", "doc_id", "tie", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
+    parts = has.select("s", "at", "size", "row", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     met = parts.join(slots.select("s", "block", "epoch", "part"), ["s", "block"])
     low = F.greatest(F.col("at"), F.col("block") * block)
     high = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block, F.when(F.col("part") >= 0, F.col("block") * block + F.col("part")).otherwise((F.col("block") + 1) * block))
-    taken = met.select("s", "at", "size", "doc_id", "tie", "epoch", (low - F.col("at")).alias("first_word"), (high - low).alias("n_words")).filter("n_words > 0")
+    taken = met.select("s", "at", "size", "row", "epoch", (low - F.col("at")).alias("first_word"), (high - low).alias("n_words")).filter("n_words > 0")
     return rows, slots, taken
 
 

@@ -1,23 +1,27 @@
 """N-gram Jaccard join: MinHash banding, then verification on full n-gram sets.
 
-1. *Signatures.* Every whole text becomes the set of 64-bit hashes of its word n-grams, and
-   of that set only a 128-bit key and its band hashes are kept. Documents with equal sets are
+1. *Classes.* Rows with equal texts (128 bits of SHA-256) are one text. Every whole text becomes the set of 64-bit hashes
+   of its word n-grams, and of that set only a 128-bit key and its band hashes are kept. Texts with equal sets are
    one class from here on, so copies cost nothing more.
 2. *Bands.* ``choose_bands`` takes the band and row counts from the threshold and the target
    recall. Band hashes are exploded, counted, and only bands with two classes or more go on.
-3. *Tiles.* A band's classes are cut into chunks of bounded size and every pair of chunks is a
-   tile, so no band, however frequent, is one task's work; a pair belongs to the first band
-   that its two classes share, and classes without a pair in a tile leave it before any n-grams
-   are moved.
+3. *Tiles.* Bands are dealt as tiles of pairs (``blocks``). In frequent bands classes whose similarity to one centre is at
+   least half-way between the threshold and 1 are a core: the Jaccard distance is a metric, so all of a core
+   are linked, without a comparison. Classes without a pair of their own in a tile leave it before any n-grams are moved.
 4. *Verification.* N-gram sets are built again for the classes that remain, and each tile
    compares its pairs exactly. A tile returns a row for each class (its links and the smallest
    class that it is connected to there), not a row for each pair; ``similar_pairs`` returns the pairs.
-5. *Groups* are the connected components of the tiles' star edges.
+5. *Groups* are the connected components of the tiles' and the cores' star edges.
+
+Different near copies that are far from every centre (a similarity between the threshold and half-way) are still all
+compared with each other, as the exact number of links asks for it.
 
 Defined results: texts with fewer words than n have one n-gram, all of their words; null,
 empty and blank texts have none: each is a class and group of its own without links. Rows
-that repeat a document are copies. A null doc_id is in its text's class, but a class without
-any doc_id links to nothing. Other columns of the input are dropped.
+that repeat a document are copies and all ``kept`` if it is. A group is named by its smallest doc_id; that of rows without
+any doc_id is null, but they link like others and one text of them is kept. Very long texts are read whole; their bands
+are made of 256 n-grams at a time. Ties don't occur: similarity is compared in whole numbers. Other columns of the input are dropped
+(``keep_one`` keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import by_key, partitions
+from curata.llm.blocks import TILES, Blocks, dealt, groups, intersections, roots
+from curata.llm.common import partitions, text_key
 from curata.llm.tokens import text_batches
 from curata.operators.graph import connected_components
 from curata.session import materialize
@@ -40,7 +45,7 @@ TARGET_RECALL = 0.999
 #: N-grams and classes of a chunk, about; a tile holds two chunks.
 CHUNK_NGRAMS = 1_000_000
 CHUNK_CLASSES = 512
-#: Up to so many ids are broadcast (8 bytes each) to pick documents; more are joined by shuffle.
+#: Up to so many ids are broadcast (8 bytes each) to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -97,9 +102,11 @@ class MinHash:
         return band.view(np.int64)
 
 
-def signatures(docs: DataFrame, n: int = N, bands: tuple[int, int] | None = None) -> DataFrame:
-    """(doc_id, set_key, n_grams, bands) of (doc_id, text); the key of a text without words is null."""
+def signatures(texts: DataFrame, n: int = N, bands: tuple[int, int] | None = None) -> DataFrame:
+    """``texts`` (key, text_id, copies, first_id, text) without the text, with set_key, n_grams and the sorted blocks; the
+    set_key of a text without words is null."""
     count, rows = bands or choose_bands()
+    kept = ["key", "text_id", "copies", "first_id"]
 
     def run(batches):
         import pyarrow as pa
@@ -109,161 +116,68 @@ def signatures(docs: DataFrame, n: int = N, bands: tuple[int, int] | None = None
         for batch, texts in text_batches(batches):
             keys, sizes, found = [], [], []
             for text in texts:
-                grams = ngram_hashes(text or b"", n)
+                grams = ngram_hashes(text, n)
                 sizes.append(len(grams))
                 keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-                found.append(minhash.band_hashes(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_grams", "bands"]
-            )
+                found.append(np.unique(minhash.band_hashes(grams)) if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*kept, "set_key", "n_grams", "blocks"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, set_key binary, n_grams long, bands array<long>")
+    return texts.select(*kept, "text").mapInArrow(run, "key binary, text_id long, copies long, first_id long, set_key binary, n_grams long, blocks array<long>")
 
 
-def ngram_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """(set_key, grams) of (doc_id, text)."""
+def ngram_sets(texts: DataFrame, n: int = N) -> DataFrame:
+    """(cid, held) of (cid, text): the hashes of the n-grams."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
-
-        for _, texts in text_batches(batches):
-            sets = [ngram_hashes(text or b"", n) for text in texts]
-            keys = [xxhash.xxh3_128_digest(grams.tobytes()) for grams in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))], names=["set_key", "grams"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "set_key binary, grams array<long>")
-
-
-def pick_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``. Ids are broadcast if they are counted to be few; else both sides are shuffled."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
-
-
-def _first_shared(bands: np.ndarray, place: int) -> np.ndarray:
-    """Pairs of rows that share none of the bands before ``place``."""
-    earlier = np.zeros((len(bands), len(bands)), dtype=bool)
-    for b in range(place):
-        earlier |= bands[:, b][:, None] == bands[:, b][None, :]
-    return ~earlier
-
-
-def _tile_pairs(bands: np.ndarray, place: int, chunk: np.ndarray, i: int, j: int) -> np.ndarray:
-    """Upper-triangle mask of the pairs that are this tile's to compare."""
-    mask = _first_shared(bands, place)
-    if i != j:
-        mask &= chunk[:, None] != chunk[None, :]
-    return np.triu(mask, 1)
-
-
-def _bands_of(table) -> np.ndarray:
-    lists = table.column("bands").combine_chunks()
-    return lists.flatten().to_numpy().reshape(len(lists), -1)
-
-
-def _place(bands: np.ndarray, band: int) -> int:
-    return int(np.flatnonzero(bands[0] == band)[0])
-
-
-TILE = ["band", "i", "j"]
 
+        for batch, texts in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([ngram_hashes(t, n).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["cid", "held"])
 
-def tiles(classes: DataFrame) -> DataFrame:
-    """(band, i, j, chunk, set_key) from (set_key, n_grams, bands): chunks of the bands that two classes or more share."""
-    each = classes.select("set_key", "n_grams", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_grams").alias("weight")).filter("n > 1")
-    chunks = F.greatest(F.ceil(F.col("weight") / CHUNK_NGRAMS), F.ceil(F.col("n") / CHUNK_CLASSES)).cast("int")
-    dealt = each.join(shared, "band").select("band", "set_key", chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int"))
-    met = dealt.select("band", "set_key", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    return met.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "set_key")
+    return texts.select("cid", "text").mapInArrow(run, "cid long, held array<long>")
 
 
 def _needed(batches):
-    """For mapInArrow over tiles with bands: the rows that have a pair of their own in their tile."""
-    for table, starts in by_key(batches, TILE):
-        bands, band = _bands_of(table), table.column("band").to_numpy()
-        i, j, chunk = (table.column(c).to_numpy() for c in ("i", "j", "chunk"))
-        keep = np.zeros(len(band), dtype=bool)
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if b - a > 1:
-                pairs = _tile_pairs(bands[a:b], _place(bands[a:b], band[a]), chunk[a:b], i[a], j[a])
-                keep[a:b] = pairs.any(axis=0) | pairs.any(axis=1)
-        import pyarrow as pa
+    """For mapInArrow over dealt tiles with blocks: the rows that have a pair of their own in their tile."""
+    import pyarrow as pa
 
-        yield from table.filter(pa.array(keep)).select([*TILE, "chunk", "set_key"]).combine_chunks().to_batches()
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, from a matrix of the n-grams that two sets or more hold."""
-    if len(sets) == 2:
-        size = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[0, size], [size, 0]])
-    sizes = [len(s) for s in sets]
-    row = np.repeat(np.arange(len(sets)), sizes)
-    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = count[col] > 1
-    row, col = row[often], col[often]
-    kept = np.cumsum(count > 1) - 1
-    col = kept[col]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    total = np.zeros((len(sets), len(sets)))
-    width = 4096
-    for at in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        a, b = np.searchsorted(col, [at, at + width])
-        m = np.zeros((len(sets), width), dtype=np.float32)
-        m[row[a:b], col[a:b] - at] = 1
-        total += m @ m.T
-    return total.astype(np.int64)
-
-
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """The smallest row that each row is connected to by a symmetric mask."""
-    label = np.arange(len(linked))
-    while True:
-        near = np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label))
-        new = np.minimum(label, near)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
+    for table, tile, bounds in groups(batches):
+        keep = np.zeros(table.num_rows, dtype=bool)
+        for a, b in bounds:
+            pairs = tile.pairs(a, b)
+            keep[a:b] = pairs.any(axis=0) | pairs.any(axis=1)
+        yield from table.filter(pa.array(keep)).select([f.split()[0] for f in TILES.split(", ")]).combine_chunks().to_batches()
 
 
 def _verify(threshold: tuple[int, int], want_pairs: bool):
+    """For mapInArrow over dealt tiles with blocks, copies and n-grams."""
     over, under = threshold
 
     def run(batches):
         import pyarrow as pa
 
-        for table, starts in by_key(batches, TILE):
-            bands, band = _bands_of(table), table.column("band").to_numpy()
-            i, j, chunk, copies = (table.column(c).to_numpy() for c in ("i", "j", "chunk", "copies"))
-            grams = table.column("grams").combine_chunks()
+        for table, tile, bounds in groups(batches):
+            copies = table.column("copies").to_numpy()
+            grams = table.column("held").combine_chunks()
             values, ends = grams.values.to_numpy(), grams.offsets.to_numpy()
-            keys = table.column("set_key").to_pylist()
             cols: list[list] = [[], [], [], []]
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if b - a < 2:
-                    continue
-                pairs = _tile_pairs(bands[a:b], _place(bands[a:b], band[a]), chunk[a:b], i[a], j[a])
+            for a, b in bounds:
                 both = intersections([values[ends[r] : ends[r + 1]] for r in range(a, b)])
                 size = np.diff(ends[a : b + 1])
-                linked = pairs & (both * (over + under) >= over * (size[:, None] + size[None, :]))
+                linked = tile.pairs(a, b, both * (over + under) >= over * (size[:, None] + size[None, :]))
                 if want_pairs:
                     for x, y in zip(*np.nonzero(linked), strict=True):
-                        low, high = sorted((keys[a + x], keys[a + y]))
+                        low, high = sorted((int(tile.cid[a + x]), int(tile.cid[a + y])))
                         for col, value in zip(cols, (low, high, both[x, y], size[x] + size[y] - both[x, y]), strict=True):
                             col.append(value)
-                    continue
-                linked |= linked.T
-                root = _roots(linked)
-                for r in np.flatnonzero(linked.any(axis=1)):
-                    for col, value in zip(cols, (keys[a + r], keys[a + root[r]], linked[r].sum(), (linked[r] * copies[a:b]).sum()), strict=True):
-                        col.append(value)
-            names = ["set_a", "set_b", "n_both", "n_any"] if want_pairs else ["set_key", "root", "classes", "documents"]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=names)
+                elif linked.any():
+                    linked |= linked.T
+                    has = np.flatnonzero(linked.any(axis=1))
+                    found = (tile.cid[a:b][has], tile.cid[a:b][roots(linked)[has]], (linked[has] * copies[a:b]).sum(axis=1))
+                    for col, part in zip(cols, found, strict=False):
+                        col.extend(part.tolist())
+            names = ["cid_a", "cid_b", "n_both", "n_any"] if want_pairs else ["cid", "root", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[: len(names)]], names=names)
 
     return run
 
@@ -272,49 +186,88 @@ class Join:
     """The classes of a table's documents and what links them."""
 
     def __init__(self, docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = TARGET_RECALL):
-        self.docs, self.n, self.threshold = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, threshold
-        self.signed = materialize(signatures(self.docs, n, choose_bands(threshold[0] / threshold[1], recall)), "signatures")
-        classes = self.signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(
-            F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
+        self.n, self.threshold = n, threshold
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        keyed = self.docs.filter("text IS NOT NULL").withColumn("key", text_key(F.col("text")))
+        texts = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
+        self.texts = materialize(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts", compression="zstd")
+        signed = materialize(signatures(self.texts, n, choose_bands(threshold[0] / threshold[1], recall)), "signatures")
+        classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(
+            F.min("text_id").alias("text_id"), F.sum("copies").alias("copies"), F.first("n_grams").alias("weight"), F.first("blocks").alias("blocks")
         )
-        self.classes = materialize(classes, "classes")
+        self.classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        self.members = signed.select("key", "first_id", "set_key").join(self.classes.select("set_key", "cid", "copies"), "set_key").drop("set_key")
+        self.blocks = Blocks(self.classes, CHUNK_NGRAMS, CHUNK_CLASSES)
+        if self.blocks.frequent:
+            candidates = self.blocks.candidates()
+            self.blocks.find_cores(candidates, materialize(self._sets(candidates.select("cid")), "candidate-sets"), self._near)
+
+    def _near(self, a: Column, b: Column) -> Column:
+        """Whether a similarity is at least half-way between the threshold and 1."""
+        over, under = sum(self.threshold), 2 * self.threshold[1]
+        return F.size(F.array_intersect(a, b)) * (over + under) >= over * (F.size(a) + F.size(b))
+
+    def _sets(self, cids: DataFrame) -> DataFrame:
+        """(cid, held): the n-grams of classes. Ids are broadcast if they are counted to be few; else both sides are shuffled."""
+        ids = materialize(self.classes.select("cid", "text_id").join(cids.distinct(), "cid"), "picked")
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return ngram_sets(self.texts.select("text_id", "text").join(F.broadcast(ids) if few else ids, "text_id"), self.n)
 
     def _compared(self) -> DataFrame:
         n = partitions(self.docs.sparkSession)
-        found = tiles(self.classes).join(self.classes.select("set_key", "bands"), "set_key")
-        needed = found.repartition(n, *TILE).sortWithinPartitions(*TILE).mapInArrow(_needed, "band long, i int, j int, chunk int, set_key binary")
+        needed = dealt(self.blocks.tiles().join(self.classes.select("cid", "blocks"), "cid"), n).mapInArrow(_needed, TILES)
         needed = materialize(needed, "tiles")
-        keys = needed.select("set_key").distinct()
-        ids = materialize(self.classes.join(keys, "set_key").select(F.col("first_id").alias("doc_id"), "set_key"), "picked")
-        # a repeated id may bring copies, or texts of other classes, which the join on the key drops
-        sets = ngram_sets(pick_documents(self.docs, ids.select("doc_id")), self.n).dropDuplicates(["set_key"])
-        held = self.classes.select("set_key", "bands", "copies").join(sets, "set_key")
-        return needed.join(held, "set_key").repartition(n, *TILE).sortWithinPartitions(*TILE)
+        held = self.classes.select("cid", "blocks", "copies").join(self._sets(needed.select("cid")), "cid")
+        return dealt(needed.join(held, "cid"), n)
 
     def pairs(self) -> DataFrame:
-        """(set_a, set_b, n_both, n_any): each linked pair of classes once."""
-        return self._compared().mapInArrow(_verify(self.threshold, True), "set_a binary, set_b binary, n_both long, n_any long")
+        """(set_a, set_b, n_both, n_any): each linked pair of classes once, but for pairs within a core."""
+        found = self._compared().mapInArrow(_verify(self.threshold, True), "cid_a long, cid_b long, n_both long, n_any long")
+        for c in ("a", "b"):
+            found = found.join(self.classes.select(F.col("cid").alias(f"cid_{c}"), F.col("set_key").alias(f"set_{c}")), f"cid_{c}")
+        return found.select(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"), "n_both", "n_any")
+
+    def cores(self) -> DataFrame:
+        """(set_key, core): the classes that are all linked to each other through a core's centre."""
+        if self.blocks.cores is None:
+            return self.classes.select("set_key", F.col("cid").alias("core")).limit(0)
+        return self.blocks.cores.join(self.classes.select("cid", "set_key"), "cid").select("set_key", "core")
+
+    def named(self) -> DataFrame:
+        """(key, class_id, kept_key, n_links, copy_class_id, n_copies, kept_copies), a row a text with words, written."""
+        links = self._compared().mapInArrow(_verify(self.threshold, False), "cid long, root long, n long")
+        core = self.blocks.core_links()
+        links = materialize(links if core is None else links.unionByName(core), "links")
+        near = links.groupBy("cid").agg(F.sum("n").alias("near"))
+        parts = connected_components(links.filter("cid <> root"), "cid", "root").withColumnRenamed("node", "cid")
+        # the text that stays: the smallest id, any id before none
+        text = F.struct(F.col("first_id").isNull(), "first_id", "key")
+        members = materialize(self.members, "members")
+        copied = members.groupBy("cid").agg(F.min(text).alias("least"), F.first("copies").alias("copies"))
+        known = copied.join(parts, "cid", "left").join(near, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        known = materialize(known, "known")
+        lowest = materialize(known.groupBy("component").agg(F.min("least").alias("stays"), F.sum("copies").alias("all")), "lowest")
+        info = known.join(lowest, "component").select(
+            "cid", F.col("stays.first_id").alias("class_id"), F.col("stays.key").alias("kept_key"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"),
+            F.col("least.first_id").alias("copy_class_id"), F.col("copies").alias("n_copies"), F.col("all").alias("n_class"),
+        )
+        return materialize(members.select("key", "cid").join(info, "cid").drop("cid"), "named")
 
     def documents(self) -> DataFrame:
         """(doc_id, class_id, n_links, copy_class_id, n_copies, kept), one row a document.
 
         ``class_id`` is the smallest doc_id that links lead to, ``n_links`` the number of other documents linked
         directly (copies of the n-gram set among them), ``kept`` is true for one document of each class."""
-        links = materialize(self._compared().mapInArrow(_verify(self.threshold, False), "set_key binary, root binary, classes long, documents long"), "links")
-        near = links.groupBy("set_key").agg(F.sum("documents").alias("near"))
-        parts = connected_components(links.filter("set_key <> root"), "set_key", "root").withColumnRenamed("node", "set_key")
-        known = self.classes.select("set_key", "first_id", "copies").join(parts, "set_key", "left").join(near, "set_key", "left")
-        known = known.withColumn("component", F.coalesce("component", "set_key"))
-        lowest = known.groupBy("component").agg(F.min("first_id").alias("class_id"))
-        named = known.join(lowest, "component").select("set_key", "class_id", "first_id", "copies", F.coalesce("near", F.lit(0)).alias("near"))
-        out = self.signed.select("doc_id", "set_key").join(named, "set_key", "left")
+        out = self.docs.select("doc_id", text_key(F.col("text")).alias("key")).join(self.named(), "key", "left")
+        alone = F.col("kept_key").isNull()
         return out.select(
             "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce(F.col("copies") - 1 + F.col("near"), F.lit(0)).alias("n_links"),
-            F.coalesce("first_id", "doc_id").alias("copy_class_id"),
-            F.coalesce("copies", F.lit(1)).alias("n_copies"),
-        ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+            F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.when(alone, F.col("doc_id")).otherwise(F.col("copy_class_id")).alias("copy_class_id"),
+            F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+            (alone | (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        )
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
@@ -323,3 +276,14 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: tuple[int, int] = TH
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     return Join(docs, n, threshold, recall).pairs()
+
+
+def keep_one(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: one row of each class stays, and every row without words."""
+    named = Join(docs, n, threshold, recall).named().filter("n_class > 1")
+    listed = materialize(named.select("key", "kept_key", "class_id", F.lit(True).alias("found")), "near")
+    # the columns travel in a struct, where no name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("id"), text_key(docs["text"]).alias("key")).join(listed, "key", "left")
+    single = rows.filter("found IS NULL")
+    stays = rows.filter("key = kept_key AND id <=> class_id").dropDuplicates(["key"])
+    return single.select("row.*").unionByName(stays.select("row.*"))

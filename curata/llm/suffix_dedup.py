@@ -208,7 +208,9 @@ def _fetch(length: int, held_at_once: int):
                             known[2] += 1
                             listed["share"][i] = known[1]
                             if known[2] > 2:
+                                # settled: it needs no group, so it goes to any task
                                 data = None
+                                listed["share"][i] = -1 - listed["text_id"][i] % 1009
                     found.append(data)
             columns = [pa.array(found if name == "bytes" else listed[name], t) for name, t in zip((f.split()[0] for f in fields), types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields])
