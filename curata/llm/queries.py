@@ -36,8 +36,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory, folder = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_archive(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    index, folder = warc.archive(pages)
+    # every page is looked up by its URL
+    return warc.read_archive(pages.select(warc.surt(F.col("url")).alias("key")), index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,22 +176,6 @@ def test_embeddings(spark):
     assert embed_lattice.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_warc(spark):
-    big = "<p>" + "x" * 200
-    rows = [(3, "https://www.B.example.org:443/p?q=1#f", big), (1, "http://a.example.org/", big), (2, None, None), (4, "http://a.example.org/", "tiny"), (5, "http://c.d/é", "tiny"), (6, "http://a.example.org/", "ü" * 80), (7, "x", big), (None, "y", big)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
-    directory, folder = warc.archive(df)
-    got = {r.page_id: r for r in warc.read_archive(directory, folder).collect()}
-    assert len(got) == len(rows)
-    for page_id, _, html in rows:
-        assert got[page_id].payload_bytes == len((html or "").encode())
-    assert [got[i].refers_to for i in (1, 2, 3, 4, 5, 6, 7, None)] == [None, None, 1, None, None, None, 1, None]
-    assert sorted(r["page_id"] for r in warc.lookup(directory, folder, "org,example,a)/")) == [1, 4, 6]
-    assert [r["page_id"] for r in warc.lookup(directory, folder, "org,example,b)/p?q=1")] == [3] and warc.lookup(directory, folder, "zz") == []
-    d, f = warc.archive(df.limit(0))
-    assert warc.read_archive(d, f).count() == 0
-
-
 def test_pipeline(spark, docs, empty):
     import corpus_pipeline as p
 

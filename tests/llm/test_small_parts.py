@@ -116,14 +116,6 @@ def test_chunk_bounds_resist_shifts():
     assert line_dedup.chunk_bounds([]) == [] and line_dedup.chunk_bounds([1]) == []
 
 
-def test_warc_record_round_trip():
-    data = warc.record(7, "http://a/b", "response", None, __import__("hashlib").sha256(b"x\r\n\r\ny").hexdigest(), b"x\r\n\r\ny")
-    r = warc.parse(data)
-    assert r["payload"] == b"x\r\n\r\ny" and r["page_id"] == 7 and r["payload_bytes"] == 6
-    with pytest.raises(ValueError, match="damaged"):
-        warc.parse(data.replace(b"\r\n\r\ny", b"\r\n\r\nz"))
-
-
 def test_mixture_finds_two_languages():
     rng = np.random.default_rng(8)
     p = rng.dirichlet(np.full(language_id.BUCKETS, 0.05), 3)
