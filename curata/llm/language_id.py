@@ -3,18 +3,21 @@
 ``fit`` learns, from labelled rows, how likely each language makes each character trigram
 (hashed into ``BUCKETS`` cells, additively smoothed). Counting is a Spark aggregation; the
 rows it counts are a sample of at most about ``SAMPLE_ROWS`` a language, chosen by a hash of
-the text, and a model has ``languages x BUCKETS`` numbers, whatever the size of the corpus.
+the text, and a model has ``languages x BUCKETS`` numbers, whatever the size of the corpus. The model is
+what reaches the driver and is broadcast.
 
 ``predict`` reads every whole text. Expectation-maximisation estimates the share of each
 language among a text's trigrams; the set of languages grows one at a time, as long as the
 log-likelihood gains more than a penalty a language (half the logarithm of the number of
-trigrams, as in BIC, times ``PENALTY``). The prediction is the language with the largest
+trigrams, as in BIC, times ``PENALTY``). Each estimation runs until no share changes by ``TOLERANCE``: the likelihood is
+concave in the shares, so it gets there. The prediction is the language with the largest
 share, and that share is its score.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows with a
 null label teach nothing; a text without a single known trigram gets the most likely language
 under smoothing; with no labelled rows at all every prediction is ``und``. Repeated rows are
-judged each by itself; ties between languages go to the first in code point order.
+judged each by itself; ties between languages go to the first in code point order. A very long text is hashed ``SLICE``
+characters at a time, with the same counts. Other columns pass through, whatever their names, but for those that are made.
 """
 
 from __future__ import annotations
@@ -27,11 +30,10 @@ from pyspark.sql import types as T
 BUCKETS = 1 << 15
 #: Labelled rows a language that are counted, about; chosen by a hash of the text.
 SAMPLE_ROWS = 4000
-#: More labels than this are not languages.
-MAX_LANGUAGES = 500
 SMOOTHING = 0.5
 PENALTY = 4.0
-EM_STEPS = 12
+#: Estimation ends when no share changes by so much.
+TOLERANCE = 1e-4
 #: Characters that are hashed at once.
 SLICE = 1 << 20
 
@@ -61,17 +63,13 @@ def held_out(doc_id: Column) -> Column:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of each cell under each language) from (text, lang) rows."""
     known = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((0, BUCKETS), dtype=np.float32)
     # a share of each language's rows by hash of the text: the same rows whatever their order
-    cut = F.lit(1 << 20)
-    for lang in languages:
-        cut = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(sample_rows << 20) // sizes[lang])))).otherwise(cut)
-    sample = known.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < cut)
+    cuts = labelled.sparkSession.createDataFrame([(lang, min(1 << 20, -(-(sample_rows << 20) // sizes[lang]))) for lang in languages], "lang string, cut long")
+    sample = known.join(F.broadcast(cuts), "lang").filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < F.col("cut")).select("text", "lang")
     place = {lang: i for i, lang in enumerate(languages)}
 
     def count(frames):
@@ -93,7 +91,18 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     return languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def mixture(counts: np.ndarray, log_p: np.ndarray, penalty: float = PENALTY, steps: int = EM_STEPS) -> np.ndarray:
+def estimate(shares: np.ndarray, p: np.ndarray, n: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Expectation-maximisation of the shares of languages, whose likelihoods of the cells are the rows of ``p``."""
+    part = n / n.sum()
+    while True:
+        weighted = shares[:, None] * p
+        new = (weighted / weighted.sum(axis=0)) @ part
+        if np.abs(new - shares).max() < tolerance:
+            return new
+        shares = new
+
+
+def mixture(counts: np.ndarray, log_p: np.ndarray, penalty: float = PENALTY, tolerance: float = TOLERANCE) -> np.ndarray:
     """Shares of the languages (rows of ``log_p``) in a text with these cell counts."""
     cells = np.flatnonzero(counts)
     n = counts[cells].astype(np.float64)
@@ -112,10 +121,7 @@ def mixture(counts: np.ndarray, log_p: np.ndarray, penalty: float = PENALTY, ste
         gain = {l: float(n @ np.log(0.9 * mixed + 0.1 * p[l])) for l in sorted(rest)}
         new = max(gain, key=gain.get)
         q = p[[*chosen, new]]
-        w = np.append(shares * 0.9, 0.1)
-        for _ in range(steps):
-            r = w[:, None] * q
-            w = (r / r.sum(axis=0)) @ n / n.sum()
+        w = estimate(np.append(shares * 0.9, 0.1), q, n, tolerance)
         value = base + float(n @ np.log(w @ q))
         if value - best <= cost:
             break
@@ -132,7 +138,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     import re
 
     languages, log_p = model
-    shared = docs.sparkSession.sparkContext.broadcast(log_p)  # languages x BUCKETS numbers, at most 66 MB
+    shared = docs.sparkSession.sparkContext.broadcast(log_p)  # languages x BUCKETS numbers
     base = docs.drop("lang_pred", "score", "n_languages")
     schema = T.StructType([*base.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_languages", T.IntegerType())])
     letter = re.compile(r"[^\W\d_]")

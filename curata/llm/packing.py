@@ -2,9 +2,9 @@
 
 ``cut_pieces`` encodes whole texts and cuts each document's ids into pieces of at most
 ``max_len``; a piece notes its rank among pieces of its length within the task that cut it.
-``pack`` then needs three small things: the histogram of lengths (at most ``max_len`` rows,
-which is all that reaches the driver), the packing patterns made from it, and for each
-(task, length) the pieces of that length in earlier tasks. A piece's global rank within its
+``pack`` then needs the histogram of lengths (at most ``max_len`` rows,
+which is all that reaches the driver), the packing patterns made from it, which are broadcast, and for each
+(task, length) the pieces of that length in earlier tasks, which are joined by sorting. A piece's global rank within its
 length selects its pattern, its copy of the pattern and its place in the sequence.
 
 Patterns: lengths are placed longest first, always into the packs with the most room, and
@@ -13,7 +13,8 @@ two patterns, and a pattern holds at most sqrt(2 * max_len) different lengths, s
 that is broadcast has a bound that doesn't depend on the data.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows are
-packed each by itself; an empty table gives no rows; other columns are dropped.
+packed each by itself; null ids stay null; a very long text becomes many pieces; pieces of one length tie, and take places in
+the order of the tasks that cut them; an empty table gives no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import zlib
 from collections import Counter
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import only
+from curata.llm.common import only, prefix_sums
 from curata.llm.token_output import list_column
 from curata.llm.tokens import END_ID, encoder, text_batches
 from curata.session import materialize
@@ -116,8 +117,8 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if histogram and max(histogram) > max_len:
         raise ValueError(f"a piece is longer than {max_len}")
-    earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("block", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # a row for each task and length, which grows with the data: joined by sorting, never broadcast
+    before = prefix_sums(counts, "length", "block", "n", "before").select("block", "length", "before").hint("merge")
     places = spark.createDataFrame(intervals(pack_histogram(histogram, max_len)), INTERVALS)
     ranked = pieces.join(before, ["block", "length"]).withColumn("rank", F.col("before") + F.col("local_rank"))
     placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))).drop(places["length"])

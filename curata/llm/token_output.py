@@ -10,8 +10,8 @@ only the sum of each range: one row a range.
 ``read_tokens`` reads any columns: metadata alone never touches the ids.
 
 Defined results: a null or empty text has the end id alone; repeated rows are encoded
-each; ties of ``doc_id`` lie next to each other in an unspecified order; a null ``doc_id``
-comes first; other columns of the input are not written.
+each; ties of ``doc_id`` lie next to each other, in the order of their rows, over as many ranges as they need; a null ``doc_id``
+comes first; a very long text is one list; other columns of the input are not written; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -81,7 +81,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     """Encodes whole texts of (doc_id, text) and writes the ids under ``path`` in ascending ``doc_id`` order."""
     spark = docs.sparkSession
     source = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = source.repartitionByRange(ranges or partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # the number of the row parts the rows of a repeated or null id over ranges
+    numbered = source.withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(ranges or partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     ordered.mapInArrow(encode_ranges(vocabulary, end_id), TOKEN_SCHEMA).write.options(**(FILE_OPTIONS | (options or {}))).parquet(path)
 
 

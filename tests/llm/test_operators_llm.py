@@ -1,15 +1,16 @@
 """Training-data operators against brute force, on fixtures with nulls, ties, copies and empty tables."""
 
+import glob
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
-from curata.llm import embed_lattice, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_output, warc
+from curata.llm import language_id, mixing, ngram_join, packing, quality_rules, token_output
 from curata.llm.tokens import vocabulary
 from curata.session import shared_dir
 
@@ -73,6 +74,17 @@ def test_token_output(spark, docs, empty):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     ids = [r.doc_id for r in got]
     assert ids == sorted(ids, key=lambda x: (x is not None, x))
+    # ids in dictionary encoding, the numbers beside them delta encoded, pages indexed, row groups of the wanted size
+    for file in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                if column.path_in_schema.startswith("ids"):
+                    assert "RLE_DICTIONARY" in column.encodings
+                else:
+                    assert "DELTA_BINARY_PACKED" in column.encodings and not column.has_dictionary_page
+                assert column.has_offset_index and column.has_column_index and column.total_compressed_size <= 32 << 20
     path = shared_dir(spark, "t")
     token_output.write_tokens(empty, path, vocabulary())
     assert token_output.digest(token_output.read_tokens(spark, path)).count() == 0
@@ -152,30 +164,6 @@ def test_quality_rules(docs, empty):
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_embeddings(spark):
-    rng = np.random.default_rng(0)
-    base = rng.normal(size=(150, 64))
-    rows = [(i, x.tolist()) for i, x in enumerate(base)]
-    for k in range(150):
-        w = rng.normal(size=64)
-        w -= w @ base[k] / (base[k] @ base[k]) * base[k]
-        c = 0.9 + 0.0006 * k
-        rows.append((1000 + k, (c * base[k] / np.linalg.norm(base[k]) + (1 - c * c) ** 0.5 * w / np.linalg.norm(w)).tolist()))
-    hot = rng.normal(size=64)
-    rows += [(2000 + k, (hot + 0.01 * rng.normal(size=64)).tolist()) for k in range(60)] + [(3000, rows[0][1]), (3001, rows[0][1])]
-    odd = [(4000, None), (4001, [0.0] * 64), (4002, [float("nan")] * 64), (4003, [None] * 64), (4004, []), (4005, [1.0, 2.0]), (4006, [2.0, 4.0])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("cells", F.lit("clash"))
-    got = {r.vec_id: r for r in embed_lattice.near_duplicates(df).collect()}
-    u = np.array([x for _, x in rows])
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    links = (u @ u.T >= 0.9).sum(axis=1) - 1
-    found = sum(got[i].n_links for i, _ in rows)
-    assert all(got[i].n_links <= n for (i, _), n in zip(rows, links, strict=True)) and found >= 0.95 * links.sum()
-    assert all(got[2000 + k].component_id == 2000 and got[2000 + k].n_links == 59 for k in range(60)) and got[3001].component_id == 0
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(4000, 4005)) and got[4006].component_id == 4005
-    assert embed_lattice.near_duplicates(df.limit(0)).count() == 0
-
-
 def test_pipeline(spark, docs, empty):
     import corpus_pipeline as p
 
