@@ -3,9 +3,12 @@
 Every metric and every threshold is a built-in expression, so the whole operator is a
 projection of the scan: no user function, no shuffle, one pass over whole texts.
 
+Windows of words are told by their 64-bit hash while they are sorted, which moves no words, and those
+with equal hashes are then compared word by word.
+
 Defined results: null, empty and blank texts have no words and fail the base rules;
-repeated rows are judged each by itself; other columns of the input pass through, and
-a column whose name clashes with one of the operator's is replaced.
+repeated rows are judged each by itself; a value that ties with a threshold passes; very long texts are judged whole; other columns of
+the input pass through, whatever their names, and one that has the name of a metric or verdict is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +38,19 @@ THRESHOLDS: tuple[tuple[str, str, str, float, int], ...] = (
     ("symbols", "n_symbols / n_words", ">", 0.1, 1),
     ("exclamations", "n_exclaim / n_words", ">", 0.5, 1),
     ("few_stop_words", "n_stop_words", "<", 2, 50),
+    ("stop_word_ratio", "n_stop_words / n_words", "<", 0.06, 50),
     ("repeated_lines", "n_dup_lines / n_lines", ">", 0.5, 1),
+    ("short_lines", "word_chars / n_lines", "<", 10, 50),
+    ("bullet_lines", "n_bullet_lines / n_lines", ">", 0.9, 50),
+    ("ellipsis_lines", "n_ellipsis_lines / n_lines", ">", 0.3, 50),
 )
 BASE_RULES = ("too_short", "repeated_words")
-METRICS = ("n_words", "word_chars", "n_symbols", "n_exclaim", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_exclaim", "n_stop_words", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_repeat_words")
+VERDICTS = ("failed_rules", "base_failed", "kept")
 
-_WINDOW = "struct<a:string,b:string,c:string,i:int>"
+#: Lines that begin with a bullet, and that end in an ellipsis.
+BULLET = r"^[\x20\x09]*[-*\x{2022}\x{2023}\x{25AA}\x{25E6}\x{2013}]"
+ELLIPSIS = r"(\.\.\.|\x{2026})[\x20\x09\r]*\z"
 
 
 def compile_rule(metric: str, comparison: str, threshold: float, least_words: int) -> Column:
@@ -54,35 +64,37 @@ def compile_rule(metric: str, comparison: str, threshold: float, least_words: in
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of ``METRICS``."""
-    df = docs.drop(*METRICS)
-    whole = F.coalesce(F.col(text), F.lit(""))
-    count_of = lambda chars: F.length(whole) - F.length(F.translate(whole, chars, ""))
-    df = df.withColumn("_w", split_words(F.col(text)))
-    df = df.withColumn("_l", F.filter(F.split(whole, "\n", -1), lambda line: F.length(F.translate(line, WHITE, "")) > 0))
-    # each 3-word window with its place; sorting brings equal windows together
-    n = "size(_w)"
-    df = df.withColumn("_s", F.expr(f"CASE WHEN {n} >= 3 THEN sort_array(slice(arrays_zip(_w, slice(_w, 2, {n}), slice(_w, 3, {n}), sequence(0, {n} - 1)), 1, {n} - 2)) END").cast(f"array<{_WINDOW}>"))
-    df = df.withColumn("_z", F.expr("arrays_zip(_s, slice(_s, 2, size(_s)))").cast(f"array<struct<x:{_WINDOW},y:{_WINDOW}>>"))
-    df = df.withColumn("_z", F.expr("filter(_z, z -> z.x.a = z.y.a AND z.x.b = z.y.b AND z.x.c = z.y.c)"))
-    df = df.withColumn("_i", F.expr("sort_array(array_distinct(concat(transform(_z, z -> z.x.i), transform(_z, z -> z.y.i))))"))
+    base = docs.drop(*METRICS)
+    # the input's columns travel in a struct, where no name can clash
+    df = base.select(F.struct(*[base[c] for c in base.columns]).alias("row"), F.coalesce(base[text].cast("string"), F.lit("")).alias("whole"))
+    count_of = lambda chars: F.length("whole") - F.length(F.translate("whole", chars, ""))
+    df = df.withColumn("w", split_words(F.col("whole")))
+    df = df.withColumn("l", F.filter(F.split("whole", "\n", -1), lambda line: F.length(F.translate(line, WHITE, "")) > 0))
+    # the hash of each 3-word window with its place; sorting brings equal windows together
+    df = df.withColumn("s", F.expr("CASE WHEN size(w) >= 3 THEN sort_array(transform(slice(w, 1, size(w) - 2), (x, i) -> struct(xxhash64(x, w[i + 1], w[i + 2]) AS h, i AS i))) END"))
+    df = df.withColumn("z", F.expr("arrays_zip(s, slice(s, 2, size(s)))").cast("array<struct<x:struct<h:bigint,i:int>,y:struct<h:bigint,i:int>>>"))
+    df = df.withColumn("z", F.expr("filter(z, z -> z.x.h = z.y.h AND w[z.x.i] = w[z.y.i] AND w[z.x.i + 1] = w[z.y.i + 1] AND w[z.x.i + 2] = w[z.y.i + 2])"))
+    df = df.withColumn("i", F.expr("sort_array(array_distinct(concat(transform(z, z -> z.x.i), transform(z, z -> z.y.i))))"))
     # a repeated window covers its three words; windows that overlap share words
-    df = df.withColumn("_g", F.expr("arrays_zip(_i, slice(_i, 2, greatest(size(_i), 0)))").cast("array<struct<at:int,next:int>>"))
+    df = df.withColumn("g", F.expr("arrays_zip(i, slice(i, 2, greatest(size(i), 0)))").cast("array<struct<at:int,next:int>>"))
     measured = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(F.translate(whole, WHITE, "")),
+        "n_words": F.size("w"),
+        "word_chars": F.length(F.translate("whole", WHITE, "")),
         "n_symbols": count_of(SYMBOLS),
         "n_exclaim": count_of("!"),
-        "n_stop_words": F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))),
-        "n_lines": F.size("_l"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": F.coalesce(F.expr("aggregate(_g, 0, (n, g) -> n + least(3, coalesce(g.next - g.at, 3)))"), F.lit(0)),
+        "n_stop_words": F.size(F.filter("w", lambda w: F.lower(w).isin(STOP_WORDS))),
+        "n_lines": F.size("l"),
+        "n_dup_lines": F.size("l") - F.size(F.array_distinct("l")),
+        "n_bullet_lines": F.size(F.filter("l", lambda line: line.rlike(BULLET))),
+        "n_ellipsis_lines": F.size(F.filter("l", lambda line: line.rlike(ELLIPSIS))),
+        "n_repeat_words": F.coalesce(F.expr("aggregate(g, 0, (n, g) -> n + least(3, coalesce(g.next - g.at, 3)))"), F.lit(0)),
     }
-    return df.withColumns({k: v.cast("long") for k, v in measured.items()}).drop("_w", "_l", "_s", "_z", "_i", "_g")
+    return df.select("row.*", *[v.cast("long").alias(k) for k, v in measured.items()])
 
 
 def apply_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS, base=BASE_RULES) -> DataFrame:
     """``docs`` with the metrics, ``failed_rules`` (array of rule names), ``base_failed`` and ``kept``."""
-    df = measure(docs, text)
+    df = measure(docs.drop(*VERDICTS), text)
     failed = {name: compile_rule(*rule) for name, *rule in thresholds}
     names = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in failed.items()]), lambda x: x.isNotNull())
     df = df.withColumn("failed_rules", names)
@@ -119,6 +131,8 @@ m AS (
          CAST(len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words,
          CAST(len(l) AS BIGINT) AS n_lines,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(len(list_filter(l, lambda x: regexp_matches(x, '{BULLET}'))) AS BIGINT) AS n_bullet_lines,
+         CAST(len(list_filter(l, lambda x: regexp_matches(x, '{ELLIPSIS}'))) AS BIGINT) AS n_ellipsis_lines,
          CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN cov USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

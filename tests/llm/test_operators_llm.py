@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from curata.llm import language_id, mixing, ngram_join, packing, quality_rules, token_output
 from curata.llm.tokens import vocabulary
@@ -152,15 +153,20 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty).count() == 0 and language_id.identify(docs).count() == docs.count()
 
 
-def test_quality_rules(docs, empty):
-    got = quality_rules.apply_rules(docs).collect()
-    assert len(got) == docs.count() and quality_rules.apply_rules(empty).count() == 0
+def test_quality_rules(spark, docs, empty):
+    more = ["- a\n* b\n\t• c\nd - e", "one...\ntwo… \nthree... x\n…\r", "the end. " * 40, "a b c a b c", "x " * 2000 + "y " * 2000, "word " * 300_000]
+    extra = spark.createDataFrame([(500 + i, t, None, None, None, "clash", "clash") for i, t in enumerate(more)], SCHEMA)
+    both = docs.union(extra).withColumns({c: F.lit("clash") for c in ("w", "l", "_w", "_l", "s", "z", "i", "g", "row", "whole")}).withColumns({"n_words": F.lit("x"), "kept": F.lit("y")})
+    got = quality_rules.apply_rules(both).collect()
+    assert {tuple(r[c] for c in ("w", "l", "_w", "_l", "s", "z", "i", "g", "row", "whole")) for r in got} == {("clash",) * 10}
+    assert len(got) == both.count() and quality_rules.apply_rules(empty).count() == 0
     for r in got:
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         tri = Counter(zip(w, w[1:], w[2:], strict=False))
         again = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
         lines = [x for x in (r.text or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(again), len(lines) - len(set(lines)))
+        assert r.n_bullet_lines == sum(bool(re.match("[ \\t]*[-*•‣▪◦–]", x)) for x in lines) and r.n_ellipsis_lines == sum(x.rstrip(" \t\r").endswith(("...", "…")) for x in lines)
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
