@@ -11,6 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions.scalar import area, box, height, iou, width
+from curata.session import materialize
+
+
+def by_confidence(df: DataFrame) -> DataFrame:
+    """A preview's boxes, the most confident of each frame first; ``place`` is their number in it."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy(F.col("confidence").desc(), "box_id")))
+
+
+def least_confident(label: Column, confidence: Column, threshold: float = 0.5) -> Column:
+    """The label, or ``uncertain`` where the confidence is below the threshold."""
+    return F.when(confidence < threshold, F.lit("uncertain")).otherwise(label)
 
 
 def filter_boxes(df: DataFrame, min_confidence: float = 0.0, min_area: float = 0.0, min_side: float = 0.0) -> DataFrame:
@@ -60,18 +71,21 @@ def preview_verdict(frames: DataFrame, boxes: DataFrame, min_confidence: float =
 def best_matches(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(frame, box_id, class_name, confidence, truth_id, overlap, verdict): every prediction against the true box that it
     overlaps most (of equals the smallest id); many may share one. tp, wrong_cls or fp."""
-    t = truth.select("frame", F.col("box_id").alias("truth_id"), F.col("class_name").alias("truth_class"), box("x1", "y1", "x2", "y2").alias("tb"))
-    p = pred.withColumn("pb", box("x1", "y1", "x2", "y2"))
-    scored = p.join(t, "frame", "left").withColumn("overlap", F.when(F.col("truth_id").isNotNull(), iou(F.col("pb"), F.col("tb"))).otherwise(F.lit(0.0)))
-    best = scored.groupBy("frame", "box_id", "class_name", "confidence").agg(F.max_by(F.struct("truth_id", "truth_class", "overlap"), F.struct(F.col("overlap"), -F.col("truth_id"))).alias("m"))
+    t = truth.select("frame", F.col("box_id").alias("truth_id"), F.col("class_name").alias("truth_class"), *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
+    # plain comparisons first: most pairs of a frame don't overlap
+    meets = (F.col("x1") < F.col("tx2")) & (F.col("tx1") < F.col("x2")) & (F.col("y1") < F.col("ty2")) & (F.col("ty1") < F.col("y2"))
+    pairs = pred.join(t, "frame").filter(meets).select("frame", "box_id", "truth_id", "truth_class", iou(box("x1", "y1", "x2", "y2"), box("tx1", "ty1", "tx2", "ty2")).alias("overlap"))
+    best = pairs.groupBy("frame", "box_id").agg(F.max_by(F.struct("truth_id", "truth_class", "overlap"), F.struct(F.col("overlap"), -F.col("truth_id"))).alias("m"))
+    out = pred.select("frame", "box_id", "class_name", "confidence").join(best, ["frame", "box_id"], "left")
     hit = F.col("m.overlap") >= threshold
     verdict = F.when(~F.coalesce(hit, F.lit(False)), "fp").when(F.col("m.truth_class") == F.col("class_name"), "tp").otherwise("wrong_cls")
-    return best.select("frame", "box_id", "class_name", "confidence", F.when(hit, F.col("m.truth_id")).alias("truth_id"), F.coalesce("m.overlap", F.lit(0.0)).alias("overlap"), verdict.alias("verdict"))
+    return out.select("frame", "box_id", "class_name", "confidence", F.when(hit, F.col("m.truth_id")).alias("truth_id"), F.coalesce("m.overlap", F.lit(0.0)).alias("overlap"), verdict.alias("verdict"))
 
 
 def error_tally(matches: DataFrame, truth: DataFrame, frame_area: float) -> DataFrame:
     """(class_name, tp, fp, wrong_cls, fn, fn_small, fn_medium, fn_large): a true box that no prediction is matched with is
-    missed."""
+    missed. Matches are written once, as two counts read them."""
+    matches = materialize(matches, "matches")
     used = matches.filter("truth_id IS NOT NULL").select("frame", F.col("truth_id").alias("box_id")).distinct()
     b = box("x1", "y1", "x2", "y2")
     missed = truth.join(used, ["frame", "box_id"], "left_anti").withColumn("size", size_category(area(b) / frame_area))
@@ -81,173 +95,170 @@ def error_tally(matches: DataFrame, truth: DataFrame, frame_area: float) -> Data
     return a.join(m, "class_name", "full").na.fill(0)
 
 
-def _iou(a, b) -> float:
-    w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
-    size = lambda r: max(0, r[2] - r[0]) * max(0, r[3] - r[1])
-    union = size(a) + size(b) - w * h
-    return w * h / union if union > 0 else 0.0
+def _frames(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """(keys, rows): a frame's rows as an array in order. Arrays hold a frame's boxes, which are few."""
+    row = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias("row"))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
-def per_group(df: DataFrame, keys: list[str], order: list[Column], step) -> DataFrame:
-    """Runs ``step`` over the rows of each key, in order; it returns those that stay. Rows are clustered and sorted by Spark and
-    streamed through, one group in memory at a time."""
-    names = df.columns
+def _rows_type(df: DataFrame) -> str:
+    return f"array<{df.schema.simpleString()}>"
 
-    def run(frames):
-        import pandas as pd
 
-        known, rows = None, []
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != known:
-                    out += step(rows)
-                    known, rows = key, []
-                rows.append(row)
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(list(step(rows)), columns=names)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
+def _keep_apart(df: DataFrame, keys: list[str], order: list[Column], clash) -> DataFrame:
+    """The rows that, in order, clash with no row kept before."""
+    none = F.array().cast(_rows_type(df))
+    kept = F.aggregate("rows", none, lambda kept, x: F.when(F.exists(kept, lambda k: clash(k, x["row"])), kept).otherwise(F.concat(kept, F.array(x["row"]))))
+    return _frames(df, keys, order).select(F.explode(kept).alias("row")).select("row.*")
 
 
 def one_to_one(truth: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(frame, truth_id, box_id, overlap): true boxes in order of id each take the free prediction that overlaps most.
 
-    Overlapping pairs come from a join; only those, ordered, reach the greedy step of their frame."""
-    t = truth.select("frame", F.col("box_id").alias("truth_id"), box("x1", "y1", "x2", "y2").alias("tb"))
-    p = pred.select("frame", "box_id", box("x1", "y1", "x2", "y2").alias("pb"))
-    pairs = t.join(p, "frame").withColumn("overlap", iou(F.col("tb"), F.col("pb"))).filter(F.col("overlap") > 0).select("frame", "truth_id", "box_id", "overlap")
-
-    def pick(rows):
-        taken, done = set(), set()
-        for row in rows:  # by true box, best overlap first
-            if row.truth_id in done or row.box_id in taken:
-                continue
-            done.add(row.truth_id)
-            if row.overlap >= threshold:
-                taken.add(row.box_id)
-                yield row
-
-    return per_group(pairs, ["frame"], [F.col("truth_id"), F.col("overlap").desc(), F.col("box_id")], pick)
+    Overlapping pairs come from a join; a frame's pairs, in order, are folded: the first free prediction of a true box
+    decides it, and is taken if it overlaps by the threshold."""
+    t = truth.select("frame", F.col("box_id").alias("truth_id"), *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
+    p = pred.select("frame", "box_id", "x1", "y1", "x2", "y2")
+    # plain comparisons first: most pairs of a frame don't overlap
+    meets = (F.col("x1") < F.col("tx2")) & (F.col("tx1") < F.col("x2")) & (F.col("y1") < F.col("ty2")) & (F.col("ty1") < F.col("y2"))
+    pairs = t.join(p, "frame").filter(meets).select("frame", "truth_id", "box_id", iou(box("tx1", "ty1", "tx2", "ty2"), box("x1", "y1", "x2", "y2")).alias("overlap"))
+    frames = _frames(pairs.filter("overlap > 0"), ["frame"], [F.col("truth_id"), -F.col("overlap"), F.col("box_id")])
+    start = F.struct(F.lit(None).cast("long").alias("decided"), F.array().cast("array<bigint>").alias("taken"), F.array().cast(_rows_type(pairs)).alias("found"))
+
+    def step(state, x):
+        row = x["row"]
+        good = row["overlap"] >= threshold
+        add = lambda name, value: F.when(good, F.concat(state[name], F.array(value))).otherwise(state[name]).alias(name)
+        decides = F.struct(row["truth_id"].alias("decided"), add("taken", row["box_id"]), add("found", row))
+        skip = F.coalesce(state["decided"] == row["truth_id"], F.lit(False)) | F.array_contains(state["taken"], row["box_id"])
+        return F.when(skip, state).otherwise(decides)
+
+    return frames.select(F.explode(F.aggregate("rows", start, step)["found"]).alias("row")).select("row.*")
+
+
+def assign(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """(frame, box_id, class_name, confidence, overlap): predictions by falling confidence each take the free true box of their
+    class that overlaps most; overlap is 0 without one. A true box is taken once, so doubles count as false."""
+    t = truth.select("frame", F.col("box_id").alias("truth_id"), "class_name", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
+    meets = (F.col("x1") < F.col("tx2")) & (F.col("tx1") < F.col("x2")) & (F.col("y1") < F.col("ty2")) & (F.col("ty1") < F.col("y2"))
+    pairs = pred.join(t, ["frame", "class_name"]).filter(meets)
+    pairs = pairs.select("frame", "box_id", "truth_id", "confidence", iou(box("tx1", "ty1", "tx2", "ty2"), box("x1", "y1", "x2", "y2")).alias("overlap")).filter("overlap > 0")
+    frames = _frames(pairs, ["frame"], [-F.col("confidence"), F.col("box_id"), -F.col("overlap"), F.col("truth_id")])
+    start = F.struct(F.array().cast("array<bigint>").alias("decided"), F.array().cast("array<bigint>").alias("taken"), F.array().cast(_rows_type(pairs)).alias("found"))
+
+    def step(state, x):
+        row = x["row"]
+        skip = F.array_contains(state["decided"], row["box_id"]) | F.array_contains(state["taken"], row["truth_id"])
+        more = lambda name, value: F.concat(state[name], F.array(value)).alias(name)
+        return F.when(skip, state).otherwise(F.struct(more("decided", row["box_id"]), more("taken", row["truth_id"]), more("found", row)))
+
+    found = frames.select(F.explode(F.aggregate("rows", start, step)["found"]).alias("row")).select("row.frame", "row.box_id", "row.overlap")
+    return pred.select("frame", "box_id", "class_name", "confidence").join(found, ["frame", "box_id"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
 
 
 def suppress(df: DataFrame, threshold: float = 0.5, per_class: bool = False) -> DataFrame:
     """Non-maximum suppression: by falling confidence, a box goes if it overlaps a kept one by more than the threshold."""
-
-    def keep(rows):
-        kept = []
-        for row in rows:
-            mine = (row.x1, row.y1, row.x2, row.y2)
-            if all(_iou(mine, (k.x1, k.y1, k.x2, k.y2)) <= threshold for k in kept):
-                kept.append(row)
-        return kept
-
-    return per_group(df, ["frame", *(["class_name"] if per_class else [])], [F.col("confidence").desc(), F.col("box_id")], keep)
+    return _keep_apart(df, ["frame", *(["class_name"] if per_class else [])], [-F.col("confidence"), F.col("box_id")], lambda k, x: iou(k, x) > threshold)
 
 
 def merge_labels(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Of boxes of one class that overlap by the threshold or more the larger stays."""
-
-    def keep(rows):
-        kept = []
-        for row in rows:
-            if all(_iou((row.x1, row.y1, row.x2, row.y2), (k.x1, k.y1, k.x2, k.y2)) < threshold for k in kept):
-                kept.append(row)
-        return kept
-
-    return per_group(df, ["frame", "class_name"], [area(box("x1", "y1", "x2", "y2")).desc(), F.col("box_id")], keep)
+    return _keep_apart(df, ["frame", "class_name"], [-area(box("x1", "y1", "x2", "y2")), F.col("box_id")], lambda k, x: iou(k, x) >= threshold)
 
 
 def replace_boxes(original: DataFrame, corrected: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Corrected boxes, in order of id, each replace the first original of their class that overlaps by the threshold and is
     not replaced yet; without one they are added. Originals without a correction stay."""
-    both = original.withColumn("side", F.lit(0)).unionByName(corrected.withColumn("side", F.lit(1)))
-
-    def swap(rows):
-        old = [r for r in rows if r.side == 0]
-        out, used = list(old), set()
-        for row in rows[len(old) :]:
-            for i, o in enumerate(old):
-                if i not in used and o.class_name == row.class_name and _iou((o.x1, o.y1, o.x2, o.y2), (row.x1, row.y1, row.x2, row.y2)) >= threshold:
-                    out[i] = row
-                    used.add(i)
-                    break
-            else:
-                out.append(row)
-        return out
+    names, kind = original.columns, original.schema.simpleString()
+    old = _frames(original, ["frame"], [F.col("box_id")]).select("frame", F.transform("rows", lambda x: F.struct(x["row"].alias("row"), F.lit(False).alias("done"))).alias("old"))
+    new = _frames(corrected.select(*names), ["frame"], [F.col("box_id")]).select("frame", F.transform("rows", lambda x: x["row"]).alias("new"))
+    slots = f"array<struct<row:{kind},done:boolean>>"
+    both = old.join(new, "frame", "full").select(F.coalesce("old", F.array().cast(slots)).alias("old"), F.coalesce("new", F.array().cast(f"array<{kind}>")).alias("new"))
 
-    return per_group(both, ["frame"], [F.col("side"), F.col("box_id")], swap)
+    def step(slots, x):
+        free = F.transform(slots, lambda s: ~s["done"] & (s["row"]["class_name"] == x["class_name"]) & (iou(s["row"], x) >= threshold))
+        at = F.array_position(free, True)
+        mine = F.struct(x.alias("row"), F.lit(True).alias("done"))
+        return F.when(at > 0, F.transform(slots, lambda s, i: F.when(i + 1 == at, mine).otherwise(s))).otherwise(F.concat(slots, F.array(mine)))
+
+    return both.select(F.explode(F.aggregate("new", F.col("old"), step)).alias("s")).select("s.row.*")
 
 
 class Tracker:
-    """Greedy association of a frame's boxes with the tracks of its session, by falling confidence: a box joins the free track
-    with the best of IoU and nearness (1 - distance / ``reach``), if IoU is ``least`` or nearness 0.5 at least; otherwise it starts a
-    track. Tracks expire after ``patience`` frames without a box."""
+    """Associates a frame's boxes with the live tracks of its session.
+
+    Every box is scored against every live track at once: the better of IoU and nearness (1 - distance of the centres /
+    ``reach``), where IoU is ``least`` or nearness 0.5 at least. Boxes choose by falling confidence, a track takes one
+    box a frame, and a box without a track starts one. A track is live up to ``patience`` frames after its last box,
+    counted by frame numbers, so that frames without any box age it too."""
 
     def __init__(self, least: float = 0.3, reach: float = 120.0, patience: int = 15):
         self.least, self.reach, self.patience = least, reach, patience
-        self.state = ((), 0)
-
-    def step(self, boxes: list[tuple]) -> list[int]:
-        """Track ids of (confidence, x1, y1, x2, y2) rows, in their order."""
-        tracks, next_id = self.state
-        tracks = [[i, b, lost + 1] for i, b, lost in tracks if lost + 1 <= self.patience]
-        taken: set[int] = set()
+        #: next track id, and (id, last frame, corners) of each track that may be live
+        self.state: tuple[int, tuple] = (0, ())
+
+    def _scores(self, boxes, tracks):
+        """Boxes x tracks; -1 where a box can't join a track."""
+        import numpy as np
+
+        a, b = np.array(boxes, dtype=float)[:, None, :], np.array(tracks, dtype=float)[None, :, :]
+        sides = np.clip(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0, None)
+        shared = sides.prod(axis=2)
+        own = lambda r: np.clip(r[..., 2:] - r[..., :2], 0, None).prod(axis=2)
+        union = own(a) + own(b) - shared
+        overlap = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+        middle = lambda r: np.floor((r[..., :2] + r[..., 2:]) / 2)
+        near = 1.0 - np.linalg.norm(middle(a) - middle(b), axis=2) / max(1.0, self.reach)
+        return np.where((overlap >= self.least) | (near >= 0.5), np.maximum(overlap, near), -1.0)
+
+    def step(self, frame: int, boxes: list[tuple]) -> list[int]:
+        """Track ids of a frame's (confidence, x1, y1, x2, y2) rows, in their order."""
+        next_id, tracks = self.state
+        live = [t for t in tracks if frame - t[1] <= self.patience]
+        scores = self._scores([b[1:] for b in boxes], [t[2] for t in live]) if boxes and live else None
         ids = [-1] * len(boxes)
-        for n in sorted(range(len(boxes)), key=lambda k: (-boxes[k][0], k)):
-            mine = boxes[n][1:]
-            best, chosen = -1.0, None
-            for track in tracks:
-                if track[0] in taken:
-                    continue
-                overlap = _iou(track[1], mine)
-                mid = lambda r: ((r[0] + r[2]) // 2, (r[1] + r[3]) // 2)
-                (ax, ay), (bx, by) = mid(track[1]), mid(mine)
-                near = 1.0 - ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5 / max(1.0, self.reach)
-                if (overlap >= self.least or near >= 0.5) and max(overlap, near) > best:
-                    best, chosen = max(overlap, near), track
-            if chosen is None:
-                chosen = [next_id, mine, 0]
-                next_id += 1
-                tracks.append(chosen)
-            chosen[1], chosen[2] = mine, 0
-            taken.add(chosen[0])
-            ids[n] = chosen[0]
-        self.state = (tuple((i, tuple(b), lost) for i, b, lost in tracks), next_id)
+        for n in sorted(range(len(boxes)), key=lambda k: -boxes[k][0]):
+            at = int(scores[n].argmax()) if scores is not None else -1
+            if at >= 0 and scores[n, at] >= 0:
+                ids[n] = live[at][0]
+                live[at] = (ids[n], frame, tuple(boxes[n][1:]))
+                scores[:, at] = -1.0
+            else:
+                ids[n], next_id = next_id, next_id + 1
+                live.append((ids[n], frame, tuple(boxes[n][1:])))
+        self.state = (next_id, tuple(live))
         return ids
 
 
 def track(df: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None) -> DataFrame:
-    """``df`` (session, frame, box_id, confidence, corners) with ``track_id``. Frames of a session are streamed in order."""
+    """``df`` (session, frame, box_id, confidence, corners) with ``track_id``. Frames of a session are streamed in order of their
+    whole numbers, and one frame is in memory at a time; a session is one task's work, as a track depends on all before it."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField("track_id", T.LongType())])
 
-    def run(frames):
+    def run(parts):
         import pandas as pd
 
-        known, tracker, at, rows = None, None, None, []
-
-        def flush():
-            ids = tracker.step([(r.confidence, r.x1, r.y1, r.x2, r.y2) for r in rows])
-            return [(*r, i) for r, i in zip(rows, ids, strict=True)]
-
-        for part in frames:
-            out = []
-            for row in part.itertuples(index=False):
-                here = (getattr(row, session), getattr(row, frame))
-                if here != at:
-                    if rows:
-                        out += flush()
-                    rows = []
-                    if tracker is None or here[0] != known:
-                        known, tracker = here[0], Tracker(**(settings or {}))
-                    at = here
-                rows.append(row)
-            yield pd.DataFrame(out, columns=schema.names)
-        if rows:
-            yield pd.DataFrame(flush(), columns=schema.names)
+        known, tracker, rest = None, None, None
+        for part in parts:
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            # the last frame may go on in the next batch
+            last = part.iloc[-1]
+            more = (part[session] == last[session]) & (part[frame] == last[frame])
+            rest, part = part[more], part[~more]
+            known, tracker, out = step(part, known, tracker)
+            yield out
+        if rest is not None:
+            yield step(rest, known, tracker)[2]
+
+    def step(part, known, tracker):
+        ids = []
+        for (name, number), boxes in part.groupby([session, frame], sort=False, dropna=False):
+            if tracker is None or name != known:
+                known, tracker = name, Tracker(**(settings or {}))
+            ids += tracker.step(number, list(zip(*(boxes[c].tolist() for c in ("confidence", "x1", "y1", "x2", "y2")), strict=True)))
+        return known, tracker, part.assign(track_id=ids)[schema.names]
 
     return df.repartition(session).sortWithinPartitions(session, frame, "box_id").mapInPandas(run, schema)
 

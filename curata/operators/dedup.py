@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions.scalar import hamming
 from curata.operators.graph import connected_components
+from curata.operators.ranks import running
 from curata.session import materialize
 
 
-def mark_copies(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
-    """``df`` with ``copy_rank`` (1 = kept: the first of its key in the given order). A null or empty key is never a copy."""
-    w = Window.partitionBy(key).orderBy(*order)
+def mark_copies(df: DataFrame, key: str, order: str, stretch: int = 1 << 20) -> DataFrame:
+    """``df`` with ``copy_rank`` (1 = kept: the first of its key by ``order``, a number). A null or empty key is never a copy. A key's rows
+    are ranked in stretches of the number, so that a key with very many copies is no one task's work."""
     usable = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
-    return df.withColumn("copy_rank", F.when(usable, F.row_number().over(w)).otherwise(F.lit(1)))
+    ranked = running(df.filter(usable), key, F.floor(F.col(order) / stretch), [order], None, "_before", "_all")
+    return ranked.withColumn("copy_rank", F.col("_before") + 1).drop("_before", "_all").unionByName(df.filter(~usable).withColumn("copy_rank", F.lit(1).cast("long")))
+
+
+def copy_stars(df: DataFrame, key: str, id_col: str) -> DataFrame:
+    """(first_id, id): each later row of a key with the key's first: the links of ``equal_pairs`` without its squares."""
+    first = df.groupBy(key).agg(F.min(id_col).alias("first_id"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    return df.join(first, key).filter(F.col(id_col) != F.col("first_id")).select("first_id", F.col(id_col).alias("id"))
+
+
+def cross_split_groups(df: DataFrame, key: str, id_col: str, split: str) -> DataFrame:
+    """(key, split_a, first_a, n_a, split_b, first_b, n_b): for each key and two splits that share it the first row and the number of
+    rows in both; n_a * n_b pairs in a row."""
+    held = df.groupBy(key, split).agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
+    spans = held.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(split, "first", "n"))).alias("s")).filter(F.size("s") > 1)  # a row a split
+    two = spans.select(key, F.explode("s").alias("a"), "s").select(key, "a", F.explode("s").alias("b")).filter(F.col(f"a.{split}") < F.col(f"b.{split}"))
+    return two.select(key, *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in ("a", "b") for c in (split, "first", "n")])
 
 
 def first_of_each(df: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -45,12 +65,32 @@ def band_values(h: Column, bits: int, bands: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftright(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
 
 
-def hamming_pairs(df: DataFrame, hash_col: str, id_col: str, max_distance: int, bits: int = 63) -> DataFrame:
-    """(a, b, distance), a < b: all pairs within ``max_distance``, without misses: of ``max_distance`` + 1 stretches of the
-    hash at least one is equal. Rows with equal hashes are compared once."""
+def choose_stretches(n: int, max_distance: int, bits: int) -> int:
+    """The number of stretches of a hash for the least work over n rows: probes that are written, and pairs that meet."""
+
+    def work(m: int) -> float:
+        wide, near = bits // m, max_distance // m
+        probes = m * sum(math.comb(wide, k) for k in range(near + 1))
+        return n * probes * (1 + n / 2**wide)
+
+    return min(range(1, max_distance + 2), key=work)
+
+
+def hamming_pairs(df: DataFrame, hash_col: str, id_col: str, max_distance: int, bits: int = 63, stretches: int | None = None) -> DataFrame:
+    """(a, b, distance), a < b: all pairs within ``max_distance``, without misses.
+
+    Of m stretches of the hash one at least differs in ``max_distance`` // m bits at most. Each row is entered under its stretches, and
+    probes all values that near to them. Few long stretches meet few unrelated rows but take more probes: m is chosen
+    by the number of rows."""
     kept = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h IS NOT NULL")
-    each = kept.select("id", "h", F.explode(band_values(F.col("h"), bits, max_distance + 1)).alias("k")).select("id", "h", F.col("k.band").alias("band"), F.col("k.value").alias("value"))
-    left, right = each.withColumnsRenamed({"id": "a", "h": "ha"}), each.withColumnsRenamed({"id": "b", "h": "hb"})
+    m = stretches or choose_stretches(kept.count(), max_distance, bits)
+    each = kept.select("id", "h", F.explode(band_values(F.col("h"), bits, m)).alias("k")).select("id", "h", F.col("k.band").alias("band"), F.col("k.value").alias("value"))
+    edges = [bits * i // m for i in range(m + 1)]
+    wide = {b: edges[b + 1] - edges[b] for b in range(m)}
+    masks = [(b, sum(1 << i for i in flips)) for b, w in wide.items() for k in range(max_distance // m + 1) for flips in itertools.combinations(range(w), k)]
+    probes = F.broadcast(df.sparkSession.createDataFrame(masks, "band int, mask long"))  # as many rows as a row has probes
+    left = each.join(probes, "band").select(F.col("id").alias("a"), F.col("h").alias("ha"), "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    right = each.withColumnsRenamed({"id": "b", "h": "hb"})
     met = left.join(right, ["band", "value"]).filter("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= max_distance)
     return met.select("a", "b", "distance").distinct()
 
@@ -74,17 +114,16 @@ def components(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
-def star_clusters(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def star_clusters(pairs: DataFrame) -> DataFrame:
     """(id, anchor): anchors in order of id take their direct, still free neighbours; no link is followed further.
 
     A row is an anchor if none of its smaller neighbours is one, otherwise it belongs to the smallest of them. Each round
-    decides the rows for which the smaller neighbours that matter are decided; that gives the clusters of the sequential order."""
+    decides the rows for which the smaller neighbours that matter are decided, the smallest open row among them; that gives the
+    clusters of the sequential order, and ends when all are decided."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     below = materialize(both.filter("b < a"), "pairs")
     state = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("anchor", F.lit(None).cast(both.schema["a"].dataType)), "stars")
-    for _ in range(max_rounds):
-        if not state.filter("anchor IS NULL").limit(1).count():
-            break
+    while state.filter("anchor IS NULL").limit(1).count():
         seen = below.join(state.withColumnRenamed("id", "b"), "b")
         near = seen.groupBy(F.col("a").alias("id")).agg(F.min(F.when(F.col("anchor").isNull(), F.col("b"))).alias("open"), F.min(F.when(F.col("anchor") == F.col("b"), F.col("b"))).alias("low"))
         joined = state.join(near, "id", "left")
@@ -121,11 +160,11 @@ def cross_split_pairs(pairs: DataFrame, rows: DataFrame, id_col: str, split: str
     return one.join(named.withColumnsRenamed({id_col: "b", split: "split_b"}), "b").filter("split_a <> split_b")
 
 
-def ordered_digest(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(digest, n): one digest of all (key, value) rows, independent of their order: rows are hashed, the hashes of each of
-    4096 buckets are digested in order, then the buckets'."""
+def ordered_digest(df: DataFrame, key: str, value: str, digits: int = 3) -> DataFrame:
+    """(digest, n): one digest of all (key, value) rows, independent of their order: rows are hashed, the hashes of each bucket (of equal
+    leading ``digits``) are digested in order, then the buckets'. Give more digits for more rows: 16 ** digits buckets share them evenly."""
     line = F.sha2(F.concat_ws("\t", F.col(key).cast("string"), F.col(value).cast("string")).cast("binary"), 256)
-    rows = df.select(line.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
+    rows = df.select(line.alias("h")).withColumn("bucket", F.substring("h", 1, digits))
     each = rows.groupBy("bucket").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("h"))).cast("binary"), 256).alias("d"), F.count("*").alias("n"))
     top = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]))
     return each.agg(F.sha2(top.cast("binary"), 256).alias("digest"), F.sum("n").alias("n"))

@@ -59,30 +59,54 @@ def _first_most(labels) -> str:
     return max(counts, key=counts.get)
 
 
+class Ema:
+    """Exponential moving average; the first value seeds it. Null values change nothing."""
+
+    reads = ("_value",)
+    gives = "ema double"
+
+    def __init__(self, alpha: float = 0.2):
+        self.alpha = alpha
+        self.state = None
+
+    def step(self, value):
+        if value is not None:
+            self.state = value if self.state is None else self.alpha * value + (1.0 - self.alpha) * self.state
+        return (self.state,)
+
+
 class OutlierSmoother:
-    """EMA over values that lie within ``limit`` population deviations of the last accepted ones; the raw value until
-    there are ``least`` accepted values."""
+    """EMA over values within ``limit`` population deviations of the last accepted ones; until ``least`` values are accepted the
+    raw value is given.
+
+    The state is the ring of accepted values and the average. A value is tested as a square: (n v - sum)^2 against
+    limit^2 (n sum of squares - sum^2), which needs no root or division."""
 
     reads = ("confidence",)
     gives = "smoothed double, is_outlier boolean"
 
     def __init__(self, window: int = 5, limit: float = 2.0, least: int = 3):
-        self.window, self.limit, self.least = window, limit, least
-        self.alpha = 2.0 / (window + 1.0)
-        self.state = (None, ())
+        self.window, self.least = window, least
+        self.limit, self.alpha = limit * limit, 2.0 / (window + 1.0)
+        self.state = ((), None)
+
+    def _far(self, value: float, ring: tuple) -> bool:
+        # relative to the first, so that equal values have a spread of exactly 0
+        n, total, squares = len(ring), 0.0, 0.0
+        for x in ring:
+            total += x - ring[0]
+            squares += (x - ring[0]) ** 2
+        spread = n * squares - total * total
+        return n > 1 and spread > 0 and (n * (value - ring[0]) - total) ** 2 > self.limit * spread
 
     def step(self, value):
-        smooth, accepted = self.state
-        outlier = False
-        if len(accepted) >= 2:
-            mean = sum(accepted) / len(accepted)
-            deviation = (sum((x - mean) ** 2 for x in accepted) / len(accepted)) ** 0.5
-            outlier = deviation > 0 and abs(value - mean) / deviation > self.limit
-        if not outlier:
-            accepted = (*accepted, value)[-self.window :]
-            smooth = value if smooth is None else self.alpha * value + (1.0 - self.alpha) * smooth
-        self.state = (smooth, accepted)
-        return (value if len(accepted) < self.least else smooth, outlier)
+        ring, average = self.state
+        if far := self._far(value, ring):
+            return (average if len(ring) >= self.least else value, far)
+        average = value if average is None else average + self.alpha * (value - average)
+        ring = (*ring[max(0, len(ring) + 1 - self.window) :], value)
+        self.state = (ring, average)
+        return (average if len(ring) >= self.least else value, far)
 
 
 class AdaptiveThreshold:
@@ -112,32 +136,42 @@ class AdaptiveThreshold:
 
 
 class Cadence:
-    """Whether to classify a frame: not within ``least_ms`` of the last time, always after ``most_ms``, on low confidence and
-    on a new class; a stable object every 2 x ``least_ms`` only."""
+    """Whether to classify a frame, by the first rule that applies:
+
+    too soon (within ``least_ms``): no; overdue (``most_ms``): yes; unsure (confidence under ``threshold``): yes; a new class: yes;
+    settled (the ``stable_frames``-th steady frame or later): only from 2 x ``least_ms`` on; steady: yes.
+    Steady frames are counted anew after any other rule but the first has applied, and after a settled object was classified."""
 
     reads = ("time", "confidence", "label")
     gives = "classify boolean"
 
     def __init__(self, least_ms: float = 100.0, most_ms: float = 1000.0, stable_frames: int = 3, threshold: float = 0.7):
         self.least_ms, self.most_ms, self.stable_frames, self.threshold = least_ms, most_ms, stable_frames, threshold
-        self.state = (None, 0, None)
+        self.state = {"time": None, "steady": 0, "label": None}
+
+    def _rule(self, since: float, confidence: float, label) -> str:
+        rules = {
+            "too_soon": since < self.least_ms,
+            "overdue": since >= self.most_ms,
+            "unsure": confidence < self.threshold,
+            "new_class": label is not None and label != self.state["label"],
+            "settled": self.state["steady"] + 1 >= self.stable_frames,
+        }
+        return next((name for name, applies in rules.items() if applies), "steady")
 
     def step(self, time, confidence, label):
-        last, stable, known = self.state
+        last = self.state["time"]
         since = float("inf") if last is None else (time - last) * 1000.0
-        if since < self.least_ms:
+        rule = self._rule(since, confidence, label)
+        if rule == "too_soon":
             return (False,)
-        go = True
-        if since >= self.most_ms or confidence < self.threshold:
-            stable = 0
-        elif label is not None and label != known:
-            stable, known = 0, label
-        else:
-            stable += 1
-            if stable >= self.stable_frames:
-                go = since >= 2 * self.least_ms
-                stable = 0 if go else stable
-        self.state = (time if go else last, stable, known)
+        go = rule != "settled" or since >= 2 * self.least_ms
+        counts_on = rule == "steady" or not go
+        self.state = {
+            "time": time if go else last,
+            "steady": self.state["steady"] + 1 if counts_on else 0,
+            "label": label if rule == "new_class" else self.state["label"],
+        }
         return (go,)
 
 
@@ -215,4 +249,4 @@ def fold_batch(df: DataFrame, keys: list[str], order: list[str], fold: Callable,
     return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-__all__ = ["AdaptiveThreshold", "Cadence", "CaptureGate", "OutlierSmoother", "StableFusion", "Stabilizer", "fold_batch"]
+__all__ = ["AdaptiveThreshold", "Cadence", "CaptureGate", "Ema", "OutlierSmoother", "StableFusion", "Stabilizer", "fold_batch"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions.scalar import majority
+from curata.operators.folds import Ema, fold_batch
 
 
 def _rows(keys: list[str], order: list[str], before: int | None = None):
@@ -26,10 +27,8 @@ def vote(df: DataFrame, keys: list[str], order: list[str], label: str = "label",
 
 
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str = "confidence", alpha: float = 0.2) -> DataFrame:
-    """``df`` with ``ema``; the first value seeds it. A fold over the window so far, for short sessions; see ``folds`` for long ones."""
-    seen = F.collect_list(value).over(_rows(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    fold = F.aggregate(F.slice("_seen", 2, F.greatest(F.size("_seen"), F.lit(1))), F.element_at("_seen", 1), lambda a, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * a)
-    return df.withColumn("_seen", seen).withColumn("ema", fold).drop("_seen")
+    """``df`` with ``ema``; the first value seeds it. Rows of a key are streamed through a fold, which holds one number."""
+    return fold_batch(df.withColumn("_value", F.col(value)), keys, order, lambda: Ema(alpha)).drop("_value")
 
 
 def rolling_rate(df: DataFrame, keys: list[str], order: list[str], time: str, window: int = 30) -> DataFrame:
@@ -142,6 +141,6 @@ def session_statistics(df: DataFrame, session: str = "session") -> DataFrame:
 
 
 def diagnostics_summary(df: DataFrame, *values: str) -> DataFrame:
-    """(metric, n, mean, std): nulls are left out."""
-    aggs = [F.struct(F.lit(v).alias("metric"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")) for v in values]
+    """(metric, n, mean, std, least, most): nulls are left out."""
+    aggs = [F.struct(F.lit(v).alias("metric"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).cast("double").alias("least"), F.max(v).cast("double").alias("most")) for v in values]
     return df.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")

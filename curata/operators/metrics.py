@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curata.operators.ranks import value_at
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -100,30 +102,41 @@ def pr_auc(df: DataFrame, score: str, positive: str, group: str) -> DataFrame:
     return steps.groupBy(F.col("grp").alias(group)).agg(F.when(F.max("all") > 0, F.sum("slice")).otherwise(F.lit(0.0)).alias("auc"))
 
 
-def upper_median(value: str) -> Column:
-    """The middle value, the upper of two: an exact discrete percentile, not their mean."""
-    s = F.array_sort(F.collect_list(value))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
-
-
-def rank_statistic(value: str, share: float) -> Column:
-    """The value at place floor(share * n) - 1 of the sorted values, the first at least."""
-    s = F.array_sort(F.collect_list(value))
-    return F.element_at(s, F.greatest(F.floor(F.size(s) * share).cast("int"), F.lit(1)))
+def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, median): the middle value, the upper of two: an exact discrete percentile, not their mean."""
+    return value_at(df, list(keys), value, 0.5, lambda n: F.floor(n / 2) + 1, "median")
 
 
 def latency(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(rank_statistic(value, 0.5).alias("p50"), rank_statistic(value, 0.95).alias("p95"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    """(keys, p50, p95, mean, max): percentiles are the values at place floor(share * n) of the sorted ones, the first at least."""
+    out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    for name, share in (("p50", 0.5), ("p95", 0.95)):
+        out = out.join(value_at(df, list(keys), value, share, lambda n, share=share: F.greatest(F.floor(n * share), F.lit(1)), name), list(keys))
+    return out.select(*keys, "p50", "p95", "mean", "max")
 
 
 def average_precision(matches: DataFrame, truths: DataFrame, label: str = "class_name") -> DataFrame:
-    """(class, precision, recall, ap) of detections (class, confidence, is_tp) against the number of true boxes (class, n)."""
-    w = Window.partitionBy(label).orderBy(F.col("confidence").desc(), "box_id")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    steps = matches.join(truths.withColumnRenamed("n", "n_true"), label).withColumns({"tp": F.sum(F.col("is_tp").cast("int")).over(run), "k": F.row_number().over(w)})
+    """(class, precision, recall, ap) of detections (class, confidence, is_tp) against the number of true boxes (class, n).
+
+    Detections of one confidence count together, so the curve has a step for each different confidence and windows run
+    over those, not over detections; precision is made to fall with recall, then summed over the steps."""
+    steps = matches.groupBy(F.col(label).alias("class"), "confidence").agg(F.sum(F.col("is_tp").cast("long")).alias("hits"), F.count("*").alias("rows"))
+    run = Window.partitionBy("class").orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.join(truths.select(F.col(label).alias("class"), F.col("n").alias("n_true")), "class").withColumns({"tp": F.sum("hits").over(run), "k": F.sum("rows").over(run)})
     steps = steps.withColumns({"p": F.col("tp") / F.col("k"), "r": F.col("tp") / F.col("n_true")})
-    # precision is made to fall with recall, then summed over its steps
-    back = Window.partitionBy(label).orderBy(F.col("confidence").asc(), F.col("box_id").desc())
-    best = F.max("p").over(back.rowsBetween(Window.unboundedPreceding, 0))
-    steps = steps.withColumn("piece", best * (F.col("r") - F.coalesce(F.lag("r").over(w), F.lit(0.0))))
-    return steps.groupBy(F.col(label).alias("class")).agg(F.max_by("p", "k").alias("precision"), F.max("r").alias("recall"), F.sum("piece").alias("ap"))
+    best = F.max("p").over(Window.partitionBy("class").orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.withColumn("piece", best * F.col("hits") / F.col("n_true"))
+    return steps.groupBy("class").agg(F.min_by("p", "confidence").alias("precision"), F.max("r").alias("recall"), F.sum("piece").alias("ap"))
+
+
+def mean_average_precision(assigned: DataFrame, truths: DataFrame, label: str = "class_name") -> DataFrame:
+    """(class, precision, recall, ap50, ap50_95) of detections (class, confidence, overlap), each with the overlap of the true box that
+    is its own, 0 without one: the mean of the average precisions at overlaps of 0.5, 0.55, ... 0.95."""
+    bounds = [(50 + 5 * i) / 100 for i in range(10)]
+    every = F.explode(F.array(*map(F.lit, bounds))).alias("bound")
+    at = assigned.select(label, "confidence", "overlap", every).withColumns({"is_tp": F.col("overlap") >= F.col("bound"), "curve": F.concat_ws("@", label, F.col("bound").cast("string"))})
+    n = truths.select(label, "n", every).select(F.concat_ws("@", label, F.col("bound").cast("string")).alias("curve"), "n", label, "bound")
+    curves = average_precision(at, n, "curve").withColumnRenamed("class", "curve")
+    known = n.join(curves, "curve", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall", "ap")})
+    first = lambda c: F.max(F.when(F.col("bound") == 0.5, F.col(c)))
+    return known.groupBy(F.col(label).alias("class")).agg(first("precision").alias("precision"), first("recall").alias("recall"), first("ap").alias("ap50"), F.avg("ap").alias("ap50_95"))

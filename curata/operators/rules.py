@@ -175,6 +175,75 @@ def image_faults(brightness: Column, contrast: Column, blur: Column) -> dict[str
     return {"blurry": blur < 100, "too_dark": brightness < 40, "too_bright": brightness > 220, "low_contrast": contrast < 20}
 
 
+def loader_gate(df: DataFrame, least_side: int = 224, blur: float = 100.0, dark: float = 40.0, bright: float = 220.0) -> DataFrame:
+    """``df`` (readable, width, height, blur_score, brightness) with ``reasons`` for which a loader skips an image, and ``accepted``. One
+    that can't be read is low in resolution, blurry and dark too."""
+    unreadable = ~F.coalesce("readable", F.lit(False))
+    low = lambda c, bound: unreadable | F.coalesce(F.col(c) < bound, F.lit(True))
+    rules = [
+        F.when(unreadable, "unreadable"), F.when(low("width", least_side) | low("height", least_side), "low_resolution"), F.when(low("blur_score", blur), "blurry"),
+        F.when(low("brightness", dark), "underexposed"), F.when(~unreadable & (F.col("brightness") > bright), "overexposed"),
+    ]
+    return df.withColumn("reasons", F.array_compact(F.array(*rules))).withColumn("accepted", F.size("reasons") == 0)
+
+
+def accepted_rows(df: DataFrame) -> DataFrame:
+    return df.filter("accepted")
+
+
+def rejected_rows(df: DataFrame) -> DataFrame:
+    return df.filter("NOT accepted")
+
+
+def annotation_directory(images: DataFrame, lines: DataFrame, classes: int) -> DataFrame:
+    """(image, status, line_no, error) of hand-drawn labels: images (image, has_label) and their lines (image, line_no, raw).
+
+    An image without a label file is ``missing``; the first faulty line of a file makes it ``invalid``; blank lines are
+    left out. Rows touch the frame's edge at most."""
+    rows = lines.filter(F.trim("raw") != "").withColumn("p", F.split(F.trim("raw"), r"\s+"))
+    v = F.transform("p", lambda x: x.try_cast("double"))
+    at = lambda i: F.get(v, F.lit(i))
+    c, x, y, w, h = (at(i) for i in range(5))
+    error = first_error([
+        ("field_count", F.size("p") != 5), ("non_numeric", F.exists(v, lambda n: n.isNull())), ("class_id", (c != F.floor(c)) | (c < 0) | (c >= classes)), ("out_of_range", (x < 0) | (x > 1) | (y < 0) | (y > 1)),
+        ("zero_size", (w <= 0) | (h <= 0)), ("outside_frame", (x + w / 2 > 1) | (y + h / 2 > 1) | (x - w / 2 < 0) | (y - h / 2 < 0)),
+    ])
+    first = rows.withColumn("error", error).filter("error IS NOT NULL").groupBy("image").agg(F.min(F.struct("line_no", "error")).alias("bad"))
+    status = F.when(~F.coalesce("has_label", F.lit(False)), "missing").when(F.col("bad").isNotNull(), "invalid").otherwise("valid")
+    named = F.when(status == "invalid", F.col("bad"))
+    return images.join(first, "image", "left").select("image", status.alias("status"), named["line_no"].alias("line_no"), named["error"].alias("error"))
+
+
+def dataset_checks(files: DataFrame, manifest: DataFrame, metadata: DataFrame, mapping: DataFrame, classes: list[str], groups: DataFrame, hashes: tuple[DataFrame, DataFrame], splits=("train", "valid", "test")) -> DataFrame:
+    """(check, passed, n) of a built dataset: every named check with its violations.
+
+    files (path, split, class, length, readable, sha256); manifest (path, split, class, source, license, url, group); metadata
+    (class, split, n); mapping (id, class); groups of near duplicates (group, path); hashes, a baseline and its current state
+    (name, sha256). A class is missing from a split if it has no file there; a group leaks if its rows are of one class and
+    of several splits; class lists that are empty fail."""
+    spark = files.sparkSession
+    listed = spark.createDataFrame([(i, c) for i, c in enumerate(classes)], "id int, class string")
+    grid = listed.select("class").crossJoin(spark.createDataFrame([(s,) for s in splits], "split string"))
+    here = files.select("class", "split").distinct()
+    named = [(f"class_dirs_exist_{s}", grid.filter(F.col("split") == s).join(here, ["class", "split"], "left_anti")) for s in splits]
+    off = mapping.select(F.col("id").cast("int").alias("id"), "class").exceptAll(listed).unionByName(listed.exceptAll(mapping.select(F.col("id").cast("int").alias("id"), "class")))
+    shared = files.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.count_distinct("split").alias("n")).filter("n > 1")
+    spans = groups.join(manifest.select("path", "class", "split"), "path").groupBy("group").agg(F.count_distinct("split").alias("s"), F.count_distinct("class").alias("c"))
+    counted = files.groupBy("class", "split").agg(F.count("*").alias("found"))
+    both = grid.join(metadata.select("class", "split", F.col("n").alias("recorded")), ["class", "split"], "left").join(counted, ["class", "split"], "left")
+    verdicts = compare_hashes(*hashes)
+    named += [
+        ("class_mapping_correct", off), ("all_images_readable", files.filter(~F.coalesce("readable", F.lit(False)))), ("no_zero_byte", files.filter("length = 0")),
+        ("no_cross_split_duplicates", shared), ("no_sha256_leakage", shared), ("near_duplicates_listed", spark.range(1).join(groups.limit(1).select(F.lit(1).alias("x")), F.lit(True), "left_anti")),
+        ("no_near_duplicate_cross_split", spans.filter("s > 1 AND c = 1")), ("provenance_exists", manifest.filter(_missing("source"))), ("license_exists", manifest.filter(_missing("license"))),
+        ("source_url_exists", manifest.filter(_missing("url"))), ("no_ambiguous_labels", manifest.filter(_missing("class"))),
+        ("metadata_matches_files", both.filter(~F.col("recorded").eqNullSafe(F.coalesce("found", F.lit(0))))),
+        ("manifest_matches_files", manifest.join(files.select("path"), "path", "left_anti")), ("manifest_has_rows", spark.range(1).join(manifest.limit(1).select(F.lit(1).alias("x")), F.lit(True), "left_anti")),
+        ("recorded_files_unchanged", verdicts.filter("verdict = 'changed'")), ("recorded_files_present", verdicts.filter("verdict = 'missing'")), ("no_unrecorded_files", verdicts.filter("verdict = 'new'")),
+    ]
+    return checks(*named)
+
+
 def quality_report(df: DataFrame) -> DataFrame:
     """``df`` (brightness, contrast, blur) with every fault as a flag, the first one in gate order, all as a list, and the share of
     checks passed."""

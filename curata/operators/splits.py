@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curata.operators.ranks import numbered, running
+
 SPLITS = ("train", "valid", "test")
 RATIOS = (0.7, 0.15, 0.15)
 
@@ -14,17 +16,27 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"), 256)
 
 
-def _by_rank(place: Column, total: Column, ratios) -> Column:
+def _by_rank(place: Column, total: Column, ratios, least_one: bool = False) -> Column:
     """The split of the row at ``place`` (units before it) of ``total`` units."""
     first, second = F.floor(total * ratios[0] + 0.5), F.floor(total * (ratios[0] + ratios[1]) + 0.5)
+    if least_one:
+        enough = total >= 3
+        first = F.when(enough, F.least(F.greatest(first, F.lit(1)), total - 2)).otherwise(first)
+        second = F.when(enough, F.least(F.greatest(second, first + 1), total - 1)).otherwise(second)
     return F.when(place < first, F.lit(SPLITS[0])).when(place < second, F.lit(SPLITS[1])).otherwise(F.lit(SPLITS[2]))
 
 
+def _stretch(order: Column) -> Column:
+    """The leading digits of a hash, which grow with it: 65,536 stretches of about equal size."""
+    return F.substring(order, 1, 4)
+
+
 def stratified(df: DataFrame, stratum: str, id_col: str, seed: int = 42, ratios=RATIOS) -> DataFrame:
-    """``df`` with ``split``: each stratum is divided by ratios, in hash order. For strata of any size see ``by_hash``."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumn("_place", F.row_number().over(w.orderBy(hash_order(seed, F.col(id_col)), F.col(id_col))) - 1).withColumn("_total", F.count("*").over(w))
-    return ranked.withColumn("split", _by_rank(F.col("_place"), F.col("_total"), ratios)).drop("_place", "_total")
+    """``df`` with ``split``: each stratum is divided by ratios, in hash order. Strata are ranked in stretches of the hash, so they may
+    be of any size."""
+    order = hash_order(seed, F.col(id_col))
+    ranked = running(df.withColumn("_hash", order), stratum, _stretch(F.col("_hash")), ["_hash", id_col], None, "_place", "_total")
+    return ranked.withColumn("split", _by_rank(F.col("_place"), F.col("_total"), ratios)).drop("_hash", "_place", "_total")
 
 
 def by_hash(df: DataFrame, id_col: str, seed: int = 42, ratios=RATIOS) -> DataFrame:
@@ -33,16 +45,16 @@ def by_hash(df: DataFrame, id_col: str, seed: int = 42, ratios=RATIOS) -> DataFr
     return df.withColumn("split", F.when(u < ratios[0], SPLITS[0]).when(u < ratios[0] + ratios[1], SPLITS[1]).otherwise(SPLITS[2]))
 
 
-def grouped(df: DataFrame, stratum: str, id_col: str, group: str, seed: int = 42, ratios=RATIOS) -> DataFrame:
+def grouped(df: DataFrame, stratum: str, id_col: str, group: str, seed: int = 42, ratios=RATIOS, least_one: bool = False) -> DataFrame:
     """``df`` with ``split``: whole groups (a null group is the row itself) are dealt in hash order within the stratum of their
-    smallest id, by the running sum of their rows."""
+    smallest id, by the running sum of their rows. With ``least_one`` a stratum of three rows or more has a row at least
+    of each split to give, whatever the ratios."""
     unit = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("row:"), F.col(id_col).cast("string")))
     rows = df.withColumn("_unit", unit)
     units = rows.groupBy("_unit").agg(F.min_by(stratum, id_col).alias("_stratum"), F.count("*").alias("_rows"))
-    w = Window.partitionBy("_stratum")
-    order = w.orderBy(hash_order(seed, F.col("_unit")), F.col("_unit")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = units.withColumn("_place", F.coalesce(F.sum("_rows").over(order), F.lit(0))).withColumn("_total", F.sum("_rows").over(w))
-    named = placed.select("_unit", _by_rank(F.col("_place"), F.col("_total"), ratios).alias("split"))
+    order = hash_order(seed, F.col("_unit"))
+    placed = running(units.withColumn("_hash", order), "_stratum", _stretch(F.col("_hash")), ["_hash", "_unit"], F.col("_rows"), "_place", "_total")
+    named = placed.select("_unit", _by_rank(F.col("_place"), F.col("_total"), ratios, least_one).alias("split"))
     return rows.join(named, "_unit").drop("_unit")
 
 
@@ -85,18 +97,44 @@ def check_partition(original: DataFrame, divided: DataFrame, id_col: str) -> Dat
     return both.select(F.lit("row_count").alias("check"), (F.col("n") == F.col("m")).alias("passed")).union(both.select(F.lit("distinct_ids").alias("check"), (F.col("d") == F.col("e")).alias("passed"))).union(new)
 
 
+def by_lookup(df: DataFrame, lookup: DataFrame, key: str, group: str) -> DataFrame:
+    """``df`` with ``group`` from a lookup (key, group); rows that it doesn't resolve, or to nothing, are left out."""
+    known = lookup.filter(F.col(group).isNotNull() & (F.col(group).cast("string") != "")).select(key, group)
+    return df.join(known, key)
+
+
+def session_split(df: DataFrame, session: str, seed: int = 42, ratios=RATIOS) -> DataFrame:
+    """(session, split): whole sessions in hash order, train one at least. Only sessions are ranked, not rows."""
+    sessions = df.filter(F.col(session).isNotNull()).select(session).distinct().withColumn("_hash", hash_order(seed, F.col(session)))
+    placed = running(sessions, F.lit(0), _stretch(F.col("_hash")), ["_hash", session], None, "_place", "_total")
+    train = F.greatest(F.lit(1), F.floor(F.col("_total") * ratios[0] + 0.5))
+    valid = train + F.floor(F.col("_total") * ratios[1] + 0.5)
+    return placed.select(session, F.when(F.col("_place") < train, SPLITS[0]).when(F.col("_place") < valid, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
+
+
+def repeated_exclusions(queued: DataFrame, id_col: str) -> DataFrame:
+    """(id, n): queued items that come more than once, for which ``exclude`` refuses to build."""
+    return queued.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def exclude(df: DataFrame, queued: DataFrame, id_col: str, split: str = "split", protected: str = "test") -> DataFrame:
-    """``df`` without the queued rows of any split but the protected one."""
-    ids = queued.select(id_col).distinct()
-    return df.filter(F.col(split) == protected).unionByName(df.filter(F.col(split) != protected).join(ids, id_col, "left_anti"))
+    """``df`` without the queued rows of any split but the protected one. A queue that lists an item twice is refused."""
+    if again := repeated_exclusions(queued, id_col).limit(1).collect():
+        raise ValueError(f"queued more than once: {again[0][0]}")
+    return df.filter(F.col(split) == protected).unionByName(df.filter(F.col(split) != protected).join(queued.select(id_col), id_col, "left_anti"))
+
+
+def exclusion_counts(df: DataFrame, queued: DataFrame, id_col: str, split: str = "split", protected: str = "test") -> DataFrame:
+    """(split, source, excluded, kept) of an exclusion, before it is built."""
+    listed = queued.select(id_col).distinct().withColumn("_out", F.lit(1))
+    out = F.when(F.col(split) == protected, F.lit(0)).otherwise(F.coalesce("_out", F.lit(0)))
+    counts = df.join(listed, id_col, "left").groupBy(split).agg(F.count("*").alias("source"), F.sum(out).alias("excluded"))
+    return counts.withColumn("kept", F.col("source") - F.col("excluded"))
 
 
 def stride_sample(df: DataFrame, order: list[str], keep: int) -> DataFrame:
     """``keep`` rows at even distance in the given order: the rows at floor(i * n / keep)."""
-    w = Window.orderBy(*order)
-    n = df.count()
-    if n <= keep:
-        return df
-    placed = df.withColumn("_r", F.row_number().over(w) - 1)
-    i = F.ceil(F.col("_r") * keep / n)
-    return placed.filter(F.floor(i * n / keep) == F.col("_r")).drop("_r")
+    placed = numbered(df, order, "_place")
+    n = placed.count()
+    i = F.ceil(F.col("_place") * keep / n)
+    return (placed.filter(F.floor(i * n / keep) == F.col("_place")) if n > keep else placed).drop("_place")

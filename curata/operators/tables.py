@@ -87,21 +87,35 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: str) -
     return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_side")
 
 
-def apply_resolutions(records: DataFrame, manifest: DataFrame, actions: dict[tuple[str, str], str]) -> tuple[DataFrame, DataFrame]:
-    """(records, skipped): records (image, category, decision) take the decision of their (category, action); manifest rows without a
-    record are skipped."""
-    decision = F.col("decision")
-    for (category, action), outcome in actions.items():
-        decision = F.when((F.col("category") == category) & (F.col("action") == action), F.lit(outcome)).otherwise(decision)
-    joined = records.join(manifest.select("image", "category", "action"), ["image", "category"], "left")
-    return joined.withColumn("decision", decision), manifest.join(records, ["image", "category"], "left_anti")
-
-
 def dangling(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Rows that refer to a parent which isn't there; a null reference isn't one."""
     return children.filter(F.col(key).isNotNull()).join(parents.select(key).distinct(), key, "left_anti")
 
 
+def ordered_union(*sources: DataFrame, rank: str = "source_rank") -> DataFrame:
+    """All rows of the sources, which agree by column name, with the place of their source in ``rank``: sources that come first win ties."""
+    out = sources[0].withColumn(rank, F.lit(0))
+    for i, s in enumerate(sources[1:], 1):
+        out = out.unionByName(s.withColumn(rank, F.lit(i)))
+    return out
+
+
+def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side): values of one side alone; none if the sets are equal."""
+    return unmatched(left, right, [key])
+
+
+def same_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row (equal, left_only, right_only) of two sets of values."""
+    side = lambda s: F.coalesce(F.sum((F.col("side") == s).cast("long")), F.lit(0)).alias(s)
+    return set_difference(left, right, key).agg(side("left_only"), side("right_only")).select(((F.col("left_only") == 0) & (F.col("right_only") == 0)).alias("equal"), "left_only", "right_only")
+
+
+def overlaps(df: DataFrame, left: str, right: str) -> DataFrame:
+    """``df`` with ``overlap``: whether two array columns share a value; false where one is null."""
+    return df.withColumn("overlap", F.coalesce(F.arrays_overlap(F.array_compact(left), F.array_compact(right)), F.lit(False)))
+
+
 # ---- counts
 
 def contingency(df: DataFrame, rows: str, cols: str, values: list[str], names: DataFrame | None = None) -> DataFrame:
@@ -125,9 +139,12 @@ def split_shares(df: DataFrame, label: str, split: str) -> DataFrame:
 
 
 def imbalance(counts: DataFrame, n: str = "n", limit: float = 3.0) -> DataFrame:
-    """One row: most, least, ratio (infinite if the least is 0), balanced, rarest (of equals the first by name)."""
+    """One row: most, least, ratio (infinite if the least is 0), balanced, rarest (of equals the first by name), and among classes that
+    occur the least and the ratio to it (0 if none does)."""
     low = F.min_by("class", F.struct(n, "class"))
-    a = counts.agg(F.max(n).alias("most"), F.min(n).alias("least"), low.alias("rarest"))
+    some = F.min(F.when(F.col(n) > 0, F.col(n)))
+    a = counts.agg(F.max(n).alias("most"), F.min(n).alias("least"), low.alias("rarest"), some.alias("least_nonzero"))
+    a = a.withColumn("ratio_nonzero", F.coalesce(F.round(F.col("most") / F.col("least_nonzero"), 3), F.lit(0.0)))
     ratio = F.when(F.col("least") > 0, F.col("most") / F.col("least")).otherwise(F.lit(float("inf")))
     return a.withColumn("ratio", ratio).withColumn("balanced", F.col("ratio") <= limit)
 

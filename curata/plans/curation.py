@@ -40,7 +40,7 @@ def exact_duplicates(spark, sf_dir):
 
 @query(f"WITH {v.DOCS} SELECT doc_id, row_number() OVER (PARTITION BY sha ORDER BY doc_id) AS copy_rank FROM docs")
 def copy_ranks(spark, sf_dir):
-    return dedup.mark_copies(v.docs(spark, sf_dir), "sha", ["doc_id"]).select("doc_id", F.col("copy_rank").cast("long").alias("copy_rank"))
+    return dedup.mark_copies(v.docs(spark, sf_dir), "sha", "doc_id").select("doc_id", F.col("copy_rank").cast("long").alias("copy_rank"))
 
 
 @query(f"""WITH {v.DOCS}, f AS (SELECT sha, min(doc_id) AS first_id, arg_min(source, doc_id) AS kept_source FROM docs GROUP BY sha)
@@ -78,13 +78,13 @@ def prefix_probe_pairs(spark, sf_dir):
     return dedup.prefix_probe_pairs(gradient_hashes(spark, sf_dir), "h", "vec_id", 16)
 
 
-@query(f"""WITH RECURSIVE {v.DOCS}, pairs AS (SELECT DISTINCT source AS a, class || '-' || n_chars % 50 AS b FROM docs WHERE n_chars % 50 < 3),
+@query(f"""WITH RECURSIVE {v.DOCS}, pairs AS (SELECT DISTINCT source AS a, class || '-' || n_chars % 50 AS b FROM docs),
 both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a AS id, a AS r FROM both_ UNION SELECT reach.id, both_.b FROM reach JOIN both_ ON reach.r = both_.a)
 SELECT id, min(r) AS group_id FROM reach GROUP BY id""")
 def linked_groups(spark, sf_dir):
     """Connected components of sources and the (class, length) marks that they share."""
-    d = v.docs(spark, sf_dir).filter("n_chars % 50 < 3").select(F.col("source").alias("a"), F.concat(F.col("class"), F.lit("-"), (F.col("n_chars") % 50).cast("string")).alias("b"))
+    d = v.docs(spark, sf_dir).select(F.col("source").alias("a"), F.concat(F.col("class"), F.lit("-"), (F.col("n_chars") % 50).cast("string")).alias("b"))
     return dedup.components(d.distinct())
 
 
@@ -137,7 +137,7 @@ def split_shares(spark, sf_dir):
 
 
 @query(f"""WITH {v.DOCS}, c AS (SELECT class, count(*) AS n FROM docs GROUP BY class)
-SELECT max(n) AS most, min(n) AS least, arg_min(class, (n, class)) AS rarest, max(n)::DOUBLE / min(n) AS ratio, max(n)::DOUBLE / min(n) <= 3.0 AS balanced FROM c""")
+SELECT max(n) AS most, min(n) AS least, arg_min(class, (n, class)) AS rarest, max(n)::DOUBLE / min(n) AS ratio, max(n)::DOUBLE / min(n) <= 3.0 AS balanced, min(n) FILTER (n > 0) AS least_nonzero, round(max(n)::DOUBLE / min(n) FILTER (n > 0), 3) AS ratio_nonzero FROM c""")
 def class_imbalance(spark, sf_dir):
     return tables.imbalance(v.docs(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n")))
 
@@ -196,7 +196,96 @@ def class_readiness(spark, sf_dir):
     return readiness(tables.contingency(d, "class", "split", list(splits.SPLITS)).drop("total"))
 
 
-@query("SELECT 'row_count' AS \"check\", true AS passed UNION ALL SELECT 'distinct_ids', true UNION ALL SELECT 'no_new_rows', true")
+FAULTS = """bad AS (SELECT doc_id FROM docs WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id FROM docs WHERE doc_id % 7 = 0 AND doc_id % 5 <> 0 UNION ALL SELECT -1 - doc_id FROM docs WHERE doc_id % 11 = 0)"""
+
+
+@query(f"""WITH {v.DOCS}, {FAULTS}, o AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS d FROM docs), m AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS d FROM bad),
+w AS (SELECT count(*) AS n FROM bad WHERE doc_id NOT IN (SELECT doc_id FROM docs))
+SELECT 'sound' AS partition, c AS "check", true AS passed FROM (VALUES ('row_count'), ('distinct_ids'), ('no_new_rows')) x(c)
+UNION ALL SELECT 'faulty', 'row_count', o.n = m.n FROM o, m UNION ALL SELECT 'faulty', 'distinct_ids', o.d = m.d FROM o, m UNION ALL SELECT 'faulty', 'no_new_rows', n = 0 FROM w""")
 def partition_checks(spark, sf_dir):
+    """The checks of a sound split, and of one that lost rows, doubled some and made up others."""
     d = v.docs(spark, sf_dir)
-    return splits.check_partition(d, splits.stratified(d, "class", "doc_id"), "doc_id")
+    found = splits.check_partition(d, splits.stratified(d, "class", "doc_id"), "doc_id").withColumn("partition", F.lit("sound"))
+    i = F.col("doc_id")
+    bad = d.filter(i % 5 != 0).select("doc_id").unionByName(d.filter((i % 7 == 0) & (i % 5 != 0)).select("doc_id")).unionByName(d.filter(i % 11 == 0).select((-1 - i).alias("doc_id")))
+    return found.unionByName(splits.check_partition(d, bad, "doc_id").withColumn("partition", F.lit("faulty")))
+
+
+@query(f"WITH {v.DOCS}, f AS (SELECT sha, min(doc_id) AS first_id FROM docs GROUP BY sha) SELECT first_id, doc_id AS id FROM docs JOIN f USING (sha) WHERE doc_id <> first_id")
+def copy_stars(spark, sf_dir):
+    return dedup.copy_stars(v.docs(spark, sf_dir), "sha", "doc_id")
+
+
+@query(f"""WITH {v.DOCS}, {HASHED}, h AS (SELECT sha, split, min(doc_id) AS first, count(*) AS n FROM hs GROUP BY ALL)
+SELECT a.sha, a.split AS split_a, a.first AS first_a, a.n AS n_a, b.split AS split_b, b.first AS first_b, b.n AS n_b FROM h a JOIN h b ON a.sha = b.sha AND a.split < b.split""")
+def cross_split_groups(spark, sf_dir):
+    return dedup.cross_split_groups(splits.by_hash(v.docs(spark, sf_dir), "doc_id"), "sha", "doc_id", "split")
+
+
+RANK_ONE = """CASE WHEN r < CASE WHEN t >= 3 THEN least(greatest(floor(t * 0.7::DOUBLE + 0.5), 1), t - 2) ELSE floor(t * 0.7::DOUBLE + 0.5) END THEN 'train'
+WHEN r < CASE WHEN t >= 3 THEN least(greatest(floor(t * (0.7::DOUBLE + 0.15::DOUBLE) + 0.5), CASE WHEN t >= 3 THEN least(greatest(floor(t * 0.7::DOUBLE + 0.5), 1), t - 2) END + 1), t - 1) ELSE floor(t * (0.7::DOUBLE + 0.15::DOUBLE) + 0.5) END THEN 'valid' ELSE 'test' END"""
+
+
+@query(f"""WITH {v.DOCS}, s AS (SELECT *, source || '/' || n_chars % 100 AS stratum FROM docs), g AS (SELECT sha AS unit, arg_min(stratum, doc_id) AS stratum, count(*) AS n FROM s GROUP BY sha),
+w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY stratum ORDER BY {HASH.format(k="unit")}, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r, sum(n) OVER (PARTITION BY stratum) AS t FROM g)
+SELECT doc_id, {RANK_ONE} AS split FROM docs JOIN w ON sha = unit""")
+def grouped_split_least_one(spark, sf_dir):
+    """Small strata: each of three rows or more leaves room in every split."""
+    d = v.docs(spark, sf_dir).withColumn("stratum", F.concat("source", F.lit("/"), (F.col("n_chars") % 100).cast("string")))
+    return splits.grouped(d, "stratum", "doc_id", "sha", least_one=True).select("doc_id", "split")
+
+
+@query(f"""WITH s AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id, row_number() OVER (ORDER BY {HASH.format(k="conv_id")}, conv_id) - 1 AS r, count(*) OVER () AS n FROM s)
+SELECT conv_id, CASE WHEN r < greatest(1, floor(n * 0.7::DOUBLE + 0.5)) THEN 'train' WHEN r < greatest(1, floor(n * 0.7::DOUBLE + 0.5)) + floor(n * 0.15::DOUBLE + 0.5) THEN 'valid' ELSE 'test' END AS split FROM r""")
+def session_split(spark, sf_dir):
+    return splits.session_split(v.table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query("SELECT conv_id, turn, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS session FROM conversations JOIN labels ON conv_id = doc_id WHERE quality IS NOT NULL AND toxic = 0")
+def resolved_sessions(spark, sf_dir):
+    """Turns with a session from a lookup; those that it lacks, or gives none for, go."""
+    lookup = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), F.when(F.col("toxic") == 0, F.when(F.col("quality") == 1, "good").when(F.col("quality").isNotNull(), "poor")).otherwise("").alias("session"))
+    return splits.by_lookup(v.table(spark, sf_dir, "conversations"), lookup, "conv_id", "session").select("conv_id", "turn", "session")
+
+
+@query(f"""WITH {v.DOCS}, {HASHED} SELECT split, count(*) AS source, count(*) FILTER (split <> 'test' AND doc_id % 4 = 0) AS excluded, count(*) - count(*) FILTER (split <> 'test' AND doc_id % 4 = 0) AS kept FROM hs GROUP BY split""")
+def exclusion_counts(spark, sf_dir):
+    d = splits.by_hash(v.docs(spark, sf_dir), "doc_id").select("doc_id", "split")
+    return splits.exclusion_counts(d, d.filter("doc_id % 4 = 0"), "doc_id")
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def repeated_exclusions(spark, sf_dir):
+    return splits.repeated_exclusions(v.docs(spark, sf_dir), "sha")
+
+
+@query(f"""WITH {v.DOCS}, u AS (SELECT class, doc_id, 0 AS source_rank FROM docs WHERE source IS NULL OR doc_id % 2 = 0 UNION ALL SELECT class, doc_id, 1 FROM docs)
+SELECT doc_id, min(source_rank)::INT AS source_rank, count(*) AS n FROM u GROUP BY doc_id""")
+def ordered_union(spark, sf_dir):
+    d = v.docs(spark, sf_dir).select("class", "doc_id")
+    both = tables.ordered_union(v.docs(spark, sf_dir).filter("source IS NULL OR doc_id % 2 = 0").select("doc_id", "class"), d)
+    return both.groupBy("doc_id").agg(F.min("source_rank").alias("source_rank"), F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier), c AS (SELECT DISTINCT n_nationkey AS k FROM nation),
+x AS (SELECT 'customers-suppliers' AS pair, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS left_only, (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS right_only
+UNION ALL SELECT 'nations-nations', 0, 0 UNION ALL SELECT 'suppliers-orders', (SELECT count(*) FROM b WHERE k NOT IN (SELECT o_orderkey FROM orders)), (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey NOT IN (SELECT k FROM b)))
+SELECT pair, left_only = 0 AND right_only = 0 AS equal, left_only::BIGINT AS left_only, right_only::BIGINT AS right_only FROM x""")
+def set_equality(spark, sf_dir):
+    a = v.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_nationkey").cast("long").alias("k"))
+    b = v.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("k"))
+    c = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    o = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    named = [("customers-suppliers", a, b), ("nations-nations", c, c), ("suppliers-orders", b, o)]
+    found = [tables.same_sets(x, y, "k").withColumn("pair", F.lit(n)) for n, x, y in named]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("""SELECT doc_id, list_has_any(string_split(coalesce(source, ''), '_'), string_split(coalesce(lang, ''), '_')) OR len(list_intersect([n_chars % 3, n_chars % 5], [n_chars % 4])) > 0 AS overlap FROM documents""")
+def set_overlaps(spark, sf_dir):
+    n = F.col("n_chars")
+    d = v.table(spark, sf_dir, "documents")
+    words = lambda c: F.split(F.coalesce(c, F.lit("")), "_")
+    both = tables.overlaps(d.withColumns({"a": words("source"), "b": words("lang"), "c": F.array(n % 3, n % 5), "d": F.array(n % 4)}), "a", "b").withColumnRenamed("overlap", "names")
+    return tables.overlaps(both, "c", "d").select("doc_id", (F.col("names") | F.col("overlap")).alias("overlap"))

@@ -64,24 +64,59 @@ def _frames(df):
     return df.select("frame", "box_id", "class_name", "confidence", "x1", "y1", "x2", "y2")
 
 
-@query()
+PAIRS = f"pairs AS (SELECT frame, t.box_id AS truth_id, p.box_id, t.class_name = p.class_name AS same, {v.iou_sql('t', 'p')} AS o FROM t JOIN p USING (frame) WHERE {v.iou_sql('t', 'p')} > 0)"
+ONE_TO_ONE = f"""{v.BOXES}, {PAIRS},
+c AS (SELECT frame, truth_id, list({{'o': o, 'id': box_id}} ORDER BY o DESC, box_id) AS c FROM pairs GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY truth_id) AS r FROM c),
+g AS (
+  SELECT frame, 0::BIGINT AS r, NULL::BIGINT AS truth_id, NULL::BIGINT AS box_id, NULL::DOUBLE AS o, []::BIGINT[] AS used FROM (SELECT DISTINCT frame FROM n)
+  UNION ALL
+  SELECT frame, r, truth_id, CASE WHEN pick.o >= 0.5 THEN pick.id END, pick.o, CASE WHEN pick.o >= 0.5 THEN list_append(used, pick.id) ELSE used END
+  FROM (SELECT n.frame, n.r, n.truth_id, g.used, list_filter(n.c, lambda x: NOT list_contains(g.used, x.id))[1] AS pick FROM g JOIN n ON n.frame = g.frame AND n.r = g.r + 1))"""
+
+
+@query(f"WITH RECURSIVE {ONE_TO_ONE} SELECT frame, truth_id, box_id, round(o, 8) AS overlap FROM g WHERE box_id IS NOT NULL")
 def one_to_one_matches(spark, sf_dir):
-    return boxes.one_to_one(v.truth_boxes(spark, sf_dir), v.predicted_boxes(spark, sf_dir))
+    d = boxes.one_to_one(v.truth_boxes(spark, sf_dir), v.predicted_boxes(spark, sf_dir))
+    return d.withColumn("overlap", F.round("overlap", 8))
 
 
-@query()
+def _apart(keys: str, order: str, clash: str) -> str:
+    """Boxes of ``t`` that, in order, clash with none kept before."""
+    on = " AND ".join(f"n.{k} = g.{k}" for k in keys.split(", "))
+    row = "{'box_id': n.box_id, 'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2}"
+    return f"""{v.BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS r FROM t),
+g AS (
+  SELECT {", ".join("n." + k for k in keys.split(", "))}, n.r, [{row}] AS kept, n.box_id FROM n WHERE r = 1
+  UNION ALL
+  SELECT {", ".join("n." + k for k in keys.split(", "))}, n.r, CASE WHEN hit THEN kept ELSE list_append(kept, {row}) END, CASE WHEN hit THEN NULL ELSE n.box_id END
+  FROM (SELECT n, g.kept, len(list_filter(g.kept, lambda k: {clash})) > 0 AS hit FROM g JOIN n ON {on} AND n.r = g.r + 1))
+SELECT {keys}, box_id FROM g WHERE box_id IS NOT NULL"""
+
+
+@query("WITH RECURSIVE " + _apart("frame", "confidence DESC, box_id", v.iou_sql("k", "n") + " > 0.3"))
 def suppressed_boxes(spark, sf_dir):
-    return boxes.suppress(_frames(v.truth_boxes(spark, sf_dir)), 0.3)
+    return boxes.suppress(_frames(v.truth_boxes(spark, sf_dir)), 0.3).select("frame", "box_id")
 
 
-@query()
+@query("WITH RECURSIVE " + _apart("frame, class_name", "(x2 - x1) * (y2 - y1) DESC, box_id", v.iou_sql("k", "n") + " >= 0.5"))
 def merged_labels(spark, sf_dir):
-    return boxes.merge_labels(_frames(v.truth_boxes(spark, sf_dir)), 0.5)
+    return boxes.merge_labels(_frames(v.truth_boxes(spark, sf_dir)), 0.5).select("frame", "class_name", "box_id")
 
 
-@query()
+SLOT = "{{'box_id': {a}.box_id, 'class_name': {a}.class_name, 'x1': {a}.x1, 'y1': {a}.y1, 'x2': {a}.x2, 'y2': {a}.y2, 'done': {done}}}"
+
+
+@query(f"""WITH RECURSIVE {v.BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY box_id) AS r FROM p), last AS (SELECT frame, max(r) AS m FROM n GROUP BY frame),
+g AS (
+  SELECT frame, 0::BIGINT AS r, list({SLOT.format(a="t", done="false")} ORDER BY box_id) AS slots FROM t GROUP BY frame
+  UNION ALL
+  SELECT frame, r, CASE WHEN place > 0 THEN list_transform(slots, lambda x, i: CASE WHEN i = place THEN mine ELSE x END) ELSE list_append(slots, mine) END
+  FROM (SELECT n.frame, n.r, g.slots, {SLOT.format(a="n", done="true")} AS mine, coalesce(list_position(list_transform(g.slots, lambda k: NOT k.done AND k.class_name = n.class_name AND {v.iou_sql("k", "n")} >= 0.3), true), 0) AS place
+        FROM g JOIN n ON n.frame = g.frame AND n.r = g.r + 1))
+SELECT frame, x.box_id AS box_id, x.class_name AS class_name, x.x1 AS x1, x.x2 AS x2 FROM (SELECT frame, unnest(slots) AS x FROM g LEFT JOIN last USING (frame) WHERE g.r = coalesce(m, 0))""")
 def replaced_boxes(spark, sf_dir):
-    return boxes.replace_boxes(_frames(v.truth_boxes(spark, sf_dir)), _frames(v.predicted_boxes(spark, sf_dir)))
+    return boxes.replace_boxes(_frames(v.truth_boxes(spark, sf_dir)), _frames(v.predicted_boxes(spark, sf_dir))).select("frame", "box_id", "class_name", "x1", "x2")
 
 
 @query()
@@ -104,14 +139,15 @@ def preview_verdicts(spark, sf_dir):
     return boxes.preview_verdict(t.select("frame").distinct(), t)
 
 
-NORMAL = f"{v.BOXES}, y AS (SELECT frame AS image, box_id, class_name, CASE WHEN frame % 3 = 0 THEN 'train' WHEN frame % 3 = 1 THEN 'valid' ELSE 'test' END AS split, (x2 - x1) / 300.0::DOUBLE AS w, (y2 - y1) / 250.0::DOUBLE AS h, (x1 + x2) / 2.0::DOUBLE / 300.0 AS cx, (y1 + y2) / 2.0::DOUBLE / 250.0 AS cy FROM t WHERE l_suppkey % 3 > 0), im AS (SELECT DISTINCT frame AS image, CASE WHEN frame % 3 = 0 THEN 'train' WHEN frame % 3 = 1 THEN 'valid' ELSE 'test' END AS split FROM t)"
+NORMAL = f"{v.BOXES}, y AS (SELECT frame AS image, box_id, class_name, CASE WHEN frame % 3 = 0 THEN 'train' WHEN frame % 3 = 1 THEN 'valid' ELSE 'test' END AS split, (x2 - x1) / 300.0::DOUBLE AS w, (y2 - y1) / 250.0::DOUBLE AS h, (x1 + x2) / 2.0::DOUBLE / 300.0 AS cx, (y1 + y2) / 2.0::DOUBLE / 250.0 AS cy FROM t), im AS (SELECT DISTINCT frame AS image, CASE WHEN frame % 3 = 0 THEN 'train' WHEN frame % 3 = 1 THEN 'valid' ELSE 'test' END AS split FROM t UNION SELECT DISTINCT -1 - frame, 'test' FROM t WHERE frame % 10 = 0)"
 
 
 def _normal(spark, sf_dir):
     t = v.truth_boxes(spark, sf_dir)
     split = F.when(F.col("frame") % 3 == 0, "train").when(F.col("frame") % 3 == 1, "valid").otherwise("test").alias("split")
-    y = t.filter("l_suppkey % 3 > 0").select(F.col("frame").alias("image"), "box_id", "class_name", split, s.to_yolo(_corners(), F.lit(300.0), F.lit(250.0)).alias("y"), _corners().alias("b")).select("*", "y.*")
-    return y, t.select(F.col("frame").alias("image"), split).distinct()
+    y = t.select(F.col("frame").alias("image"), "box_id", "class_name", split, s.to_yolo(_corners(), F.lit(300.0), F.lit(250.0)).alias("y"), _corners().alias("b")).select("*", "y.*")
+    empty = t.filter("frame % 10 = 0").select((-1 - F.col("frame")).alias("image"), F.lit("test").alias("split"))
+    return y, t.select(F.col("frame").alias("image"), split).unionByName(empty).distinct()
 
 
 @query(f"WITH {NORMAL} SELECT class_name, count(*) AS n, round(avg(w * h), 8) AS mean_area, round(median(w * h), 8) AS median_area, round(min(w * h), 8) AS min_area, round(max(w * h), 8) AS max_area, count(*) FILTER ({SIZE.format(a='w * h')} = 'small') AS n_small, count(*) FILTER ({SIZE.format(a='w * h')} = 'medium') AS n_medium, count(*) FILTER ({SIZE.format(a='w * h')} = 'large') AS n_large FROM y GROUP BY class_name")
@@ -140,12 +176,20 @@ def label_lines(spark, sf_dir):
     return y.select("image", "box_id", s.yolo_line(F.col("box_id") % 9, F.col("y")).alias("line"))
 
 
-@query(f"""WITH {NORMAL} SELECT image, box_id, CASE WHEN cx < 0 OR cx > 1 OR cy < 0 OR cy > 1 THEN 'center_out_of_range' WHEN w <= 0 OR w > 1 OR h <= 0 OR h > 1 THEN 'size_out_of_range'
-WHEN cx - w / 2 < 0.05 - 1e-6 OR cx + w / 2 > 1.05 + 1e-6 OR cy - h / 2 < -1e-6 OR cy + h / 2 > 1 + 1e-6 THEN 'outside_frame' END AS error FROM (SELECT image, box_id, w, h, cx, cy FROM y WHERE cx - w / 2 >= 0.05 OR cx - w / 2 < -1)""")
+# faults of every kind: boxes moved out, flattened, without a value
+FAULTY = "f AS (SELECT image, box_id, CASE box_id % 11 WHEN 0 THEN cx + 0.7 WHEN 1 THEN cx - 0.25 ELSE cx END AS cx, CASE WHEN box_id % 7 = 0 THEN NULL ELSE cy END AS cy, CASE box_id % 13 WHEN 0 THEN 0.0 WHEN 1 THEN w + 1 ELSE w END AS w, h FROM y)"
+
+
+@query(f"""WITH {NORMAL}, {FAULTY} SELECT image, box_id, CASE WHEN cx IS NULL OR cy IS NULL OR w IS NULL OR h IS NULL THEN 'missing' WHEN cx < 0 OR cx > 1 OR cy < 0 OR cy > 1 THEN 'center_out_of_range' WHEN w <= 0 OR w > 1 OR h <= 0 OR h > 1 THEN 'size_out_of_range'
+WHEN cx - w / 2 < -1e-6::DOUBLE OR cx + w / 2 > 1 + 1e-6::DOUBLE OR cy - h / 2 < -1e-6::DOUBLE OR cy + h / 2 > 1 + 1e-6::DOUBLE THEN 'outside_frame' END AS error FROM f""")
 def box_errors(spark, sf_dir):
     from curata.operators.rules import strict_box_error
 
-    y = _normal(spark, sf_dir)[0].filter("cx - w / 2 >= 0.05")
+    k, y = F.col("box_id"), _normal(spark, sf_dir)[0]
+    y = y.withColumns({
+        "cx": F.when(k % 11 == 0, F.col("cx") + 0.7).when(k % 11 == 1, F.col("cx") - 0.25).otherwise(F.col("cx")), "cy": F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("cy")),
+        "w": F.when(k % 13 == 0, 0.0).when(k % 13 == 1, F.col("w") + 1).otherwise(F.col("w")),
+    })
     return y.select("image", "box_id", strict_box_error(F.col("cx"), F.col("cy"), F.col("w"), F.col("h")).alias("error"))
 
 
@@ -167,11 +211,32 @@ def fused_confidences(spark, sf_dir):
     return t.select("frame", "box_id", F.round(s.fuse(F.col("confidence"), F.col("box_id") % 7 / 7.0), 8).alias("fused"))
 
 
-@query()
+ASSIGNED = f"""{v.BOXES}, {PAIRS},
+c AS (SELECT frame, box_id, list({{'o': o, 'id': truth_id}} ORDER BY o DESC, truth_id) AS c FROM pairs WHERE same GROUP BY ALL),
+n AS (SELECT c.*, row_number() OVER (PARTITION BY frame ORDER BY confidence DESC, box_id) AS r FROM c JOIN p USING (frame, box_id)),
+g AS (
+  SELECT frame, 0::BIGINT AS r, NULL::BIGINT AS box_id, NULL::DOUBLE AS o, []::BIGINT[] AS used FROM (SELECT DISTINCT frame FROM n)
+  UNION ALL
+  SELECT frame, r, box_id, pick.o, CASE WHEN pick IS NOT NULL THEN list_append(used, pick.id) ELSE used END
+  FROM (SELECT n.frame, n.r, n.box_id, g.used, list_filter(n.c, lambda x: NOT list_contains(g.used, x.id))[1] AS pick FROM g JOIN n ON n.frame = g.frame AND n.r = g.r + 1)),
+a AS (SELECT p.class_name, p.confidence, coalesce(g.o, 0) AS o FROM p LEFT JOIN g ON g.frame = p.frame AND g.box_id = p.box_id)"""
+
+
+@query(f"""WITH RECURSIVE {ASSIGNED}, b AS (SELECT (50 + 5 * i) / 100::DOUBLE AS bound FROM range(10) x(i)), tn AS (SELECT class_name, count(*) AS n FROM t GROUP BY class_name),
+st AS (SELECT class_name, bound, confidence, count(*) FILTER (o >= bound) AS hits, count(*) AS rows FROM a, b GROUP BY ALL),
+cu AS (SELECT *, sum(hits) OVER w AS tp, sum(rows) OVER w AS k FROM st WINDOW w AS (PARTITION BY class_name, bound ORDER BY confidence DESC)),
+pr AS (SELECT *, max(tp / k) OVER (PARTITION BY class_name, bound ORDER BY confidence) AS best FROM cu),
+ap AS (SELECT class_name, bound, sum(best * hits / n) AS ap, max(tp / n) AS recall, arg_min(tp / k, confidence) AS prec FROM pr JOIN tn USING (class_name) GROUP BY ALL)
+SELECT class_name AS class, round(max(prec) FILTER (bound = 0.5), 8) AS precision, round(max(recall) FILTER (bound = 0.5), 8) AS recall, round(max(ap) FILTER (bound = 0.5), 8) AS ap50, round(avg(ap), 8) AS ap50_95 FROM ap GROUP BY class_name""")
 def detector_precision(spark, sf_dir):
-    """Precision, recall and average precision a class."""
-    from curata.operators.metrics import average_precision
+    """Precision, recall and average precision a class, at an overlap of 0.5 and on average from 0.5 to 0.95."""
+    from curata.operators.metrics import mean_average_precision
 
     t = v.truth_boxes(spark, sf_dir)
-    m = boxes.best_matches(v.predicted_boxes(spark, sf_dir), t).withColumns({"is_tp": F.col("verdict") == "tp", "box_id": F.concat_ws("/", F.col("frame").cast("string"), F.col("box_id").cast("string"))})
-    return average_precision(m, t.groupBy("class_name").agg(F.count("*").alias("n")))
+    d = mean_average_precision(boxes.assign(v.predicted_boxes(spark, sf_dir), t), t.groupBy("class_name").agg(F.count("*").alias("n")))
+    return d.select("class", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "ap50", "ap50_95")])
+
+
+@query(f"WITH {v.BOXES} SELECT frame, box_id, row_number() OVER (PARTITION BY frame ORDER BY confidence DESC, box_id) AS place FROM t")
+def preview_order(spark, sf_dir):
+    return boxes.by_confidence(v.truth_boxes(spark, sf_dir)).select("frame", "box_id", F.col("place").cast("long").alias("place"))

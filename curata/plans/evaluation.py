@@ -90,7 +90,7 @@ def latency_percentiles(spark, sf_dir):
 
 @query("WITH s AS (SELECT lang, list_sort(list(n_chars)) AS x FROM documents GROUP BY lang) SELECT lang, x[len(x) // 2 + 1] AS median FROM s")
 def upper_medians(spark, sf_dir):
-    return v.table(spark, sf_dir, "documents").groupBy("lang").agg(metrics.upper_median("n_chars").alias("median"))
+    return metrics.upper_median(v.table(spark, sf_dir, "documents"), "n_chars", "lang")
 
 
 @query(f"""WITH {v.EVAL} SELECT grp, round(avg((true_class = pred_class)::INT), 8) AS accuracy, count(*) AS n, count(*) FILTER (score < 0.5) AS uncertain FROM e GROUP BY grp""")

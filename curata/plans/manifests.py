@@ -121,16 +121,16 @@ def keyword_classes(spark, sf_dir):
     return tables.match_keywords(d, "t", [("steel", "steel"), ("brass", "brass")]).select("p_partkey", "matched")
 
 
-@query("SELECT c_custkey AS k, 'left_only' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right_only' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT p_partkey AS k, 'left_only' AS side FROM part WHERE p_partkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT o_orderkey, 'right_only' FROM orders WHERE o_orderkey NOT IN (SELECT p_partkey FROM part)")
 def unmatched_keys(spark, sf_dir):
-    c, o = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    return tables.unmatched(c, o, ["k"])
+    p, o = v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return tables.unmatched(p, o, ["k"])
 
 
-@query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@query("SELECT count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)")
 def dangling_references(spark, sf_dir):
-    o = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    return tables.dangling(v.table(spark, sf_dir, "lineitem"), o, "l_orderkey").agg(F.count("*").alias("n"))
+    o = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_partkey"))
+    return tables.dangling(v.table(spark, sf_dir, "lineitem"), o, "l_partkey").agg(F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT l_returnflag AS k, avg(l_discount) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_returnflag AS k, avg(l_discount) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from curata.plans import curation, detection, evaluation, manifests, streams  # noqa: E402, F401
+from curata.plans import curation, detection, evaluation, manifests, reviews, streams  # noqa: E402, F401

@@ -55,34 +55,79 @@ def stabilized(spark, sf_dir):
     return d.select("session", "seq", "stable_label", "majority", "is_locked", "lock_count", F.round("ema", 8).alias("ema"), "is_uncertain")
 
 
-@query()
+def _fold(extra: str, state: str, seed: str, step: str, gives: str) -> str:
+    """SQL of a fold: rows ``n`` (with r, their number in a session) go one by one through ``step`` over the state ``f``."""
+    return f"""WITH RECURSIVE {v.PRED}, n AS (SELECT *{extra}, row_number() OVER ({W}) AS r FROM pred),
+f AS (
+  SELECT session, 0::BIGINT AS r, NULL::BIGINT AS seq, {seed} FROM (SELECT DISTINCT session FROM n)
+  UNION ALL
+  SELECT session, r, seq, {state} FROM ({step}))
+SELECT session, seq, {gives} FROM f WHERE r > 0"""
+
+
+@query(_fold(
+    "", "CASE WHEN far THEN smooth ELSE coalesce(smooth + (v - smooth) / 3.0::DOUBLE, v) END AS smooth, CASE WHEN far THEN ring ELSE list_append(ring, v)[-5:] END AS ring, far, v",
+    "NULL::DOUBLE AS smooth, []::DOUBLE[] AS ring, false AS far, 0.0::DOUBLE AS v",
+    """SELECT n.session, n.r, n.seq, f.smooth, f.ring, n.confidence::DOUBLE AS v,
+    len(f.ring) > 1 AND coalesce(list_aggregate(f.ring, 'var_pop'), 0) > 1e-18 AND pow(n.confidence - list_avg(f.ring), 2) > 4 * list_aggregate(f.ring, 'var_pop') AS far FROM f JOIN n ON n.session = f.session AND n.r = f.r + 1""",
+    "round(CASE WHEN len(ring) < 3 THEN v ELSE smooth END, 8) AS smoothed, far AS is_outlier",
+))
 def smoothed_confidence(spark, sf_dir):
     """Outlier-rejecting EMA: what is accepted depends on what was."""
-    return folds.fold_batch(v.predictions(spark, sf_dir), KEY, ORDER, folds.OutlierSmoother).select("session", "seq", "smoothed", "is_outlier")
+    d = folds.fold_batch(v.predictions(spark, sf_dir), KEY, ORDER, folds.OutlierSmoother)
+    return d.select("session", "seq", F.round("smoothed", 8).alias("smoothed"), "is_outlier")
 
 
-@query()
+@query(_fold(
+    ", seq % 3 > 0 AS ok", "CASE WHEN NOT due OR right_mean IS NULL OR wrong_mean IS NULL OR len(seen) < 10 THEN th WHEN right_mean < th THEN greatest(0.3, th - 0.01) WHEN wrong_mean > th THEN least(0.9, th + 0.01) ELSE th END AS th, CASE WHEN due THEN time ELSE last END AS last, seen, c",
+    "0.5::DOUBLE AS th, NULL::DOUBLE AS last, []::STRUCT(c DOUBLE, ok BOOLEAN)[] AS seen, 0.0::DOUBLE AS c",
+    """SELECT *, list_avg(list_transform(list_filter(seen, lambda x: x.ok), lambda x: x.c)) AS right_mean, list_avg(list_transform(list_filter(seen, lambda x: NOT x.ok), lambda x: x.c)) AS wrong_mean
+    FROM (SELECT n.session, n.r, n.seq, f.th, f.last, n.time, n.confidence::DOUBLE AS c, list_append(f.seen, {'c': n.confidence::DOUBLE, 'ok': n.ok})[-20:] AS seen, f.last IS NULL OR n.time - f.last >= 5 AS due FROM f JOIN n ON n.session = f.session AND n.r = f.r + 1)""",
+    "round(th, 8) AS threshold, round(list_avg(list_transform(seen, lambda x: x.c)), 8) AS mean_confidence, round(list_avg(list_transform(seen, lambda x: x.ok::INT)), 8) AS accuracy",
+))
 def adaptive_threshold(spark, sf_dir):
     d = v.predictions(spark, sf_dir).withColumn("is_correct", F.col("seq") % 3 > 0)
-    return folds.fold_batch(d, KEY, ORDER, folds.AdaptiveThreshold).select("session", "seq", "threshold", "accepted", "mean_confidence", "accuracy")
-
-
-@query()
+    found = folds.fold_batch(d, KEY, ORDER, folds.AdaptiveThreshold)
+    return found.select("session", "seq", *[F.round(c, 8).alias(c) for c in ("threshold", "mean_confidence", "accuracy")])
+
+
+@query(_fold(
+    ", time / 500000 AS t", """CASE WHEN go THEN t ELSE last END AS last,
+    CASE rule WHEN 'soon' THEN steady WHEN 'steady' THEN steady + 1 WHEN 'settled' THEN CASE WHEN go THEN 0 ELSE steady + 1 END ELSE 0 END AS steady, CASE WHEN rule = 'new' THEN label ELSE known END AS known, go""",
+    "NULL::DOUBLE AS last, 0 AS steady, NULL::VARCHAR AS known, false AS go",
+    """SELECT *, rule <> 'soon' AND (rule <> 'settled' OR since >= 200) AS go FROM (SELECT *, CASE WHEN since < 100 THEN 'soon' WHEN since >= 1000 THEN 'overdue' WHEN confidence < 0.7 THEN 'unsure' WHEN label IS NOT NULL AND label IS DISTINCT FROM known THEN 'new' WHEN steady + 1 >= 3 THEN 'settled' ELSE 'steady' END AS rule
+    FROM (SELECT n.session, n.r, n.seq, n.t, n.label, n.confidence, f.last, f.steady, f.known, coalesce((n.t - f.last) * 1000.0, 1e300) AS since FROM f JOIN n ON n.session = f.session AND n.r = f.r + 1))""",
+    "go AS classify",
+))
 def cadence(spark, sf_dir):
-    return folds.fold_batch(v.predictions(spark, sf_dir), KEY, ORDER, folds.Cadence).select("session", "seq", "classify")
+    d = v.predictions(spark, sf_dir).withColumn("time", F.col("time") / 500000)  # intervals of some tenths of a second
+    return folds.fold_batch(d, KEY, ORDER, folds.Cadence).select("session", "seq", "classify")
 
 
-@query()
+@query(_fold(
+    ", seq % 10 / 10.0::DOUBLE AS classifier", "CASE WHEN fused < 0.5 AND known IS NOT NULL THEN known ELSE label END AS known, time AS last, fused, change",
+    "NULL::VARCHAR AS known, NULL::DOUBLE AS last, 0.0::DOUBLE AS fused, 0.0::DOUBLE AS change",
+    """SELECT *, least(1.0, greatest(0.0, 0.3::DOUBLE * confidence + 0.7::DOUBLE * classifier + change)) AS fused
+    FROM (SELECT n.session, n.r, n.seq, n.time, n.label, n.confidence, n.classifier, f.known, CASE WHEN f.last IS NULL THEN 0.0 WHEN n.label = f.known THEN 0.05::DOUBLE * greatest(0.0, 1.0 - (n.time - f.last)) ELSE -0.3::DOUBLE END AS change FROM f JOIN n ON n.session = f.session AND n.r = f.r + 1)""",
+    "known AS fused_label, round(fused, 8) AS fused, round(change, 8) AS bonus",
+))
 def stable_fusion(spark, sf_dir):
     d = v.predictions(spark, sf_dir).withColumns({"detector": F.col("confidence"), "classifier": (F.col("seq") % 10) / 10.0})
-    return folds.fold_batch(d, KEY, ORDER, folds.StableFusion).select("session", "seq", "fused_label", "fused", "bonus")
+    found = folds.fold_batch(d, KEY, ORDER, folds.StableFusion)
+    return found.select("session", "seq", "fused_label", F.round("fused", 8).alias("fused"), F.round("bonus", 8).alias("bonus"))
 
 
-@query()
+@query(_fold(
+    ", seq % 60 AS x", "CASE WHEN steady >= 2 THEN NULL ELSE label END AS known, CASE WHEN steady >= 2 THEN NULL ELSE x END AS place, CASE WHEN steady >= 2 THEN 0 ELSE steady END AS count, steady",
+    "NULL::VARCHAR AS known, NULL::DOUBLE AS place, 0 AS count, 0 AS steady",
+    """SELECT n.session, n.r, n.seq, n.label, n.x::DOUBLE AS x, CASE WHEN n.label = f.known AND sqrt(2 * pow(n.x - f.place, 2)) <= 0.2::DOUBLE * sqrt(20000::DOUBLE) THEN f.count + 1 ELSE 1 END AS steady
+    FROM f JOIN n ON n.session = f.session AND n.r = f.r + 1""",
+    "steady >= 2 AS capture, steady::INT AS steady",
+))
 def capture_gate(spark, sf_dir):
-    p = F.col("seq") % 3
+    p = F.col("seq") % 60
     d = v.predictions(spark, sf_dir).withColumns({"x1": p, "y1": p, "x2": p + 100, "y2": p + 100})
-    return folds.fold_batch(d, KEY, ORDER, folds.CaptureGate).select("session", "seq", "capture", "steady")
+    return folds.fold_batch(d, KEY, ORDER, lambda: folds.CaptureGate(frames=2)).select("session", "seq", "capture", "steady")
 
 
 @query(f"""WITH {v.PRED}, i AS (SELECT *, time - lag(time) OVER ({W}) AS itv FROM pred)
@@ -174,8 +219,8 @@ def session_statistics(spark, sf_dir):
     return frames.session_statistics(v.predictions(spark, sf_dir).withColumn("latency", (F.col("seq") % 50).cast("double")))
 
 
-@query(f"""WITH {v.PRED} SELECT 'confidence' AS metric, count(confidence) AS n, round(avg(confidence), 8) AS mean, round(stddev_pop(confidence), 8) AS std FROM pred
-UNION ALL SELECT 'odd', count(o), round(avg(o), 8), round(stddev_pop(o), 8) FROM (SELECT CASE WHEN seq % 2 = 1 THEN confidence END AS o FROM pred)""")
+@query(f"""WITH {v.PRED} SELECT 'confidence' AS metric, count(confidence) AS n, round(avg(confidence), 8) AS mean, round(stddev_pop(confidence), 8) AS std, min(confidence)::DOUBLE AS least, max(confidence)::DOUBLE AS most FROM pred
+UNION ALL SELECT 'odd', count(o), round(avg(o), 8), round(stddev_pop(o), 8), min(o)::DOUBLE, max(o)::DOUBLE FROM (SELECT CASE WHEN seq % 2 = 1 THEN confidence END AS o FROM pred)""")
 def diagnostics_summary(spark, sf_dir):
     d = v.predictions(spark, sf_dir).withColumn("odd", F.when(F.col("seq") % 2 == 1, F.col("confidence")))
     return frames.diagnostics_summary(d, "confidence", "odd").withColumns({"mean": F.round("mean", 8), "std": F.round("std", 8)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curata.functions.scalar import basename, extension, parent_folder, stem
@@ -12,6 +12,7 @@ from curata.functions.scalar import basename, extension, parent_folder, stem
 # File extensions of images.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
 
+# The manifest's columns in their order.
 MANIFEST_COLUMNS = [
     "image_id", "image_path", "fruit_type", "freshness_label", "physical_fruit_id", "capture_session_id", "capture_timestamp", "camera_id", "lighting_condition", "background_type",
     "viewing_angle", "occlusion_level", "distance_category", "storage_condition", "days_since_purchase", "annotator", "annotation_confidence",
@@ -19,13 +20,77 @@ MANIFEST_COLUMNS = [
 
 
 def file_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, name, stem, extension, folder, length, is_image) of all files below a folder; contents only on request.
-    Spark's file index leaves out empty files and names that begin with a dot or underscore."""
+    """(path, name, stem, extension, folder, length, is_image) of the files below a folder; contents only on request.
+    Spark's readers leave out empty files and names that begin with a dot or underscore: ``file_listing`` has those."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     out = df.select("path", basename(F.col("path")).alias("name"), stem(F.col("path")).alias("stem"), extension(F.col("path")).alias("extension"), parent_folder(F.col("path")).alias("folder"), "length", *(["content"] if content else []))
     return out.withColumn("is_image", F.col("extension").isin(*IMAGE_EXTENSIONS))
 
 
+def file_listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, extension, folder, length) of every file below a folder, empty and hidden ones too. Folders of the first level are
+    dealt over tasks, which list them; nothing is opened."""
+    from curata.session import filesystem
+
+    schema = "path string, length long"
+
+    def walk(frames):
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        system, base = filesystem(root)
+        for frame in frames:
+            for name, deep in zip(frame["name"], frame["deep"], strict=True):
+                found = system.get_file_info(pafs.FileSelector(base if name is None else f"{base}/{name}", recursive=bool(deep)))
+                files = [f for f in found if f.type == pafs.FileType.File]
+                yield pd.DataFrame({"path": [f.path for f in files], "length": [f.size for f in files]}).astype({"path": object, "length": "int64"})
+
+    from pyarrow import fs as pafs
+
+    system, base = filesystem(root)
+    top = [f.base_name for f in system.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.Directory]
+    todo = spark.createDataFrame([(None, False), *((name, True) for name in top)], "name string, deep boolean").repartition(len(top) + 1)
+    files = todo.mapInPandas(walk, schema)
+    return files.select("path", basename(F.col("path")).alias("name"), extension(F.col("path")).alias("extension"), parent_folder(F.col("path")).alias("folder"), "length")
+
+
+def image_size(content: bytes) -> tuple[str | None, int | None, int | None]:
+    """(format, width, height) from the head of a PNG, JPEG or BMP file; nulls where there is no sound one."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and content[12:16] == b"IHDR" and len(content) >= 24:
+        return "png", int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    if content[:2] == b"BM" and len(content) >= 26:
+        return "bmp", int.from_bytes(content[18:22], "little"), abs(int.from_bytes(content[22:26], "little", signed=True))
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 9 <= len(content) and content[at] == 0xFF:
+        marker, length = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return "jpeg", int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 2 + length
+    return None, None, None
+
+
+def dataset_scan(spark: SparkSession, root: str, quality: DataFrame | None = None) -> DataFrame:
+    """(path, class, split, length, sha256, format, width, height, aspect_ratio, readable, and the columns of ``quality``) of the images of a
+    tree root/split/class/file. Readable is what has a sound head with a size; pixels are not decoded, so measures of
+    them come in ``quality``, a table by path."""
+    tree = file_tree(spark, root, content=True).filter("is_image")
+    kept = "path string, class string, split string, length long, sha256 string, format string, width int, height int"
+
+    def heads(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [image_size(c.as_py() or b"") for c in batch.column("content")]
+            known = [batch.column(c) for c in ("path", "class", "split", "length", "sha256")]
+            more = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*known, *more], names=[c.split()[0] for c in kept.split(", ")])
+
+    split = F.element_at(F.split("path", "/"), -3)
+    rows = tree.select("path", F.col("folder").alias("class"), split.alias("split"), "length", F.sha2("content", 256).alias("sha256"), "content").mapInArrow(heads, kept)
+    rows = rows.withColumns({"aspect_ratio": F.coalesce(F.try_divide(F.col("width"), F.col("height")), F.lit(0.0)), "readable": F.col("format").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0)})
+    return rows.join(quality, "path", "left") if quality is not None else rows
+
+
 def class_folders(spark: SparkSession, root: str) -> DataFrame:
     """(path, class) of images, the class being their folder."""
     return file_tree(spark, root).filter("is_image").select("path", F.col("folder").alias("class"))
@@ -45,12 +110,15 @@ def hashed_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def manifest_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A CSV manifest as text columns with ``row_number`` (the line in the file: the header is line 1). Blank rows are left out,
-    nulls are empty texts, a byte-order mark is accepted; columns that the file lacks are empty."""
+    """A CSV manifest as text columns with ``row_number``, the number of the record in its file (the header is 1). Blank rows are left out,
+    nulls are empty texts, a byte-order mark is accepted; columns that the file lacks are empty. Files of a folder are
+    numbered each by itself; a file whose records may hold line breaks is one task's work, as they can't be told from its middle."""
     df = spark.read.option("header", "true").option("encoding", "UTF-8").option("multiLine", "true").csv(path)
     df = df.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in df.columns})
-    df = df.withColumn("row_number", F.monotonically_increasing_id() + 2)  # one multi-line file is one partition
-    names = [c for c in df.columns if c != "row_number"]
+    names = df.columns
+    # a multi-line file is read whole by one task, in order, so ids rise with its records; they are numbered file by file
+    of = Window.partitionBy("_file").orderBy("_at")
+    df = df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()}).withColumn("row_number", (F.row_number().over(of) + 1).cast("long")).drop("_file", "_at")
     df = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names], "row_number")
     some = F.concat(*[F.trim(c) for c in names]) != ""
     missing = [c for c in (columns or MANIFEST_COLUMNS) if c not in names]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.functions.scalar import yolo_line
@@ -16,13 +16,14 @@ def write_manifest_csv(df: DataFrame, path: str, columns: list[str] | None = Non
 
 
 def write_report_json(df: DataFrame, path: str) -> None:
+    """A report as one file: for reports, whose rows are counts. Tables of data go to ``write_dataset``."""
     df.coalesce(1).write.mode("errorifexists").json(path)
 
 
 def write_dataset(df: DataFrame, path: str, *keys: str) -> None:
-    """A partitioned dataset, all or nothing: files appear when the job commits, and an existing path is refused. Rows of a partition
-    are dealt by hash first, so that a large one is written by many tasks."""
-    df.write.mode("errorifexists").partitionBy(*keys).parquet(path)
+    """A partitioned dataset, all or nothing: files appear when the job commits, and an existing path is refused. Rows are
+    rebalanced by the keys first: small partitions come to one file, and adaptive execution splits a large one over tasks."""
+    df.hint("rebalance", *keys).write.mode("errorifexists").partitionBy(*keys).parquet(path)
 
 
 def write_label_lines(boxes: DataFrame, path: str) -> None:
@@ -40,10 +41,17 @@ def write_version(df: DataFrame, path: str, version: str) -> str:
 
 
 def session_log(stream: DataFrame, log_path: str, summary_path: str, checkpoint: str):
-    """Appends each micro-batch's rows to a log and writes the session counts of that batch beside it; restarts don't repeat a batch."""
+    """Appends each micro-batch's rows to a log and its sums by session to a summary; restarts don't repeat a batch, as each
+    has a folder of its own. ``session_totals`` adds the sums up."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        batch.groupBy("session").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence")).write.mode("overwrite").parquet(f"{summary_path}/batch={batch_id}")
+        batch.groupBy("session").agg(F.count("*").alias("n"), F.count("confidence").alias("n_confidence"), F.sum("confidence").alias("confidence")).write.mode("overwrite").parquet(f"{summary_path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def session_totals(spark: SparkSession, summary_path: str) -> DataFrame:
+    """(session, n, avg_confidence) over all batches of a ``session_log``."""
+    sums = spark.read.parquet(summary_path)
+    return sums.groupBy("session").agg(F.sum("n").alias("n"), F.try_divide(F.sum("confidence"), F.sum("n_confidence")).alias("avg_confidence"))

@@ -51,7 +51,8 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold: Call
 
 
 def track_stream(stream: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None, idle_ms: int | None = None) -> DataFrame:
-    """``stream`` of box rows with ``track_id``. A frame's boxes have to arrive in one micro-batch."""
+    """``stream`` of box rows with ``track_id``. A frame's boxes have to arrive in one micro-batch; tracks age by frame numbers,
+    so frames without a box need not be sent."""
     from curata.operators.boxes import Tracker
 
     schema = T.StructType([*stream.schema.fields, T.StructField("track_id", T.LongType())])
@@ -67,8 +68,8 @@ def track_stream(stream: DataFrame, session: str = "session", frame: str = "fram
             tracker.state = pickle.loads(state.get[0])
         rows = pd.concat(list(frames)).sort_values([frame, "box_id"], kind="stable").reset_index(drop=True)
         ids = []
-        for _, part in rows.groupby(frame, sort=True):
-            ids += tracker.step(list(part[["confidence", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
+        for number, part in rows.groupby(frame, sort=True):
+            ids += tracker.step(number, list(part[["confidence", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
         state.update((pickle.dumps(tracker.state),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
