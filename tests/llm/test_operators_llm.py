@@ -168,21 +168,3 @@ def test_quality_rules(spark, docs, empty):
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(again), len(lines) - len(set(lines)))
         assert r.n_bullet_lines == sum(bool(re.match("[ \\t]*[-*•‣▪◦–]", x)) for x in lines) and r.n_ellipsis_lines == sum(x.rstrip(" \t\r").endswith(("...", "…")) for x in lines)
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r.base_failed and r.kept)
-
-
-def test_pipeline(spark, docs, empty):
-    import corpus_pipeline as p
-
-    def run(frame):
-        from curata.session import materialize
-
-        counts = []
-        for _, stage in p.STAGES:
-            frame = materialize(stage(spark, frame, ""), "stage")
-            counts.append((frame.columns, frame.count()))
-        return frame, counts
-
-    last, counts = run(docs)
-    assert all(c == p.COLUMNS for c, _ in counts[:-1]) and counts[0][1] < docs.count() and counts[-1][1] > 0
-    assert {"doc_id", "sequence_id", "offset", "length"} <= set(last.columns)
-    assert run(empty)[0].count() == 0
