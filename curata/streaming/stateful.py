@@ -111,3 +111,14 @@ def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what is there into a Parquet table of the shared folder, which is written exactly once, and reads it."""
+    from curata.session import shared_dir
+
+    spark = stream.sparkSession
+    path = shared_dir(spark, name)
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", shared_dir(spark, f"{name}-checkpoint")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
