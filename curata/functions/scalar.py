@@ -19,6 +19,13 @@ def gradient_hash(values: Column) -> Column:
     return F.when(n >= 2, F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc * 2 + b))
 
 
+def gradient_hash_above(pixels: Column, width: int = 9) -> Column:
+    """Bits of an image's rows of ``width`` pixels, given as one array: set where a pixel is brighter than the one above it, the first
+    pixel of the second row highest. Eight rows of nine give 63 bits."""
+    bits = F.transform(F.sequence(F.lit(width + 1), F.size(pixels)), lambda i: F.when(F.element_at(pixels, i) > F.element_at(pixels, i - width), F.lit(1)).otherwise(F.lit(0)))
+    return F.when(F.size(pixels) > width, F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc * 2 + b))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Bits in which two hashes differ."""
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
@@ -32,8 +39,9 @@ def hamming_text(a: Column, b: Column) -> Column:
 
 
 def canonical_json_digest(value: Column) -> Column:
-    """SHA-256 of a struct or map as JSON."""
-    return F.sha2(F.to_json(value).cast("binary"), 256)
+    """SHA-256 of a map as JSON with its keys in order, whatever the order of its entries."""
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(value)))
+    return F.sha2(F.to_json(ordered).cast("binary"), 256)
 
 
 # ---- boxes; a box is a struct of x1, y1, x2, y2
