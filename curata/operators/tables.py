@@ -165,10 +165,12 @@ def profile(files: DataFrame) -> DataFrame:
 
 
 def issue_summary(found: DataFrame, samples: int = 10) -> DataFrame:
-    """(kind, n, files, first refs): the count is whole, the list is capped by rank before it is gathered."""
-    w = Window.partitionBy("kind").orderBy("ref")
+    """(kind, n, files, first refs): the count is whole, the list is capped by rank before it is gathered: first in 256 parts of a
+    kind, then among what they leave."""
     counts = found.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("ref").alias("files"))
-    few = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= samples).groupBy("kind").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+    part, whole = Window.partitionBy("kind", "_part").orderBy("ref"), Window.partitionBy("kind").orderBy("ref")
+    few = found.withColumn("_part", F.pmod(F.xxhash64("ref"), F.lit(256))).withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= samples)
+    few = few.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= samples).groupBy("kind").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
     return counts.join(few, "kind")
 
 
