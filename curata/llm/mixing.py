@@ -18,8 +18,11 @@
 Slots run through all blocks before any repeats, so a document is used at most
 ``MAX_REPEATS`` times. All draws are keyed by (seed, shard) or (seed, source).
 
+Sources are rows on the driver, and entries of a draw's probabilities; their number is not limited otherwise.
+
 Defined results: null and empty texts have size 0 and nothing is taken; repeated rows are
-documents of their own; other columns of the input are dropped; an empty table gives no rows.
+documents of their own, and rows that tie in id, size and text can take each other's place; null ids stay null; very
+long texts are counted whole and lie in many blocks; other columns of the input are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations

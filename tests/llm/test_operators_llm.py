@@ -119,6 +119,23 @@ def test_ngram_join(docs, empty, monkeypatch, chunk):
         assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.similar_pairs(docs).count() > 0
 
 
+def test_keep_one_keeps_columns(docs):
+    """Columns named like the operator's own pass through, and one row of each group stays."""
+    clash = docs.withColumns({c: F.lit("clash") for c in ("row", "key", "found", "id", "kept_key", "class_id")})
+    got = ngram_join.keep_one(clash)
+    assert got.columns == clash.columns and {tuple(r[c] for c in ("row", "key", "found", "id", "kept_key", "class_id")) for r in got.collect()} == {("clash",) * 6}
+    found = ngram_join.near_duplicates(docs).filter("kept").collect()
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in found) - Counter({3: 1})  # one of two equal rows
+
+
+def test_mixing_many_sources(spark):
+    """More sources than rows of any other, each with its target, and documents that share ids."""
+    rows = [(i % 50, " ".join(["w"] * (i % 7)), f"s{i:04d}" if i else None) for i in range(1500)]
+    got = mixing.mix_digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got) == pytest.approx(sum(i % 7 for i in range(1500)), abs=1500 * 0.5)
+    assert all(0 <= r.taken <= 3 * r["size"] and abs(r.taken - r.target) <= 0.5 for r in got)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix_digest(docs, 16).collect()
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
