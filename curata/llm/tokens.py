@@ -2,7 +2,8 @@
 
 The vocabulary drops white space, and none of its patterns crosses it, so a text's ids are
 those of its words in order. Each worker keeps the ids of the words that it meets often (at
-most ``CACHE_WORDS``), and the library encodes the others.
+most ``CACHE_WORDS``), and the library encodes the others. So that more words are met again, ASCII letters are
+lower-cased first, as the vocabulary does.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ class WordEncoder:
         self.by_word = ids[0] == ids[1] + ids[2] == ids[3]
         # a word of the plain form goes to the model itself, if this vocabulary lower-cases and maps bytes to letters
         self.plain = [self._pieces(w) for w in ("Größe", "Été,", "ABC!?")] == self._ids(["Größe", "Été,", "ABC!?"])
+        self.plain &= self._ids(["it's a-b. so", "IT'S A-B. SO"]) == self._ids(["it's a-b. so"]) * 2
         self.words = _Words(self, {})
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -61,6 +63,11 @@ class WordEncoder:
         stem, marks = _PLAIN.fullmatch(word).groups()
         return self._piece(stem.lower()) + (self._piece(marks) if marks else b"")
 
+    def _folded(self, text: bytes) -> bytes:
+        """A text with the same ids of fewer different words. Special tokens are left alone, and so are texts with combining
+        marks (U+0300 to U+037F), which can compose with a small letter where they can't with its capital."""
+        return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text, without the end id."""
         if not self.by_word:
@@ -69,8 +76,9 @@ class WordEncoder:
             # words of the last generation that occur again move over; the others go with the next change
             self.words = _Words(self, self.words)
         get = self.words.__getitem__
+        folded = self._folded if self.plain else bytes
         # bytes.split() parts at exactly space, tab, line feed, vertical tab, form feed and carriage return
-        return [b"".join(map(get, t.split())) if t else b"" for t in texts]
+        return [b"".join(map(get, folded(t).split())) if t else b"" for t in texts]
 
 
 class _Words(dict):
@@ -84,6 +92,9 @@ class _Words(dict):
         ids = self.before.get(word)
         if ids is None:
             encoder = self.encoder
+            if encoder.plain and word.isalpha():  # ASCII letters alone
+                ids = self[word] = encoder._piece(word.decode().lower())
+                return ids
             text = word.decode()
             match = _PLAIN.fullmatch(text) if encoder.plain else None
             if match is None:

@@ -12,7 +12,7 @@ def test_word_encoder_equals_the_library():
     assert e.by_word and e.plain
     texts = [
         "It's 'tis don't", "a<|endoftext|>b <|startoftext|>", "x²y ½ café́ ﬁ ŉ İstanbul ΣΑΣ Ǆ", "a\x1cb\x85c d e", "你好 мир 123 4a5 !!! a_b", "Ünïcödé ÀÉ×÷ ß ſ K Å", "tab\tnl\nvt\x0bff\x0ccr\r",
-        "é ́x à.", "가 ᄀ ᅡ", "#$%^&*() [x]{y}~`", "", " \n ", "Word, word. WORD!! word",
+        "é ́x à.", "<|ENDOFTEXT|> A<|EndOfText|>b", "A\u030A I\u0307 E\u0301S \u212A\u212B", "Y\u030A W\u030A T\u0308 H\u0331", "IT'S WE'LL I'M ÀB'S", "ΑΣ ΑΣ. σς ẞ Ǆ Dž", "가 ᄀ ᅡ", "#$%^&*() [x]{y}~`", "", " \n ", "Word, word. WORD!! word",
     ]
     for t in texts:
         assert np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() == e.encode([t.encode()])[0]
