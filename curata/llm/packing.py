@@ -142,6 +142,9 @@ def checksum(batches):
 
 
 def pack_digest(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN) -> DataFrame:
-    """Packs whole documents; a row for each piece, with the checksum of its ids."""
-    pieces = cut_pieces(docs, vocabulary, max_len).mapInArrow(checksum, PIECES.replace("ids array<int>", "ids_crc32 long"))
-    return pack(pieces, max_len).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Packs whole documents; a row for each piece, with the checksum of its ids. Pieces are cut and summed in one pass: their
+    ids aren't written, as no one reads them (``cut_pieces`` writes them)."""
+    source = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    cut_ids = cut(vocabulary, max_len)
+    pieces = source.mapInArrow(lambda batches: checksum(cut_ids(batches)), PIECES.replace("ids array<int>", "ids_crc32 long"))
+    return pack(materialize(pieces, "pieces", compression="zstd"), max_len).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
