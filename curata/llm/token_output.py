@@ -39,6 +39,7 @@ FILE_OPTIONS = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "1000",
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
 }
 
 
