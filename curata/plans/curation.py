@@ -88,9 +88,16 @@ def linked_groups(spark, sf_dir):
     return dedup.components(d.distinct())
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRADIENT}, pairs AS (SELECT x.vec_id AS a, y.vec_id AS b FROM h x JOIN h y ON x.vec_id <> y.vec_id WHERE bit_count(xor(x.h, y.h)) <= 14),
+n AS (SELECT a AS id, list(b) AS near, row_number() OVER (ORDER BY a) AS r FROM pairs GROUP BY a),
+f AS (
+  SELECT 0::BIGINT AS r, NULL::BIGINT AS id, []::BIGINT[] AS taken, []::BIGINT[] AS mine
+  UNION ALL
+  SELECT r, id, list_concat(taken, mine), mine
+  FROM (SELECT n.r, n.id, f.taken, CASE WHEN list_contains(f.taken, n.id) THEN [] ELSE list_append(list_filter(n.near, lambda x: x > n.id AND NOT list_contains(f.taken, x)), n.id) END AS mine FROM f JOIN n ON n.r = f.r + 1))
+SELECT unnest(mine) AS id, id AS anchor FROM f WHERE len(mine) > 1""")
 def star_clusters(spark, sf_dir):
-    """Direct neighbours of anchors; order-dependent, tested against the sequential algorithm."""
+    """Direct neighbours of anchors; the SQL goes through the ids one by one."""
     return dedup.star_clusters(dedup.hamming_pairs(gradient_hashes(spark, sf_dir), "h", "vec_id", 14))
 
 
@@ -124,9 +131,16 @@ def modal_classes(spark, sf_dir):
     return splits.modal_class(v.docs(spark, sf_dir), "source", "class")
 
 
-@query()
+@query(f"""WITH {v.DOCS}, u AS (SELECT source || '/' || doc_id % 5 AS unit, class, count(*) AS n FROM docs GROUP BY ALL),
+m AS (SELECT unit, class AS modal FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY n DESC, class) AS r FROM u) WHERE r = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY modal ORDER BY {HASH.format(k="unit")}, unit) - 1 AS place, count(*) OVER (PARTITION BY modal) AS n FROM m),
+e AS (SELECT *, n * 0.7::DOUBLE AS e0, n * 0.15::DOUBLE AS e1, n * 0.15::DOUBLE AS e2 FROM r), b AS (SELECT *, floor(e0) AS b0, floor(e1) AS b1, floor(e2) AS b2, n - floor(e0) - floor(e1) - floor(e2) AS rest FROM e),
+p AS (SELECT *, b0 + ((e1 - b1 > e0 - b0)::INT + (e2 - b2 > e0 - b0)::INT < rest)::INT AS p0, b1 + ((e0 - b0 >= e1 - b1)::INT + (e2 - b2 > e1 - b1)::INT < rest)::INT AS p1, b2 + ((e0 - b0 >= e2 - b2)::INT + (e1 - b1 >= e2 - b2)::INT < rest)::INT AS p2 FROM b),
+q AS (SELECT *, CASE WHEN n >= 3 THEN (p0 = 0)::INT + (p1 = 0)::INT + (p2 = 0)::INT ELSE 0 END AS gives, list_position([p0, p1, p2], greatest(p0, p1, p2)) AS top FROM p),
+z AS (SELECT *, CASE WHEN n >= 3 AND p0 = 0 THEN 1 ELSE p0 - CASE WHEN top = 1 THEN gives ELSE 0 END END AS q0, CASE WHEN n >= 3 AND p1 = 0 THEN 1 ELSE p1 - CASE WHEN top = 2 THEN gives ELSE 0 END END AS q1 FROM q)
+SELECT unit, modal, CASE WHEN place < q0 THEN 'train' WHEN place < q0 + q1 THEN 'valid' ELSE 'test' END AS split FROM z""")
 def group_split(spark, sf_dir):
-    """Groups by modal class and largest remainder; tested for shares and whole groups."""
+    """Groups by modal class and largest remainder."""
     d = v.docs(spark, sf_dir).withColumn("unit", F.concat("source", F.lit("/"), (F.col("doc_id") % 5).cast("string")))
     return splits.group_split(d, "unit", "class")
 
