@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from curata.llm import embed_lattice, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, warc
+from curata.llm import embed_lattice, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup
 from curata.llm.tokens import WordEncoder, vocabulary
 
 
