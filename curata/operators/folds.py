@@ -198,6 +198,38 @@ class StableFusion:
         return (chosen, fused, change)
 
 
+class RateLimit:
+    """Lets a row pass if none did within ``interval`` seconds of event time before it."""
+
+    reads = ("time",)
+    gives = "passes boolean"
+
+    def __init__(self, interval: float = 5.0):
+        self.interval = interval
+        self.state = None
+
+    def step(self, time):
+        due = self.state is None or time - self.state >= self.interval
+        self.state = time if due else self.state
+        return (due,)
+
+
+class MotionGate:
+    """Whether a level moved by more than ``threshold`` hundredths of its range since the row before; null levels never do."""
+
+    reads = ("level",)
+    gives = "moved boolean"
+
+    def __init__(self, threshold: float = 5.0, span: float = 255.0):
+        self.least = threshold / 100.0
+        self.span = span
+        self.state = None
+
+    def step(self, level):
+        before, self.state = self.state, level
+        return (before is not None and level is not None and abs(level - before) / self.span > self.least,)
+
+
 class CaptureGate:
     """True on the frame that completes ``frames`` like-labelled frames whose centres drift by at most ``limit`` of the box's
     diagonal; then it starts anew. A frame without a label starts it anew too."""
@@ -249,4 +281,4 @@ def fold_batch(df: DataFrame, keys: list[str], order: list[str], fold: Callable,
     return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-__all__ = ["AdaptiveThreshold", "Cadence", "CaptureGate", "Ema", "OutlierSmoother", "StableFusion", "Stabilizer", "fold_batch"]
+__all__ = ["AdaptiveThreshold", "Cadence", "CaptureGate", "Ema", "MotionGate", "OutlierSmoother", "RateLimit", "StableFusion", "Stabilizer", "fold_batch"]

@@ -51,6 +51,13 @@ def stream_stabilized(spark, sf_dir):
     return d.select("session", "seq", "stable_label", "majority", "is_locked", "lock_count", F.round("ema", 8).alias("ema"), "is_uncertain")
 
 
+@query(ORACLES["motion_gate"])
+def stream_motion(spark, sf_dir):
+    """The rows of ``motion_gate``, from a stream that keeps the last level of each session."""
+    p = _predictions(spark, sf_dir).withColumn("level", F.col("confidence") * 255)
+    return stateful.run_to_table(stateful.fold_stream(p, streams.KEY, streams.ORDER, folds.MotionGate), "motion").select("session", "seq", "moved")
+
+
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_first_events(spark, sf_dir):
     """One event of each user and type within the watermark, which spans the table."""

@@ -130,6 +130,15 @@ def capture_gate(spark, sf_dir):
     return folds.fold_batch(d, KEY, ORDER, lambda: folds.CaptureGate(frames=2)).select("session", "seq", "capture", "steady")
 
 
+@query(_fold(
+    "", "CASE WHEN due THEN time ELSE last END AS last, due", "NULL::DOUBLE AS last, false AS due",
+    "SELECT n.session, n.r, n.seq, n.time, f.last, f.last IS NULL OR n.time - f.last >= 432000 AS due FROM f JOIN n ON n.session = f.session AND n.r = f.r + 1", "due AS passes",
+))
+def rate_limited(spark, sf_dir):
+    """At most one row of a session in five days."""
+    return folds.fold_batch(v.predictions(spark, sf_dir), KEY, ORDER, lambda: folds.RateLimit(432000.0)).select("session", "seq", "passes")
+
+
 @query(f"""WITH {v.PRED}, i AS (SELECT *, time - lag(time) OVER ({W}) AS itv FROM pred)
 SELECT session, seq, round(itv, 3) AS "interval", round(1.0 / nullif(avg(itv) OVER ({W} ROWS 29 PRECEDING), 0), 9) AS fps, round(1.0 / nullif(max(itv) OVER ({W} ROWS 29 PRECEDING), 0), 9) AS min_fps FROM i""")
 def rolling_rate(spark, sf_dir):
