@@ -497,7 +497,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     texts = long_texts(source, length)
     listed = repeated_runs(texts, length, gram).groupBy("text_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     cut = texts.join(listed, "text_id", "left").select("key", "copies", "text", "runs").mapInArrow(_cut(length), "key binary, n_bytes long, n_removed long, n_spans long, kept binary")
-    cut = materialize(cut, "cut", compression="zstd")
     is_long = F.octet_length("text") >= length
     after = source.filter(is_long).select("doc_id", text_key(F.col("text")).alias("key")).join(cut, "key").drop("key")
     none = F.lit(0).cast("long")
