@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import embed_lattice, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_output, warc
+from curata.llm import embed_lattice, exact_dedup, language_id, line_dedup, merkle, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_output, vector_codes, warc
 from curata.llm.common import table
 from curata.llm.tokens import vocabulary
 from curata.session import shared_dir
@@ -61,6 +61,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = exact_dedup.decisions(docs, exact_dedup.insert(docs))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.codebook_digest(codebooks)).alias("codebooks_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_output": op2_token_output,
@@ -72,8 +87,14 @@ QUERIES = {
     "op8_embedding_lattice": op8_embedding_lattice,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES = {
     "op6_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality_rules.oracle_sql(),
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
