@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions.scalar import area, box, height, iou, width
+from curata.operators import arrow
 from curata.session import materialize
 
 
@@ -211,15 +212,19 @@ class Tracker:
         near = 1.0 - np.linalg.norm(middle(a) - middle(b), axis=2) / max(1.0, self.reach)
         return np.where((overlap >= self.least) | (near >= 0.5), np.maximum(overlap, near), -1.0)
 
-    def step(self, frame: int, boxes: list[tuple]) -> list[int]:
-        """Track ids of a frame's (confidence, x1, y1, x2, y2) rows, in their order."""
+    def step(self, frame: int | None, boxes: list[tuple]) -> list[int | None]:
+        """Track ids of a frame's (confidence, x1, y1, x2, y2) rows, in their order; none for a box without a corner, or in a frame without a number."""
         next_id, tracks = self.state
+        ids: list[int | None] = [None] * len(boxes)
+        placed = [n for n, b in enumerate(boxes) if frame is not None and all(c is not None and c == c for c in b[1:])]
+        if not placed:
+            return ids
         live = [t for t in tracks if frame - t[1] <= self.patience]
-        scores = self._scores([b[1:] for b in boxes], [t[2] for t in live]) if boxes and live else None
-        ids = [-1] * len(boxes)
-        for n in sorted(range(len(boxes)), key=lambda k: -boxes[k][0]):
-            at = int(scores[n].argmax()) if scores is not None else -1
-            if at >= 0 and scores[n, at] >= 0:
+        scores = self._scores([boxes[n][1:] for n in placed], [t[2] for t in live]) if live else None
+        # by falling confidence, none last
+        for k, n in sorted(enumerate(placed), key=lambda kn: (boxes[kn[1]][0] is None, -(boxes[kn[1]][0] or 0))):
+            at = int(scores[k].argmax()) if scores is not None else -1
+            if at >= 0 and scores[k, at] >= 0:
                 ids[n] = live[at][0]
                 live[at] = (ids[n], frame, tuple(boxes[n][1:]))
                 scores[:, at] = -1.0
@@ -232,35 +237,34 @@ class Tracker:
 
 def track(df: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None) -> DataFrame:
     """``df`` (session, frame, box_id, confidence, corners) with ``track_id``. Frames of a session are streamed in order of their
-    whole numbers, and one frame is in memory at a time; a session is one task's work, as a track depends on all before it."""
+    whole numbers, and one frame is in memory at a time; a session is one task's work, as a track depends on all before it. Rows without a
+    session are one session."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*df.schema.fields, T.StructField("track_id", T.LongType())])
-
-    def run(parts):
-        import pandas as pd
-
-        known, tracker, rest = None, None, None
-        for part in parts:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            # the last frame may go on in the next batch
-            last = part.iloc[-1]
-            more = (part[session] == last[session]) & (part[frame] == last[frame])
-            rest, part = part[more], part[~more]
-            known, tracker, out = step(part, known, tracker)
-            yield out
-        if rest is not None:
-            yield step(rest, known, tracker)[2]
-
-    def step(part, known, tracker):
-        ids = []
-        for (name, number), boxes in part.groupby([session, frame], sort=False, dropna=False):
-            if tracker is None or name != known:
-                known, tracker = name, Tracker(**(settings or {}))
-            ids += tracker.step(number, list(zip(*(boxes[c].tolist() for c in ("confidence", "x1", "y1", "x2", "y2")), strict=True)))
-        return known, tracker, part.assign(track_id=ids)[schema.names]
-
-    return df.repartition(session).sortWithinPartitions(session, frame, "box_id").mapInPandas(run, schema)
+    given = [T.StructField("track_id", T.LongType())]
+    schema = T.StructType([*df.schema.fields, *given])
+
+    def run(batches):
+        known, tracker, fields = None, None, arrow.arrow_fields(given)
+        for batch, keys in arrow.whole_groups(batches, [session, frame]):
+            found, ids, start = arrow.rows(batch, ["confidence", "x1", "y1", "x2", "y2"]), [], 0
+            for end in range(1, len(keys) + 1):
+                if end < len(keys) and arrow.same_key(keys[end], keys[start]):
+                    continue
+                name, number = keys[start]
+                if tracker is None or not arrow.same(name, known):
+                    known, tracker = name, Tracker(**(settings or {}))
+                ids += tracker.step(number, found[start:end])
+                start = end
+            yield arrow.appended(batch, fields, [(i,) for i in ids])
+
+    return df.repartition(session).sortWithinPartitions(session, frame, "box_id").mapInArrow(run, schema)
+
+
+def track_spans(tracked: DataFrame, time: str, session: str = "session") -> DataFrame:
+    """(session, track_id, first_seen, last_seen, n_boxes) of the tracks of ``track``'s rows."""
+    own = tracked.filter(F.col("track_id").isNotNull())
+    return own.groupBy(session, "track_id").agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count("*").alias("n_boxes"))
 
 
 def box_statistics(boxes: DataFrame) -> DataFrame:

@@ -119,10 +119,27 @@ def replaced_boxes(spark, sf_dir):
     return boxes.replace_boxes(_frames(v.truth_boxes(spark, sf_dir)), _frames(v.predicted_boxes(spark, sf_dir))).select("frame", "box_id", "class_name", "x1", "x2")
 
 
-@query()
+def track_rows(spark, sf_dir, lines=None):
+    """Boxes whose session is a stretch of 300 frames."""
+    return _frames(v.truth_boxes(spark, sf_dir, lines)).withColumn("session", F.floor(F.col("frame") / 300))
+
+
+_NEAR = "1.0::DOUBLE - sqrt(pow(floor((k.x1 + k.x2) / 2) - floor((n.x1 + n.x2) / 2), 2) + pow(floor((k.y1 + k.y2) / 2) - floor((n.y1 + n.y2) / 2), 2)) / 120"
+#: Boxes one by one, by falling confidence in their frame: the list ``live`` has a session's tracks, with the frame and corners of their last box.
+TRACKS = f"""{v.BOXES}, n AS (SELECT *, frame // 300 AS session, row_number() OVER (PARTITION BY frame // 300 ORDER BY frame, confidence DESC, box_id) AS r FROM t),
+g AS (
+  SELECT session, 0::BIGINT AS r, NULL::BIGINT AS frame, NULL::BIGINT AS box_id, 0::BIGINT AS next_id, NULL::BIGINT AS track_id, []::STRUCT(id BIGINT, f BIGINT, x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[] AS live FROM (SELECT DISTINCT session FROM n)
+  UNION ALL
+  SELECT session, r, frame, box_id, next_id + (pick IS NULL)::INT, coalesce(pick, next_id),
+    list_append(list_filter(live, lambda k: k.id IS DISTINCT FROM pick AND m.frame - k.f <= 15), {{'id': coalesce(pick, next_id), 'f': frame, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}})
+  FROM (SELECT n.session, n.r, n.frame, n.box_id, n.x1, n.y1, n.x2, n.y2, g.next_id, g.live, list_sort(list_filter(list_transform(list_filter(g.live, lambda k: k.f < n.frame AND n.frame - k.f <= 15),
+      lambda k: {{'s': CASE WHEN {v.iou_sql("k", "n")} >= 0.3 OR {_NEAR} >= 0.5 THEN -greatest({v.iou_sql("k", "n")}, {_NEAR}) ELSE 0 END, 'id': k.id}}), lambda c: c.s < 0))[1].id AS pick
+    FROM g JOIN n ON n.session = g.session AND n.r = g.r + 1) m)"""
+
+
+@query(f"WITH RECURSIVE {TRACKS} SELECT session, frame, box_id, track_id FROM g WHERE r > 0")
 def tracked_boxes(spark, sf_dir):
-    d = _frames(v.truth_boxes(spark, sf_dir)).withColumn("session", F.col("frame") % 50)
-    return boxes.track(d).select("session", "frame", "box_id", "track_id")
+    return boxes.track(track_rows(spark, sf_dir)).select("session", "frame", "box_id", "track_id")
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import scalar as s
 from curata.operators import folds
-from curata.plans import streams
+from curata.plans import detection, streams
 from curata.plans import views as v
 from curata.plans.registry import ORACLES, query
 from curata.session import shared_dir
@@ -14,6 +14,7 @@ from curata.sources import readers, sinks
 from curata.streaming import stateful
 
 PER_BATCH = 1
+DAY = 86400
 
 
 def _events(spark, sf_dir):
@@ -51,6 +52,27 @@ def stream_stabilized(spark, sf_dir):
     return d.select("session", "seq", "stable_label", "majority", "is_locked", "lock_count", F.round("ema", 8).alias("ema"), "is_uncertain")
 
 
+def _box_stream(spark, sf_dir):
+    table = v.table(spark, sf_dir, "lineitem")
+    return detection.track_rows(spark, sf_dir, spark.readStream.schema(table.schema).option("maxFilesPerTrigger", PER_BATCH).parquet(f"{sf_dir}/lineite[m].parquet"))
+
+
+@query(ORACLES["tracked_boxes"])
+def stream_tracks(spark, sf_dir):
+    """The tracks of ``tracked_boxes``, with the live ones of each session kept by a stream."""
+    return stateful.run_to_table(stateful.track_stream(_box_stream(spark, sf_dir)), "tracks").select("session", "frame", "box_id", "track_id")
+
+
+@query(f"""WITH RECURSIVE {detection.TRACKS}, spans AS (SELECT session, track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_boxes FROM g WHERE r > 0 GROUP BY session, track_id)
+SELECT * FROM spans WHERE last_frame + 16 <= (SELECT max(frame) FROM t)""")
+def stream_ended_tracks(spark, sf_dir):
+    """Tracks that event-time timers have ended, a frame being a second: no box for 16 frames."""
+    timed = _box_stream(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("frame") + DAY))  # the first watermark is the epoch
+    d = stateful.run_to_table(stateful.ended_tracks(timed, "at", 16.0), "ended")
+    frame = lambda c: F.col(c).cast("long") - DAY
+    return d.select("session", "track_id", frame("first_seen").alias("first_frame"), frame("last_seen").alias("last_frame"), "n_boxes")
+
+
 @query(ORACLES["motion_gate"])
 def stream_motion(spark, sf_dir):
     """The rows of ``motion_gate``, from a stream that keeps the last level of each session."""

@@ -35,11 +35,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRED = "pred AS (SELECT user_id AS session, event_id AS seq, epoch(ts) AS time, event_type AS label, least(1.0, value / 500.0) AS confidence FROM events)"
 
 
-def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a frame (an order) from its lines."""
+def truth_boxes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Boxes of a frame (an order) from its lines, those of the table or of a stream."""
     x1, y1 = F.col("l_partkey") % 200, F.col("l_suppkey") % 150
     q = F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem") if lines is None else lines
+    return lines.select(
         F.col("l_orderkey").alias("frame"), (F.col("l_linenumber") * F.lit(10**10) + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("box_id"), F.col("l_returnflag").alias("class_name"), F.least(F.lit(1.0), F.col("l_extendedprice") / 60000.0).alias("confidence"),
         x1.alias("x1"), y1.alias("y1"), (x1 + 20 + q).alias("x2"), (y1 + 20 + q * 7 % 50).alias("y2"), "l_partkey", "l_suppkey",
     )

@@ -1,81 +1,169 @@
-"""Stateful streams: the folds of ``operators.folds`` and the tracker, with state kept by key across micro-batches.
+"""Stateful streams: the folds of ``operators.folds`` and the tracker, with typed state kept by key across micro-batches.
 
+A fold's values are a value of the state store, its window a list, and a session's live tracks a map, each by columns of their own.
 Rows of a micro-batch are folded in the order of ``order``; a row that arrives in a later batch is
-later by definition, whatever its time. In a stream that runs on, give ``idle_ms``: state times out after
-so long without a row, so that ended sessions don't stay for ever. Leave it out with an ``availableNow``
-trigger, which Spark doesn't end while processing-time timeouts may come.
+later by definition, whatever its time. In a stream that runs on, give ``idle_ms``: state that wasn't written for so long is
+dropped by the store, so that ended sessions don't stay for ever. ``ended_tracks`` ends tracks by event time instead: timers
+fire as the watermark passes, whether or not their session has another row.
+
+These streams need the state store that has typed state; ``typed_store`` chooses it for queries that are started from then on.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from curata.operators.boxes import Tracker
+from curata.operators.folds import Fold, readings
+
+CORNERS = ("x1", "y1", "x2", "y2")
 
 
 def _fields(ddl: str) -> list[T.StructField]:
     return list(T._parse_datatype_string(ddl).fields)
 
 
-def _timeout(idle_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+def typed_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold: Callable, idle_ms: int | None = None) -> DataFrame:
-    """``stream`` with a fold's columns; the same rows as ``fold_batch`` where batches follow the order."""
-    given = _fields(fold().gives)
-    schema = T.StructType([*stream.schema.fields, *given])
-    names, reads = [f.name for f in given], list(fold().reads)
+def in_order(rows: Iterator[Row], order: list[str]) -> list[Row]:
+    """Rows sorted by columns, nulls first."""
+    return sorted(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in order))
+
+
+class FoldProcessor(StatefulProcessor):
+    """Runs one fold a key: ``values`` is a value state of the fold's ``keeps``, ``window`` a list state of its ``holds``."""
+
+    def __init__(self, fold: Callable[[], Fold], columns: list[str], order: list[str], idle_ms: int | None):
+        self.fold, self.columns, self.order, self.idle_ms = fold, columns, order, idle_ms
+        self.given = [f.name for f in _fields(fold().gives)]
 
-    def step(key, frames, state: GroupState):
-        import pandas as pd
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        sample = self.fold()
+        self.values = handle.getValueState("values", sample.keeps, self.idle_ms)
+        self.window = handle.getListState("window", sample.holds, self.idle_ms) if sample.holds else None
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        machine = fold()
-        if state.exists:
-            machine.state = pickle.loads(state.get[0])
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
-        found = [machine.step(*[None if v is None or v != v else v for v in values]) for values in rows[reads].itertuples(index=False, name=None)]
-        state.update((pickle.dumps(machine.state),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.concat([rows, pd.DataFrame(found, columns=names)], axis=1)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        machine = self.fold()
+        if self.values.exists():
+            machine.values = tuple(self.values.get())
+            if self.window is not None:
+                machine.window = tuple(tuple(x) for x in self.window.get())
+        for row in in_order(rows, self.order):
+            found = machine.step(*readings(row[c] for c in machine.reads))
+            yield Row(**{c: row[c] for c in self.columns}, **dict(zip(self.given, found, strict=True)))
+        self.values.update(machine.values)
+        if self.window is not None:
+            self.window.put(list(machine.window)) if machine.window else self.window.clear()
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, schema, T.StructType([T.StructField("state", T.BinaryType())]), "append", _timeout(idle_ms))
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold: Callable[[], Fold], idle_ms: int | None = None) -> DataFrame:
+    """``stream`` with a fold's columns; the same rows as ``fold_batch`` where batches follow the order."""
+    typed_store(stream.sparkSession)
+    schema = T.StructType([*stream.schema.fields, *_fields(fold().gives)])
+    return stream.groupBy(*keys).transformWithState(FoldProcessor(fold, stream.columns, order, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
+
+
+class TrackProcessor(StatefulProcessor):
+    """Runs one tracker a session: the next id is a value, the live tracks are a map from track to its last frame and corners."""
+
+    def __init__(self, frame: str, columns: list[str], settings: dict, idle_ms: int | None = None):
+        self.frame, self.columns, self.settings, self.idle_ms = frame, columns, settings, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next_id = handle.getValueState("next_id", "next_id long", self.idle_ms)
+        self.tracks = handle.getMapState("tracks", "track_id long", "frame long, x1 double, y1 double, x2 double, y2 double", self.idle_ms)
+
+    def tracked(self, rows) -> Iterator[tuple[Row, int | None]]:
+        tracker, before = Tracker(**self.settings), {}
+        if self.next_id.exists():
+            before = {k[0]: tuple(v) for k, v in self.tracks.iterator()}
+            # in order of their ids, as of equal scores the first track wins
+            tracker.state = (self.next_id.get()[0], tuple((i, v[0], v[1:]) for i, v in sorted(before.items())))
+        frames: dict = {}
+        for row in in_order(rows, [self.frame, "box_id"]):
+            frames.setdefault(row[self.frame], []).append(row)
+        for number, boxes in frames.items():
+            yield from zip(boxes, tracker.step(number, [(r["confidence"], *(r[c] for c in CORNERS)) for r in boxes]), strict=True)
+        next_id, live = tracker.state
+        self.next_id.update((next_id,))
+        for gone in before.keys() - {t[0] for t in live}:
+            self.tracks.removeKey((gone,))
+        for track_id, number, corners in live:
+            if before.get(track_id) != (number, *corners):
+                self.tracks.updateValue((track_id,), (number, *map(float, corners)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row, track_id in self.tracked(rows):
+            yield Row(**{c: row[c] for c in self.columns}, track_id=track_id)
+
+    def close(self) -> None:
+        pass
 
 
 def track_stream(stream: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None, idle_ms: int | None = None) -> DataFrame:
     """``stream`` of box rows with ``track_id``. A frame's boxes have to arrive in one micro-batch; tracks age by frame numbers,
     so frames without a box need not be sent."""
-    from curata.operators.boxes import Tracker
-
+    typed_store(stream.sparkSession)
     schema = T.StructType([*stream.schema.fields, T.StructField("track_id", T.LongType())])
-
-    def step(key, frames, state: GroupState):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tracker = Tracker(**(settings or {}))
-        if state.exists:
-            tracker.state = pickle.loads(state.get[0])
-        rows = pd.concat(list(frames)).sort_values([frame, "box_id"], kind="stable").reset_index(drop=True)
-        ids = []
-        for number, part in rows.groupby(frame, sort=True):
-            ids += tracker.step(number, list(part[["confidence", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-        state.update((pickle.dumps(tracker.state),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield rows.assign(track_id=ids)
-
-    return stream.groupBy(session).applyInPandasWithState(step, schema, T.StructType([T.StructField("state", T.BinaryType())]), "append", _timeout(idle_ms))
+    return stream.groupBy(session).transformWithState(TrackProcessor(frame, stream.columns, settings or {}, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
+
+
+class EndedTracks(TrackProcessor):
+    """Tracks that have ended: a span a track is kept, with a timer at the end of its patience. A timer that fires ends the tracks of its
+    session that had no box since; if a track went on meanwhile, its later timer stands. Times are microseconds in the column ``_us``."""
+
+    def __init__(self, session: str, frame: str, after_ms: int, settings: dict):
+        super().__init__(frame, [], settings)
+        self.session, self.after_ms = session, after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.spans = handle.getMapState("spans", "track_id long", "first_seen long, last_seen long, n_boxes long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found: dict = {}
+        for row, track_id in self.tracked(rows):
+            if track_id is not None and row["_us"] is not None:
+                found.setdefault(track_id, []).append(row["_us"])
+        for track_id, times in found.items():
+            first, last, n = self.spans.getValue((track_id,)) if self.spans.containsKey((track_id,)) else (min(times), max(times), 0)
+            last = max(last, *times)
+            self.spans.updateValue((track_id,), (min(first, *times), last, n + len(times)))
+            self.handle.registerTimer(self._due(last))
+        return iter(())
+
+    def _due(self, last: int) -> int:
+        return -(-last // 1000) + self.after_ms
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for (track_id,), (first, last, n) in sorted(self.spans.iterator(), key=lambda x: x[0][0]):
+            if self._due(last) <= now:
+                self.spans.removeKey((track_id,))
+                yield Row(**{self.session: key[0], "track_id": track_id, "first_seen": first, "last_seen": last, "n_boxes": n})
+
+
+def ended_tracks(stream: DataFrame, time: str, after: float, session: str = "session", frame: str = "frame", late: str = "0 seconds", settings: dict | None = None) -> DataFrame:
+    """(session, track_id, first_seen, last_seen, n_boxes) of each track, once event time is ``after`` seconds past its last box; the
+    rows of ``boxes.track_spans``. ``late`` is the watermark's delay. A track that ends in a stream's last ``after`` seconds isn't given yet."""
+    typed_store(stream.sparkSession)
+    at = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    processor = EndedTracks(session, frame, round(after * 1000), settings or {})
+    kind = next(f for f in stream.schema.fields if f.name == session)
+    schema = T.StructType([T.StructField(session, kind.dataType), *_fields("track_id long, first_seen long, last_seen long, n_boxes long")])
+    ended = at.withColumn("_us", F.unix_micros(time)).groupBy(session).transformWithState(processor, schema, "Append", "EventTime")
+    return ended.withColumns({c: F.timestamp_micros(c) for c in ("first_seen", "last_seen")})
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], length: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
