@@ -1,8 +1,8 @@
 """Vector code compression: product codes of integer vectors, entries found by annular norm pruning.
 
 Components become ``floor(scale * x)``, vectors are cut into equal consecutive parts, and each part position has
-a codebook. A part's nearest entry is found exactly: entries are sorted by norm, the one nearest in norm
-(binary search) gives a first distance d, and as |norm(part) - norm(entry)| is at most their distance, only entries
+a codebook. A part's nearest entry is found exactly: entries are sorted by norm, the few nearest in norm
+(binary search) give a first distance d, and as |norm(part) - norm(entry)| is at most their distance, only entries
 whose norm lies within d of the part's, bounds included, are evaluated, in whole numbers. The bounds are widened by more than the rounding
 of square roots, so no entry that ties is missed; ties go to the lower index.
 
@@ -29,6 +29,8 @@ from curata.llm.common import only
 from curata.session import materialize
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
+#: Entries that give the first distance.
+PROBES = 8
 #: Whole numbers below it can be squared and summed in 64 bits, over up to 2048 components.
 SAFE = 1 << 25
 
@@ -67,11 +69,11 @@ class AnnularSearch:
         import numpy as np
 
         length, known = norms(parts), self.norms
-        right = np.clip(np.searchsorted(known, length), 1, max(1, len(known) - 1)) if len(known) > 1 else np.zeros(len(length), dtype=np.int64)
-        left = np.maximum(right - 1, 0)
-        first = np.where(np.abs(known[left] - length) <= np.abs(known[right] - length), left, right)
-        away = parts - self.entries[first]
-        reach = np.sqrt((away * away).sum(axis=1).astype(np.float64))
+        # the best distance so far: of the entries nearest in norm, PROBES at most
+        probes = min(PROBES, len(known))
+        start = np.clip(np.searchsorted(known, length) - probes // 2, 0, len(known) - probes)
+        away = parts[:, None, :] - self.entries[start[:, None] + np.arange(probes)]
+        reach = np.sqrt((away * away).sum(axis=2).min(axis=1).astype(np.float64))
         slack = 1e-9 * (reach + length + 1)
         low = np.searchsorted(known, length - reach - slack, side="left")
         high = np.searchsorted(known, length + reach + slack, side="right")
