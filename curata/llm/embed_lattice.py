@@ -11,9 +11,9 @@ cell is one task's work; a pair belongs to the smallest cell that both vectors e
 is counted once, and tiles return a row for each class and not for each pair. In frequent cells vectors within half of the
 greatest linked angle of one centre are a core, whose pairs are all linked by the triangle inequality of angles and aren't compared.
 
-``choose`` takes more blocks of the lattice, so smaller cells, and more tables for more vectors, so that the number of
-unrelated vectors that meet one vector stays bounded. Each setting of ``SETTINGS`` has recall 0.93 or more at cosine 0.9 and
-practically 1 from 0.95 on, whatever the dimension; tests measure it.
+``SETTING`` holds at every size, so that the links found don't depend on the number of rows: recall 0.93 or more at cosine 0.9 and
+practically 1 from 0.95 on, whatever the dimension; tests measure it. More blocks of the lattice make smaller cells, in which fewer unrelated
+vectors meet, and need more tables for the same recall: who expects tens of millions of vectors may pass one of ``FINER``.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link
 with nothing, and are components of their own; finite components of any size are sound (vectors are scaled by their
@@ -37,8 +37,9 @@ from curata.operators.graph import connected_components
 from curata.session import materialize
 
 COSINE = 0.9
-#: Up to so many vectors: (tables, blocks, neighbouring cells entered in each block besides the vector's own, scale).
-SETTINGS: tuple[tuple[float, tuple[int, int, int, float]], ...] = ((3e5, (8, 2, 2, 1.8)), (3e7, (32, 3, 1, 1.6)), (math.inf, (40, 4, 1, 1.4)))
+#: (tables, blocks, neighbouring cells entered in each block besides the vector's own, scale).
+SETTING = (8, 2, 2, 1.8)
+FINER = ((32, 3, 1, 1.6), (40, 4, 1, 1.4))
 CHUNK_CLASSES = 512
 SEED = 8
 
@@ -100,11 +101,6 @@ class LatticeHash:
         return np.sort(np.concatenate(out, axis=1), axis=1)
 
 
-def choose(n_vectors: int) -> tuple[int, int, int, float]:
-    """The setting for so many vectors."""
-    return next(setting for most, setting in SETTINGS if n_vectors <= most)
-
-
 def unit_vectors(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; the largest component comes to 1 first, so that no square overflows or vanishes."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -185,11 +181,11 @@ def _compare(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, setting: tuple[int, int, int, float] | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, setting: tuple[int, int, int, float] = SETTING) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row a vector."""
     source = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"))
     n = partitions(source.sparkSession)
-    found = with_cells(classes_of(source), setting or choose(source.count()))
+    found = with_cells(classes_of(source), setting)
     classes = materialize(found.withColumns({"cid": F.monotonically_increasing_id(), "weight": F.lit(1).cast("long")}), "vectors")
     blocks = Blocks(classes, CHUNK_CLASSES, CHUNK_CLASSES)
     if blocks.frequent:
