@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from curata.functions.scalar import area, box, height, iou, width
 from curata.operators import arrow
+from curata.operators.ranks import value_at
 from curata.session import materialize
 
 
@@ -268,13 +269,19 @@ def track_spans(tracked: DataFrame, time: str, session: str = "session") -> Data
 
 
 def box_statistics(boxes: DataFrame) -> DataFrame:
-    """Per class: count, mean, median, least and most area share, and the size histogram; boxes are normalised (w, h)."""
+    """Per class: count, mean, median, least and most area share, and the size histogram; boxes are normalised (w, h). The two middle
+    values are found by rank."""
     share = F.col("w") * F.col("h")
     sizes = size_category(share)
-    return boxes.groupBy("class_name").agg(
-        F.count("*").alias("n"), F.avg(share).alias("mean_area"), F.median(share).alias("median_area"), F.min(share).alias("min_area"), F.max(share).alias("max_area"),
+    own = boxes.withColumn("_share", share)
+    middle = [value_at(own, ["class_name"], "_share", 0.5, lambda n, up=up: F.floor((n + up) / 2), f"m{up}").withColumnRenamed("class_name", f"c{up}") for up in (1, 2)]
+    stats = boxes.groupBy("class_name").agg(
+        F.count("*").alias("n"), F.avg(share).alias("mean_area"), F.min(share).alias("min_area"), F.max(share).alias("max_area"),
         *[F.sum(F.when(sizes == s, 1).otherwise(0)).alias(f"n_{s}") for s in ("small", "medium", "large")],
     )
+    for up, found in zip((1, 2), middle, strict=True):
+        stats = stats.join(found, F.col("class_name").eqNullSafe(F.col(f"c{up}")), "left")
+    return stats.withColumn("median_area", (F.col("m1") + F.col("m2")) / 2).drop("c1", "c2", "m1", "m2")
 
 
 def objects_per_image(images: DataFrame, boxes: DataFrame) -> DataFrame:

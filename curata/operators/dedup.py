@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions.scalar import hamming
+from curata.operators import arrow
 from curata.operators.graph import connected_components
-from curata.operators.ranks import running
+from curata.operators.ranks import numbered, running
 from curata.session import materialize
 
 
@@ -114,23 +115,88 @@ def components(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
+#: Links that one task decides in order; more are decided component by component, and a larger component in steps of so many.
+TASK_LINKS = 1_000_000
+#: Rounds over all open rows before the rest is decided in order.
+OPEN_ROUNDS = 3
+
+
+def _in_order(batches):
+    """For mapInArrow over (part, id, below), parts together: the anchors of each part, of whose rows all smaller open neighbours are in it.
+    A row has a line for each of its links, with the neighbour if that is smaller."""
+    import pyarrow as pa
+
+    def anchors(links):
+        found = set()
+        for row in sorted(links):
+            if found.isdisjoint(links[row]):
+                found.add(row)
+        return sorted(found)
+
+    known, links, kind = None, {}, None
+    for batch in batches:
+        kind = batch.column("id").type
+        for part, row, below in arrow.rows(batch, ["part", "id", "below"]):
+            if part != known:
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(links), kind)], names=["id"])
+                known, links = part, {}
+            mine = links.setdefault(row, [])
+            if below is not None:
+                mine.append(below)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(anchors(links), kind)], names=["id"])
+
+
+def _prefixes(opened: DataFrame) -> DataFrame:
+    """(id, part) of open rows: of each component the first rows that have ``TASK_LINKS`` links or so. ``opened`` has (a, b), both ways."""
+    parts = connected_components(opened, "a", "b").withColumnsRenamed({"node": "id", "component": "part"})
+    placed = numbered(parts, ["id"], "place")
+    degree = opened.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    known = materialize(placed.join(degree, "id"), "placed")
+    # places at halves, quarters, ... of a component's rows: the largest share whose links fit
+    shares = [2.0**-k for k in range(1, 31)]
+    sized = known.groupBy("part").agg(F.sum("n").alias("links"), F.percentile_approx("place", shares, 100_000).alias("cuts"), F.max("place").alias("most"), F.min("place").alias("least"))
+    k = F.ceil(F.log2(F.col("links") / TASK_LINKS)).cast("int")
+    cut = F.when(F.col("links") <= TASK_LINKS, F.col("most")).otherwise(F.greatest("least", F.element_at("cuts", F.least(k, F.lit(30)))))
+    return known.join(sized.select("part", cut.alias("cut")), "part").filter("place <= cut").select("id", "part")
+
+
 def star_clusters(pairs: DataFrame) -> DataFrame:
     """(id, anchor): anchors in order of id take their direct, still free neighbours; no link is followed further.
 
-    A row is an anchor if none of its smaller neighbours is one, otherwise it belongs to the smallest of them. Each round
-    decides the rows for which the smaller neighbours that matter are decided, the smallest open row among them; that gives the
-    clusters of the sequential order, and ends when all are decided."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    below = materialize(both.filter("b < a"), "pairs")
-    state = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("anchor", F.lit(None).cast(both.schema["a"].dataType)), "stars")
-    while state.filter("anchor IS NULL").limit(1).count():
-        seen = below.join(state.withColumnRenamed("id", "b"), "b")
-        near = seen.groupBy(F.col("a").alias("id")).agg(F.min(F.when(F.col("anchor").isNull(), F.col("b"))).alias("open"), F.min(F.when(F.col("anchor") == F.col("b"), F.col("b"))).alias("low"))
-        joined = state.join(near, "id", "left")
-        new = F.when(F.col("open").isNull() & F.col("low").isNull(), F.col("id")).when(F.col("open").isNull() | (F.col("low") < F.col("open")), F.col("low"))
-        state = materialize(joined.select("id", F.coalesce("anchor", new).alias("anchor")), "stars")
-    sizes = state.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    return state.join(sizes, "anchor").select("id", "anchor")
+    A row is an anchor if none of its smaller neighbours is one, otherwise it belongs to the smallest of them: the anchors are the
+    first independent set in order of id. A few rounds over all open rows make those anchors whose smaller neighbours are all covered, and cover
+    their neighbours; that decides most rows of most graphs, but of a chain in order of its ids two rows a round. So what is then left is decided in order: by
+    one task if it has at most ``TASK_LINKS`` links, else by one task a component, and of a component with more links the first rows
+    of so many at a time. The number of rounds doesn't grow with the length of a chain."""
+    both = materialize(pairs.select("a", "b").union(pairs.select("b", "a")).filter("a <> b").distinct(), "links")
+    kind = dict(both.dtypes)["a"]
+    opened, beside, rounds = both, [], 0
+    while left := opened.limit(TASK_LINKS + 1).count():
+        lines = opened.select(F.col("a").alias("id"), F.when(F.col("b") < F.col("a"), F.col("b")).alias("below"))
+        if left <= TASK_LINKS:
+            anchors = lines.select(F.lit(0).alias("part"), "id", "below").repartition(1).mapInArrow(_in_order, f"id {kind}")
+        elif rounds < OPEN_ROUNDS:
+            anchors = opened.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).filter("id < least").select("id")
+        else:
+            stretch = materialize(_prefixes(opened), "prefixes")
+            anchors = lines.join(stretch, "id").select("part", "id", "below").repartition("part").sortWithinPartitions("part").mapInArrow(_in_order, f"id {kind}")
+        anchors = materialize(anchors, "anchors")
+        covered = materialize(opened.join(anchors.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct(), "covered")
+        beside.append(covered)
+        decided = materialize(anchors.union(covered), "decided")
+        opened = opened.join(decided.withColumnRenamed("id", "a"), "a", "left_anti").join(decided.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+        opened = materialize(opened, "open")
+        rounds += 1
+    if not beside:
+        return both.select(F.col("a").alias("id"), F.col("b").alias("anchor"))
+    # all rows but the covered ones are anchors, also those whose neighbours were all covered by others
+    covered = beside[0]
+    for more in beside[1:]:
+        covered = covered.union(more)
+    mine = both.join(covered.withColumnRenamed("id", "a"), "a").join(covered.withColumnRenamed("id", "b"), "b", "left_anti").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("anchor"))
+    mine = materialize(mine, "stars")
+    return mine.union(mine.select("anchor", "anchor").distinct())
 
 
 def leaked_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.operators.ranks import value_at
+from curata.operators.ranks import running, value_at
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -73,33 +73,52 @@ def ecdf(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
 
 
 def percentile_floor(df: DataFrame, value: str, p: float = 0.05, floor: float = 0.3) -> DataFrame:
-    """One row: the linearly interpolated percentile, and no less than the floor."""
-    return df.agg(F.greatest(F.percentile(value, F.lit(p)), F.lit(floor)).alias("threshold"), F.count(value).alias("n"))
+    """One row: the linearly interpolated percentile, and no less than the floor (null without values). The two values around it are found by rank,
+    so no task holds all values."""
+    place = lambda n: (n - 1) * F.lit(p)
+    low = value_at(df, [], value, p, lambda n: F.floor(place(n)) + 1, "low")
+    high = value_at(df, [], value, p, lambda n: F.ceil(place(n)) + 1, "high")
+    n = df.agg(F.count(value).alias("n"))
+    met = n.join(low, how="left").join(high, how="left")  # one row each
+    part = place(F.col("n")) - F.floor(place(F.col("n")))
+    return met.select(F.greatest(F.col("low") + part * (F.col("high") - F.col("low")), F.lit(floor)).alias("threshold"), "n")
+
+
+#: Stretches of scores: a score's is the whole part of so many times it.
+SCORE_STRETCHES = 4096
 
 
 def _by_score(df: DataFrame, score: str, positive: str, group: str) -> DataFrame:
-    """(group, score, p, n): positives and negatives at each distinct score."""
+    """(grp, score, p, n): positives and negatives at each distinct score."""
     return df.groupBy(F.col(group).alias("grp"), F.col(score).alias("score")).agg(F.sum(F.col(positive).cast("int")).alias("p"), F.sum((~F.col(positive)).cast("int")).alias("n"))
 
 
+def _score_stretch(falling: bool = False) -> Column:
+    """Stretches in which the scores of a group, also continuous ones, are summed one after the other."""
+    at = F.floor(F.col("score") * SCORE_STRETCHES)
+    return -at if falling else at
+
+
 def roc_auc(df: DataFrame, score: str, positive: str, group: str) -> DataFrame:
-    """(group, auc): area under the ROC curve by ranks, ties shared; 0 where one of the classes is missing. Windows run over
-    distinct scores, not rows."""
-    w = Window.partitionBy("grp").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = _by_score(df, score, positive, group).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    """(group, auc): area under the ROC curve by ranks, ties shared; 0 where one of the classes is missing. Sums run over the
+    distinct scores of a group, in stretches of scores."""
+    steps = running(_by_score(df, score, positive, group), "grp", _score_stretch(), ["score"], F.col("n"), "below", "_all")
     area = steps.groupBy("grp").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return area.select(F.col("grp").alias(group), _ratio(F.col("wins"), F.col("p") * F.col("n")).alias("auc"))
 
 
 def pr_auc(df: DataFrame, score: str, positive: str, group: str) -> DataFrame:
-    """(group, auc): trapezoids under the precision-recall curve, from recall 0 at precision 1; 0 without positives."""
-    w = Window.partitionBy("grp").orderBy(F.col("score").desc())
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    steps = _by_score(df, score, positive, group).withColumns({"tp": F.sum("p").over(run), "fp": F.sum("n").over(run), "all": F.sum("p").over(Window.partitionBy("grp"))})
-    steps = steps.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("all"))})
-    before = lambda c, first: F.coalesce(F.lag(c).over(w), F.lit(first))
-    steps = steps.withColumn("slice", (F.col("recall") - before("recall", 0.0)) * (F.col("precision") + before("precision", 1.0)) / 2)
-    return steps.groupBy(F.col("grp").alias(group)).agg(F.when(F.max("all") > 0, F.sum("slice")).otherwise(F.lit(0.0)).alias("auc"))
+    """(group, auc): trapezoids under the precision-recall curve, from recall 0 at precision 1; 0 without positives. Sums run
+    in stretches of scores; the step before a score's follows from what lies ahead of it."""
+    down = [F.col("score").desc()]
+    steps = running(_by_score(df, score, positive, group), "grp", _score_stretch(True), down, F.col("p"), "tp_before", "all")
+    steps = running(steps, "grp", _score_stretch(True), down, F.col("n"), "fp_before", "_n")
+    # a step without positives has no width, so the precision before one with them is that of all steps ahead
+    ahead = F.col("tp_before") + F.col("fp_before")
+    before = F.when(ahead == 0, F.lit(1.0)).otherwise(F.col("tp_before") / ahead)
+    precision = (F.col("tp_before") + F.col("p")) / (ahead + F.col("p") + F.col("n"))
+    slice_ = _ratio(F.col("p"), F.col("all")) * (precision + before) / 2
+    return steps.groupBy(F.col("grp").alias(group)).agg(F.sum(slice_).alias("auc"))
 
 
 def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -108,25 +127,36 @@ def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def latency(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(keys, p50, p95, mean, max): percentiles are the values at place floor(share * n) of the sorted ones, the first at least."""
+    """(keys, p50, p95, mean, max): percentiles are the values at place floor(share * n) of the sorted ones, the first at least. Null keys are a
+    group, and a group without any value has nulls."""
     out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
     for name, share in (("p50", 0.5), ("p95", 0.95)):
-        out = out.join(value_at(df, list(keys), value, share, lambda n, share=share: F.greatest(F.floor(n * share), F.lit(1)), name), list(keys))
+        found = value_at(df, list(keys), value, share, lambda n, share=share: F.greatest(F.floor(n * share), F.lit(1)), name)
+        found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], name)
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = out.join(found, on, "left").drop(*[f"_{k}" for k in keys])
     return out.select(*keys, "p50", "p95", "mean", "max")
 
 
 def average_precision(matches: DataFrame, truths: DataFrame, label: str = "class_name") -> DataFrame:
     """(class, precision, recall, ap) of detections (class, confidence, is_tp) against the number of true boxes (class, n).
 
-    Detections of one confidence count together, so the curve has a step for each different confidence and windows run
-    over those, not over detections; precision is made to fall with recall, then summed over the steps."""
-    steps = matches.groupBy(F.col(label).alias("class"), "confidence").agg(F.sum(F.col("is_tp").cast("long")).alias("hits"), F.count("*").alias("rows"))
-    run = Window.partitionBy("class").orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.join(truths.select(F.col(label).alias("class"), F.col("n").alias("n_true")), "class").withColumns({"tp": F.sum("hits").over(run), "k": F.sum("rows").over(run)})
-    steps = steps.withColumns({"p": F.col("tp") / F.col("k"), "r": F.col("tp") / F.col("n_true")})
-    best = F.max("p").over(Window.partitionBy("class").orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0))
-    steps = steps.withColumn("piece", best * F.col("hits") / F.col("n_true"))
-    return steps.groupBy("class").agg(F.min_by("p", "confidence").alias("precision"), F.max("r").alias("recall"), F.sum("piece").alias("ap"))
+    Detections of one confidence count together, so the curve has a step for each different confidence; precision is made to fall with recall,
+    then summed over the steps. Sums and the best precision behind a step are taken in stretches of the confidence, then over one row a stretch."""
+    steps = matches.groupBy(F.col(label).alias("class"), F.col("confidence").alias("score")).agg(F.sum(F.col("is_tp").cast("long")).alias("hits"), F.count("*").alias("rows"))
+    down = [F.col("score").desc()]
+    steps = running(steps, "class", _score_stretch(True), down, F.col("hits"), "hits_before", "_h")
+    steps = running(steps, "class", _score_stretch(True), down, F.col("rows"), "rows_before", "_r")
+    steps = steps.join(truths.select(F.col(label).alias("class"), F.col("n").alias("n_true")), "class").withColumn("tp", F.col("hits_before") + F.col("hits"))
+    steps = steps.withColumns({"p": F.col("tp") / (F.col("rows_before") + F.col("rows")), "r": F.col("tp") / F.col("n_true"), "stretch": _score_stretch()})
+    behind = Window.partitionBy("class").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = steps.groupBy("class", "stretch").agg(F.max("p").alias("top")).select("class", "stretch", F.max("top").over(behind).alias("beyond"))
+    within = F.max("p").over(Window.partitionBy("class", "stretch").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.withColumn("within", within).join(tops, ["class", "stretch"])
+    steps = steps.withColumn("piece", F.greatest("within", "beyond") * F.col("hits") / F.col("n_true"))
+    return steps.groupBy("class").agg(F.min_by("p", "score").alias("precision"), F.max("r").alias("recall"), F.sum("piece").alias("ap"))
 
 
 def mean_average_precision(assigned: DataFrame, truths: DataFrame, label: str = "class_name") -> DataFrame:

@@ -114,6 +114,19 @@ def validate_manifest(df: DataFrame, fields: list[Field] = MANIFEST_FIELDS, ref:
     return row
 
 
+def manifest_files(manifest: DataFrame, files: DataFrame, ref: str = "row_number", path: str = "image_path", file: str = "path", digest: str = "md5") -> DataFrame:
+    """Findings of a manifest against a listing of files (path, digest), as ``readers.hashed_files`` gives it, its paths relative to the manifest's folder: rows whose
+    file is missing, and rows whose file has the bytes of another file that an earlier row names. Rows that name one file twice are no byte
+    duplicates of each other. Only the first path of each digest is looked up, so that many copies of a file are no one task's work."""
+    rows = manifest.filter(~_missing(path)).select(F.col(ref).alias("_ref"), F.col(path).alias("_path"))
+    known = files.select(F.col(file).alias("_path"), F.col(digest).alias("_digest")).groupBy("_path").agg(F.max("_digest").alias("_digest"))
+    met = rows.join(known, "_path", "left")
+    missing = findings(met, "_ref", [finding(F.col("_digest").isNull(), "missing_file", "error", F.col("_path"))])
+    first = met.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min_by("_path", "_ref").alias("_first"), F.count_distinct("_path").alias("_n")).filter("_n > 1").drop("_n")
+    again = met.join(first, "_digest")
+    return missing.unionByName(findings(again, "_ref", [finding(F.col("_path") != F.col("_first"), "duplicate_file", "error", F.concat_ws(" = ", "_first", "_path"))]))
+
+
 def label_line_rules(classes: int) -> tuple[list[Column], Column]:
     """(rules, usable) for rows with ``parts`` (the fields of a label line) : malformed lines are unusable, range faults are kept."""
     parts = F.col("parts")

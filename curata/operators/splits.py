@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,8 @@ def _reverse(name: Column) -> Column:
 def group_split(df: DataFrame, group: str, label: str, seed: int = 42, ratios=RATIOS) -> DataFrame:
     """(group, modal, split): groups of a modal class are dealt by largest remainder, with one a split at least where there
     are three. Only group rows are ranked."""
-    w = Window.partitionBy("modal")
-    ranked = modal_class(df, group, label).withColumn("place", F.row_number().over(w.orderBy(hash_order(seed, F.col(group)), F.col(group))) - 1).withColumn("n", F.count("*").over(w))
+    hashed = modal_class(df, group, label).select(group, "modal", hash_order(seed, F.col(group)).alias("_hash"))
+    ranked = running(hashed, "modal", _stretch(F.col("_hash")), ["_hash", group], None, "place", "n")
     exact = [F.col("n") * F.lit(r / sum(ratios)) for r in ratios]
     base = [F.floor(e).cast("int") for e in exact]
     rest = F.col("n").cast("int") - sum(base[1:], base[0])
@@ -89,6 +91,30 @@ def group_split(df: DataFrame, group: str, label: str, seed: int = 42, ratios=RA
     return ranked.select(group, "modal", split.alias("split"))
 
 
+def held_back(df: DataFrame, label: str, id_col: str, share: float, test_share: float = 0.0, seed: int = 42, names: tuple[str, str] = (SPLITS[0], SPLITS[1])) -> DataFrame:
+    """``df`` with ``split``: of rows that are left once a test share was taken, ``share`` / (1 - ``test_share``) is held back, rounded up.
+
+    Facts of one aggregate choose the plan. The rows are stratified, with the held rows of each class by largest remainder, if every class has two rows and
+    both parts can hold a row of each class; otherwise they are divided without regard to classes. Rows without a label are a class. Within a class, or the whole, the first in hash
+    order are held back; groups are ranked in stretches of the hash."""
+    ratio = share / (1.0 - test_share)
+    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    n, classes, least = counts.agg(F.sum("_n"), F.count("*"), F.min("_n")).first()
+    held = math.ceil((n or 0) * ratio - 1e-9)
+    rows = df.withColumn("_hash", hash_order(seed, F.col(id_col)))
+    if n and least >= 2 and held >= classes and n - held >= classes:
+        exact = counts.withColumns({"_floor": F.expr(f"_n * {held} div {n}"), "_rest": F.expr(f"_n * {held} % {n}")})
+        # one row a class: the classes with the largest remainders take the rows that are left, of equals the first by name
+        order = Window.orderBy(F.col("_rest").desc(), F.col("_label").asc_nulls_first())
+        more = held - exact.agg(F.sum("_floor")).first()[0]
+        quota = exact.withColumn("_take", F.col("_floor") + (F.row_number().over(order) <= more).cast("int"))
+        ranked = running(rows, label, _stretch(F.col("_hash")), ["_hash", id_col], None, "_place", "_total")
+        placed = ranked.join(quota.select("_label", "_take"), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    else:
+        placed = running(rows, F.lit(0), _stretch(F.col("_hash")), ["_hash", id_col], None, "_place", "_total").withColumn("_take", F.lit(held))
+    return placed.withColumn("split", F.when(F.col("_place") < F.col("_take"), names[1]).otherwise(names[0])).drop("_hash", "_place", "_total", "_take")
+
+
 def check_partition(original: DataFrame, divided: DataFrame, id_col: str) -> DataFrame:
     """(check, passed): nothing lost, nothing twice, nothing new."""
     a, b = original.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d")), divided.agg(F.count("*").alias("m"), F.count_distinct(id_col).alias("e"))

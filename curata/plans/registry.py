@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from curata.plans import curation, detection, evaluation, flows, manifests, reviews, small, streams  # noqa: E402, F401
+from curata.plans import curation, detection, evaluation, flows, manifests, resolutions, reviews, small, streams  # noqa: E402, F401

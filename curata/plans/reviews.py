@@ -103,7 +103,7 @@ e AS (
   UNION ALL SELECT record::VARCHAR, 'coordinates' FROM d WHERE adj AND (cls >= 5 OR cx > 1 OR w <= 0 OR w > 1 OR cx - w / 2 < 0 OR cx + w / 2 > 1)
   UNION ALL SELECT record::VARCHAR, 'zero_area' FROM d WHERE adj AND w <= 0
   UNION ALL SELECT record::VARCHAR, 'too_small' FROM d WHERE adj AND class_name = 'Grape' AND w < 0.1
-  UNION ALL SELECT record::VARCHAR, 'unknown_proposal' FROM d WHERE NOT adj AND pid NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+  UNION ALL SELECT record::VARCHAR, 'unknown_proposal' FROM d WHERE NOT adj AND pid NOT IN (SELECT c_custkey * 2 FROM customer)
   UNION ALL SELECT 's' || s_suppkey, 'manual_row' FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 4 = 1 OR s_suppkey % 4 = 2
   UNION ALL SELECT record::VARCHAR, 'repeated_record' FROM (SELECT *, row_number() OVER (PARTITION BY image, dec, adj, CASE WHEN NOT adj THEN pid END, CASE WHEN NOT adj THEN pcls END ORDER BY record) AS r FROM d) WHERE r > 1)
 SELECT ref, kind FROM e""")
@@ -119,7 +119,7 @@ def resolved_state(spark, sf_dir):
         F.when(k % 4 == 0, "Grape").otherwise("Apple").alias("class_name"), F.when(adjudicated, F.array((k % 8).cast("double"), k % 11 / 10.0, F.lit(0.5), k % 9 / 40.0, F.lit(0.1))).alias("row"),
         F.when(~adjudicated, F.array(F.struct(F.col("o_custkey").alias("proposal_id"), pcls.alias("class_id"), F.when(pcls == 6, "Plum").otherwise("Kiwi").alias("class_name")))).alias("proposals"),
     )
-    proposals = v.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("proposal_id"))
+    proposals = v.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("proposal_id"))
     z = F.col("s_suppkey")
     n = lambda *x: F.array(*[F.lit(float(y)) for y in x])
     manual = v.table(spark, sf_dir, "supplier").select(
@@ -129,7 +129,7 @@ def resolved_state(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT c_custkey AS id, 'img' || c_custkey AS image, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS category, 'open' AS decision FROM customer),
-m AS (SELECT 'img' || o_custkey AS image, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS category, CASE o_orderkey % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'drop' ELSE 'odd' END AS action FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'none', 'A', 'keep'),
+m AS (SELECT 'img' || o_custkey AS image, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS category, CASE o_orderkey % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'drop' ELSE 'odd' END AS action FROM orders UNION ALL SELECT 'none', 'A', 'keep'),
 j AS (SELECT m.*, count(*) OVER (PARTITION BY image, category) AS n, EXISTS (SELECT 1 FROM r WHERE r.image = m.image AND r.category = m.category) AS known,
   CASE WHEN action = 'keep' THEN 'kept' WHEN action = 'drop' AND category = 'B' THEN 'rejected' END AS outcome FROM m),
 l AS (SELECT *, CASE WHEN NOT known THEN 'no_record' WHEN n > 1 THEN 'repeated' WHEN outcome IS NULL THEN 'action_not_allowed' ELSE 'applied' END AS status FROM j)
@@ -143,7 +143,7 @@ def merged_resolutions(spark, sf_dir):
     image = lambda i: F.concat(F.lit("img"), i.cast("string")).alias("image")
     category = lambda i: F.when(i % 2 == 0, "A").otherwise("B").alias("category")
     records = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), image(F.col("c_custkey")), category(F.col("c_custkey")), F.lit("open").alias("decision"))
-    manifest = v.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(image(c), category(c), F.when(k % 3 == 0, "keep").when(k % 3 == 1, "drop").otherwise("odd").alias("action"))
+    manifest = v.table(spark, sf_dir, "orders").select(image(c), category(c), F.when(k % 3 == 0, "keep").when(k % 3 == 1, "drop").otherwise("odd").alias("action"))
     manifest = manifest.unionByName(spark.createDataFrame([("none", "A", "keep")], "image string, category string, action string"))
     merged, log = review.merge_resolutions(records, manifest, {("A", "keep"): "kept", ("B", "keep"): "kept", ("B", "drop"): "rejected"})
     counts = log.groupBy("status").agg(F.count("*").alias("n")).select((-F.row_number().over(Window.orderBy("status"))).cast("long").alias("id"), F.concat_ws(":", "status", F.col("n").cast("string")).alias("decision"))
