@@ -3,8 +3,9 @@
 Sorting every suffix of the corpus would move many times its size, and almost all suffixes
 have no long common prefix with any other. So suffixes are sorted only where that is open:
 
-1. *Texts.* Rows with equal texts (128 bits of SHA-256) are one text with a number of copies;
-   a text that has copies goes as a whole, and takes part once in what follows.
+1. *Texts.* Rows with equal texts are one text with a number of copies; copies are found by their
+   SHA-256 and compared byte by byte, within their partition and then with those of other ones. A text that has
+   copies goes as a whole, and takes part once in what follows.
 2. *Anchors.* Of the ``LENGTH - GRAM + 1`` grams of each window (the string of ``LENGTH``
    bytes from a start) the one with the smallest hash is its anchor. Equal windows have equal
    anchors at equal places, so starts fall into segments, runs with one anchor, and windows
@@ -27,8 +28,8 @@ have no long common prefix with any other. So suffixes are sorted only where tha
    Judgement is on the input, matches never cross documents.
 
 Groups of step 3 are dealt over tasks in shares of about ``SHARE_ROWS``, and a task sends on
-only the first two of equal segments; the others it compares and settles itself. Nothing is
-removed without a comparison of bytes. A repeat can be missed only where two different
+only the first two of equal segments; the others it compares and settles itself. So nothing is
+removed without a comparison of bytes, be it of whole texts, of segments or of neighbours in the sort. A repeat can be missed only where two different
 strings collide in both a 64-bit polynomial hash and a 64-bit digest.
 
 Defined results: null texts are empty, null ids stay null; texts under ``LENGTH`` bytes are kept; very long texts are
@@ -56,6 +57,8 @@ GROUP_KINDS = 2000
 SHARE_ROWS = 2000
 #: Digests that a task holds at once while it looks for equal segments.
 HELD = 50_000
+#: Bytes of texts that a task holds while it looks for copies.
+HELD_TEXT = 16 << 20
 #: Bytes of segments whose suffixes are sorted at once.
 SORT_BYTES = 1 << 20
 
@@ -431,11 +434,73 @@ def _cut(length: int):
     return run
 
 
+def _equal_texts(batches):
+    """For mapInArrow over (key, copies, text), in order of the key: one row a text, copies compared with it and counted."""
+    import pyarrow as pa
+
+    held: list = []
+    out: list[list] = []
+    size = 0
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["key", "copies", "text"])
+
+    for batch in batches:
+        for key, copies, text in zip(*(batch.column(c).to_pylist() for c in ("key", "copies", "text")), strict=True):
+            if held and held[0] == key:
+                if held[2] != text:
+                    raise ValueError("unequal texts under one digest")
+                held[1] += copies
+                continue
+            if held:
+                out.append(held)
+                size += len(held[2])
+            held = [key, copies, text]
+            if size >= 4 << 20:
+                yield made()
+                out, size = [], 0
+    if held:
+        out.append(held)
+        yield made()
+
+
+def _partition_texts(batches):
+    """For mapInArrow over (key, copies, text): copies of a text that this partition has held lately are compared with it and sent on as one row."""
+    import pyarrow as pa
+
+    held: dict[bytes, list] = {}
+    size = 0
+
+    def made():
+        rows = [(k, n, t) for k, (n, t) in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["key", "copies", "text"])
+
+    for batch in batches:
+        for key, copies, text in zip(*(batch.column(c).to_pylist() for c in ("key", "copies", "text")), strict=True):
+            known = held.get(key)
+            if known is None:
+                held[key] = [copies, text]
+                size += len(text)
+            elif known[1] == text:
+                known[0] += copies
+            else:
+                raise ValueError("unequal texts under one digest")
+        if size >= HELD_TEXT:
+            yield made()
+            held, size = {}, 0
+    if held:
+        yield made()
+
+
 def long_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(text_id, key, copies, text), written: the different texts of ``length`` bytes or more. The id is made as they are written."""
+    """(text_id, key, copies, text), written: the different texts of ``length`` bytes or more. The id is made as they are written. Two texts
+    of one SHA-256 stop the job."""
     source = docs.select(F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= length)
-    texts = source.groupBy(text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    return materialize(texts.select(F.monotonically_increasing_id().alias("text_id"), "key", "copies", "text"), "texts", compression="zstd")
+    rows = source.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"), F.lit(1).cast("long").alias("copies"), F.col("text").cast("binary").alias("text"))
+    kinds = "key binary, copies long, text binary"
+    some = rows.mapInArrow(_partition_texts, kinds)
+    texts = some.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_equal_texts, kinds)
+    return materialize(texts.select(F.monotonically_increasing_id().alias("text_id"), F.substring("key", 1, 16).alias("key"), "copies", F.col("text").cast("string").alias("text")), "texts", compression="zstd")
 
 
 def _settle(texts: DataFrame, segs: DataFrame, length: int) -> DataFrame:

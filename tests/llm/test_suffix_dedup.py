@@ -50,6 +50,7 @@ def test_production_lengths(spark, monkeypatch, group_kinds, share_rows, held):
     monkeypatch.setattr(suffix_dedup, "GROUP_KINDS", group_kinds)
     monkeypatch.setattr(suffix_dedup, "SHARE_ROWS", share_rows)
     monkeypatch.setattr(suffix_dedup, "HELD", held)
+    monkeypatch.setattr(suffix_dedup, "HELD_TEXT", 16 << 20 if held > 2 else 2000)
     rows = rows_of_texts()
     df = spark.createDataFrame([(*r, "clash", "clash", 1) for r in rows], "doc_id long, text string, key string, text_id string, copies int").repartition(5)
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicate(df).collect())
@@ -71,3 +72,16 @@ def test_empty_and_short(spark):
     assert suffix_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     out = suffix_dedup.deduplicate(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
     assert [(r.n_bytes, r.n_removed, bytes(r.kept)) for r in out] == [(0, 0, b"")] * 2
+
+
+def test_copies_are_compared():
+    """Copies come together within a partition and over partitions; two texts under one key stop the job."""
+    import pyarrow as pa
+
+    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "copies", "text"])
+    rows = [(b"k", 1, b"text"), (b"l", 1, b"other"), (b"k", 1, b"text")]
+    for find, want in ((suffix_dedup._partition_texts, {b"k": 2, b"l": 1}), (suffix_dedup._equal_texts, {b"k": 2, b"l": 1})):
+        given = sorted(rows) if find is suffix_dedup._equal_texts else rows
+        assert {r["key"]: r["copies"] for b in find([batch(*given[:1]), batch(*given[1:])]) for r in b.to_pylist()} == want
+        with pytest.raises(ValueError, match="unequal texts"):
+            list(find([batch((b"k", 1, b"text"), (b"k", 1, b"TEXT"))]))
