@@ -15,15 +15,15 @@ earlier occurrence, as in a line repeated many times, the first line stays.
 ``deduplicate`` cuts sparser chunks, which lose most short passages: a chunk ends where the rolling hash of ``WINDOW``
 lines is divisible by ``DIVISOR``. Chunks have at least ``MIN_LINES`` lines; a shorter rest joins the chunk before it.
 
-Either way rows with equal texts (128 bits of SHA-256) are one text, which counts once, at its smallest id: the other
+Either way rows with equal texts (128 bits of SHA-256) are one text, which counts once, at its first row, that with the smallest id: the other
 rows repeat all of its chunks. Chunks of the texts are counted by hash with map-side sums. For those that occur twice
 the first occurrence, by doc_id and place, is looked up, the bytes of the others are compared with its bytes, and the
 others are removed. A chunk of very many occurrences is compared in shares of about ``SHARE_ROWS``, each of which gets
 the first's bytes.
 
 Defined results: null and empty texts have no chunks and stay as they are; chunks of which
-fewer than ``MIN_TEXT_LINES`` lines hold a word (a pair holds two) are never removed; rows that repeat an id and text are one
-document and both keep what is first in it; null ids come first; texts that share an id are in order of their SHA-256;
+fewer than ``MIN_TEXT_LINES`` lines hold a word (a pair holds two) are never removed; of rows that share
+an id and text one keeps what is first in it, the others repeat it, also where they have no id; null ids come first; texts that share an id are in order of their SHA-256;
 very long texts are one row and are read whole; other columns pass through, whatever their names, but for
 ``n_lines``, ``n_removed_lines`` and ``n_removed_chunks``, which are replaced; an empty table gives no rows.
 """
@@ -174,10 +174,11 @@ def _compare(batches):
 
 
 def different_texts(docs: DataFrame) -> DataFrame:
-    """(key, first_id, text) of (doc_id, text), written: different texts of two lines or more with their smallest id, null first."""
-    several = docs.filter(F.instr("text", "\n") > 0).select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    texts = several.groupBy("key").agg(F.min(F.struct("doc_id")).alias("least"), F.first("text").alias("text"))
-    return materialize(texts.select("key", F.col("least.doc_id").alias("first_id"), "text"), "texts", compression="zstd")
+    """(key, first_id, first_row, text) of (doc_id, row, text), written: different texts of two lines or more with their first row, that with the
+    smallest id, null first."""
+    several = docs.filter(F.instr("text", "\n") > 0).select("doc_id", "row", "text", text_key(F.col("text")).alias("key"))
+    texts = several.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("text").alias("text"))
+    return materialize(texts.select("key", F.col("least.doc_id").alias("first_id"), F.col("least.row").alias("first_row"), "text"), "texts", compression="zstd")
 
 
 def repeated_chunks(texts: DataFrame, find) -> DataFrame:
@@ -243,14 +244,15 @@ MADE = ["n_lines", "n_removed_lines", "n_removed_chunks"]
 
 def _without(docs: DataFrame, text: str, find) -> DataFrame:
     base = docs.drop(*MADE)
-    ident, words = base["doc_id"].cast("long"), base[text].cast("string")
-    texts = different_texts(base.select(ident.alias("doc_id"), words.alias("text")))
-    cut = repeated_chunks(texts, find).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("cut"))
-    listed = materialize(texts.select("key", "first_id", F.lit(True).alias("found")).join(cut, "key", "left"), "listed")
-    # the other columns travel in a struct, where no name can clash
+    # the other columns travel in a struct, where no name can clash; the number of a row is made once, as it is written
     rest = F.struct(*[base[c] for c in base.columns if c != text])
-    rows = base.select(rest.alias("rest"), words.alias("text"), ident.alias("id"), text_key(words).alias("key")).join(listed, "key", "left")
-    marked = rows.select("rest", "text", F.col("first_id").eqNullSafe(F.col("id")).alias("is_first"), "found", "cut")
+    own = base.select(rest.alias("rest"), base[text].cast("string").alias("text"), base["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
+    own = materialize(own, "rows", compression="zstd")
+    texts = different_texts(own)
+    cut = repeated_chunks(texts, find).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("cut"))
+    listed = materialize(texts.select("key", "first_row", F.lit(True).alias("found")).join(cut, "key", "left"), "listed")
+    rows = own.withColumn("key", text_key(F.col("text"))).join(listed, "key", "left")
+    marked = rows.select("rest", "text", F.col("first_row").eqNullSafe(F.col("row")).alias("is_first"), "found", "cut")
     fields = [T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in base.schema] + [T.StructField(c, T.LongType()) for c in MADE]
     return marked.mapInArrow(_keep_lines(find, base.columns, text), T.StructType(fields))
 
