@@ -30,6 +30,12 @@ def get_session(app_name: str = "curata", master: str | None = None, **conf: str
     return builder.config(map=settings).getOrCreate()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host that Hadoop's settings give it, so that Spark and pyarrow mean the same file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,11 +58,11 @@ def _root(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
         context.setCheckpointDir(base)
-    root = f"{base.rstrip('/')}/curata-{context.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS[root] = root
-        atexit.register(_remove_at_exit, spark, root)
-    return root
+    key = f"{base.rstrip('/')}/curata-{context.applicationId}"
+    if key not in _ROOTS:
+        _ROOTS[key] = qualified(spark, key)
+        atexit.register(_remove_at_exit, spark, _ROOTS[key])
+    return _ROOTS[key]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -69,7 +75,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def filesystem(path: str):
-    """pyarrow's file system for a folder or its URI, and the path in it."""
+    """pyarrow's file system for a folder's URI, as ``qualified`` gives it, and the path in it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
