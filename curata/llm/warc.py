@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.common import only, partitions
-from curata.session import materialize, shared_dir
+from curata.session import filesystem, materialize, qualified, shared_dir
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 2000
@@ -64,13 +64,6 @@ def surt(url: Column) -> Column:
     return F.when(rest == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(tail == "", F.lit("/")).otherwise(tail)))
 
 
-def filesystem(path: str):
-    """pyarrow's file system for a folder URI, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
-
-
 def record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(parts))}>"
 
@@ -357,7 +350,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 def archive(pages: DataFrame, folder: str | None = None, date: datetime.datetime | None = None) -> tuple[DataFrame, str]:
     """Writes archives and index for (page_id, url, html); returns the index and the folder."""
-    folder = folder or shared_dir(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder) if folder else shared_dir(pages.sparkSession, "warc")
     return write_index(write_archives(pages, folder, date), folder), folder
 
 
