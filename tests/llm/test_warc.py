@@ -85,7 +85,7 @@ def test_archives_begin_with_warcinfo(archived):
     index, folder, _ = archived
     import glob
 
-    files = glob.glob(f"{folder}/*.warc.gz")
+    files = glob.glob(f"{folder.removeprefix('file:')}/*.warc.gz")
     texts = [gzip.open(f).read() for f in files]
     assert texts and all(t.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for t in texts)
     whole = b"".join(texts)
