@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curata.functions.scalar import basename, extension, parent_folder, stem
+from curata.session import materialize
+from curata.sources.json_arrays import json_records
 
 # File extensions of images.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
@@ -28,29 +30,34 @@ def file_tree(spark: SparkSession, root: str, content: bool = False) -> DataFram
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, extension, folder, length) of every file below a folder, empty and hidden ones too. Folders of the first level are
-    dealt over tasks, which list them; nothing is opened."""
-    from curata.session import filesystem
+    """(path, name, extension, folder, length) of every file below a folder, empty and hidden ones too; nothing is opened.
 
-    schema = "path string, length long"
+    Folders are listed breadth first: each round deals the table of open folders over tasks, which list a folder each without descending, and the
+    folders that they find are open in the next. So a deep or a large folder is no one task's work, and there are as many rounds as levels."""
+    from curata.session import filesystem, qualified
 
-    def walk(frames):
-        import pandas as pd
-        from pyarrow import fs as pafs
-
-        system, base = filesystem(root)
-        for frame in frames:
-            for name, deep in zip(frame["name"], frame["deep"], strict=True):
-                found = system.get_file_info(pafs.FileSelector(base if name is None else f"{base}/{name}", recursive=bool(deep)))
-                files = [f for f in found if f.type == pafs.FileType.File]
-                yield pd.DataFrame({"path": [f.path for f in files], "length": [f.size for f in files]}).astype({"path": object, "length": "int64"})
+    schema = "path string, length long, is_folder boolean"
 
-    from pyarrow import fs as pafs
+    def listed(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
 
-    system, base = filesystem(root)
-    top = [f.base_name for f in system.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.Directory]
-    todo = spark.createDataFrame([(None, False), *((name, True) for name in top)], "name string, deep boolean").repartition(len(top) + 1)
-    files = todo.mapInPandas(walk, schema)
+        system, _ = filesystem(base)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = [f for f in system.get_file_info(pafs.FileSelector(folder)) if f.type in (pafs.FileType.File, pafs.FileType.Directory)]
+                folders = [f.type == pafs.FileType.Directory for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array([f.path for f in found], pa.string()), pa.array([f.size or 0 for f in found], pa.int64()), pa.array(folders, pa.bool_())], names=["path", "length", "is_folder"])
+
+    base = qualified(spark, root)
+    tasks = spark.sparkContext.defaultParallelism * 4
+    opened, files, n = spark.createDataFrame([(filesystem(base)[1],)], "path string"), None, 1
+    while n:
+        found = materialize(opened.repartition(min(n, tasks)).mapInArrow(listed, schema), "listing")
+        here = found.filter("NOT is_folder")
+        files = here if files is None else files.unionByName(here)
+        opened = found.filter("is_folder").select("path")
+        n = opened.count()
     return files.select("path", basename(F.col("path")).alias("name"), extension(F.col("path")).alias("extension"), parent_folder(F.col("path")).alias("folder"), "length")
 
 
@@ -126,13 +133,12 @@ def manifest_csv(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def manifest_json(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A JSON manifest, an array of records or an object with ``records``, as text columns with ``row_number`` from 1."""
+    """A JSON manifest, an array of records or an object with ``records``, as text columns with ``row_number`` from 1. A large file is read by
+    several tasks."""
     names = columns or MANIFEST_COLUMNS
-    record = "struct<" + ",".join(f"`{c}`:string" for c in names) + ">"
-    whole = spark.read.text(path, wholetext=True)
-    head = F.substring(F.ltrim("value"), 1, 1)
-    rows = F.when(head == "[", F.from_json("value", f"array<{record}>")).otherwise(F.from_json("value", f"struct<records:array<{record}>>")["records"])
-    return whole.select(F.posexplode(rows).alias("pos", "r")).select(*[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in names], (F.col("pos") + 1).cast("long").alias("row_number"))
+    found = json_records(spark, path, "records")
+    record = F.from_json("value", ",".join(f"`{c}` string" for c in names))
+    return found.select(record.alias("r"), "row_number").select(*[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in names], "row_number")
 
 
 def manifest(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -157,9 +163,7 @@ def sample_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 def diagnostics(spark: SparkSession, path: str, record: str) -> DataFrame:
     """Diagnostics JSON files, a list or an object with ``frames``; ``record`` is the DDL of a frame."""
-    whole = spark.read.text(path, wholetext=True)
-    as_list, as_object = F.from_json("value", f"array<struct<{record}>>"), F.from_json("value", f"struct<frames:array<struct<{record}>>>")["frames"]
-    return whole.select(F.explode(F.when(F.substring(F.ltrim("value"), 1, 1) == "[", as_list).otherwise(as_object)).alias("f")).select("f.*")
+    return json_records(spark, path, "frames").select(F.from_json("value", record).alias("f")).select("f.*")
 
 
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -214,5 +218,5 @@ def availability_dimension(spark: SparkSession, path: str) -> DataFrame:
 
 
 def frame_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1) -> DataFrame:
-    """A stream of frame rows from the Parquet files that appear in a folder."""
+    """A stream of frame rows from the Parquet files that appear in a folder. ``frames.frame_log`` streams raw frames."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
