@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Folders that ``shared_dir`` has named, in their order.
+_NAMED: list[str] = []
 
 
 def get_session(app_name: str = "curata", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,7 +73,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     Where that setting is absent a local session (tests) gets a temporary folder, which is
     set as the checkpoint directory; a cluster session is refused.
     """
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def named_folders() -> list[str]:
+    """The folders that ``shared_dir`` has named so far."""
+    return list(_NAMED)
+
+
+def release_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of ``shared_dir`` that nothing that will still run reads."""
+    for folder in folders:
+        _remove(spark, folder)
 
 
 def filesystem(path: str):
