@@ -16,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_state() -> dict:
-    """What a Python worker keeps between tasks (tokenizers, word caches)."""
-    return sys.__dict__.setdefault("_curata_state", {})
+def worker_state(owner: str = "") -> dict:
+    """What a Python worker keeps between tasks (tokenizers, word caches, tables of powers) for one owner: a worker that comes to another
+    kind of task lets go of what it held, so that the stages of a pipeline don't add up in its memory."""
+    state = sys.__dict__.setdefault("_curata_state", {})
+    if state.get("owner") != owner:
+        state.clear()
+        state["owner"] = owner
+    return state
 
 
 def split_words(text: Column) -> Column:

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curata.llm.common import worker_state
+
 BUCKETS = 1 << 15
 #: Labelled rows a language that are counted, about; chosen by a hash of the text.
 SAMPLE_ROWS = 4000
@@ -75,6 +77,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     def count(frames):
         import pandas as pd
 
+        worker_state("language")
         sums = {}
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"], strict=True):
@@ -146,6 +149,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     def run(batches):
         import pyarrow as pa
 
+        worker_state("language")
         for batch in batches:
             found, scores, sizes = [], [], []
             for t in batch.column(text):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curata.llm.common import by_key, partitions, text_key
+from curata.llm.common import by_key, partitions, text_key, worker_state
 from curata.llm.tokens import text_batches
 from curata.session import materialize, release
 
@@ -132,6 +132,7 @@ def _chunk_rows(find):
     def run(batches):
         import pyarrow as pa
 
+        worker_state("lines")
         for batch, texts in text_batches(batches):
             found = [find(t) for t in texts]
             counts = [len(f) for f in found]

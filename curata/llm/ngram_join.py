@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.blocks import TILES, Blocks, dealt, groups, intersections, roots
-from curata.llm.common import partitions, text_key
+from curata.llm.common import partitions, text_key, worker_state
 from curata.llm.tokens import text_batches
 from curata.operators.graph import connected_components
 from curata.session import materialize
@@ -112,6 +112,7 @@ def signatures(texts: DataFrame, n: int = N, bands: tuple[int, int] | None = Non
         import pyarrow as pa
         import xxhash
 
+        worker_state("grams")
         minhash = MinHash(count, rows)
         for batch, texts in text_batches(batches):
             keys, sizes, found = [], [], []

@@ -67,7 +67,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 def _tables(n: int):
     """(code of each byte, powers of the base, inverse powers), for n places."""
-    state = worker_state()
+    state = worker_state("suffixes")
     if len(state.get("powers", ((), ()))[1]) < n:
         rng = np.random.default_rng(200)
         codes = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

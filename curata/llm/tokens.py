@@ -112,7 +112,7 @@ class _Words(dict):
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for a vocabulary file."""
-    state = worker_state()
+    state = worker_state("tokens")
     key = ("encoder", path)
     if key not in state:
         import os
