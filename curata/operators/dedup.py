@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from curata.functions.scalar import hamming
 from curata.operators import arrow
 from curata.operators.graph import connected_components
+from curata.operators.metric_join import cells_of, near_values, total_work
 from curata.operators.ranks import numbered, running
 from curata.session import materialize
 
@@ -67,33 +68,57 @@ def band_values(h: Column, bits: int, bands: int) -> Column:
 
 
 def choose_stretches(n: int, max_distance: int, bits: int) -> int:
-    """The number of stretches of a hash for the least work over n rows: probes that are written, and pairs that meet."""
+    """The number of stretches of a hash for the least work over n rows: few long ones meet few unrelated rows but take more probes."""
+    return min(range(1, max_distance + 2), key=lambda m: probe_work(n, max_distance, bits, m))
 
-    def work(m: int) -> float:
-        wide, near = bits // m, max_distance // m
-        probes = m * sum(math.comb(wide, k) for k in range(near + 1))
-        return n * probes * (1 + n / 2**wide)
 
-    return min(range(1, max_distance + 2), key=work)
+def probe_work(n: int, max_distance: int, bits: int, stretches: int) -> float:
+    """Probes written and pairs met by stretches of evenly spread hashes."""
+    wide, near = bits // stretches, max_distance // stretches
+    probes = stretches * sum(math.comb(wide, k) for k in range(near + 1))
+    return n * probes * (1 + n / 2**wide)
 
 
-def hamming_pairs(df: DataFrame, hash_col: str, id_col: str, max_distance: int, bits: int = 63, stretches: int | None = None) -> DataFrame:
-    """(a, b, distance), a < b: all pairs within ``max_distance``, without misses.
-
-    Of m stretches of the hash one at least differs in ``max_distance`` // m bits at most. Each row is entered under its stretches, and
-    probes all values that near to them. Few long stretches meet few unrelated rows but take more probes: m is chosen
-    by the number of rows."""
-    kept = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h IS NOT NULL")
-    m = stretches or choose_stretches(kept.count(), max_distance, bits)
-    each = kept.select("id", "h", F.explode(band_values(F.col("h"), bits, m)).alias("k")).select("id", "h", F.col("k.band").alias("band"), F.col("k.value").alias("value"))
+def probed_values(values: DataFrame, max_distance: int, bits: int, m: int) -> DataFrame:
+    """(ha, hb, distance), ha < hb, of different hashes (h): of m stretches of the hash one at least differs in ``max_distance`` // m bits at
+    most. Each row is entered under its stretches, and probes all values that near to them."""
+    each = values.select("h", F.explode(band_values(F.col("h"), bits, m)).alias("k")).select("h", F.col("k.band").alias("band"), F.col("k.value").alias("value"))
     edges = [bits * i // m for i in range(m + 1)]
     wide = {b: edges[b + 1] - edges[b] for b in range(m)}
     masks = [(b, sum(1 << i for i in flips)) for b, w in wide.items() for k in range(max_distance // m + 1) for flips in itertools.combinations(range(w), k)]
-    probes = F.broadcast(df.sparkSession.createDataFrame(masks, "band int, mask long"))  # as many rows as a row has probes
-    left = each.join(probes, "band").select(F.col("id").alias("a"), F.col("h").alias("ha"), "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    right = each.withColumnsRenamed({"id": "b", "h": "hb"})
-    met = left.join(right, ["band", "value"]).filter("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= max_distance)
-    return met.select("a", "b", "distance").distinct()
+    probes = F.broadcast(values.sparkSession.createDataFrame(masks, "band int, mask long"))  # as many rows as a row has probes
+    left = each.join(probes, "band").select(F.col("h").alias("ha"), "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    right = each.withColumnRenamed("h", "hb")
+    met = left.join(right, ["band", "value"]).filter("ha < hb").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= max_distance)
+    return met.select("ha", "hb", "distance").distinct()
+
+
+#: More hashes than this are cut into cells first, to see whether that is less work.
+CELLS_FROM = 5000
+
+
+def near_hashes(values: DataFrame, max_distance: int, bits: int = 63, stretches: int | None = None) -> DataFrame:
+    """(ha, hb, distance), ha < hb: all pairs of different hashes (h) within ``max_distance``, without misses, by the way that is less work: cells of a
+    metric partition, whose pairs are counted before they are compared, or stretches of the hash."""
+    n = values.count()
+    m = stretches or choose_stretches(n, max_distance, bits)
+    if stretches is None and n > CELLS_FROM:
+        cells, _ = cells_of(values, max_distance)
+        if sum(total_work(cells)) <= probe_work(n, max_distance, bits, m):
+            return near_values(cells, max_distance)
+    return probed_values(values, max_distance, bits, m)
+
+
+def hamming_pairs(df: DataFrame, hash_col: str, id_col: str, max_distance: int, bits: int = 63, stretches: int | None = None) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of rows within ``max_distance``, without misses. Rows of one hash are compared once, and their pairs written
+    out at the end; ``near_hashes`` has the pairs of different hashes alone."""
+    kept = materialize(df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h IS NOT NULL"), "hashes")
+    values = materialize(kept.groupBy("h").agg(F.count("*").alias("n")), "values")
+    near = near_hashes(values.select("h"), max_distance, bits, stretches)
+    left, right = kept.select(F.col("id").alias("x"), F.col("h").alias("ha")), kept.select(F.col("id").alias("y"), F.col("h").alias("hb"))
+    apart = near.join(left, "ha").join(right, "hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").filter("a < b")
+    same = equal_pairs(kept.join(values.filter("n > 1").select("h"), "h"), "h", "id").withColumn("distance", F.lit(0))
+    return apart.unionByName(same)
 
 
 def prefix_probe_pairs(df: DataFrame, hash_col: str, id_col: str, max_distance: int, bits: int = 63, prefix_bits: int = 8, prefix_distance: int = 2) -> DataFrame:
