@@ -10,7 +10,7 @@ from curata.plans import detection, streams
 from curata.plans import views as v
 from curata.plans.registry import ORACLES, query
 from curata.session import shared_dir
-from curata.sources import readers, sinks
+from curata.sources import frames, readers, sinks
 from curata.streaming import stateful
 
 PER_BATCH = 1
@@ -104,6 +104,18 @@ def session_log_totals(spark, sf_dir):
     return sinks.session_totals(spark, summary).withColumn("avg_confidence", F.round("avg_confidence", 8))
 
 
+@query("""SELECT page_id, strlen(coalesce(html, '')) AS n_bytes, sha256(coalesce(html, '')) AS digest, 'device' || page_id % 4 AS device FROM pages""")
+def streamed_frames(spark, sf_dir):
+    """Pages written as frame logs of four devices, whose time is the page's number, and streamed back by the frame source."""
+    folder = shared_dir(spark, "frame-log")
+    p = v.table(spark, sf_dir, "pages")
+    shots = p.select(F.concat(F.lit("device"), (F.col("page_id") % 4).cast("string")).alias("device"), F.timestamp_micros("page_id").alias("time"), F.col("html").cast("binary").alias("bytes"))
+    # a segment is one task's work: about 1000 frames
+    frames.write_frames(shots, folder, segments=p.count() // 4000 + 1).write.format("noop").mode("overwrite").save()
+    d = stateful.run_to_table(frames.frame_log(spark, folder), "frames")
+    return d.select(F.unix_micros("time").alias("page_id"), F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("digest"), "device")
+
+
 @query(f"WITH {v.MANIFEST} SELECT image_id, image_path, fruit_type, freshness_label, physical_fruit_id, capture_session_id, capture_timestamp, trim(camera_id) AS camera_id, days_since_purchase, annotation_confidence, '' AS annotator FROM m")
 def manifest_round_trip(spark, sf_dir):
     """A manifest written as CSV and read again; columns that it lacks are empty."""

@@ -48,7 +48,7 @@ def test_work_a_row_is_bounded(spark, monkeypatch):
     """Three sizes: rows of cells and pairs met grow about as the hashes in clusters do, not as their square. Where distances say
     nothing, as between evenly spread hashes, cells don't get less work, and stretches are taken."""
     monkeypatch.setattr(metric_join, "LIMIT", 300)
-    rows, pairs = [], []
+    rows, pairs, chosen = [], [], []
     for n in (1500, 3000, 6000):
         values = spark.createDataFrame([(h,) for h in set(clustered(n, size=150))], "h long")
         cells, _ = metric_join.cells_of(values, 4)
@@ -57,7 +57,6 @@ def test_work_a_row_is_bounded(spark, monkeypatch):
         pairs.append(found[1] / n)
         chosen.append(min(sum(found), dedup.probe_work(n, 4, 63, dedup.choose_stretches(n, 4, 63))) / n)
     assert max(pairs) < 3.2 * pairs[0] and max(rows) < 3.5 and max(chosen) < 2 * chosen[0]
-    rng = random.Random(9)
-    spread = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(3000)], "h long")
+    spread = spark.createDataFrame([(random.Random(i).getrandbits(63),) for i in range(3000)], "h long")
     cells, _ = metric_join.cells_of(spread, 4)
     assert sum(metric_join.total_work(cells)) > dedup.probe_work(3000, 4, 63, dedup.choose_stretches(3000, 4, 63))
