@@ -81,14 +81,38 @@ def hard_case_reasons(spark, sf_dir):
     return rules.reason_distribution(_hard(spark, sf_dir))
 
 
-@query("""SELECT 'train' || ':' || doc_id || ':1' AS ref, CASE WHEN doc_id % 6 = 0 THEN 'field_count' WHEN doc_id % 6 = 1 THEN 'invalid_class' WHEN doc_id % 6 = 2 THEN 'center_out_of_range' ELSE 'non_numeric' END AS kind FROM documents WHERE doc_id % 6 < 4
-UNION ALL SELECT 'train:' || doc_id || ':2', 'covers_almost_all' FROM documents WHERE doc_id % 6 = 4 UNION ALL SELECT 'train:' || doc_id || ':2', 'duplicate_row' FROM documents WHERE doc_id % 6 = 5""")
+def label_lines(spark, sf_dir):
+    """Label lines of an order's items: classes, places and sizes that are sound for some and wrong in each way for others; neighbouring lines may be equal."""
+    q, key = F.col("l_quantity").cast("long"), F.col("l_orderkey") * 31 + F.floor(F.col("l_linenumber") / 2) * 17
+    share = lambda n, m: F.format_string("%d.%02d", F.floor(key * n % m / 100).cast("long"), (key * n % m % 100).cast("long"))
+    name = F.when(q % 17 == 0, "1.5").when(q % 13 == 0, "x").otherwise((key % 4).cast("string"))
+    sides = [share(1, 125), share(3, 110), share(7, 103), F.when(q % 11 == 0, "wide").otherwise(share(5, 101))]
+    raw = F.when(q % 19 == 0, "  ").when(q % 23 == 0, F.concat_ws(" ", name, *sides[:3])).otherwise(F.concat(F.lit(" "), F.concat_ws("  ", name, *sides)))
+    lines = v.table(spark, sf_dir, "lineitem")
+    return lines.select(F.lit("train").alias("split"), F.col("l_orderkey").cast("string").alias("stem"), F.col("l_linenumber").cast("int").alias("line_no"), raw.alias("raw"))
+
+
+def _share(n: int, m: int) -> str:
+    return f"(k * {n} % {m} // 100) || '.' || lpad((k * {n} % {m} % 100)::VARCHAR, 2, '0')"
+
+
+#: The lines, their fields and the numbers in them.
+LINES = f"""k AS (SELECT l_orderkey AS stem, l_linenumber::INT AS line_no, l_quantity::BIGINT AS q, l_orderkey * 31 + l_linenumber // 2 * 17 AS k FROM lineitem),
+raw AS (SELECT stem, line_no, CASE WHEN q % 19 = 0 THEN '  ' ELSE concat_ws(' ', CASE WHEN q % 17 = 0 THEN '1.5' WHEN q % 13 = 0 THEN 'x' ELSE (k % 4)::VARCHAR END, {_share(1, 125)}, {_share(3, 110)}, {_share(7, 103)},
+  CASE WHEN q % 23 = 0 THEN NULL WHEN q % 11 = 0 THEN 'wide' ELSE {_share(5, 101)} END) END AS raw FROM k),
+parts AS (SELECT *, string_split(raw, ' ') AS p FROM raw WHERE trim(raw) <> ''),
+nums AS (SELECT *, len(p) AS n, list_transform(p, lambda x: try_cast(x AS DOUBLE)) AS v FROM parts),
+num AS (SELECT *, n = 5 AS five, n = 5 AND len(list_filter(v, lambda x: x IS NULL)) = 0 AS numeric, v[1] AS c, v[2] AS x, v[3] AS y, v[4] AS w, v[5] AS h FROM nums),
+line AS (SELECT *, numeric AND c = floor(c) AND c >= 0 AND c < 3 AS usable FROM num)"""
+
+
+@query(f"""WITH {LINES}, again AS (SELECT *, row_number() OVER (PARTITION BY stem, c, round(x, 9), round(y, 9), round(w, 9), round(h, 9) ORDER BY line_no) AS r FROM line WHERE usable),
+f AS (SELECT stem, line_no, 'field_count' AS kind FROM line WHERE NOT five UNION ALL SELECT stem, line_no, 'non_numeric' FROM line WHERE five AND NOT numeric UNION ALL SELECT stem, line_no, 'invalid_class' FROM line WHERE numeric AND NOT usable
+  UNION ALL SELECT stem, line_no, 'center_out_of_range' FROM line WHERE usable AND (x < 0 OR x > 1 OR y < 0 OR y > 1) UNION ALL SELECT stem, line_no, 'size_out_of_range' FROM line WHERE usable AND (w <= 0 OR w > 1 OR h <= 0 OR h > 1)
+  UNION ALL SELECT stem, line_no, 'covers_almost_all' FROM line WHERE usable AND w * h >= 0.95 UNION ALL SELECT stem, line_no, 'duplicate_row' FROM again WHERE r > 1)
+SELECT 'train:' || stem || ':' || line_no AS ref, kind FROM f""")
 def label_line_audit(spark, sf_dir):
-    i = F.col("doc_id")
-    first = F.when(i % 6 == 0, "0 0.5 0.5").when(i % 6 == 1, "7 0.5 0.5 0.1 0.1").when(i % 6 == 2, "1 1.5 0.5 0.1 0.1").when(i % 6 == 3, "0 x 0.5 0.1 0.1").otherwise("2 0.25 0.25 0.1 0.1")
-    second = F.when(i % 6 == 4, "0 0.5 0.5 0.99 0.99").when(i % 6 == 5, "2 0.25 0.25 0.1 0.1").otherwise("")
-    lines = v.table(spark, sf_dir, "documents").select(F.lit("train").alias("split"), i.cast("string").alias("stem"), F.posexplode(F.array(first, second)).alias("p", "raw")).select("split", "stem", (F.col("p") + 1).alias("line_no"), "raw")
-    return rules.audit_label_lines(lines, 3)[0].select("ref", "kind")
+    return rules.audit_label_lines(label_lines(spark, sf_dir), 3)[0].select("ref", "kind")
 
 
 SHELF = "req AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN ' Apple' WHEN 1 THEN 'banana' WHEN 2 THEN 'kiwi' WHEN 3 THEN 'broken' ELSE 'grape' END AS item, CASE p_size % 6 WHEN 0 THEN 'fresh' WHEN 1 THEN 'stale' WHEN 2 THEN 'rotten' WHEN 3 THEN 'unknown' WHEN 4 THEN 'odd' ELSE 'fresh' END AS cls, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 7 = 1 THEN -2.5 WHEN p_size % 7 = 2 THEN 99.0 ELSE p_size / 50.0 END::DOUBLE AS conf FROM part), dim(item, lo, hi) AS (VALUES ('apple', 14, 30), ('banana', 3, 7), ('broken', 9, 2), ('grape', 5, 10))"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from curata.operators import boxes, review, rules
 from curata.plans import views as v
+from curata.plans.manifests import LINES, label_lines
 from curata.plans.registry import query
 
 QUEUE = """items AS (
@@ -168,18 +169,15 @@ def accepted_and_rejected(spark, sf_dir):
     return part("accepted", rules.accepted_rows(d)).unionByName(part("rejected", rules.rejected_rows(d)))
 
 
-@query("""WITH l AS (SELECT doc_id, 1 AS line_no, CASE doc_id % 9 WHEN 0 THEN '0 0.5 0.5 0.2 0.2' WHEN 1 THEN '0 0.5 0.5 0.2' WHEN 2 THEN 'x 0.5 0.5 0.2 0.2' WHEN 3 THEN '1.5 0.5 0.5 0.2 0.2' WHEN 4 THEN '7 0.5 0.5 0.2 0.2' WHEN 5 THEN ' ' ELSE '2 0.1 0.1 0.2 0.2' END AS raw FROM documents
-UNION ALL SELECT doc_id, 2, CASE doc_id % 9 WHEN 0 THEN '0 1.5 0.5 0.2 0.2' WHEN 5 THEN '1 0.5 0.5 0 0.2' WHEN 6 THEN '1 0.95 0.5 0.2 0.2' WHEN 1 THEN 'bad' ELSE '' END FROM documents)
-SELECT doc_id AS image, CASE WHEN doc_id % 8 = 7 THEN 'missing' WHEN doc_id % 9 < 7 THEN 'invalid' ELSE 'valid' END AS status, CASE WHEN doc_id % 8 < 7 AND doc_id % 9 < 7 THEN CASE WHEN doc_id % 9 IN (0, 5, 6) THEN 2 ELSE 1 END END AS line_no,
-CASE WHEN doc_id % 8 < 7 THEN CASE doc_id % 9 WHEN 0 THEN 'out_of_range' WHEN 1 THEN 'field_count' WHEN 2 THEN 'non_numeric' WHEN 3 THEN 'class_id' WHEN 4 THEN 'class_id' WHEN 5 THEN 'zero_size' WHEN 6 THEN 'outside_frame' END END AS error FROM documents""")
+@query(f"""WITH {LINES}, e AS (SELECT stem, line_no, CASE WHEN NOT five THEN 'field_count' WHEN NOT numeric THEN 'non_numeric' WHEN c <> floor(c) OR c < 0 OR c >= 3 THEN 'class_id' WHEN x < 0 OR x > 1 OR y < 0 OR y > 1 THEN 'out_of_range'
+  WHEN w <= 0 OR h <= 0 THEN 'zero_size' WHEN x + w / 2 > 1 OR y + h / 2 > 1 OR x - w / 2 < 0 OR y - h / 2 < 0 THEN 'outside_frame' END AS error FROM line),
+b AS (SELECT stem, least.l AS line_no, least.e AS error FROM (SELECT stem, min({{'l': line_no, 'e': error}}) AS least FROM e WHERE error IS NOT NULL GROUP BY stem))
+SELECT o_orderkey::VARCHAR AS image, CASE WHEN o_orderkey % 8 = 7 THEN 'missing' WHEN error IS NULL THEN 'valid' ELSE 'invalid' END AS status, CASE WHEN o_orderkey % 8 < 7 THEN line_no END AS line_no, CASE WHEN o_orderkey % 8 < 7 THEN error END AS error FROM orders LEFT JOIN b ON stem = o_orderkey""")
 def annotation_directory(spark, sf_dir):
-    i = F.col("doc_id")
-    pick = lambda *cases, other: _cases(i % 9, cases, other)
-    first = pick((0, "0 0.5 0.5 0.2 0.2"), (1, "0 0.5 0.5 0.2"), (2, "x 0.5 0.5 0.2 0.2"), (3, "1.5 0.5 0.5 0.2 0.2"), (4, "7 0.5 0.5 0.2 0.2"), (5, " "), other="2 0.1 0.1 0.2 0.2")
-    second = pick((0, "0 1.5 0.5 0.2 0.2"), (5, "1 0.5 0.5 0 0.2"), (6, "1 0.95 0.5 0.2 0.2"), (1, "bad"), other="")
-    d = v.table(spark, sf_dir, "documents")
-    lines = d.select(i.alias("image"), F.posexplode(F.array(first, second)).alias("at", "raw")).select("image", (F.col("at") + 1).alias("line_no"), "raw")
-    return rules.annotation_directory(d.select(i.alias("image"), (i % 8 < 7).alias("has_label")), lines, 3)
+    """Orders as images, their items as hand-drawn rows; each rule is computed from the fields of a row on both sides."""
+    lines = label_lines(spark, sf_dir).select(F.col("stem").alias("image"), "line_no", "raw")
+    images = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("image"), (F.col("o_orderkey") % 8 < 7).alias("has_label"))
+    return rules.annotation_directory(images, lines, 3)
 
 
 def _cases(value, cases, other):

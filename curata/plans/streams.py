@@ -211,15 +211,19 @@ def _frames(spark, sf_dir):
 fr AS (SELECT session, fr, count(*) AS n, count(DISTINCT st) AS states FROM f GROUP BY ALL),
 a AS (SELECT session, (max(fr) - min(fr))::DOUBLE AS duration_seconds, count(*) AS total_frames, round(avg(least(1.0, (fr % 300) / 200.0)), 6) AS avg_image_quality, count(*) FILTER (n > 1 AND states > 1) AS unstable_detections FROM fr GROUP BY session),
 d AS (SELECT session, count(*) AS total_detections, count(DISTINCT track) AS unique_tracks, count(*) FILTER (st = 'fresh') AS fresh_count, count(*) FILTER (st = 'stale') AS stale_count, count(*) FILTER (st = 'rotten') AS rotten_count,
-  round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM f GROUP BY session),
+  round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence, 0::BIGINT AS uncertain_count FROM f GROUP BY session),
+w AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY confidence, fr, seq) AS lo, row_number() OVER (PARTITION BY session ORDER BY (1 - confidence) * CASE st WHEN 'rotten' THEN 2.0::DOUBLE WHEN 'stale' THEN 1.0 ELSE 0.0 END DESC, fr, seq) AS hi FROM f),
+x AS (SELECT session, max(CASE WHEN lo = 1 THEN concat_ws('/', label, st, fr) END) AS lowest, max(CASE WHEN hi = 1 THEN concat_ws('/', label, st, fr) END) AS riskiest, max(CASE WHEN hi = 1 THEN confidence END) AS riskiest_confidence FROM w GROUP BY session),
 s AS (SELECT session, sum(c)::BIGINT AS class_switches FROM (SELECT session, coalesce(st <> lag(st) OVER (PARTITION BY session, track ORDER BY fr, seq), false)::INT AS c FROM f) GROUP BY session),
 t AS (SELECT session, round(avg(d), 6) AS avg_track_duration FROM (SELECT session, track, (max(fr) - min(fr))::DOUBLE AS d FROM f GROUP BY ALL HAVING count(*) > 1) GROUP BY session)
-SELECT * FROM a JOIN d USING (session) JOIN s USING (session) JOIN (SELECT session, coalesce(avg_track_duration, 0) AS avg_track_duration FROM d LEFT JOIN t USING (session)) USING (session)""")
+SELECT * FROM a JOIN d USING (session) JOIN s USING (session) JOIN x USING (session) JOIN (SELECT session, coalesce(avg_track_duration, 0) AS avg_track_duration FROM d LEFT JOIN t USING (session)) USING (session)""")
 def session_summary(spark, sf_dir):
     s = frames.session_summary(_frames(spark, sf_dir))
     rounded = {c: F.round(c, 6) for c in ("avg_image_quality", "avg_confidence", "avg_track_duration")}
-    return s.withColumns(rounded).select(
-        "session", "duration_seconds", "total_frames", "avg_image_quality", "unstable_detections", "total_detections", "unique_tracks", "fresh_count", "stale_count", "rotten_count", "avg_confidence", "min_confidence", "max_confidence", "class_switches", "avg_track_duration"
+    row = lambda c: F.concat_ws("/", f"{c}.fruit_name", f"{c}.freshness_class", F.col(f"{c}.frame_number").cast("string"))
+    extremes = {"lowest": row("lowest_confidence"), "riskiest": row("highest_risk"), "riskiest_confidence": F.col("highest_risk.confidence")}
+    return s.withColumns(rounded | extremes).select(
+        *extremes, "uncertain_count", "session", "duration_seconds", "total_frames", "avg_image_quality", "unstable_detections", "total_detections", "unique_tracks", "fresh_count", "stale_count", "rotten_count", "avg_confidence", "min_confidence", "max_confidence", "class_switches", "avg_track_duration"
     )
 
 
