@@ -106,3 +106,11 @@ def changes(records: DataFrame, merged: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), text("a", c).alias("before"), text("b", c).alias("after")) for c in ["proposal_id", *FIELDS]])
     each = both.select("a.record", "a.image", F.explode(pairs).alias("x")).select("record", "image", "x.*")
     return each.filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def fan_out(items: DataFrame) -> DataFrame:
+    """``items`` (image, category, action, coordinates, boxes, ...) as rows of a manifest: an item of an empty label that was drawn by hand gives a row for each of its boxes,
+    the box being its coordinates; one without boxes stays as it is, and so does every other item."""
+    drawn = (F.col("category") == EMPTY) & (F.col("action") == "MANUALLY_ANNOTATE")
+    rows = F.when(drawn & (F.size("boxes") > 0), F.col("boxes")).otherwise(F.array(F.when(~F.coalesce(drawn, F.lit(False)), F.col("coordinates"))))
+    return items.withColumn("coordinates", F.explode(rows)).drop("boxes")

@@ -79,6 +79,14 @@ def priority_report(scored: DataFrame) -> DataFrame:
     return by("level", F.array("level")).unionByName(by("category", F.col("categories"))).unionByName(by("flag", F.col("flags"))).unionByName(totals)
 
 
+def class_confusions(pairs: DataFrame) -> DataFrame:
+    """(classes, n) of matched pairs (frame, truth_class, class_name): the disagreements of the frames whose disagreeing pairs hold just these
+    classes, in order."""
+    apart = pairs.filter(F.col("truth_class") != F.col("class_name"))
+    frames = apart.groupBy("frame").agg(F.count("*").alias("n"), F.collect_set("truth_class").alias("a"), F.collect_set("class_name").alias("b"))
+    return frames.groupBy(F.array_sort(F.array_union("a", "b")).alias("classes")).agg(F.sum("n").alias("n"))
+
+
 def yolo_row_error(row: Column, classes: int) -> Column:
     """First fault of an array [class, cx, cy, w, h] of numbers; null for a sound one."""
     v = lambda i: F.get(row, F.lit(i))

@@ -336,12 +336,35 @@ def review_gate(records: DataFrame, classes: list[str], frame_width: int = 10_00
     return findings(records, "record", rules)
 
 
-def repair_records(records: DataFrame, order: str = "record") -> DataFrame:
-    """Records without malformed proposals, and one of those with equal geometry: the boxes rounded to 3 places, in order."""
-    sound = F.filter("proposals", lambda p: p["x1"].isNotNull() & p["y1"].isNotNull() & (p["x2"] > p["x1"]) & (p["y2"] > p["y1"]))
-    sig = F.array_join(F.array_sort(F.transform("proposals", lambda p: F.concat_ws(",", p["class_name"], *[F.round(p[c], 3).cast("string") for c in ("x1", "y1", "x2", "y2")]))), ";")
-    rows = records.withColumn("proposals", sound).withColumn("signature", sig)
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("image", "signature").orderBy(order))).filter("_r = 1").drop("_r")
+def repair_records(records: DataFrame, classes: list[str], order: str = "record") -> DataFrame:
+    """``records`` (record, image, decision, width, height, proposals of (class_name, x1, y1, x2, y2)) with ``proposals`` cleaned, ``removed``, the proposals taken
+    out with their reason, and ``dropped``, why a record goes: ``emptied`` or ``duplicate``; null for those that stay.
+
+    Only accepted and corrected records are repaired. A proposal goes for a class name that isn't known (null is no name), or for a box that is empty or leaves an image of known
+    size. Records of an image with equal sets of proposals, to 3 places, are one: the first in order stays, which is found by an aggregate, so many
+    copies are no one task's work."""
+    changes = F.coalesce(F.col("decision").isin("accepted", "corrected"), F.lit(False))
+    known = F.array(*map(F.lit, classes))
+    coordinates = ("x1", "y1", "x2", "y2")
+
+    def fault(p):
+        x1, y1, x2, y2 = (F.coalesce(p[c].cast("double"), F.lit(0.0)) for c in coordinates)
+        sized = F.col("width").isNotNull() & F.col("height").isNotNull()
+        outside = sized & ((x2 <= x1) | (y2 <= y1) | (x1 < 0) | (y1 < 0) | (x2 > F.col("width")) | (y2 > F.col("height")))
+        return F.when(p["class_name"].isNotNull() & ~F.array_contains(known, p["class_name"]), "class_name").when(outside, "outside_frame")
+
+    given = F.coalesce("proposals", F.array().cast(dict(records.dtypes)["proposals"]))
+    rows = records.withColumn("proposals", given)
+    bad = F.filter(F.transform("proposals", lambda p: F.struct(p.alias("proposal"), fault(p).alias("reason"))), lambda x: x["reason"].isNotNull())
+    rows = rows.withColumns({"removed": F.when(changes, bad).otherwise(F.slice(bad, 1, 0)), "_before": F.size("proposals")})
+    rows = rows.withColumn("proposals", F.when(changes, F.filter("proposals", lambda p: fault(p).isNull())).otherwise(F.col("proposals")))
+    emptied = changes & (F.col("_before") > 0) & (F.size("proposals") == 0)
+    sign = F.transform("proposals", lambda p: F.concat_ws(",", F.coalesce(p["class_name"], F.lit("?")), *[F.round(p[c].cast("double"), 3).cast("string") for c in coordinates]))
+    rows = rows.withColumn("_sign", F.when(changes & ~emptied, F.array_join(F.array_sort(F.array_distinct(sign)), ";")))
+    first = rows.filter("_sign IS NOT NULL").groupBy("image", "_sign").agg(F.min(order).alias("_first")).withColumnsRenamed({"image": "_image", "_sign": "_s"})
+    met = rows.join(first, F.col("image").eqNullSafe(F.col("_image")) & (F.col("_sign") == F.col("_s")), "left")
+    dropped = F.when(emptied, "emptied").when(F.col(order) > F.col("_first"), "duplicate")
+    return met.withColumn("dropped", dropped).drop("_before", "_sign", "_image", "_s", "_first")
 
 
 def recommendations(metrics: DataFrame) -> DataFrame:

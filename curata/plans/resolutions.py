@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curata.operators import calibration, resolve, rules, splits
+from curata.operators import boxes, calibration, resolve, review, rules, splits
+from curata.plans import detection
 from curata.plans import views as v
 from curata.plans.registry import query
 
@@ -156,3 +157,49 @@ def held_back_plain(spark, sf_dir):
     least = d.agg(F.min("doc_id").alias("least"))
     d = d.join(F.broadcast(least), F.col("doc_id") == F.col("least"), "left").withColumn("lang", F.when(F.col("least").isNotNull(), "rare").otherwise(F.col("lang")))
     return splits.held_back(d.select("doc_id", "lang"), "lang", "doc_id", 0.15, 0.2).select("doc_id", "split")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS record, 'img' || o_custkey % 200 AS image, CASE o_orderkey % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'corrected' ELSE 'accepted' END AS decision, CASE WHEN o_custkey % 200 % 7 > 0 THEN 100.0 END AS size FROM orders),
+p AS (SELECT l_orderkey AS record, CASE l_linenumber % 4 WHEN 0 THEN 'apple' WHEN 1 THEN 'pear' WHEN 3 THEN 'plum' END AS cn, l_linenumber * 10 % 50 AS x1, l_orderkey % 3 * 10 AS y1, l_linenumber * 10 % 50 + 20 + l_linenumber % 2 * 50 AS x2, l_orderkey % 3 * 10 + 20 AS y2 FROM lineitem),
+j AS (SELECT r.*, decision IN ('accepted', 'corrected') AS ch, p.record AS has, cn, x1, y1, x2, y2, CASE WHEN cn = 'plum' THEN 'class_name' WHEN size IS NOT NULL AND (x2 <= x1 OR y2 <= y1 OR x1 < 0 OR y1 < 0 OR x2 > size OR y2 > size) THEN 'outside_frame' END AS why FROM r LEFT JOIN p USING (record)),
+a AS (SELECT record, image, decision, ch, count(has) AS before, count(has) FILTER (NOT ch OR why IS NULL) AS kept, count(has) FILTER (ch AND why = 'class_name') AS bad_class, count(has) FILTER (ch AND why = 'outside_frame') AS bad_box,
+  coalesce(array_to_string(list_sort(list(DISTINCT concat_ws(',', coalesce(cn, '?'), x1, y1, x2, y2)) FILTER (has IS NOT NULL AND why IS NULL)), ';'), '') AS sign FROM j GROUP BY ALL),
+b AS (SELECT *, ch AND before > 0 AND kept = 0 AS emptied FROM a), c AS (SELECT *, min(CASE WHEN ch AND NOT emptied THEN record END) OVER (PARTITION BY image, sign, ch AND NOT emptied) AS first FROM b)
+SELECT record, kept, bad_class, bad_box, CASE WHEN emptied THEN 'emptied' WHEN ch AND record > first THEN 'duplicate' END AS dropped FROM c""")
+def repaired_records(spark, sf_dir):
+    """Orders as records, their items as proposals; copies of an image's records and malformed proposals go."""
+    o, k, n = F.col("o_orderkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    x1 = n * 10 % 50
+    p = F.struct(F.when(n % 4 == 0, "apple").when(n % 4 == 1, "pear").when(n % 4 == 3, "plum").alias("class_name"), x1.cast("double").alias("x1"), (k % 3 * 10).cast("double").alias("y1"), (x1 + 20 + n % 2 * 50).cast("double").alias("x2"), (k % 3 * 10 + 20).cast("double").alias("y2"))
+    proposals = v.table(spark, sf_dir, "lineitem").groupBy(k.alias("record")).agg(F.collect_list(p).alias("proposals"))
+    image = F.col("o_custkey") % 200
+    size = F.when(image % 7 > 0, F.lit(100.0))
+    records = v.table(spark, sf_dir, "orders").select(o.alias("record"), _image(image).alias("image"), F.when(o % 5 == 0, "rejected").when(o % 5 == 1, "uncertain").when(o % 5 == 2, "corrected").otherwise("accepted").alias("decision"), size.alias("width"), size.alias("height"))
+    d = rules.repair_records(records.join(proposals, "record", "left"), ["apple", "pear"])
+    bad = lambda why: F.size(F.filter("removed", lambda x: x["reason"] == why)).cast("long")
+    return d.select("record", F.size("proposals").cast("long").alias("kept"), bad("class_name").alias("bad_class"), bad("outside_frame").alias("bad_box"), "dropped")
+
+
+@query("""WITH i AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 = 0 THEN 'D_UNCERTAIN' ELSE 'A_EMPTY_LABEL' END AS category, CASE WHEN c_custkey % 2 = 0 THEN 'MANUALLY_ANNOTATE' ELSE 'CONFIRM_BACKGROUND' END AS action FROM customer),
+b AS (SELECT o_custkey AS c, o_orderkey AS k FROM orders)
+SELECT 'img' || i.c AS image, category, action, CASE WHEN category = 'A_EMPTY_LABEL' AND action = 'MANUALLY_ANNOTATE' THEN b.k::DOUBLE ELSE 0.5 END AS cx FROM i JOIN b ON b.c = i.c WHERE category = 'A_EMPTY_LABEL' AND action = 'MANUALLY_ANNOTATE'
+UNION ALL SELECT 'img' || c, category, action, CASE WHEN category = 'A_EMPTY_LABEL' AND action = 'MANUALLY_ANNOTATE' THEN NULL ELSE 0.5 END FROM i WHERE NOT (category = 'A_EMPTY_LABEL' AND action = 'MANUALLY_ANNOTATE') OR c NOT IN (SELECT c FROM b)""")
+def fanned_out(spark, sf_dir):
+    """Items of a review with several boxes as manifest rows; items without boxes stay."""
+    c = F.col("c_custkey")
+    row = lambda x: F.array(F.lit(0.0), x.cast("double"), F.lit(0.5), F.lit(0.1), F.lit(0.1))
+    boxes_ = v.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(row(F.col("o_orderkey"))).alias("boxes"))
+    items = v.table(spark, sf_dir, "customer").join(boxes_, "c_custkey", "left").select(
+        _image(c).alias("image"), F.when(c % 3 == 0, "D_UNCERTAIN").otherwise("A_EMPTY_LABEL").alias("category"), F.when(c % 2 == 0, "MANUALLY_ANNOTATE").otherwise("CONFIRM_BACKGROUND").alias("action"), row(F.lit(0.5)).alias("coordinates"), "boxes"
+    )
+    return resolve.fan_out(items).select("image", "category", "action", F.get("coordinates", F.lit(1)).alias("cx"))
+
+
+@query(f"""WITH RECURSIVE {detection.ONE_TO_ONE}, x AS (SELECT g.frame, t.class_name AS a, p.class_name AS b FROM g JOIN t ON t.frame = g.frame AND t.box_id = g.truth_id JOIN p ON p.frame = g.frame AND p.box_id = g.box_id WHERE t.class_name <> p.class_name),
+f AS (SELECT frame, count(*) AS n, list_sort(list_distinct(list_concat(list(a), list(b)))) AS classes FROM x GROUP BY frame)
+SELECT array_to_string(classes, '/') AS classes, sum(n)::BIGINT AS n FROM f GROUP BY classes""")
+def class_confusions(spark, sf_dir):
+    """Which classes the disagreeing matches of a frame hold, and how many disagree."""
+    t, p = v.truth_boxes(spark, sf_dir), v.predicted_boxes(spark, sf_dir)
+    pairs = boxes.one_to_one(t, p).join(t.select("frame", F.col("box_id").alias("truth_id"), F.col("class_name").alias("truth_class")), ["frame", "truth_id"]).join(p.select("frame", "box_id", "class_name"), ["frame", "box_id"])
+    return review.class_confusions(pairs).withColumn("classes", F.array_join("classes", "/"))
