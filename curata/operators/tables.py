@@ -149,15 +149,34 @@ def imbalance(counts: DataFrame, n: str = "n", limit: float = 3.0) -> DataFrame:
     return a.withColumn("ratio", ratio).withColumn("balanced", F.col("ratio") <= limit)
 
 
-def profile(files: DataFrame) -> DataFrame:
+def profile(files: DataFrame, root: str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """(facet, value, n) of a file listing (path, name, extension, folder, length): by extension and folder, empty files, names that
-    occur twice, files in nested folders."""
-    parts = [
-        files.groupBy(F.col("extension").alias("value")).agg(F.count("*").alias("n")).select(F.lit("extension").alias("facet"), "value", "n"),
-        files.groupBy(F.col("folder").alias("value")).agg(F.count("*").alias("n")).select(F.lit("folder").alias("facet"), "value", "n"),
-        files.filter("length = 0").groupBy(F.lit("all").alias("value")).agg(F.count("*").alias("n")).select(F.lit("empty_files").alias("facet"), "value", "n"),
-        files.groupBy(F.col("name").alias("value")).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("repeated_name").alias("facet"), "value", "n"),
-    ]
+    occur twice.
+
+    With ``readable`` in the listing, files that can't be read (``corrupt_files``). With the ``root`` of their paths, files by the folder of the first level (``class``), of which ``.`` is
+    the root itself, and files that lie deeper (``nested_files``). With ``labels`` (label, class, accepted) too, the files of each accepted and each rejected label, a label without
+    files having 0, and both totals; a folder that no label names is in neither."""
+
+    def by(facet: str, rows: DataFrame, value, least: int = 1) -> DataFrame:
+        counts = rows.groupBy((F.col(value) if isinstance(value, str) else value).alias("value")).agg(F.count("*").alias("n"))
+        return (counts.filter(F.col("n") >= least) if least > 1 else counts).select(F.lit(facet).alias("facet"), "value", "n")
+
+    all_ = F.lit("all")
+    parts = [by("extension", files, "extension"), by("folder", files, "folder"), by("empty_files", files.filter("length = 0"), all_), by("repeated_name", files, "name", 2)]
+    if "readable" in files.columns:
+        parts.append(by("corrupt_files", files.filter(~F.coalesce("readable", F.lit(False))), all_))
+    if root is not None:
+        below = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
+        top = F.when(F.size(below) > 1, F.get(below, F.lit(0))).otherwise(F.lit("."))
+        placed = files.select(top.alias("class"), (F.size(below) > 2).alias("deep"))
+        classes = by("class", placed, "class")
+        parts += [classes, by("nested_files", placed.filter("deep"), all_)]
+        if labels is not None:
+            named = labels.select("label", F.coalesce("accepted", F.lit(False)).alias("accepted")).join(classes.select(F.col("value").alias("label"), "n"), "label", "left")
+            kind = F.when(F.col("accepted"), "accepted")
+            each = named.select(F.concat(F.coalesce(kind, F.lit("rejected")), F.lit("_label")).alias("facet"), F.col("label").alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
+            total = each.groupBy(F.regexp_replace("facet", "label", "files").alias("facet")).agg(F.sum("n").alias("n")).select("facet", all_.alias("value"), "n")
+            parts += [each, total]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -137,6 +137,23 @@ def file_profile(spark, sf_dir):
     return tables.profile(f)
 
 
+@query("""WITH f AS (SELECT CASE WHEN source IS NULL THEN '.' ELSE source END AS top, source IS NOT NULL AND doc_id % 4 > 0 AS deep, 'n' || doc_id || '.png' AS name, CASE WHEN source IS NOT NULL AND doc_id % 4 > 0 THEN lang WHEN source IS NULL THEN 'data' ELSE source END AS folder, n_chars AS length, n_chars % 9 > 0 AS readable FROM documents),
+c AS (SELECT top, count(*) AS n FROM f GROUP BY top), l AS (SELECT n_nationkey, 'src' || n_nationkey AS label, n_regionkey > 1 AS accepted FROM nation), e AS (SELECT label, accepted, coalesce(n, 0) AS n FROM l LEFT JOIN c ON top = label)
+SELECT 'extension' AS facet, '.png' AS value, count(*) AS n FROM f UNION ALL SELECT 'folder', folder, count(*) FROM f GROUP BY folder UNION ALL SELECT 'empty_files', 'all', count(*) FROM f WHERE length = 0 HAVING count(*) > 0 UNION ALL SELECT 'repeated_name', name, count(*) FROM f GROUP BY name HAVING count(*) > 1
+UNION ALL SELECT 'corrupt_files', 'all', count(*) FROM f WHERE NOT readable UNION ALL SELECT 'class', top, n FROM c UNION ALL SELECT 'nested_files', 'all', count(*) FROM f WHERE deep
+UNION ALL SELECT CASE WHEN accepted THEN 'accepted_label' ELSE 'rejected_label' END, label, n FROM e UNION ALL SELECT CASE WHEN accepted THEN 'accepted_files' ELSE 'rejected_files' END, 'all', sum(n)::BIGINT FROM e GROUP BY accepted""")
+def source_profile(spark, sf_dir):
+    """Documents as files of a source: classes by folder, nested and unreadable files, accepted and rejected labels."""
+    d = v.table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".png"))
+    deep = F.when(F.col("doc_id") % 4 > 0, F.col("lang"))
+    folder = F.when(F.col("source").isNull(), "data").otherwise(F.coalesce(deep, F.col("source")))
+    path = F.concat_ws("/", F.lit("data"), "source", F.when(F.col("source").isNotNull(), deep), name)
+    files = d.select(path.alias("path"), name.alias("name"), F.lit(".png").alias("extension"), folder.alias("folder"), F.col("n_chars").alias("length"), (F.col("n_chars") % 9 > 0).alias("readable"))
+    labels = v.table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("label"), F.lit("x").alias("class"), (F.col("n_regionkey") > 1).alias("accepted"))
+    return tables.profile(files, "data", labels)
+
+
 @query("""SELECT c_custkey, n_name, n_name IS NOT NULL AS available FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey > 1) ON n_nationkey = c_nationkey""")
 def dimension_lookup(spark, sf_dir):
     n = v.table(spark, sf_dir, "nation").filter("n_regionkey > 1").select(F.concat(F.lit(" N"), F.col("n_nationkey").cast("string")).alias("k"), "n_name")
