@@ -313,6 +313,12 @@ def evidence(truth: DataFrame, pred: DataFrame, frame_area: float, small_share:
     }).drop("n_small")
 
 
+# The names of a review's flags.
+FLAGS = (
+    "class_disagreement", "missing_detection", "extra_detection", "grape_policy_conflict", "conflicting_classes", "low_confidence", "unusual_object_count", "poor_box_overlap",
+    "no_ai_proposal", "ai_detects_no_gt_object",
+)
+
 # Weights and caps of the review score.
 CATEGORY_BASE = (("ambiguous_classes", 25.0), ("empty_labels", 20.0), ("tiny_boxes", 15.0), ("many_objects", 15.0), ("huge_box", 10.0), ("huge_boxes", 10.0))
 
@@ -333,11 +339,11 @@ def review_score(ev: DataFrame, many: int = 60) -> DataFrame:
         + F.when(matched & (overlap < 0.3), 25.0).when(matched & (overlap < 0.5), 12.0).otherwise(0.0)
         + when(sets_differ, 20) + when(odd_count, 10) + when(unsure, 15) + when(F.col("policy_conflict"), 30)
     )
-    flags = {
-        "class_disagreement": F.col("class_disagreements") > 0, "missing_detection": F.col("missing") > 0, "extra_detection": F.col("extra") > 0, "policy_conflict": F.col("policy_conflict"),
-        "conflicting_classes": sets_differ, "low_confidence": unsure, "unusual_object_count": odd_count, "poor_box_overlap": matched & (overlap < 0.5),
-        "no_proposal": F.col("proposals") == 0, "proposal_without_truth": (F.col("truths") == 0) & (F.col("proposals") > 0),
-    }
+    raised = [
+        F.col("class_disagreements") > 0, F.col("missing") > 0, F.col("extra") > 0, F.col("policy_conflict"), sets_differ, unsure, odd_count, matched & (overlap < 0.5),
+        F.col("proposals") == 0, (F.col("truths") == 0) & (F.col("proposals") > 0),
+    ]
+    flags = dict(zip(FLAGS, raised, strict=True))
     named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
     out = ev.withColumns({"score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), "flags": named})
     return out.withColumn("level", F.when(F.col("score") >= 40, "HIGH").when(F.col("score") >= 15, "MEDIUM").otherwise("LOW"))
