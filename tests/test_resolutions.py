@@ -81,3 +81,41 @@ def test_temperature_finds_the_softening(spark):
     assert sum(p) == pytest.approx(1.0)
     error = calibration.calibration_error(spark.createDataFrame([(0.95, True), (0.95, False), (1.0, True), (None, True)], "c double, ok boolean"), "c", "ok").first()
     assert error.n == 3 and error.error == pytest.approx(abs(2.9 / 3 - 2 / 3))
+
+
+def test_repair_of_records(spark):
+    kind = "record long, image string, decision string, width double, height double, proposals array<struct<class_name:string,x1:double,y1:double,x2:double,y2:double>>"
+    good, near, wide, odd, free = ("a", 1.0, 1.0, 5.0, 5.0), ("a", 1.0001, 1.0, 5.0, 5.0), ("a", 0.0, 0.0, 50.0, 5.0), ("z", 1.0, 1.0, 5.0, 5.0), (None, 1.0, 1.0, 5.0, 5.0)
+    rows = [
+        (1, "i", "accepted", 10.0, 10.0, [good, wide]), (2, "i", "corrected", 10.0, 10.0, [near, near]), (3, "i", "rejected", 10.0, 10.0, [odd]), (4, "i", "accepted", 10.0, 10.0, [odd]), (5, "j", "accepted", None, None, [wide]),
+        (6, "i", "accepted", 10.0, 10.0, None), (7, "i", "accepted", 10.0, 10.0, []), (8, "i", None, 10.0, 10.0, [odd]), (9, None, "accepted", None, None, [free]), (10, None, "accepted", None, None, [free]),
+    ]
+    got = {r.record: r for r in rules.repair_records(spark.createDataFrame(rows, kind), ["a"]).collect()}
+    assert {k: r.dropped for k, r in got.items()} == {1: None, 2: "duplicate", 3: None, 4: "emptied", 5: None, 6: None, 7: "duplicate", 8: None, 9: None, 10: "duplicate"}
+    assert [x.reason for x in got[1].removed] == ["outside_frame"] and [x.reason for x in got[4].removed] == ["class_name"] and len(got[5].proposals) == 1 and got[3].removed == [] and len(got[3].proposals) == 1
+
+
+def test_fan_out_keeps_items_without_boxes(spark):
+    kind = "image string, category string, action string, coordinates array<double>, boxes array<array<double>>"
+    rows = [("a", "A_EMPTY_LABEL", "MANUALLY_ANNOTATE", None, [[1.0], [2.0]]), ("b", "A_EMPTY_LABEL", "MANUALLY_ANNOTATE", [9.0], []), ("c", "A_EMPTY_LABEL", "MANUALLY_ANNOTATE", None, None), ("d", "D_UNCERTAIN", "CORRECT", [3.0], [[4.0]]), ("e", None, None, None, None)]
+    got = sorted((r.image, r.coordinates) for r in resolve.fan_out(spark.createDataFrame(rows, kind)).collect())
+    assert got == [("a", [1.0]), ("a", [2.0]), ("b", None), ("c", None), ("d", [3.0]), ("e", None)]
+
+
+def test_class_confusions(spark):
+    from curata.operators import review
+
+    rows = [(1, "x", "y"), (1, "y", "x"), (1, "x", "x"), (2, "y", "x"), (3, "x", "z"), (4, "x", "x")]
+    got = {tuple(r.classes): r.n for r in review.class_confusions(spark.createDataFrame(rows, "frame long, truth_class string, class_name string")).collect()}
+    assert got == {("x", "y"): 3, ("x", "z"): 1}
+
+
+def test_source_profile(spark):
+    from curata.operators import tables
+
+    rows = [("/r/a/x.png", "x.png", ".png", "a", 1, True), ("/r/a/d/x.png", "x.png", ".png", "d", 0, False), ("/r/top.png", "top.png", ".png", "r", 2, None)]
+    files = spark.createDataFrame(rows, "path string, name string, extension string, folder string, length long, readable boolean")
+    labels = spark.createDataFrame([("a", "x", True), ("b", None, False), ("c", None, None)], "label string, class string, accepted boolean")
+    got = {(r.facet, r.value): r.n for r in tables.profile(files, "/r", labels).collect()}
+    want = {("class", "a"): 2, ("class", "."): 1, ("nested_files", "all"): 1, ("corrupt_files", "all"): 2, ("empty_files", "all"): 1, ("repeated_name", "x.png"): 2, ("accepted_label", "a"): 2, ("rejected_label", "b"): 0, ("rejected_label", "c"): 0, ("accepted_files", "all"): 2, ("rejected_files", "all"): 0}
+    assert {k: n for k, n in got.items() if k[0] not in ("extension", "folder")} == want
