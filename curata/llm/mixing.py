@@ -42,6 +42,15 @@ SEED = 7
 BUCKET_ROWS = 2_000
 
 
+#: Up to so many sources are broadcast to the rows; more are joined by a shuffle. Both give the same rows.
+BROADCAST_SOURCES = 100_000
+
+
+def few(table: DataFrame, sources: int) -> DataFrame:
+    """A table of one row a source, to be broadcast if it is small."""
+    return F.broadcast(table) if sources <= BROADCAST_SOURCES else table
+
+
 def targets(sizes: list[int], max_repeats: int = MAX_REPEATS) -> list[float]:
     """Target words by source, for sizes in source order: weights 1, 2, 3, repeating."""
     weights = [1 + i % 3 for i in range(len(sizes))]
@@ -57,7 +66,8 @@ def targets(sizes: list[int], max_repeats: int = MAX_REPEATS) -> list[float]:
         for i in full:
             found[i] = float(max_repeats * sizes[i])
             left -= found[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        capped = set(full)
+        open_ = [i for i in open_ if i not in capped]
     return found
 
 
@@ -162,7 +172,7 @@ def draw_slots(spark, plan: list[dict], seed: int, shard_slots: int = SHARD_SLOT
                 yield pd.DataFrame({"shard": np.int64(shard), "s": has.astype(np.int32), "n": got[has]})
 
     drawn = spark.range(0, n_shards).mapInPandas(draw, "shard long, s int, n long") if n_shards else spark.createDataFrame([], "shard long, s int, n long")
-    limits = F.broadcast(spark.createDataFrame([(i, int(q)) for i, q in enumerate(quota)], "s int, quota long"))
+    limits = few(spark.createDataFrame([(i, int(q)) for i, q in enumerate(quota)], "s int, quota long"), len(quota))
     runs = prefix_sums(drawn, "s", "shard", "n", "t0")
     kept = runs.join(limits, "s").withColumn("n", F.least("n", F.col("quota") - F.col("t0"))).filter("n > 0").select("shard", "s", "t0", "n")
     got = drawn.groupBy("s").agg(F.sum("n").alias("got"))
@@ -212,7 +222,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, max_repeats
     sized = materialize(sized, "sizes")
     plan = plan_sources(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).select("source", "size"), block, seed, max_repeats)
     info = spark.createDataFrame([(p["source"], p["s"], p["source_size"], p["target"]) for p in plan], "source string, s int, source_size long, target double")
-    rows = sized.join(F.broadcast(info), sized["source"].eqNullSafe(info["source"])).drop(info["source"])
+    rows = sized.join(few(info, len(plan)), sized["source"].eqNullSafe(info["source"])).drop(info["source"])
     rows = materialize(lay_out(rows, sized.count()), "layout")
     slots = take_blocks(draw_slots(spark, plan, seed), plan, block, seed)
     has = rows.filter("size > 0")
