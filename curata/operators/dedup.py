@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curata.functions.scalar import hamming
 from curata.operators import arrow
 from curata.operators.graph import connected_components
-from curata.operators.metric_join import cells_of, near_values, total_work
+from curata.operators.metric_join import cells_of, near_values, tile_work, tiled_values, total_work, worth_cutting
 from curata.operators.ranks import numbered, running
 from curata.session import materialize
 
@@ -98,15 +98,18 @@ CELLS_FROM = 5000
 
 
 def near_hashes(values: DataFrame, max_distance: int, bits: int = 63, stretches: int | None = None) -> DataFrame:
-    """(ha, hb, distance), ha < hb: all pairs of different hashes (h) within ``max_distance``, without misses, by the way that is less work: cells of a
-    metric partition, whose pairs are counted before they are compared, or stretches of the hash."""
+    """(ha, hb, distance), ha < hb: all pairs of different hashes (h) within ``max_distance``, without misses, by the way that is least work: cells of a
+    metric partition, whose pairs are counted before they are compared, stretches of the hash, or tiles of all pairs."""
     n = values.count()
     m = stretches or choose_stretches(n, max_distance, bits)
-    if stretches is None and n > CELLS_FROM:
+    if stretches:
+        return probed_values(values, max_distance, bits, m)
+    least = min(probe_work(n, max_distance, bits, m), tile_work(n))
+    if n > CELLS_FROM and worth_cutting(values, n, max_distance):
         cells, _ = cells_of(values, max_distance)
-        if sum(total_work(cells)) <= probe_work(n, max_distance, bits, m):
+        if sum(total_work(cells)) <= least:
             return near_values(cells, max_distance)
-    return probed_values(values, max_distance, bits, m)
+    return tiled_values(values, n, max_distance) if tile_work(n) <= least else probed_values(values, max_distance, bits, m)
 
 
 def hamming_pairs(df: DataFrame, hash_col: str, id_col: str, max_distance: int, bits: int = 63, stretches: int | None = None) -> DataFrame:

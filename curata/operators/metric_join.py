@@ -7,7 +7,8 @@ different homes the one whose pivot has the larger number is the guest, so that
 
 A cell of more than ``LIMIT`` rows is cut by pivots of its own, by the same rule, until it is small or doesn't get less work, as
 where its rows are near each other throughout, so that its pairs are what was asked for. Pivots are a few rows of a cell, chosen by a hash, and each round
-is one pass that deals rows by cell; the pairs of a large cell are dealt over several tasks.
+is one pass that deals rows by cell; the pairs of a large cell are dealt over several tasks. Where a sample shows that distances to pivots
+tell little, as at a wide radius, nothing is cut: all pairs are compared in tiles of two blocks, each a bounded task of array operations.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ TASK_PAIRS = 20_000_000
 #: A round that leaves more than this share of a cell's pairs isn't worth it: such cells stay as they are.
 WORTH = 0.7
 ROUNDS = 30
+#: Rows on which the first cut is tried.
+SAMPLE = 4096
+#: Rows of a tile's block, and the work of a pair in a tile, where a row of a join is 1.
+BLOCK, TILE_PAIR = 20_000, 0.02
+#: Pairs that a tile holds in memory at once.
+CHUNK = 1 << 16
 
 
 def _work(cells: DataFrame) -> DataFrame:
@@ -72,6 +79,52 @@ def cells_of(values: DataFrame, r: int) -> tuple[DataFrame, list[tuple[int, floa
     return materialize(out, "cells"), steps
 
 
+def worth_cutting(values: DataFrame, n: int, r: int) -> bool:
+    """Whether a first cut of about ``SAMPLE`` of n different hashes (h) leaves less work. It only chooses the way, not the pairs."""
+    drawn = values.filter(F.pmod(F.xxhash64(F.lit(-1), "h"), F.lit(n)) < SAMPLE)
+    one = drawn.select(F.lit(0).cast("long").alias("cell"), "h", F.lit(False).alias("guest"))
+    return total_work(_cut(one, _work(one), r, 0).select("cell", "guest"))[1] <= WORTH * total_work(one)[1]
+
+
+def tile_work(n: int) -> float:
+    """Rows dealt to tiles and pairs compared there."""
+    return n * -(-n // BLOCK) + TILE_PAIR * n * n / 2
+
+
+def tiled_values(values: DataFrame, n: int, r: int) -> DataFrame:
+    """(ha, hb, distance), ha < hb, of n different hashes (h): all pairs are compared, two blocks of rows at a time."""
+    blocks = max(1, -(-n // BLOCK))
+    mine = values.select("h", F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = mine.select("h", "block", other).select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("tile"), "block", "h")
+
+    def compare(table):
+        import numpy as np
+        import pyarrow as pa
+
+        i, j = divmod(table.column("tile")[0].as_py(), blocks)
+        block, h = table.column("block").to_numpy(), table.column("h").to_numpy()
+        x, y = h[block == i].view(np.uint64), h[block == j].view(np.uint64)
+        found: list[list] = [[], [], []]
+        step = max(1, CHUNK // max(1, len(y)))
+        apart, d, near = (np.empty((step, len(y)), kind) for kind in (np.uint64, np.uint8, bool))  # filled again and again
+        for start in range(0, len(x), step):
+            k = min(step, len(x) - start)
+            np.bitwise_xor(x[start : start + k, None], y[None, :], out=apart[:k])
+            np.bitwise_count(apart[:k], out=d[:k])
+            np.less_equal(d[:k], r, out=near[:k])
+            at, to = np.divmod(np.flatnonzero(near[:k]), max(1, len(y)))
+            a, b = x[start + at].view(np.int64), y[to].view(np.int64)
+            once = a < b if i == j else np.ones(len(a), bool)
+            for column, part in zip(found, (np.minimum(a, b)[once], np.maximum(a, b)[once], d[at, to][once].astype(np.int32)), strict=True):
+                column.append(part)
+        kinds = {"ha": np.int64, "hb": np.int64, "distance": np.int32}
+        return pa.table({name: np.concatenate([np.zeros(0, kind), *c]) for (name, kind), c in zip(kinds.items(), found, strict=True)})
+
+    tiles = blocks * (blocks + 1) // 2
+    return dealt.repartition(tiles, "tile").groupBy("tile").applyInArrow(compare, "ha long, hb long, distance int")
+
+
 def total_work(cells: DataFrame) -> tuple[int, float]:
     """(rows, pairs) of all cells."""
     return tuple(_work(cells).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first())

@@ -60,3 +60,17 @@ def test_work_a_row_is_bounded(spark, monkeypatch):
     spread = spark.createDataFrame([(random.Random(i).getrandbits(63),) for i in range(3000)], "h long")
     cells, _ = metric_join.cells_of(spread, 4)
     assert sum(metric_join.total_work(cells)) > dedup.probe_work(3000, 4, 63, dedup.choose_stretches(3000, 4, 63))
+
+
+@pytest.mark.parametrize("block", [70, 10**6])
+def test_wide_radius_goes_by_tiles(spark, monkeypatch, block):
+    """Evenly spread hashes at a wide radius are not cut into cells, whose pairs one task would compare: tiles hold two blocks each."""
+    monkeypatch.setattr(metric_join, "BLOCK", block)
+    monkeypatch.setattr(metric_join, "SAMPLE", 300)
+    monkeypatch.setattr(dedup, "CELLS_FROM", 10)
+    monkeypatch.setattr(dedup, "cells_of", lambda *_: pytest.fail("cut into cells"))
+    hashes = sorted({random.Random(i).getrandbits(63) - (i % 2 << 63) for i in range(400)})
+    values = spark.createDataFrame([(h,) for h in hashes], "h long")
+    near = dedup.near_hashes(values, 21)
+    want = sorted((x, y, ((x ^ y) & (1 << 64) - 1).bit_count()) for i, x in enumerate(hashes) for y in hashes[i + 1 :])
+    assert sorted(map(tuple, near.collect())) == [w for w in want if w[2] <= 21]
