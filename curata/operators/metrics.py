@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.operators.ranks import running, value_at
+from curata.session import materialize
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -140,33 +141,46 @@ def latency(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return out.select(*keys, "p50", "p95", "mean", "max")
 
 
+def _curves(matches: DataFrame, truths: DataFrame, label: str, hits: list[Column]) -> DataFrame:
+    """(class, p0, r0, ap0, p1, ...): precision, recall and average precision for each of several conditions of a hit.
+
+    The curves share their steps, one for each different confidence, so that a step is one row whatever their number. Sums and the best
+    precision behind a step are taken in stretches of the confidence, then over one row a stretch."""
+    every = range(len(hits))
+    counts = [*(f"h{i}" for i in every), "rows"]
+    steps = matches.filter("confidence IS NOT NULL").groupBy(F.col(label).alias("class"), F.col("confidence").alias("score")).agg(*[F.sum(h.cast("long")).alias(f"h{i}") for i, h in enumerate(hits)], F.count("*").alias("rows"))
+    steps = materialize(steps.withColumn("stretch", _score_stretch()), "steps")
+    ahead = Window.partitionBy("class").orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy("class", "stretch").agg(*[F.sum(c).alias(c) for c in counts])
+    sums = sums.select("class", "stretch", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in counts])
+    upto = Window.partitionBy("class", "stretch").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select("*", *[F.sum(c).over(upto).alias(f"{c}_upto") for c in counts]).join(sums, ["class", "stretch"])
+    steps = steps.join(truths.select(F.col(label).alias("class"), F.col("n").alias("n_true")), "class")
+    upto_here = lambda c: F.col(f"{c}_upto") + F.col(f"{c}_ahead")
+    steps = steps.select("class", "stretch", "score", "n_true", *counts, *[upto_here(f"h{i}").alias(f"tp{i}") for i in every], *[(upto_here(f"h{i}") / upto_here("rows")).alias(f"p{i}") for i in every])
+    steps = materialize(steps, "steps")
+    behind = Window.partitionBy("class").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = steps.groupBy("class", "stretch").agg(*[F.max(f"p{i}").alias(f"top{i}") for i in every]).select("class", "stretch", *[F.max(f"top{i}").over(behind).alias(f"beyond{i}") for i in every])
+    within = Window.partitionBy("class", "stretch").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select("*", *[F.max(f"p{i}").over(within).alias(f"within{i}") for i in every]).join(tops, ["class", "stretch"])
+    out = [(F.min_by(f"p{i}", "score").alias(f"p{i}"), F.max(F.col(f"tp{i}") / F.col("n_true")).alias(f"r{i}"), F.sum(F.greatest(f"within{i}", f"beyond{i}") * F.col(f"h{i}") / F.col("n_true")).alias(f"ap{i}")) for i in every]
+    return steps.groupBy("class").agg(*[c for each in out for c in each])
+
+
 def average_precision(matches: DataFrame, truths: DataFrame, label: str = "class_name") -> DataFrame:
     """(class, precision, recall, ap) of detections (class, confidence, is_tp) against the number of true boxes (class, n).
 
     Detections of one confidence count together, so the curve has a step for each different confidence; precision is made to fall with recall,
-    then summed over the steps. Sums and the best precision behind a step are taken in stretches of the confidence, then over one row a stretch."""
-    steps = matches.groupBy(F.col(label).alias("class"), F.col("confidence").alias("score")).agg(F.sum(F.col("is_tp").cast("long")).alias("hits"), F.count("*").alias("rows"))
-    down = [F.col("score").desc()]
-    steps = running(steps, "class", _score_stretch(True), down, F.col("hits"), "hits_before", "_h")
-    steps = running(steps, "class", _score_stretch(True), down, F.col("rows"), "rows_before", "_r")
-    steps = steps.join(truths.select(F.col(label).alias("class"), F.col("n").alias("n_true")), "class").withColumn("tp", F.col("hits_before") + F.col("hits"))
-    steps = steps.withColumns({"p": F.col("tp") / (F.col("rows_before") + F.col("rows")), "r": F.col("tp") / F.col("n_true"), "stretch": _score_stretch()})
-    behind = Window.partitionBy("class").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    tops = steps.groupBy("class", "stretch").agg(F.max("p").alias("top")).select("class", "stretch", F.max("top").over(behind).alias("beyond"))
-    within = F.max("p").over(Window.partitionBy("class", "stretch").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    steps = steps.withColumn("within", within).join(tops, ["class", "stretch"])
-    steps = steps.withColumn("piece", F.greatest("within", "beyond") * F.col("hits") / F.col("n_true"))
-    return steps.groupBy("class").agg(F.min_by("p", "score").alias("precision"), F.max("r").alias("recall"), F.sum("piece").alias("ap"))
+    then summed over the steps."""
+    return _curves(matches, truths, label, [F.col("is_tp")]).select("class", F.col("p0").alias("precision"), F.col("r0").alias("recall"), F.col("ap0").alias("ap"))
 
 
 def mean_average_precision(assigned: DataFrame, truths: DataFrame, label: str = "class_name") -> DataFrame:
     """(class, precision, recall, ap50, ap50_95) of detections (class, confidence, overlap), each with the overlap of the true box that
     is its own, 0 without one: the mean of the average precisions at overlaps of 0.5, 0.55, ... 0.95."""
     bounds = [(50 + 5 * i) / 100 for i in range(10)]
-    every = F.explode(F.array(*map(F.lit, bounds))).alias("bound")
-    at = assigned.select(label, "confidence", "overlap", every).withColumns({"is_tp": F.col("overlap") >= F.col("bound"), "curve": F.concat_ws("@", label, F.col("bound").cast("string"))})
-    n = truths.select(label, "n", every).select(F.concat_ws("@", label, F.col("bound").cast("string")).alias("curve"), "n", label, "bound")
-    curves = average_precision(at, n, "curve").withColumnRenamed("class", "curve")
-    known = n.join(curves, "curve", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall", "ap")})
-    first = lambda c: F.max(F.when(F.col("bound") == 0.5, F.col(c)))
-    return known.groupBy(F.col(label).alias("class")).agg(first("precision").alias("precision"), first("recall").alias("recall"), first("ap").alias("ap50"), F.avg("ap").alias("ap50_95"))
+    curves = _curves(assigned, truths, label, [F.col("overlap") >= b for b in bounds])
+    known = truths.select(F.col(label).alias("class")).join(curves, "class", "left")
+    of = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    mean = sum((of(f"ap{i}") for i in range(1, len(bounds))), of("ap0")) / len(bounds)
+    return known.select("class", of("p0").alias("precision"), of("r0").alias("recall"), of("ap0").alias("ap50"), mean.alias("ap50_95"))
