@@ -11,6 +11,8 @@ from curata.session import materialize
 
 #: Groups of at most so many rows are ranked as they are; from larger ones only a bracket around the wanted rank.
 WHOLE = 1000
+#: Groups of more rows have their bracket broadcast: there are at most so many of them as the rows divided by this.
+LARGE = 1_000_000
 
 
 def running(df: DataFrame, part: Column | str, stretch: Column, order: list[Column | str], amount: Column | None, before: str, total: str) -> DataFrame:
@@ -54,7 +56,10 @@ def value_at(df: DataFrame, keys: list[str], value: str, share: float, rank: Cal
     on = F.lit(True)
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    near = known.join(bounds, on).filter(F.col("_v") <= F.col("_hi"))
+    # a join by key would sort a whole large group in one task
+    bounds = materialize(bounds, "bounds")
+    large = F.broadcast(bounds.filter(F.col("_n") > LARGE))
+    near = known.join(large, on).unionByName(known.join(large, on, "left_anti").join(bounds.filter(F.col("_n") <= LARGE), on)).filter(F.col("_v") <= F.col("_hi"))
     # all values below the bracket are one row
     counts = near.groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
     upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)

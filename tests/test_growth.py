@@ -32,3 +32,13 @@ def test_precision_curves_share_their_steps(spark, monkeypatch):
             p, tp = [sum(x) / len(x) for x in points], [sum(x) for x in points]
             means.append(sum(max(p[i:]) * (tp[i] - (tp[i - 1] if i else 0)) / n for i in range(len(p))))
         assert found[name].ap50_95 == pytest.approx(statistics.mean(means)) and found[name].ap50 == pytest.approx(means[0])
+
+
+def test_large_groups_are_not_joined_by_key(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "WHOLE", 5)
+    monkeypatch.setattr(ranks, "LARGE", 50)
+    rng = random.Random(1)
+    rows = [(k, rng.randrange(1000)) for k, n in (("a", 301), ("b", 3), (None, 120), ("c", 40)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r.k: r.m for r in ranks.value_at(df, ["k"], "v", 0.5, lambda n: F.floor((n + 1) / 2), "m").collect()}
+    assert got == {k: statistics.median_low([v for x, v in rows if x == k]) for k in ("a", "b", None, "c")}
