@@ -42,3 +42,14 @@ def test_large_groups_are_not_joined_by_key(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k string, v long")
     got = {r.k: r.m for r in ranks.value_at(df, ["k"], "v", 0.5, lambda n: F.floor((n + 1) / 2), "m").collect()}
     assert got == {k: statistics.median_low([v for x, v in rows if x == k]) for k in ("a", "b", None, "c")}
+
+
+def test_fields_of_a_line_are_parsed_once(spark):
+    lines = spark.createDataFrame([("train", "s", 1, " 1 0.5 0.5 0.1 0.1"), ("train", "s", 2, "1  0.5 0.5 0.1 0.1000000000001"), ("train", "s", 3, "x 1 2"), ("train", "s", 4, " "), ("train", "s", 5, "1 a 0 0 0")], "split string, stem string, line_no int, raw string")
+    found, sound = rules.audit_label_lines(lines, 3)
+    assert sorted((r.ref, r.kind) for r in found.collect()) == [("train:s:2", "duplicate_row"), ("train:s:3", "field_count"), ("train:s:5", "non_numeric")] and sound.count() == 2
+    images = spark.createDataFrame([("s", True), ("t", False)], "image string, has_label boolean")
+    checked = rules.annotation_directory(images, lines.withColumnRenamed("stem", "image"), 3)
+    assert sorted((r.image, r.status, r.line_no, r.error) for r in checked.collect()) == [("s", "invalid", 3, "field_count"), ("t", "missing", None, None)]
+    # findings and copies each parse the lines, and no rule is interpreted through a lambda
+    assert plan(found).count("split(") == 2 and plan(checked).count("split(") == 1 and "lambda" not in plan(found) + plan(checked)
