@@ -32,10 +32,15 @@ def filtered_boxes(spark, sf_dir):
 round(sqrt(pow(floor((t.x1 + t.x2) / 2) - floor((p.x1 + p.x2) / 2), 2) + pow(floor((t.y1 + t.y2) / 2) - floor((p.y1 + p.y2) / 2), 2)), 8) AS distance
 FROM t JOIN p USING (frame) WHERE {v.iou_sql("t", "p")} > 0.2""")
 def overlapping_boxes(spark, sf_dir):
-    t = v.truth_boxes(spark, sf_dir).select("frame", "box_id", _corners().alias("tb"))
-    p = v.predicted_boxes(spark, sf_dir).select("frame", F.col("box_id").alias("other"), _corners().alias("pb"))
-    j = t.join(p, "frame").withColumn("o", s.iou(F.col("tb"), F.col("pb"))).filter("o > 0.2")
-    return j.select("frame", "box_id", "other", F.round("o", 8).alias("overlap"), F.round(s.center_distance(F.col("tb"), F.col("pb")), 8).alias("distance"))
+    corners = ("x1", "y1", "x2", "y2")
+    t = v.truth_boxes(spark, sf_dir).select("frame", "box_id", *corners, s.area(_corners()).alias("area"))
+    p = v.predicted_boxes(spark, sf_dir).select("frame", F.col("box_id").alias("other"), *[F.col(c).alias(f"p{c}") for c in corners], s.area(_corners()).alias("parea"))
+    # areas are computed once a box, and plain comparisons come first: most pairs of a frame don't overlap
+    meets = (F.col("x1") < F.col("px2")) & (F.col("px1") < F.col("x2")) & (F.col("y1") < F.col("py2")) & (F.col("py1") < F.col("y2"))
+    shared = F.greatest(F.least("x2", "px2") - F.greatest("x1", "px1"), F.lit(0)) * F.greatest(F.least("y2", "py2") - F.greatest("y1", "py1"), F.lit(0))
+    overlap = shared.cast("double") / (F.col("area") + F.col("parea") - shared.cast("double"))
+    j = t.join(p, "frame").filter(meets & (overlap > 0.2))
+    return j.select("frame", "box_id", "other", F.round(overlap, 8).alias("overlap"), F.round(s.center_distance(_corners(), s.box("px1", "py1", "px2", "py2")), 8).alias("distance"))
 
 
 MATCH = f"""{v.BOXES}, sc AS (SELECT p.frame, p.box_id, p.class_name, t.box_id AS tid, t.class_name AS tc, {v.iou_sql("t", "p")} AS o FROM p JOIN t USING (frame)),

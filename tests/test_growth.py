@@ -53,3 +53,9 @@ def test_fields_of_a_line_are_parsed_once(spark):
     assert sorted((r.image, r.status, r.line_no, r.error) for r in checked.collect()) == [("s", "invalid", 3, "field_count"), ("t", "missing", None, None)]
     # findings and copies each parse the lines, and no rule is interpreted through a lambda
     assert plan(found).count("split(") == 2 and plan(checked).count("split(") == 1 and "lambda" not in plan(found) + plan(checked)
+
+
+def test_overlaps_are_computed_from_plain_columns(spark):
+    df = registry.QUERIES["overlapping_boxes"](spark, SF)
+    (join,) = [line for line in plan(df).splitlines() if "Join Inner" in line]
+    assert "tb#" not in join and "CASE WHEN" not in join
