@@ -186,6 +186,10 @@ def replace_boxes(original: DataFrame, corrected: DataFrame, threshold: float =
     return both.select(F.explode(F.aggregate("new", F.col("old"), step)).alias("s")).select("s.row.*")
 
 
+#: Rows of a stretch that a tracker scores at once, and pairs a row up to which it does so.
+STRETCH, ROW_PAIRS = 512, 300
+
+
 class Tracker:
     """Associates a frame's boxes with the live tracks of its session.
 
@@ -203,14 +207,19 @@ class Tracker:
         """Boxes x tracks; -1 where a box can't join a track."""
         import numpy as np
 
-        a, b = np.array(boxes, dtype=float)[:, None, :], np.array(tracks, dtype=float)[None, :, :]
-        sides = np.clip(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0, None)
-        shared = sides.prod(axis=2)
-        own = lambda r: np.clip(r[..., 2:] - r[..., :2], 0, None).prod(axis=2)
-        union = own(a) + own(b) - shared
+        return self._scored(np.array(boxes, dtype=float).T[:, :, None], np.array(tracks, dtype=float).T[:, None, :])
+
+    def _scored(self, a, b):
+        """Scores of boxes with boxes, both as (x1, y1, x2, y2) of arrays; -1 where one can't join the other's track."""
+        import numpy as np
+
+        (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2) = a, b
+        sides = lambda x1, y1, x2, y2: np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+        shared = sides(np.maximum(ax1, bx1), np.maximum(ay1, by1), np.minimum(ax2, bx2), np.minimum(ay2, by2))
+        union = sides(*a) + sides(*b) - shared
         overlap = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
-        middle = lambda r: np.floor((r[..., :2] + r[..., 2:]) / 2)
-        near = 1.0 - np.linalg.norm(middle(a) - middle(b), axis=2) / max(1.0, self.reach)
+        dx, dy = (np.floor((p + q) / 2) - np.floor((v + w) / 2) for p, q, v, w in ((ax1, ax2, bx1, bx2), (ay1, ay2, by1, by2)))
+        near = 1.0 - np.sqrt(dx * dx + dy * dy) / max(1.0, self.reach)
         return np.where((overlap >= self.least) | (near >= 0.5), np.maximum(overlap, near), -1.0)
 
     def step(self, frame: int | None, boxes: list[tuple]) -> list[int | None]:
@@ -235,6 +244,71 @@ class Tracker:
         self.state = (next_id, tuple(live))
         return ids
 
+    def steps(self, frames: list[int | None], boxes: list[tuple]) -> list[int | None]:
+        """The track ids of ``step`` for the rows of several frames, in order of their frames. Where frames are small, a stretch of them is scored at once."""
+        ids: list[int | None] = [None] * len(boxes)
+        placed = [n for n, b in enumerate(boxes) if frames[n] is not None and all(c is not None and c == c for c in b[1:])]
+        start = 0
+        while start < len(placed):
+            end = min(start + STRETCH, len(placed))
+            while end < len(placed) and frames[placed[end]] == frames[placed[end - 1]]:
+                end += 1
+            rows, start = placed[start:end], end
+            # by falling confidence in their frame, none last
+            rows.sort(key=lambda n: (frames[n], boxes[n][0] is None, -(boxes[n][0] or 0)))
+            found = self._stretch([frames[n] for n in rows], [tuple(boxes[n][1:]) for n in rows])
+            if found is None:
+                for number in dict.fromkeys(frames[n] for n in rows):
+                    own = [n for n in rows if frames[n] == number]
+                    for n, i in zip(own, self.step(number, [boxes[n] for n in own]), strict=True):
+                        ids[n] = i
+            else:
+                for n, i in zip(rows, found, strict=True):
+                    ids[n] = i
+        return ids
+
+    def _stretch(self, frames: list[int], corners: list[tuple]) -> list[int] | None:
+        """The track ids of rows in order; None, and nothing changed, where so many boxes are near in time that a frame by itself is less work.
+
+        Every pair of boxes up to ``patience`` frames apart is scored. A box goes to the best of those that are still the last box of their track."""
+        import numpy as np
+
+        next_id, tracks = self.state
+        old, own = len(tracks), np.array(frames)
+        before, upto = np.searchsorted(own, own - self.patience), np.searchsorted(own, own)
+        i0, j0 = np.nonzero(own[:, None] - np.array([t[1] for t in tracks])[None, :] <= self.patience) if old else (np.zeros(0, int), np.zeros(0, int))
+        near = upto - before
+        if len(i0) + near.sum() > ROW_PAIRS * len(own):
+            return None
+        i1 = np.repeat(np.arange(len(own)), near)
+        j1 = np.arange(len(i1)) - np.repeat(np.cumsum(near) - near, near) + np.repeat(before, near) + old
+        i, j = np.concatenate([i0, i1]), np.concatenate([j0, j1])
+        every = [*(t[2] for t in tracks), *corners]
+        at = np.array(every, dtype=float).T.copy()
+        score = self._scored(at[:, old:][:, i], at[:, j])
+        able = np.flatnonzero(score >= 0)
+        able = able[np.lexsort((-score[able], i[able]))]
+        starts = np.searchsorted(i[able], np.arange(len(own) + 1)).tolist()
+        rivals, scores = j[able].tolist(), score[able].tolist()
+        track_of, last = [t[0] for t in tracks] + [0] * len(own), [True] * (old + len(own))
+        for k in range(len(own)):
+            best = None
+            for p in range(starts[k], starts[k + 1]):
+                if best is not None and scores[p] < scores[best]:
+                    break
+                # of equal scores the first track wins
+                if last[rivals[p]] and (best is None or track_of[rivals[p]] < track_of[rivals[best]]):
+                    best = p
+            if best is None:
+                track_of[old + k], next_id = next_id, next_id + 1
+            else:
+                last[rivals[best]] = False
+                track_of[old + k] = track_of[rivals[best]]
+        numbers = [*(t[1] for t in tracks), *frames]
+        live = sorted((track_of[x], numbers[x], every[x]) for x in range(len(every)) if last[x] and frames[-1] - numbers[x] <= self.patience)
+        self.state = (next_id, tuple(live))
+        return track_of[old:]
+
 
 def track(df: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None) -> DataFrame:
     """``df`` (session, frame, box_id, confidence, corners) with ``track_id``. Frames of a session are streamed in order of their
@@ -250,12 +324,12 @@ def track(df: DataFrame, session: str = "session", frame: str = "frame", setting
         for batch, keys in arrow.whole_groups(batches, [session, frame]):
             found, ids, start = arrow.rows(batch, ["confidence", "x1", "y1", "x2", "y2"]), [], 0
             for end in range(1, len(keys) + 1):
-                if end < len(keys) and arrow.same_key(keys[end], keys[start]):
+                if end < len(keys) and arrow.same(keys[end][0], keys[start][0]):
                     continue
-                name, number = keys[start]
+                name = keys[start][0]
                 if tracker is None or not arrow.same(name, known):
                     known, tracker = name, Tracker(**(settings or {}))
-                ids += tracker.step(number, found[start:end])
+                ids += tracker.steps([k[1] for k in keys[start:end]], found[start:end])
                 start = end
             yield arrow.appended(batch, fields, [(i,) for i in ids])
 

@@ -59,3 +59,22 @@ def test_overlaps_are_computed_from_plain_columns(spark):
     df = registry.QUERIES["overlapping_boxes"](spark, SF)
     (join,) = [line for line in plan(df).splitlines() if "Join Inner" in line]
     assert "tb#" not in join and "CASE WHEN" not in join
+
+
+@pytest.mark.parametrize(("stretch", "pairs"), [(5, 20), (50, 300), (512, 10**6)])
+def test_stretches_of_frames_track_like_single_frames(monkeypatch, stretch, pairs):
+    monkeypatch.setattr(boxes, "STRETCH", stretch)
+    monkeypatch.setattr(boxes, "ROW_PAIRS", pairs)
+    rng, rows, frame = random.Random(5), [], 0
+    while len(rows) < 900:
+        frame += rng.choice([1, 1, 1, 2, 20])
+        for _ in range(rng.randint(0, 8)):
+            x, y, q = rng.randrange(200), rng.randrange(150), rng.randrange(50)
+            rows.append((frame, (rng.choice([None, 0.2, 0.5, rng.random()]), x, y, x + 20 + q, rng.choice([None, float("nan"), *[y + 20 + q] * 30]))))
+    one, many = boxes.Tracker(), boxes.Tracker()
+    for part in (rows[:400], rows[400:], rows[:30], [(None, rows[0][1])]):
+        frames = {}
+        for number, box in part:
+            frames.setdefault(number, []).append(box)
+        want = [i for number, own in frames.items() for i in one.step(number, own)]
+        assert many.steps([r[0] for r in part], [r[1] for r in part]) == want and many.state == one.state
