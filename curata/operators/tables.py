@@ -35,10 +35,22 @@ def contradicts(name: Column, state: Column, rot_words: list[str]) -> Column:
     return (rot & (state == "fresh")) | (F.array_contains(words, "fresh") & (state == "rotten"))
 
 
+#: Keys that one task of ``unmatched`` holds, about.
+TASK_KEYS = 500_000
+
+
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, side): keys of one side without the other."""
-    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
-    return a.join(b, keys, "left_anti").withColumn("side", F.lit("left_only")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("right_only")))
+    """(keys, side): keys of one side without the other. Rows are dealt so that a task holds about ``TASK_KEYS`` of them at any size, first by key
+    and origin, so that a frequent key isn't one task's, then by key. A null equals nothing."""
+    both = left.select(*keys, F.lit(True).alias("_l"), F.lit(False).alias("_r")).unionByName(right.select(*keys, F.lit(False).alias("_l"), F.lit(True).alias("_r")))
+    parts = both.count() // TASK_KEYS + 1
+    met = both.withColumn("_from", F.spark_partition_id() % 16).repartition(parts, *keys, "_from").groupBy(*keys, "_from").agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    met = met.repartition(parts, *keys).groupBy(*keys).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    alone = F.lit(False)
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    sides = F.array(F.when(F.col("_l") & (alone | ~F.col("_r")), F.lit("left_only")), F.when(F.col("_r") & (alone | ~F.col("_l")), F.lit("right_only")))
+    return met.select(*keys, F.explode(sides).alias("side")).filter("side IS NOT NULL")
 
 
 def undecided(queue: DataFrame, decided: DataFrame, proposals: DataFrame, key: str) -> DataFrame:

@@ -78,3 +78,12 @@ def test_stretches_of_frames_track_like_single_frames(monkeypatch, stretch, pair
             frames.setdefault(number, []).append(box)
         want = [i for number, own in frames.items() for i in one.step(number, own)]
         assert many.steps([r[0] for r in part], [r[1] for r in part]) == want and many.state == one.state
+
+
+def test_unmatched_keys_are_counted_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_KEYS", 10)
+    a = spark.createDataFrame([(i % 50, "x") for i in range(200)] + [(None, "x")], "k long, j string")
+    b = spark.createDataFrame([(i, "x") for i in range(40, 60)] + [(41, "y"), (None, "x")], "k long, j string")
+    got = tables.unmatched(a, b, ["k", "j"])
+    want = [(i, "x", "left_only") for i in range(40)] + [(i, "x", "right_only") for i in range(50, 60)] + [(41, "y", "right_only"), (None, "x", "left_only"), (None, "x", "right_only")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and "Join" not in plan(got)
