@@ -13,14 +13,15 @@ from curata.session import shared_dir
 from curata.sources import frames, readers, sinks
 from curata.streaming import stateful
 
-PER_BATCH = 1
+#: Bytes of files in a micro-batch, about: each batch opens and commits every state store, so their number must not be that of the files.
+PER_BATCH = 256 << 20
 DAY = 86400
 
 
 def _events(spark, sf_dir):
     """The events as a stream of files."""
     table = v.table(spark, sf_dir, "events")
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", PER_BATCH).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
+    return spark.readStream.schema(table.schema).option("maxBytesPerTrigger", PER_BATCH).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
 
 
 def _predictions(spark, sf_dir):
@@ -54,13 +55,13 @@ def stream_stabilized(spark, sf_dir):
 
 def _box_stream(spark, sf_dir):
     table = v.table(spark, sf_dir, "lineitem")
-    return detection.track_rows(spark, sf_dir, spark.readStream.schema(table.schema).option("maxFilesPerTrigger", PER_BATCH).parquet(f"{sf_dir}/lineite[m].parquet"))
+    return detection.track_rows(spark, sf_dir, spark.readStream.schema(table.schema).option("maxBytesPerTrigger", PER_BATCH).parquet(f"{sf_dir}/lineite[m].parquet"))
 
 
 @query(ORACLES["tracked_boxes"])
 def stream_tracks(spark, sf_dir):
     """The tracks of ``tracked_boxes``, with the live ones of each session kept by a stream."""
-    return stateful.run_to_table(stateful.track_stream(_box_stream(spark, sf_dir)), "tracks").select("session", "frame", "box_id", "track_id")
+    return stateful.run_to_table(stateful.track_stream(_box_stream(spark, sf_dir), keep=["session", "frame", "box_id"]), "tracks")
 
 
 @query(f"""WITH RECURSIVE {detection.TRACKS}, spans AS (SELECT session, track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_boxes FROM g WHERE r > 0 GROUP BY session, track_id)

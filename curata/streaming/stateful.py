@@ -83,17 +83,21 @@ class TrackProcessor(StatefulProcessor):
         self.next_id = handle.getValueState("next_id", "next_id long", self.idle_ms)
         self.tracks = handle.getMapState("tracks", "track_id long", "frame long, x1 double, y1 double, x2 double, y2 double", self.idle_ms)
 
-    def tracked(self, rows) -> Iterator[tuple[Row, int | None]]:
+    def tracked(self, rows, columns: list[str]) -> Iterator[tuple]:
+        """The values of ``columns`` of each row and its track id, in order of frames. Rows are taken as plain tuples, as looking up a name in each is
+        most of the work."""
+        rows = list(rows)
+        names = list(rows[0].__fields__)
+        frame, box, *reads = (names.index(c) for c in (self.frame, "box_id", "confidence", *CORNERS))
+        given = [names.index(c) for c in columns]
         tracker, before = Tracker(**self.settings), {}
         if self.next_id.exists():
             before = {k[0]: tuple(v) for k, v in self.tracks.iterator()}
             # in order of their ids, as of equal scores the first track wins
             tracker.state = (self.next_id.get()[0], tuple((i, v[0], v[1:]) for i, v in sorted(before.items())))
-        frames: dict = {}
-        for row in in_order(rows, [self.frame, "box_id"]):
-            frames.setdefault(row[self.frame], []).append(row)
-        for number, boxes in frames.items():
-            yield from zip(boxes, tracker.step(number, [(r["confidence"], *(r[c] for c in CORNERS)) for r in boxes]), strict=True)
+        plain = sorted(map(tuple, rows), key=lambda r: (r[frame] is not None, r[frame], r[box] is not None, r[box]))
+        ids = tracker.steps([r[frame] for r in plain], [tuple(r[c] for c in reads) for r in plain])
+        yield from ((*(r[c] for c in given), i) for r, i in zip(plain, ids, strict=True))
         next_id, live = tracker.state
         self.next_id.update((next_id,))
         for gone in before.keys() - {t[0] for t in live}:
@@ -103,19 +107,22 @@ class TrackProcessor(StatefulProcessor):
                 self.tracks.updateValue((track_id,), (number, *map(float, corners)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row, track_id in self.tracked(rows):
-            yield Row(**{c: row[c] for c in self.columns}, track_id=track_id)
+        made = Row(*self.columns, "track_id")
+        for values in self.tracked(rows, self.columns):
+            yield made(*values)
 
     def close(self) -> None:
         pass
 
 
-def track_stream(stream: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None, idle_ms: int | None = None) -> DataFrame:
-    """``stream`` of box rows with ``track_id``. A frame's boxes have to arrive in one micro-batch; tracks age by frame numbers,
-    so frames without a box need not be sent."""
+def track_stream(stream: DataFrame, session: str = "session", frame: str = "frame", settings: dict | None = None, idle_ms: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``stream`` of box rows with ``track_id``, or its columns ``keep`` alone: each column costs time a row on its way. A frame's boxes have to
+    arrive in one micro-batch; tracks age by frame numbers, so frames without a box need not be sent."""
     typed_store(stream.sparkSession)
-    schema = T.StructType([*stream.schema.fields, T.StructField("track_id", T.LongType())])
-    return stream.groupBy(session).transformWithState(TrackProcessor(frame, stream.columns, settings or {}, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
+    kept = keep or stream.columns
+    read = [c for c in stream.columns if c in {*kept, session, frame, "box_id", "confidence", *CORNERS}]
+    schema = T.StructType([*(stream.schema[c] for c in kept), T.StructField("track_id", T.LongType())])
+    return stream.select(*read).groupBy(session).transformWithState(TrackProcessor(frame, kept, settings or {}, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 class EndedTracks(TrackProcessor):
@@ -133,14 +140,18 @@ class EndedTracks(TrackProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         found: dict = {}
-        for row, track_id in self.tracked(rows):
-            if track_id is not None and row["_us"] is not None:
-                found.setdefault(track_id, []).append(row["_us"])
+        for us, track_id in self.tracked(rows, ["_us"]):
+            if track_id is not None and us is not None:
+                found.setdefault(track_id, []).append(us)
+        known = {k[0]: tuple(v) for k, v in self.spans.iterator()}
+        due = set()
         for track_id, times in found.items():
-            first, last, n = self.spans.getValue((track_id,)) if self.spans.containsKey((track_id,)) else (min(times), max(times), 0)
+            first, last, n = known.get(track_id, (min(times), max(times), 0))
             last = max(last, *times)
             self.spans.updateValue((track_id,), (min(first, *times), last, n + len(times)))
-            self.handle.registerTimer(self._due(last))
+            due.add(self._due(last))
+        for at in due:  # a timer is the session's, whichever of its tracks end then
+            self.handle.registerTimer(at)
         return iter(())
 
     def _due(self, last: int) -> int:
@@ -162,7 +173,8 @@ def ended_tracks(stream: DataFrame, time: str, after: float, session: str = "ses
     processor = EndedTracks(session, frame, round(after * 1000), settings or {})
     kind = next(f for f in stream.schema.fields if f.name == session)
     schema = T.StructType([T.StructField(session, kind.dataType), *_fields("track_id long, first_seen long, last_seen long, n_boxes long")])
-    ended = at.withColumn("_us", F.unix_micros(time)).groupBy(session).transformWithState(processor, schema, "Append", "EventTime")
+    read = {session, frame, "box_id", "confidence", *CORNERS, time}
+    ended = at.select(*[c for c in stream.columns if c in read], F.unix_micros(time).alias("_us")).groupBy(session).transformWithState(processor, schema, "Append", "EventTime")
     return ended.withColumns({c: F.timestamp_micros(c) for c in ("first_seen", "last_seen")})
 
 
