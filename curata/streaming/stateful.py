@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from curata.operators import arrow
 from curata.operators.boxes import Tracker
 from curata.operators.folds import Fold, readings
 
@@ -73,31 +74,80 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold: Call
     return stream.groupBy(*keys).transformWithState(FoldProcessor(fold, stream.columns, order, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
 
 
+#: Rows of a packed row that a session gives.
+PACK = 10_000
+
+
+def _packed(stream: DataFrame, session: str, columns: list[str], time: str | None = None) -> DataFrame:
+    """(session, rows), and the latest ``time``: the rows of a session that lie in one Arrow batch travel as one row, as Arrow's bytes of
+    ``columns``, since a stateful Python stream takes its rows, and their values, one by one."""
+    schema = _arrow(stream, columns)
+    kinds = [T.StructField(session, stream.schema[session].dataType), T.StructField("rows", T.BinaryType()), *([T.StructField(time, stream.schema[time].dataType)] if time else [])]
+
+    def pack(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pc.sort_indices(batch, sort_keys=[(session, "ascending")]))
+            keys = batch.column(session).to_pylist()
+            starts = [0, *(n for n in range(1, len(keys)) if not arrow.same(keys[n], keys[n - 1])), len(keys)]
+            own = pa.RecordBatch.from_arrays([batch.column(c) for c in columns], schema=schema)
+            pairs = list(zip(starts[:-1], starts[1:], strict=True))
+            out = [batch.column(session).take(pa.array(starts[:-1])), pa.array([own.slice(x, y - x).serialize().to_pybytes() for x, y in pairs], pa.binary())]
+            if time:
+                out.append(pa.array([pc.max(batch.column(time).slice(x, y - x)) for x, y in pairs], batch.column(time).type))
+            yield pa.RecordBatch.from_arrays(out, names=[k.name for k in kinds])
+
+    return stream.mapInArrow(pack, T.StructType(kinds))
+
+
+def _arrow(df: DataFrame, columns: list[str]):
+    import pyarrow as pa
+
+    return pa.schema(arrow.arrow_fields([T.StructField(c, df.schema[c].dataType) for c in columns]))
+
+
+def _unpacked(packed: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of ``rows``, which have a schema."""
+    given = arrow.arrow_fields(schema.fields)
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for held in batch.column("rows"):
+                yield pa.ipc.read_record_batch(held.as_buffer(), pa.schema(given))
+
+    return packed.mapInArrow(unpack, schema)
+
+
 class TrackProcessor(StatefulProcessor):
-    """Runs one tracker a session: the next id is a value, the live tracks are a map from track to its last frame and corners."""
+    """Runs one tracker a session over rows of ``_packed``: the next id is a value, the live tracks are a map from track to its last frame and
+    corners. Rows are given packed, with the columns ``keep``."""
 
-    def __init__(self, frame: str, columns: list[str], settings: dict, idle_ms: int | None = None):
-        self.frame, self.columns, self.settings, self.idle_ms = frame, columns, settings, idle_ms
+    def __init__(self, frame: str, schema, keep: list[str], settings: dict, idle_ms: int | None = None):
+        self.frame, self.schema, self.keep, self.settings, self.idle_ms = frame, schema, keep, settings, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next_id = handle.getValueState("next_id", "next_id long", self.idle_ms)
         self.tracks = handle.getMapState("tracks", "track_id long", "frame long, x1 double, y1 double, x2 double, y2 double", self.idle_ms)
 
-    def tracked(self, rows, columns: list[str]) -> Iterator[tuple]:
-        """The values of ``columns`` of each row and its track id, in order of frames. Rows are taken as plain tuples, as looking up a name in each is
-        most of the work."""
-        rows = list(rows)
-        names = list(rows[0].__fields__)
-        frame, box, *reads = (names.index(c) for c in (self.frame, "box_id", "confidence", *CORNERS))
-        given = [names.index(c) for c in columns]
+    def tracked(self, rows) -> tuple:
+        """The Arrow table of the rows, in order of frame and box, and their track ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(r["rows"])), self.schema) for r in rows], self.schema)
+        table = table.take(pc.sort_indices(table, sort_keys=[(self.frame, "ascending"), ("box_id", "ascending")], null_placement="at_start"))
         tracker, before = Tracker(**self.settings), {}
         if self.next_id.exists():
             before = {k[0]: tuple(v) for k, v in self.tracks.iterator()}
             # in order of their ids, as of equal scores the first track wins
             tracker.state = (self.next_id.get()[0], tuple((i, v[0], v[1:]) for i, v in sorted(before.items())))
-        plain = sorted(map(tuple, rows), key=lambda r: (r[frame] is not None, r[frame], r[box] is not None, r[box]))
-        ids = tracker.steps([r[frame] for r in plain], [tuple(r[c] for c in reads) for r in plain])
-        yield from ((*(r[c] for c in given), i) for r, i in zip(plain, ids, strict=True))
+        ids = tracker.steps(table.column(self.frame).to_pylist(), arrow.rows(table, ["confidence", *CORNERS]))
         next_id, live = tracker.state
         self.next_id.update((next_id,))
         for gone in before.keys() - {t[0] for t in live}:
@@ -105,11 +155,15 @@ class TrackProcessor(StatefulProcessor):
         for track_id, number, corners in live:
             if before.get(track_id) != (number, *corners):
                 self.tracks.updateValue((track_id,), (number, *map(float, corners)))
+        return table, ids
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        made = Row(*self.columns, "track_id")
-        for values in self.tracked(rows, self.columns):
-            yield made(*values)
+        import pyarrow as pa
+
+        table, ids = self.tracked(rows)
+        given = table.select(self.keep).append_column("track_id", pa.array(ids, pa.int64())).combine_chunks()
+        for batch in given.to_batches(PACK):
+            yield Row(rows=batch.serialize().to_pybytes())
 
     def close(self) -> None:
         pass
@@ -120,17 +174,18 @@ def track_stream(stream: DataFrame, session: str = "session", frame: str = "fram
     arrive in one micro-batch; tracks age by frame numbers, so frames without a box need not be sent."""
     typed_store(stream.sparkSession)
     kept = keep or stream.columns
-    read = [c for c in stream.columns if c in {*kept, session, frame, "box_id", "confidence", *CORNERS}]
-    schema = T.StructType([*(stream.schema[c] for c in kept), T.StructField("track_id", T.LongType())])
-    return stream.select(*read).groupBy(session).transformWithState(TrackProcessor(frame, kept, settings or {}, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
+    read = [c for c in stream.columns if c in {*kept, frame, "box_id", "confidence", *CORNERS}]
+    processor = TrackProcessor(frame, _arrow(stream, read), kept, settings or {}, idle_ms)
+    found = _packed(stream, session, read).groupBy(session).transformWithState(processor, "rows binary", "Append", "ProcessingTime" if idle_ms else "None")
+    return _unpacked(found, T.StructType([*(stream.schema[c] for c in kept), T.StructField("track_id", T.LongType())]))
 
 
 class EndedTracks(TrackProcessor):
-    """Tracks that have ended: a span a track is kept, with a timer at the end of its patience. A timer that fires ends the tracks of its
-    session that had no box since; if a track went on meanwhile, its later timer stands. Times are microseconds in the column ``_us``."""
+    """Tracks that have ended: a span a track is kept, and a timer a session at the first end of a track's patience. When it fires, all tracks end that
+    the watermark has passed, and the next end is waited for. Times are microseconds in the column ``_us``."""
 
-    def __init__(self, session: str, frame: str, after_ms: int, settings: dict):
-        super().__init__(frame, [], settings)
+    def __init__(self, session: str, frame: str, schema, after_ms: int, settings: dict):
+        super().__init__(frame, schema, [], settings)
         self.session, self.after_ms = session, after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -140,41 +195,48 @@ class EndedTracks(TrackProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         found: dict = {}
-        for us, track_id in self.tracked(rows, ["_us"]):
+        table, ids = self.tracked(rows)
+        for us, track_id in zip(table.column("_us").to_pylist(), ids, strict=True):
             if track_id is not None and us is not None:
                 found.setdefault(track_id, []).append(us)
         known = {k[0]: tuple(v) for k, v in self.spans.iterator()}
-        due = set()
         for track_id, times in found.items():
             first, last, n = known.get(track_id, (min(times), max(times), 0))
-            last = max(last, *times)
-            self.spans.updateValue((track_id,), (min(first, *times), last, n + len(times)))
-            due.add(self._due(last))
-        for at in due:  # a timer is the session's, whichever of its tracks end then
-            self.handle.registerTimer(at)
+            known[track_id] = (min(first, *times), max(last, *times), n + len(times))
+            self.spans.updateValue((track_id,), known[track_id])
+        self._wait(known)
         return iter(())
 
+    def _wait(self, spans: dict) -> None:
+        """A session has one timer, for the first of its tracks that may end."""
+        if spans:
+            self.handle.registerTimer(min(self._due(last) for _, last, _ in spans.values()))
+
     def _due(self, last: int) -> int:
         return -(-last // 1000) + self.after_ms
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now, left = timerValues.getCurrentWatermarkInMs(), {}
         for (track_id,), (first, last, n) in sorted(self.spans.iterator(), key=lambda x: x[0][0]):
             if self._due(last) <= now:
                 self.spans.removeKey((track_id,))
                 yield Row(**{self.session: key[0], "track_id": track_id, "first_seen": first, "last_seen": last, "n_boxes": n})
+            else:
+                left[track_id] = (first, last, n)
+        self._wait(left)
 
 
 def ended_tracks(stream: DataFrame, time: str, after: float, session: str = "session", frame: str = "frame", late: str = "0 seconds", settings: dict | None = None) -> DataFrame:
     """(session, track_id, first_seen, last_seen, n_boxes) of each track, once event time is ``after`` seconds past its last box; the
     rows of ``boxes.track_spans``. ``late`` is the watermark's delay. A track that ends in a stream's last ``after`` seconds isn't given yet."""
     typed_store(stream.sparkSession)
-    at = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    processor = EndedTracks(session, frame, round(after * 1000), settings or {})
-    kind = next(f for f in stream.schema.fields if f.name == session)
-    schema = T.StructType([T.StructField(session, kind.dataType), *_fields("track_id long, first_seen long, last_seen long, n_boxes long")])
-    read = {session, frame, "box_id", "confidence", *CORNERS, time}
-    ended = at.select(*[c for c in stream.columns if c in read], F.unix_micros(time).alias("_us")).groupBy(session).transformWithState(processor, schema, "Append", "EventTime")
+    at = stream.withColumn(time, F.col(time).cast("timestamp")).withColumn("_us", F.unix_micros(time))
+    read = [frame, "box_id", "confidence", *CORNERS, "_us"]
+    processor = EndedTracks(session, frame, _arrow(at, read), round(after * 1000), settings or {})
+    schema = T.StructType([T.StructField(session, stream.schema[session].dataType), *_fields("track_id long, first_seen long, last_seen long, n_boxes long")])
+    # the latest time of the rows that travel together moves the watermark as each of them would
+    packed = _packed(at, session, read, time).withWatermark(time, late)
+    ended = packed.groupBy(session).transformWithState(processor, schema, "Append", "EventTime")
     return ended.withColumns({c: F.timestamp_micros(c) for c in ("first_seen", "last_seen")})
 
 

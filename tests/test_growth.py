@@ -87,3 +87,18 @@ def test_unmatched_keys_are_counted_without_a_join(spark, monkeypatch):
     got = tables.unmatched(a, b, ["k", "j"])
     want = [(i, "x", "left_only") for i in range(40)] + [(i, "x", "right_only") for i in range(50, 60)] + [(41, "y", "right_only"), (None, "x", "left_only"), (None, "x", "right_only")]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and "Join" not in plan(got)
+
+
+def test_sessions_travel_packed(spark):
+    """A stateful stream gets a row for each session and Arrow batch, not one a box; nulls and 64-bit ids come back as they were."""
+    from curata.streaming import stateful
+
+    rows = [(i % 3 if i % 7 else None, i // 6, 2**62 + i, None if i % 5 == 0 else i / 100, i % 9) for i in range(200)]
+    df = spark.createDataFrame(rows, "session long, frame long, box_id long, confidence double, x1 long").coalesce(1)
+    columns = ["session", "frame", "box_id", "confidence", "x1"]
+    packed = stateful._packed(df, "session", columns)
+    assert packed.count() == 4
+    back = stateful._unpacked(packed, df.schema)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    late = stateful._packed(df, "session", columns, "frame").collect()
+    assert {r.session: r.frame for r in late} == {k: max(f for s, f, *_ in rows if s == k) for k in (0, 1, 2, None)}
