@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curata.functions.scalar import hamming
 from curata.operators import arrow
 from curata.operators.graph import connected_components
-from curata.operators.metric_join import cells_of, near_values, tile_work, tiled_values, total_work, worth_cutting
+from curata.operators.metric_join import cells_of, first_apart, first_near, near_values, tile_work, tiled_values, total_work, worth_cutting
 from curata.operators.ranks import numbered, running
 from curata.session import materialize
 
@@ -227,6 +227,45 @@ def star_clusters(pairs: DataFrame) -> DataFrame:
     return mine.union(mine.select("anchor", "anchor").distinct())
 
 
+#: Ids that one task decides in order in each round of ``hash_stars``.
+PREFIX = 20_000
+
+
+def hash_stars(df: DataFrame, hash_col: str, id_col: str, max_distance: int, bits: int = 63) -> DataFrame:
+    """(id, anchor): ``star_clusters`` of ``hamming_pairs``, without a list of pairs, which grows with the square of the rows.
+
+    Of rows of one hash, which have the same neighbours, the first stands for all. A task decides the first ``PREFIX`` open ids in order, and the
+    others are compared with the anchors among these alone: an anchor of an earlier round is smaller than those of later ones, so it keeps
+    what it covers. Another round follows as long as at least half of the others are covered, so rounds are as many as n can be halved; with more open rows,
+    which then have few near ones, their pairs are listed."""
+    kept = materialize(df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id IS NOT NULL AND h IS NOT NULL").distinct(), "hashes")
+    ids = materialize(kept.groupBy("id").agg(F.min("h").alias("h"), F.count("*").alias("n")), "ids")
+    alone = ids.filter("n = 1").select("id", "h")
+    firsts = materialize(first_of_each(alone, "h", "id"), "firsts")
+    copies = alone.join(firsts.filter("n > 1"), "h").filter("id <> first_id").select("id", "first_id")
+    # an id with several hashes stands for none of them
+    several = kept.join(ids.filter("n > 1").select("id"), "id").select("id", "h")
+    opened = materialize(firsts.select(F.col("first_id").alias("id"), "h").union(several), "open")
+    left, beside = opened.count(), []
+    while left or not beside:
+        anchors = materialize(first_apart(opened, PREFIX, max_distance), "anchors")
+        covered = materialize(first_near(opened, left, anchors, max_distance), "covered")
+        beside.append(covered)
+        decided = anchors.select("id").union(covered.select("id")).distinct()
+        opened = materialize(opened.join(decided, "id", "left_anti").select("id", "h"), "open")
+        before, left = left, opened.count()
+        if left > max(PREFIX, (before - PREFIX) / 2):
+            beside.append(star_clusters(hamming_pairs(opened, "h", "id", max_distance, bits)).filter("id <> anchor"))
+            break
+    covered = beside[0]
+    for more in beside[1:]:
+        covered = covered.union(more)
+    covered = materialize(covered, "covered")
+    later = copies.join(covered.withColumnRenamed("id", "first_id"), "first_id", "left").select("id", F.coalesce("anchor", "first_id").alias("anchor"))
+    mine = materialize(covered.union(later), "stars")
+    return mine.union(mine.select("anchor", "anchor").distinct())
+
+
 def leaked_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     """(key, splits, n): keys that occur in more than one split."""
     seen = df.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("splits"), F.count("*").alias("n"))

@@ -9,10 +9,13 @@ A cell of more than ``LIMIT`` rows is cut by pivots of its own, by the same rule
 where its rows are near each other throughout, so that its pairs are what was asked for. Pivots are a few rows of a cell, chosen by a hash, and each round
 is one pass that deals rows by cell; the pairs of a large cell are dealt over several tasks. Where a sample shows that distances to pivots
 tell little, as at a wide radius, nothing is cut: all pairs are compared in tiles of two blocks, each a bounded task of array operations.
+Where only the first near row in an order is asked for, ``first_apart`` and ``first_near`` compare rows with few others.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ ROUNDS = 30
 SAMPLE = 4096
 #: Rows of a tile's block, and the work of a pair in a tile, where a row of a join is 1.
 BLOCK, TILE_PAIR = 20_000, 0.02
-#: Pairs that a tile holds in memory at once.
-CHUNK = 1 << 16
+#: Pairs that a tile, and a block beside anchors, hold in memory at once.
+CHUNK, NEAR_CHUNK = 1 << 16, 1 << 18
 
 
 def _work(cells: DataFrame) -> DataFrame:
@@ -96,13 +99,16 @@ def tiled_values(values: DataFrame, n: int, r: int) -> DataFrame:
     blocks = max(1, -(-n // BLOCK))
     mine = values.select("h", F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    dealt = mine.select("h", "block", other).select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("tile"), "block", "h")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    dealt = mine.select("h", "block", other).select((high * (high + 1) / 2 + low).cast("int").alias("tile"), "block", "h")
 
     def compare(table):
         import numpy as np
         import pyarrow as pa
 
-        i, j = divmod(table.column("tile")[0].as_py(), blocks)
+        tile = table.column("tile")[0].as_py()
+        j = (math.isqrt(8 * tile + 1) - 1) // 2
+        i = tile - j * (j + 1) // 2
         block, h = table.column("block").to_numpy(), table.column("h").to_numpy()
         x, y = h[block == i].view(np.uint64), h[block == j].view(np.uint64)
         found: list[list] = [[], [], []]
@@ -122,7 +128,63 @@ def tiled_values(values: DataFrame, n: int, r: int) -> DataFrame:
         return pa.table({name: np.concatenate([np.zeros(0, kind), *c]) for (name, kind), c in zip(kinds.items(), found, strict=True)})
 
     tiles = blocks * (blocks + 1) // 2
-    return dealt.repartition(tiles, "tile").groupBy("tile").applyInArrow(compare, "ha long, hb long, distance int")
+    return dealt.repartitionById(tiles, "tile").groupBy("tile").applyInArrow(compare, "ha long, hb long, distance int")  # a tile a task
+
+
+def first_apart(rows: DataFrame, ids: int, r: int) -> DataFrame:
+    """(id, h) of anchors among the first ``ids`` ids of rows (id, h): in order of id those that are within ``r`` of no anchor before them. One
+    task decides them. An id may have several hashes and is near whatever one of them is near."""
+
+    def decide(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        own, h = table.column("id").combine_chunks(), table.column("h").to_numpy().view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)]))
+        ends = np.append(starts[1:], len(h))
+        place = np.repeat(np.arange(len(starts)), ends - starts)
+        taken = np.zeros(len(starts), bool)
+        for k, (start, end) in enumerate(zip(starts, ends, strict=True)):
+            for one in h[start:end] if not taken[k] else ():
+                taken[place[end + np.flatnonzero(np.bitwise_count(one ^ h[end:]) <= r)]] = True
+        yield from table.filter(pa.array(~taken[place])).to_batches()
+
+    first = rows.select("id").distinct().orderBy("id").limit(ids)
+    return rows.join(first, "id", "left_semi").select("id", "h").repartition(1).sortWithinPartitions("id").mapInArrow(decide, f"id {dict(rows.dtypes)['id']}, h long")
+
+
+def first_near(rows: DataFrame, n: int, anchors: DataFrame, r: int) -> DataFrame:
+    """(id, anchor): the smallest of the anchors (id, h) within ``r`` of each of n rows (id, h), for rows that have one. A block of rows and all
+    anchors are a task; a row that has met its anchor is compared no further."""
+    blocks = max(1, -(-n // BLOCK))
+    mine = rows.select("id", "h", F.lit(False).alias("anchor"), F.pmod(F.xxhash64("h", "id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = mine.union(anchors.select("id", "h", F.lit(True), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    kind = dict(rows.dtypes)["id"]
+
+    def compare(table):
+        import numpy as np
+        import pyarrow as pa
+
+        other = table.filter(table.column("anchor")).sort_by("id")
+        table = table.filter(pa.array(~table.column("anchor").to_numpy()))
+        x, y = (t.column("h").to_numpy().view(np.uint64) for t in (table, other))
+        first, left, at = np.full(len(x), -1), np.arange(len(x)), 0
+        while len(left) and at < len(y):
+            to = at + max(1, NEAR_CHUNK // len(left))
+            near = np.bitwise_count(y[at:to, None] ^ x) <= r
+            met = near.any(axis=0)
+            first[left[met]] = at + near[:, met].argmax(axis=0)
+            x, left, at = x[~met], left[~met], to
+        met = first >= 0
+        return pa.table({"id": table.column("id").filter(pa.array(met)), "anchor": other.column("id").take(pa.array(first[met]))})
+
+    found = dealt.repartitionById(blocks, "block").groupBy("block").applyInArrow(compare, f"id {kind}, anchor {kind}")
+    return found.filter("id <> anchor").groupBy("id").agg(F.min("anchor").alias("anchor"))
 
 
 def total_work(cells: DataFrame) -> tuple[int, float]:

@@ -100,7 +100,7 @@ f AS (
 SELECT unnest(mine) AS id, id AS anchor FROM f WHERE len(mine) > 1""")
 def star_clusters(spark, sf_dir):
     """Direct neighbours of anchors; the SQL goes through the ids one by one."""
-    return dedup.star_clusters(dedup.hamming_pairs(gradient_hashes(spark, sf_dir), "h", "vec_id", 14))
+    return dedup.hash_stars(gradient_hashes(spark, sf_dir), "h", "vec_id", 14)
 
 
 @query(f"WITH {v.KEPT}, {STRATIFIED} SELECT doc_id, split FROM s")
